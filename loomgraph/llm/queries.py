@@ -29,6 +29,20 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), keep="largest")
 
 
+def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from loomgraph.llm.simhash import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir)).select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def op9_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.line_dedup import SENTENCES, dedup_units
+
+    return dedup_units(_documents(spark, sf_dir), SENTENCES)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.packing import pack
 
@@ -39,6 +53,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op4_shards": op4_shards,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_simhash_components": op6_simhash_components,
+    "op9_repeated_units": op9_repeated_units,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 
