@@ -11,6 +11,27 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _remainder(n: int):
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op1_piecewise_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.ctph import fingerprints_with_next
+
+    return fingerprints_with_next(_documents(spark, sf_dir))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from loomgraph.llm.language_id import identify
+
+    told = identify(_documents(spark, sf_dir), _remainder(3) != 1)
+    return told.select("doc_id", (_remainder(3) == 1).alias("held_out"), "lang_pred", F.col("score"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.mixing import mix
 
@@ -50,7 +71,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_piecewise_fingerprints": op1_piecewise_fingerprints,
     "op2_mix_sources": op2_mix_sources,
+    "op3_language": op3_language,
     "op4_shards": op4_shards,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_components": op6_simhash_components,
