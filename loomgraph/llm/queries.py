@@ -70,6 +70,12 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
 
+def op10_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.html_extract import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piecewise_fingerprints": op1_piecewise_fingerprints,
     "op2_mix_sources": op2_mix_sources,
@@ -79,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_components": op6_simhash_components,
     "op9_repeated_units": op9_repeated_units,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_article_text": op10_article_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
