@@ -64,6 +64,13 @@ def op9_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_units(_documents(spark, sf_dir), SENTENCES)
 
 
+def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.ppm import score
+
+    scored = score(_documents(spark, sf_dir), _remainder(5) != 1)
+    return scored.select("doc_id", (_remainder(5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.packing import pack
 
@@ -84,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_components": op6_simhash_components,
     "op9_repeated_units": op9_repeated_units,
+    "op7_ppm_scores": op7_ppm_scores,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_article_text": op10_article_text,
 }
