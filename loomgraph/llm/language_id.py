@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DIMENSIONS, NGRAM, SEED = 512, 3, 20
 #: Code points handled at once, about; and the largest table of n-gram codes that is counted directly.
@@ -72,18 +74,15 @@ class Profiles:
         return vectors, number, text, found
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows of the batches with some BLOCK of characters; the text comes first."""
-    rows, size = [], 0
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about BLOCK characters; the text comes first."""
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            rows.append(row)
-            size += len(row[0])
-            if size >= BLOCK:
-                yield rows
-                rows, size = [], 0
-    if rows:
-        yield rows
+        ends = np.cumsum(pc.utf8_length(b.column(0)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BLOCK, "right")))
+            yield b.slice(at, end - at)
+            at = end
 
 
 def learn(labelled: DataFrame, dimensions: int = DIMENSIONS, n: int = NGRAM) -> dict[str, np.ndarray]:
@@ -95,8 +94,8 @@ def learn(labelled: DataFrame, dimensions: int = DIMENSIONS, n: int = NGRAM) ->
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, sums = Profiles(dimensions, n), {}
         for rows in _blocks(batches):
-            vectors, number, text, _ = profiles.counted([t for t, _ in rows])
-            names, of = np.unique([lang for _, lang in rows], return_inverse=True)
+            vectors, number, text, _ = profiles.counted(rows.column(0).to_pylist())
+            names, of = np.unique(rows.column(1).to_pylist(), return_inverse=True)
             counts = np.bincount(of[text] * len(vectors) + number, minlength=len(names) * len(vectors)).reshape(len(names), -1)
             for name, own in zip(names.tolist(), counts.astype(np.float64) @ vectors.astype(np.float64) if len(vectors) else np.zeros((len(names), dimensions)), strict=True):
                 sums[name] = sums.get(name, 0) + own
@@ -110,15 +109,15 @@ def learn(labelled: DataFrame, dimensions: int = DIMENSIONS, n: int = NGRAM) ->
     return out
 
 
-def identify(docs: DataFrame, training: Column, dimensions: int = DIMENSIONS, n: int = NGRAM, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """A row for each row of docs: doc_id, lang_pred, score, cosine.
+def identify(docs: DataFrame, training: Column, dimensions: int = DIMENSIONS, n: int = NGRAM, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole: bool = False) -> DataFrame:
+    """A row for each row of docs: doc_id, lang_pred, score, cosine and, if whole, the row itself as the struct row.
 
     training picks the rows to learn from, those with a text and a language. A text's vector is the sum of its n-grams'
     vectors, over the whole text; the language whose prototype has the largest cosine with it is predicted (of equal
     ones, the first by name). score is (1 + cosine) / 2. A null text and one without letters give 'und', score 0 and a
     null cosine, as does every text if there is nothing to learn from. Other columns are ignored.
     """
-    base = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("doc_id"), training.alias("training"))
+    base = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).cast("long").alias("doc_id"), training.alias("training"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * whole)
     learned = learn(base.where("training AND text IS NOT NULL AND lang IS NOT NULL"), dimensions, n)
     names = sorted(k for k, v in learned.items() if v.any())
     prototypes = np.array([learned[k] / np.linalg.norm(learned[k]) for k in names]).reshape(len(names), dimensions).astype(np.float32)
@@ -126,10 +125,10 @@ def identify(docs: DataFrame, training: Column, dimensions: int = DIMENSIONS, n:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(dimensions, n)
         for rows in _blocks(batches):
-            vectors, number, text, letters = profiles.counted([t for t, _ in rows])
-            edges = np.searchsorted(text, np.arange(len(rows) + 1))
-            cosine = np.full(len(rows), np.nan)
-            best = np.zeros(len(rows), np.int64)
+            vectors, number, text, letters = profiles.counted(rows.column(0).to_pylist())
+            many = rows.num_rows
+            edges = np.searchsorted(text, np.arange(many + 1))
+            cosine, best = np.full(many, np.nan), np.zeros(many, np.int64)
             for i in np.flatnonzero(letters > 0).tolist() if names else ():
                 counts = np.bincount(number[edges[i] : edges[i + 1]])
                 there = np.flatnonzero(counts)
@@ -140,6 +139,8 @@ def identify(docs: DataFrame, training: Column, dimensions: int = DIMENSIONS, n:
                     cosine[i] = min(1.0, max(-1.0, float(near[best[i]])))
             sure = ~np.isnan(cosine)
             lang = [names[k] if s else "und" for k, s in zip(best.tolist(), sure.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([i for _, i in rows], pa.int64()), pa.array(lang), pa.array(np.where(sure, (1 + cosine) / 2, 0.0)), pa.array(cosine, from_pandas=True)], ["doc_id", "lang_pred", "score", "cosine"])
+            yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(lang, pa.string()), pa.array(np.where(sure, (1 + cosine) / 2, 0.0)), pa.array(cosine, from_pandas=True), *rows.columns[2:]], ["doc_id", "lang_pred", "score", "cosine", *["row"] * whole])
 
-    return base.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(task, "doc_id long, lang_pred string, score double, cosine double")
+    given = base.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id", *["row"] * whole)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cosine", T.DoubleType()), *[f for f in given.schema if f.name == "row"]])
+    return given.mapInArrow(task, schema)

@@ -33,7 +33,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFra
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: str = "") -> DataFrame:
-    """A row for each row of docs: doc_id, source, size, source_size, target, taken, rank (of its source).
+    """A row for each row of docs: doc_id, source, size, source_size, target, taken, rank (of its source), tie (the MD5
+    of its text).
 
     size counts the words (null text: 0). Sources in code point order, null last, take the weights in turn; a source
     gives at most `repeats` times its size. The words of a source, its documents in an order shuffled by a hash of
@@ -62,7 +63,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3,
     epochs = placed.where("size > 0").withColumn("from", F.explode(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda e: F.col("start") + e * F.col("source_size"))))
     pieces = epochs.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("from") + F.col("size") - 1) / block)))).withColumn("words", F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("from", F.col("block") * block))
     # a block may reach past a stream's last repeat; what is not there is not taken
-    names = ["rank", "start", "doc_id", "source", "size", "source_size", "target"]
+    names = ["rank", "start", "doc_id", "source", "size", "source_size", "target", "tie"]
     taken = pieces.join(turns, ["rank", "block"], "left").groupBy(*names).agg(F.sum(F.when(F.col("id").isNotNull(), F.col("words")).otherwise(0)).cast("long").alias("taken"))
     none = placed.where("size = 0").select(*names, F.lit(0).cast("long").alias("taken"))
-    return taken.unionByName(none).select("doc_id", "source", "size", "source_size", "target", "taken", "rank")
+    return taken.unionByName(none).select("doc_id", "source", "size", "source_size", "target", "taken", "rank", "tie")

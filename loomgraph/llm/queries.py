@@ -35,7 +35,7 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.mixing import mix
 
-    return mix(_documents(spark, sf_dir)).drop("rank", "source")
+    return mix(_documents(spark, sf_dir)).drop("rank", "source", "tie")
 
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

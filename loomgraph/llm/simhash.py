@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import cut
 
 #: Fingerprints that one leaf of the upper tree is planned for, and the largest set that is compared all with all.
-LEAF, BRUTE = 50_000, 256
+LEAF, BRUTE = 16_384, 256
 #: Fingerprints from which vantage points and radii of the upper tree are taken: they decide balance, never results.
 SAMPLE = 100_000
 #: Shingles whose bits are counted at once, and fingerprints that ask at once.
@@ -52,15 +52,15 @@ def _column(fp: np.ndarray) -> pa.Array:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (binary, big-endian) and shingles (their number) for each row of docs."""
+    """doc_id, twin (hash of the text), fp (binary, big-endian) and shingles (their number) for each row of docs."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [fingerprint(t.as_py(), words, bits) for t in b.column(1)]
+            made = [fingerprint(t.as_py(), words, bits) for t in b.column(2)]
             fp = np.array([f for f, _ in made], np.uint64).reshape(-1, bits // 64)
-            yield pa.RecordBatch.from_arrays([b.column(0), _column(fp), pa.array([n for _, n in made], pa.int64())], ["doc_id", "fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _column(fp), pa.array([n for _, n in made], pa.int64())], ["doc_id", "twin", "fp", "shingles"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(task, "doc_id long, fp binary, shingles long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("twin"), text_col).mapInArrow(task, "doc_id long, twin long, fp binary, shingles long")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -125,10 +125,12 @@ def _joined(q: np.ndarray, p: np.ndarray, qi: np.ndarray, pi: np.ndarray) -> np.
 def links(fp: np.ndarray, points: np.ndarray, queries: np.ndarray, reach: int, seed: int = 11) -> np.ndarray:
     """Links (i, j) between rows of fp that join exactly what the pairs (query, point) within reach join.
 
-    points and queries are positions in fp. A vantage-point tree over the points, all queries descending at once: of a
+    points and queries are positions in fp. If all points are queries too, each pair of points is looked at once. A vantage-point tree over the points, all queries descending at once: of a
     node, only the sides that a query's ball can reach are entered. Small or inseparable nodes are compared in blocks.
     """
     rng = np.random.default_rng(seed)
+    twice = np.zeros(len(fp), bool)
+    twice[points] = np.isin(points, queries).all()
     stack, out = [(points, queries, 0)], [np.empty((0, 2), np.int64)]
     while stack:
         p, q, failed = stack.pop()
@@ -147,8 +149,9 @@ def links(fp: np.ndarray, points: np.ndarray, queries: np.ndarray, reach: int, s
             continue
         for i in range(0, len(p), BRUTE):
             part = p[i : i + BRUTE]
-            for k in range(0, len(q), ASK):
-                asks = q[k : k + ASK]
+            first = q[~twice[q] | (q < part.max())]  # the others are points that these ask, not the other way round
+            for k in range(0, len(first), ASK):
+                asks = first[k : k + ASK]
                 qi, pi = np.nonzero(distance(fp[asks][:, None], fp[part][None]) <= reach)
                 own = asks[qi] != part[pi]
                 if own.any():
@@ -163,11 +166,11 @@ def pairs(points: DataFrame, reach: int = 3, bits: int = 64) -> DataFrame:
     At most one link for each point and leaf that it touches, not one for each pair.
     """
     spark = points.sparkSession
-    n = points.count()
+    n, most = points.count(), points.groupBy("band").count().agg(F.max("count")).first()[0] or 1
     sample = points.sample(min(1.0, SAMPLE / max(1, n)), 3).limit(2 * SAMPLE).toPandas()["fp"]
-    depth = max(0, math.ceil(math.log2(max(1, n) / LEAF))) if reach * 8 <= bits else 0  # wider balls reach all leaves
+    depth = max(0, math.ceil(math.log2(most / LEAF)))
     router = spark.sparkContext.broadcast(Router(_array(pa.array(sample, pa.binary()), bits), depth))
-    parts = max(1, math.ceil(1.3**depth / 4))  # the queries of a leaf, in so many parts
+    parts = max(1, math.ceil((1.3 if reach * 8 <= bits else 2) ** depth / 32))  # the queries of a leaf, in so many parts
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -189,8 +192,7 @@ def pairs(points: DataFrame, reach: int = 3, bits: int = 64) -> DataFrame:
     def search(table: pa.Table) -> pa.Table:
         fp, at = np.unique(_array(table["fp"], bits), axis=0, return_inverse=True)
         asks = table["asks"].to_numpy()
-        found = links(fp, np.unique(at[~asks]), np.unique(at[asks]), reach)
-        found = np.unique(found, axis=0)
+        found = np.unique(links(fp, np.unique(at[~asks]), np.unique(at[asks]), reach), axis=0)
         return pa.table({"a": _column(fp[found[:, 0]]), "b": _column(fp[found[:, 1]])})
 
     return points.select("fp", F.col("band").cast("int").alias("band")).mapInArrow(route, "band int, leaf long, fp binary, asks boolean").groupBy("band", "leaf").applyInArrow(search, "a binary, b binary")
@@ -215,8 +217,15 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
+def reach_of(similarity: float, bits: int) -> int:
+    """Bits by which texts of a Jaccard similarity differ: what is expected for two texts of one length, and one
+    standard deviation."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 3, bits: int = 64, ratio: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, fp (binary), component_id.
+    """A row for each row of docs: doc_id, twin (hash of the text), fp (binary), component_id, root (binary, of the component).
 
     Fingerprints within `reach` bits are linked; component_id is the smallest doc_id that can be reached. By ratio (say
     0.8), only texts whose numbers of shingles can stand in that ratio are compared: those in the same or the next band
@@ -230,5 +239,5 @@ def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 3, bits: int =
     roots = components(pairs(points, reach, bits))
     named = points.groupBy("fp").agg(F.min("first").alias("first")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    homes = named.join(least, "root").select("fp", "component_id")
-    return marked.join(homes, "fp").select("doc_id", "fp", "component_id")
+    homes = named.join(least, "root").select("fp", "component_id", "root")
+    return marked.join(homes, "fp").select("doc_id", "twin", "fp", "component_id", "root")
