@@ -218,10 +218,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def reach_of(similarity: float, bits: int) -> int:
-    """Bits by which texts of a Jaccard similarity differ: what is expected for two texts of one length, and one
-    standard deviation."""
+    """Bits by which texts of a Jaccard similarity differ: what is expected for two texts of one length, and one and a half
+    standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 3, bits: int = 64, ratio: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
