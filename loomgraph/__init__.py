@@ -1,0 +1 @@
+"""Knowledge-graph analytics and retrieval on Spark DataFrames."""
