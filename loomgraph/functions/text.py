@@ -27,7 +27,8 @@ def decimal_of(x: Column) -> Column:
 
 
 def short_number(x: Column) -> Column:
-    """A decimal with six significant digits at most and no trailing zeros, as printed by '%g' for usual magnitudes."""
+    """A decimal with six significant digits at most and no trailing zeros, as printed by '%g' for usual magnitudes; what
+    has more digits is rounded as a decimal, halves up."""
     d = x.cast("decimal(38,10)")
     digits = F.length(F.regexp_extract(F.abs(d).cast("decimal(38,0)").cast("string"), r"^0*(\d*)$", 1))
     rounded = F.coalesce(*[F.when(digits >= k, F.round(d, 6 - k)) for k in range(6, 0, -1)], F.round(d, 6)).cast("string")
@@ -59,7 +60,7 @@ def pick(variants: list[str] | list[Column], *parts: Column) -> Column:
 
 def listed(x: Column, universe: list[str] | None = None) -> Column:
     """The parts of a comma-separated text, trimmed, without empty ones; with a universe, those of it in its order."""
-    parts = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), F.trim), lambda w: F.length(w) > 0)
+    parts = F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), lambda x: F.trim(x)), lambda w: F.length(w) > 0)
     return parts if universe is None else F.filter(F.array(*map(F.lit, universe)), lambda c: F.array_contains(parts, c))
 
 

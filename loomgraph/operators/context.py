@@ -82,11 +82,11 @@ def gold_pieces(template: Column, answer: Column, text: Column, question: Column
     values = F.filter(F.transform(F.split(text, r";\s*"), lambda x: F.trim(F.regexp_replace(x, r"^.*=", ""))), lambda x: F.length(x) > 0)
     named = quoted(question)
     return (
-        F.when(template.isin("agg_count", "enumerate_products"), F.filter(F.transform(F.split(text, r";\s*"), F.trim), lambda x: F.length(x) > 0))
+        F.when(template.isin("agg_count", "enumerate_products"), F.filter(F.transform(F.split(text, r";\s*"), lambda x: F.trim(x)), lambda x: F.length(x) > 0))
         .when(template.isin("compare_two_products", "calc_interest_diff", "agg_superlative"), values)
-        .when(template.isin("join_way", "age_condition", "joint_condition"), F.filter(F.transform(F.split(text, r"\s\|\s"), F.trim), lambda x: F.length(x) > 0))
+        .when(template.isin("join_way", "age_condition", "joint_condition"), F.filter(F.transform(F.split(text, r"\s\|\s"), lambda x: F.trim(x)), lambda x: F.length(x) > 0))
         .when(template.isin("calc_interest", "calc_interest_after_tax", "rate_threshold", "base_rate_lookup", "max_rate_lookup", "loan_min_rate", "credit_avg_rate", "max_limit_lookup"), F.array(text))
-        .when(template == "loan_rate_type", F.concat(F.slice(named, 1, 1), F.filter(F.transform(F.split(text, ","), F.trim), lambda x: F.length(x) > 0)))
+        .when(template == "loan_rate_type", F.concat(F.slice(named, 1, 1), F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: F.length(x) > 0)))
         .otherwise(F.array(answer))
     )
 
