@@ -13,8 +13,10 @@ from loomgraph.functions import text as T
 from loomgraph.operators import context as C
 from loomgraph.operators import etl, lookup, quality, rules, views, workload
 from loomgraph.operators import graph as G
+from loomgraph.operators import retrieve as V
 from loomgraph.operators import text as R
 from loomgraph.plans import sparql
+from loomgraph.plans.materialize import settled
 from loomgraph.sources import records, turtle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -292,7 +294,7 @@ def bfs_individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def khop_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units of a four-hop walk over the property graph from two nations: nodes in their order, edges last."""
-    nodes, edges = G.property_graph(star.graph(spark, sf_dir, "nation", "region", "supplier"), VOC)
+    nodes, edges = map(settled, G.property_graph(star.graph(spark, sf_dir, "nation", "region", "supplier"), VOC))
     seeds = spark.createDataFrame([(1, "data:nation_1", 0), (1, "data:nation_2", 1), (2, "data:region_1", 0)], "qid int, seed string, seed_rank int")
     walk = G.khop(edges, seeds)
     units = G.merged(walk).join(G.node_units(nodes).withColumnRenamed("key", "node"), "node").select("qid", F.col("rank").cast("int").alias("rank"), "text")
@@ -380,6 +382,23 @@ def name_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.with_aliases(star.table(spark, sf_dir, "part").select(F.concat("p_name", tail).alias("name"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node")))
 
 
+@query()
+def ontology_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of what three questions name, in the graph of nations and suppliers."""
+    triples = settled(star.graph(spark, sf_dir, "nation", "region", "supplier"))
+    asked = spark.createDataFrame([(1, "Which suppliers are in NATION_1 (ASIA)?"), (2, "What is a Supplier?"), (3, "zzzz")], "qid int, question string")
+    return V.ontology_units(triples, VOC, asked)
+
+
+@query()
+def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of three scenarios on a question for each nation, whose evidence is its region."""
+    triples = settled(star.graph(spark, sf_dir, "nation", "region"))
+    n, r = star.table(spark, sf_dir, "nation"), star.table(spark, sf_dir, "region")
+    asked = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("qid"), F.concat(F.lit("Where is "), "n_name", F.lit("?")).alias("question"), F.array("n_name", "r_name").alias("gold"))
+    return V.Scenarios(triples, VOC).evaluate(asked, ["S2", "S6", "S9"])
+
+
 # -- contexts ----------------------------------------------------------------------------------------------------------
 
 
@@ -652,9 +671,9 @@ def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return star.table(spark, sf_dir, "nation").select("n_nationkey", T.particle(word, "object").alias("object"), T.particle(word, "subject").alias("subject"), T.particle(word, "with").alias("together"))
 
 
-@query("""SELECT o_orderkey, format('{:g}', CAST(o_totalprice / 100 AS DECIMAL(18,2))::DOUBLE) AS g FROM orders""")
+@query("""SELECT o_orderkey, format('{:g}', (CAST(floor(o_totalprice)::BIGINT % 1000000 AS DECIMAL(18,2)) / 100)::DOUBLE) AS g FROM orders""")
 def short_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star.table(spark, sf_dir, "orders").select("o_orderkey", T.short_number((F.col("o_totalprice") / 100).cast("decimal(18,2)")).alias("g"))
+    return star.table(spark, sf_dir, "orders").select("o_orderkey", T.short_number(F.pmod(F.floor("o_totalprice"), F.lit(1000000)).cast("decimal(18,2)") / 100).alias("g"))
 
 
 @query("""SELECT strftime(o_orderdate, '%Y-%m-%d') AS d, count(*) AS n FROM orders GROUP BY ALL""")
