@@ -200,7 +200,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", normalise=ascii_lower,
     """
     norm: Column = normalise(F.coalesce(F.col(text_col), F.lit("")))
     sha = F.sha2(norm.cast("binary"), 256)
-    key = digest(norm) if digest else F.unhex(F.substring("sha", 1, 32))
+    key = digest(F.col("norm")) if digest else F.unhex(F.substring("sha", 1, 32))
     worst = F.lit(_NULL + 1 if keep == "largest" else -(_NULL + 1))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm"), sha.alias("sha")).withColumn("digest", key)
     slim = cut(texts.select("doc_id", "sha", "digest", F.monotonically_increasing_id().alias("row")))

@@ -80,7 +80,7 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     slim = cut(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("digest"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key")))
     groups = cut(slim.groupBy("digest").agg(F.sum("size").alias("group_bytes")))
     classes = groups.groupBy("group_bytes").count().toPandas()
-    runs = pd.DataFrame(pack([(int(s), int(n)) for s, n in classes.itertuples(index=False)], shards), columns=["of_bytes", "n", "shard"])
+    runs = pd.DataFrame(pack([(int(s), int(n)) for s, n in classes.itertuples(index=False)], shards), columns=["of_bytes", "n", "shard"]).astype("int64")
     runs["to"] = runs.groupby("of_bytes")["n"].cumsum()
     runs["from"] = runs["to"] - runs["n"]
     spark = docs.sparkSession
