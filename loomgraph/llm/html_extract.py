@@ -37,7 +37,7 @@ class Node:
     def __init__(self, tag: str, above: Node | None, attributes: str):
         marks = [w for m in _MARK.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())] if attributes else []
         self.tag = tag
-        self.path = f"{above.path if above else ''}/{tag}{'.' + '.'.join(marks[:3]) if marks else ''}"
+        self.path = f"{above.path}/{tag}{'.' + '.'.join(marks[:3]) if marks else ''}" if above else ""
         self.hidden = tag in HIDDEN or bool(above and above.hidden)
         self.main = bool(above and above.main) or tag in ("article", "main") or "main" in marks and "role" in attributes.lower()
         off = tag in ASIDE or tag == "header" and not self.main or bool(tag not in ("html", "body", "article", "main") and MARKS.intersection(marks))
