@@ -11,8 +11,9 @@ from loomgraph.llm.common import cut, hash_bucket, n_words, running
 
 #: The golden ratio's fractional part in 32 bits: slot i lies at (i * GOLDEN mod 2^32) / 2^32.
 GOLDEN, PERIOD = 2654435769, 1 << 31
-#: The source with the least target gets about so many slots; a block has at least LEAST_BLOCK words.
-SLOTS, LEAST_BLOCK = 1000, 16
+#: The source with the least target gets about so many slots; a block has at least LEAST_BLOCK words, and there are at
+#: most MOST_SLOTS slots, however small a source is and however large the rest.
+SLOTS, LEAST_BLOCK, MOST_SLOTS = 1000, 16, 1 << 22
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
@@ -48,13 +49,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3,
     goal = cut(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats))
     know = goal.agg(F.sum("source_size").alias("total"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least")).first()
     total, block = know["total"] or 0, max(LEAST_BLOCK, int((know["least"] or 0) / SLOTS))
+    block = max(block, math.ceil(total / MOST_SLOTS))
     slots = math.ceil(total / block)
 
     along = Window.orderBy("rank")
     spans = goal.select("rank", (F.sum("target").over(along) / F.sum("target").over(Window.partitionBy())).alias("to")).agg(F.sort_array(F.collect_list(F.struct("to", "rank"))).alias("spans"))
     point = (F.pmod(F.col("id"), F.lit(PERIOD)) * F.lit(GOLDEN)).bitwiseAND(F.lit((1 << 32) - 1)) / F.lit(float(1 << 32))
     held = docs.sparkSession.range(slots).select("id", point.alias("u"), spans.scalar().alias("spans")).withColumn("rank", F.coalesce(F.get(F.filter("spans", lambda x: x["to"] > F.col("u")), F.lit(0))["rank"], F.lit(1)))
-    # a row for each slot: their number depends on the weights and the precision, not on the input
+    # a row for each slot: at most MOST_SLOTS, whatever the input
     turns = held.withColumn("block", F.row_number().over(Window.partitionBy("rank").orderBy("id")) - 1).select("rank", F.col("block").cast("long").alias("block"), "id")
 
     buckets = max(1, math.isqrt(slim.count()))

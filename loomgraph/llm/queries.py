@@ -108,7 +108,7 @@ l AS (SELECT *, (total - coalesce(sum(lim) OVER (ORDER BY ratio, rank ROWS BETWE
              / sum(weight) OVER (ORDER BY ratio, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 level AS (SELECT level FROM l WHERE ratio >= level ORDER BY ratio, rank LIMIT 1),
 goal AS (SELECT source, rank, source_size, total, least(lim::DOUBLE, coalesce((SELECT level FROM level) * weight, lim)) AS target FROM l),
-size AS (SELECT greatest(16, floor(min(target) FILTER (target > 0) / 1000)::BIGINT) AS block, any_value(total) AS total FROM goal),
+size AS (SELECT greatest(16, floor(min(target) FILTER (target > 0) / 1000)::BIGINT, ceil(any_value(total) / 4194304)::BIGINT) AS block, any_value(total) AS total FROM goal),
 spans AS (SELECT rank, sum(target) OVER (ORDER BY rank) / sum(target) OVER () AS upto,
                  coalesce(sum(target) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(target) OVER () AS since FROM goal),
 slots AS (SELECT i, (((i % 2147483648) * 2654435769) & 4294967295) / 4294967296.0::DOUBLE AS u
