@@ -171,7 +171,7 @@ def build_index(slim: DataFrame, keep: str = "smallest", memtable: int = 200_000
 FILTER_WORDS = 1 << 19
 
 
-def _picked(rows: DataFrame, hits: DataFrame) -> DataFrame:
+def picked(rows: DataFrame, hits: DataFrame) -> DataFrame:
     """Those of rows (digest, ...) that the filter of the hits lets through: all hits and a few others."""
     h = F.xxhash64("digest")
     words = hits.select((h.bitwiseAND(F.lit(FILTER_WORDS - 1))).alias("w"), F.shiftrightunsigned(h, 58).cast("int").alias("b")).select("w", F.expr("shiftleft(1L, b)").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toPandas()
@@ -207,7 +207,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", normalise=ascii_lower,
     index = cut(build_index(slim.select("digest", F.coalesce("doc_id", worst).alias("id"), "row", F.lit(1).cast("long").alias("n")), keep, memtable))
 
     hits = index.where("n > 1")
-    held = _picked(texts.select("doc_id", "norm", "digest"), hits)
+    held = picked(texts.select("doc_id", "norm", "digest"), hits)
     compared = held.groupBy("digest").agg(F.min("norm").alias("a"), F.max("norm").alias("b"))
     odd = cut(compared.where("a <> b").select("digest"))
     index = index.select("digest", F.when(F.col("id") == worst, None).otherwise(F.col("id")).alias("keep_id"), F.col("row").alias("best"), F.col("n").alias("group_size"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import cut
+from loomgraph.llm.exact_dedup import picked
 
 #: Fingerprints that one leaf of the upper tree is planned for, and the largest set that is compared all with all.
 LEAF, BRUTE = 16_384, 256
@@ -122,16 +123,44 @@ def _joined(q: np.ndarray, p: np.ndarray, qi: np.ndarray, pi: np.ndarray) -> np.
     return out[out[:, 0] != out[:, 1]]
 
 
-def links(fp: np.ndarray, points: np.ndarray, queries: np.ndarray, reach: int, seed: int = 11) -> np.ndarray:
+def forest(hits: np.ndarray) -> np.ndarray:
+    """Of hits (i, j, distance), a spanning forest of least distance: each round, each tree takes its nearest edge."""
+    hits = hits[np.argsort(hits[:, 2], kind="stable")]
+    nodes, ends = np.unique(hits[:, :2], return_inverse=True)
+    u, v = ends.reshape(-1, 2).T
+    label, edge, kept = np.arange(len(nodes)), np.arange(len(hits)), []
+    while len(edge):
+        a, b = label[u[edge]], label[v[edge]]
+        apart = a != b
+        edge, a, b = edge[apart], a[apart], b[apart]
+        if not len(edge):
+            break
+        best = np.full(len(nodes), len(hits))
+        np.minimum.at(best, a, edge)
+        np.minimum.at(best, b, edge)
+        own = np.flatnonzero(best < len(hits))
+        kept.append(np.unique(best[own]))
+        above = np.arange(len(nodes))
+        above[own] = label[u[best[own]]] + label[v[best[own]]] - own
+        above = np.where((above[above] == np.arange(len(nodes))) & (np.arange(len(nodes)) < above), np.arange(len(nodes)), above)
+        while (above[above] != above).any():
+            above = above[above]
+        label = above[label]
+    return hits[np.sort(np.concatenate(kept))] if kept else hits[:0]
+
+
+def links(fp: np.ndarray, points: np.ndarray, queries: np.ndarray, reach: int, seed: int = 11, nearest: bool = False) -> np.ndarray:
     """Links (i, j) between rows of fp that join exactly what the pairs (query, point) within reach join.
 
+    If nearest, the links are such pairs themselves, those of a spanning forest of least distance.
+
     points and queries are positions in fp. If all points are queries too, each pair of points is looked at once. A vantage-point tree over the points, all queries descending at once: of a
     node, only the sides that a query's ball can reach are entered. Small or inseparable nodes are compared in blocks.
     """
     rng = np.random.default_rng(seed)
     twice = np.zeros(len(fp), bool)
     twice[points] = np.isin(points, queries).all()
-    stack, out = [(points, queries, 0)], [np.empty((0, 2), np.int64)]
+    stack, out = [(points, queries, 0)], [np.empty((0, 3 if nearest else 2), np.int64)]
     while stack:
         p, q, failed = stack.pop()
         if not len(p) or not len(q):
@@ -152,17 +181,21 @@ def links(fp: np.ndarray, points: np.ndarray, queries: np.ndarray, reach: int, s
             first = q[~twice[q] | (q < part.max())]  # the others are points that these ask, not the other way round
             for k in range(0, len(first), ASK):
                 asks = first[k : k + ASK]
-                qi, pi = np.nonzero(distance(fp[asks][:, None], fp[part][None]) <= reach)
+                d = distance(fp[asks][:, None], fp[part][None])
+                qi, pi = np.nonzero(d <= reach)
                 own = asks[qi] != part[pi]
                 if own.any():
-                    out.append(_joined(asks, part, qi[own], pi[own]))
-    return np.concatenate(out)
+                    qi, pi = qi[own], pi[own]
+                    out.append(forest(np.stack([asks[qi], part[pi], d[qi, pi]], 1)) if nearest else _joined(asks, part, qi, pi))
+    return forest(np.concatenate(out))[:, :2] if nearest else np.concatenate(out)
 
 
-def pairs(points: DataFrame, reach: int = 3, bits: int = 64) -> DataFrame:
+def pairs(points: DataFrame, reach: int = 3, bits: int = 64, nearest: bool = False) -> DataFrame:
     """Links (a, b), a <> b, between the fingerprints of points (fp, band): a graph with the components of all pairs
     within reach whose bands are equal or next to each other (band null: any).
 
+    If nearest, the points have a twin too, which a and b hold, and each leaf gives pairs of its own within reach, those
+    of a spanning forest of least distance; twins of one fingerprint are linked to the least of them.
     At most one link for each point and leaf that it touches, not one for each pair.
     """
     spark = points.sparkSession
@@ -186,16 +219,74 @@ def pairs(points: DataFrame, reach: int = 3, bits: int = 64) -> DataFrame:
                 of.append(at)
                 bands.append(band[at] + 1)
             asks = np.concatenate([np.full(len(k), i > 0) for i, k in enumerate(key)])
+            twins = [b.column(2).take(pa.array(np.concatenate(of)))] * nearest
             bands = pa.array(np.concatenate(bands).astype(float), from_pandas=True).cast(pa.int32())
-            yield pa.RecordBatch.from_arrays([bands, pa.array(np.concatenate(key)), pa.array(name[np.concatenate(of)], pa.binary()), pa.array(asks)], ["band", "leaf", "fp", "asks"])
+            yield pa.RecordBatch.from_arrays([bands, pa.array(np.concatenate(key)), pa.array(name[np.concatenate(of)], pa.binary()), pa.array(asks), *twins], ["band", "leaf", "fp", "asks", *["twin"] * nearest])
 
     def search(table: pa.Table) -> pa.Table:
         fp, at = np.unique(_array(table["fp"], bits), axis=0, return_inverse=True)
         asks = table["asks"].to_numpy()
+        if nearest:
+            twin = table["twin"].to_numpy()
+            found, least = links(fp, np.unique(at[~asks]), np.unique(at[asks]), reach, nearest=True), np.full(len(fp), np.iinfo(np.int64).max)
+            np.minimum.at(least, at, twin)
+            alike = np.unique(np.stack([twin, least[at]], 1)[twin != least[at]], axis=0)
+            return pa.table({"a": np.concatenate([least[found[:, 0]], alike[:, 0]]), "b": np.concatenate([least[found[:, 1]], alike[:, 1]])})
         found = np.unique(links(fp, np.unique(at[~asks]), np.unique(at[asks]), reach), axis=0)
         return pa.table({"a": _column(fp[found[:, 0]]), "b": _column(fp[found[:, 1]])})
 
-    return points.select("fp", F.col("band").cast("int").alias("band")).mapInArrow(route, "band int, leaf long, fp binary, asks boolean").groupBy("band", "leaf").applyInArrow(search, "a binary, b binary")
+    kind = "long" if nearest else "binary"
+    routed = points.select("fp", F.col("band").cast("int").alias("band"), *["twin"] * nearest).mapInArrow(route, "band int, leaf long, fp binary, asks boolean" + ", twin long" * nearest)
+    return routed.groupBy("band", "leaf").applyInArrow(search, f"a {kind}, b {kind}")
+
+
+def shingled(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingles of a text, as sorted hashes; all its words where there are fewer."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(w) - words + 1)
+    parts = [b" ".join(w)] if n == 1 else map(b" ".join, zip(*[w[i:] for i in range(words)], strict=False))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, n))
+
+
+#: Links of one text that are checked together.
+TOGETHER = 32
+
+
+def checked(edges: DataFrame, docs: DataFrame, words: int, similarity: float, text_col: str = "text") -> DataFrame:
+    """The edges (a, b), hashes of texts, whose texts have a Jaccard similarity of shingles of at least that, exactly.
+
+    Of an edge, the end with more edges is the head; a head's edges are dealt in parts of about TOGETHER, each with a copy
+    of the head's text in front. A task holds the shingles of two texts at a time.
+    """
+    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    degree = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count())
+    named = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
+    texts = cut(picked(named, degree.select(F.col("node").alias("digest"))).groupBy("digest").agg(F.min("text").alias("text")).join(degree, F.col("digest") == F.col("node"), "left_semi"))
+    of = [degree.select(F.col("node").alias(x), F.col("count").alias(f"n_{x}")) for x in ("a", "b")]
+    known = edges.join(of[0], "a").join(of[1], "b")
+    first = F.col("n_a") >= F.col("n_b")
+    led = known.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("head"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), F.ceil(F.greatest("n_a", "n_b") / TOGETHER).alias("parts"))
+    led = cut(led.select("head", F.pmod(F.xxhash64("other"), F.col("parts")).alias("part"), "other"))
+    others = led.join(texts, F.col("other") == F.col("digest")).select("head", "part", "other", "text")
+    heads = led.select("head", "part").distinct().join(texts, F.col("head") == F.col("digest")).select("head", "part", F.lit(None).cast("long").alias("other"), "text")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.empty(0, np.uint64)
+        for b in batches:
+            kept = []
+            for head, other, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                s = shingled(text.as_py(), words)
+                if other is None:
+                    own = s
+                    continue
+                both = len(np.intersect1d(own, s, assume_unique=True))
+                if both >= similarity * (len(own) + len(s) - both):
+                    kept.append((head, other))
+            a = np.array(kept, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
+
+    rows = others.unionByName(heads).repartition("head", "part").sortWithinPartitions("head", "part", F.col("other").asc_nulls_first())
+    return rows.mapInArrow(task, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -229,12 +320,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 3, bits: int =
 
     Fingerprints within `reach` bits are linked; component_id is the smallest doc_id that can be reached. By ratio (say
     0.8), only texts whose numbers of shingles can stand in that ratio are compared: those in the same or the next band
-    of that width. Texts without words and null texts have fingerprint 0 and are linked like any other. Null doc_ids
+    of that width; of what is within reach, each leaf's nearest pairs are then held against the texts, and those whose
+    shingles have a Jaccard similarity of at least ratio are linked (root is then the least twin of the component). Texts without words and null texts have fingerprint 0 and are linked like any other. Null doc_ids
     count as larger than all others, so a component of nothing else has a null component_id. Other columns are ignored;
     rows alike are kept; an empty table gives an empty result. Equal fingerprints are one point, whatever their number.
     """
     marked = cut(fingerprints(docs, words, bits, id_col, text_col))
     band = F.floor(F.log(F.greatest("shingles", F.lit(1))) / math.log(1 / ratio)).cast("int") if ratio else F.lit(None).cast("int")
+    if ratio:
+        points = cut(marked.groupBy("twin", "fp", band.alias("band")).agg(F.min("doc_id").alias("first")))
+        roots = components(checked(pairs(points, reach, bits, nearest=True), docs, words, ratio, text_col))
+        homes = points.join(roots, F.col("twin") == F.col("node"), "left").select("twin", F.coalesce("root", "twin").alias("root"), "first")
+        homes = homes.join(homes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("twin", "root", "component_id")
+        return marked.join(homes, "twin").select("doc_id", "twin", "fp", "component_id", "root")
     points = cut(marked.groupBy("fp", band.alias("band")).agg(F.min("doc_id").alias("first")))
     roots = components(pairs(points, reach, bits))
     named = points.groupBy("fp").agg(F.min("first").alias("first")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
