@@ -18,12 +18,14 @@ from loomgraph.llm.exact_dedup import picked
 LEAF, BRUTE = 16_384, 256
 #: Fingerprints from which vantage points and radii of the upper tree are taken: they decide balance, never results.
 SAMPLE = 100_000
+#: Forests of a leaf's nearest pairs: where the texts of the nearest pair don't agree, the next nearest may.
+FORESTS = 3
 #: Shingles whose bits are counted at once, and fingerprints that ask at once.
 BLOCK, ASK = 1 << 15, 4096
 
 
 def fingerprint(text: str | None, words: int = 3, bits: int = 64) -> tuple[np.ndarray, int]:
-    """bits / 64 words of 64 bits, and the number of shingles. A bit is set if it is set in over half of the hashes.
+    """bits / 64 words of 64 bits, and the number of distinct shingles. A bit is set if it is set in over half of the hashes.
 
     A shingle is `words` words in lower case (A-Z only) joined by spaces, or all words where there are fewer; repeats
     count; no words and null give 0. The hash is XXH64 of its UTF-8 bytes, seed 42, then 43 and so on.
@@ -40,7 +42,7 @@ def fingerprint(text: str | None, words: int = 3, bits: int = 64) -> tuple[np.nd
         for at in range(0, n, BLOCK):
             ones += np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         out.append(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
-    return np.array(out, np.uint64), n
+    return np.array(out, np.uint64), len(set(shingles))
 
 
 def _array(column: pa.Array, bits: int) -> np.ndarray:
@@ -53,7 +55,7 @@ def _column(fp: np.ndarray) -> pa.Array:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, twin (hash of the text), fp (binary, big-endian) and shingles (their number) for each row of docs."""
+    """doc_id, twin (hash of the text), fp (binary, big-endian) and shingles (how many differ) for each row of docs."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,9 +125,19 @@ def _joined(q: np.ndarray, p: np.ndarray, qi: np.ndarray, pi: np.ndarray) -> np.
     return out[out[:, 0] != out[:, 1]]
 
 
+def forests(hits: np.ndarray, many: int) -> np.ndarray:
+    """Of distinct hits (i, j, distance), a spanning forest of least distance, then one of the rest, and so on."""
+    out, hits = [hits[:0]], hits[np.argsort(hits[:, 2], kind="stable")]
+    for _ in range(many):
+        taken = forest(hits)
+        out.append(hits[taken])
+        hits = np.delete(hits, taken, axis=0)
+    return np.concatenate(out)
+
+
 def forest(hits: np.ndarray) -> np.ndarray:
-    """Of hits (i, j, distance), a spanning forest of least distance: each round, each tree takes its nearest edge."""
-    hits = hits[np.argsort(hits[:, 2], kind="stable")]
+    """Positions of a spanning forest of least distance among hits that rise by it: each round, each tree takes its
+    nearest edge."""
     nodes, ends = np.unique(hits[:, :2], return_inverse=True)
     u, v = ends.reshape(-1, 2).T
     label, edge, kept = np.arange(len(nodes)), np.arange(len(hits)), []
@@ -146,13 +158,13 @@ def forest(hits: np.ndarray) -> np.ndarray:
         while (above[above] != above).any():
             above = above[above]
         label = above[label]
-    return hits[np.sort(np.concatenate(kept))] if kept else hits[:0]
+    return np.unique(np.concatenate(kept)) if kept else np.empty(0, np.int64)
 
 
 def links(fp: np.ndarray, points: np.ndarray, queries: np.ndarray, reach: int, seed: int = 11, nearest: bool = False) -> np.ndarray:
     """Links (i, j) between rows of fp that join exactly what the pairs (query, point) within reach join.
 
-    If nearest, the links are such pairs themselves, those of a spanning forest of least distance.
+    If nearest, the links are such pairs themselves, those of some spanning forests of least distance.
 
     points and queries are positions in fp. If all points are queries too, each pair of points is looked at once. A vantage-point tree over the points, all queries descending at once: of a
     node, only the sides that a query's ball can reach are entered. Small or inseparable nodes are compared in blocks.
@@ -186,8 +198,8 @@ def links(fp: np.ndarray, points: np.ndarray, queries: np.ndarray, reach: int, s
                 own = asks[qi] != part[pi]
                 if own.any():
                     qi, pi = qi[own], pi[own]
-                    out.append(forest(np.stack([asks[qi], part[pi], d[qi, pi]], 1)) if nearest else _joined(asks, part, qi, pi))
-    return forest(np.concatenate(out))[:, :2] if nearest else np.concatenate(out)
+                    out.append(forests(np.stack([asks[qi], part[pi], d[qi, pi]], 1), FORESTS) if nearest else _joined(asks, part, qi, pi))
+    return forests(np.concatenate(out), FORESTS)[:, :2] if nearest else np.concatenate(out)
 
 
 def pairs(points: DataFrame, reach: int = 3, bits: int = 64, nearest: bool = False) -> DataFrame:
@@ -195,8 +207,8 @@ def pairs(points: DataFrame, reach: int = 3, bits: int = 64, nearest: bool = Fal
     within reach whose bands are equal or next to each other (band null: any).
 
     If nearest, the points have a twin too, which a and b hold, and each leaf gives pairs of its own within reach, those
-    of a spanning forest of least distance; twins of one fingerprint are linked to the least of them.
-    At most one link for each point and leaf that it touches, not one for each pair.
+    of some spanning forests of least distance; twins of one fingerprint are linked to the least of them.
+    At most one link (if nearest, FORESTS) for each point and leaf that it touches, not one for each pair.
     """
     spark = points.sparkSession
     n, most = points.count(), points.groupBy("band").count().agg(F.max("count")).first()[0] or 1
@@ -219,7 +231,7 @@ def pairs(points: DataFrame, reach: int = 3, bits: int = 64, nearest: bool = Fal
                 of.append(at)
                 bands.append(band[at] + 1)
             asks = np.concatenate([np.full(len(k), i > 0) for i, k in enumerate(key)])
-            twins = [b.column(2).take(pa.array(np.concatenate(of)))] * nearest
+            twins = [c.take(pa.array(np.concatenate(of))) for c in b.columns[2:]]
             bands = pa.array(np.concatenate(bands).astype(float), from_pandas=True).cast(pa.int32())
             yield pa.RecordBatch.from_arrays([bands, pa.array(np.concatenate(key)), pa.array(name[np.concatenate(of)], pa.binary()), pa.array(asks), *twins], ["band", "leaf", "fp", "asks", *["twin"] * nearest])
 
@@ -309,17 +321,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def reach_of(similarity: float, bits: int) -> int:
-    """Bits by which texts of a Jaccard similarity differ: what is expected for two texts of one length, and one and a half
+    """Bits by which texts of a Jaccard similarity differ: what is expected for two texts of one length, and two and a half
     standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + 2.5 * math.sqrt(bits * p * (1 - p)))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 3, bits: int = 64, ratio: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, twin (hash of the text), fp (binary), component_id, root (binary, of the component).
 
     Fingerprints within `reach` bits are linked; component_id is the smallest doc_id that can be reached. By ratio (say
-    0.8), only texts whose numbers of shingles can stand in that ratio are compared: those in the same or the next band
+    0.8), only texts whose numbers of distinct shingles can stand in that ratio are compared: those in the same or the next band
     of that width; of what is within reach, each leaf's nearest pairs are then held against the texts, and those whose
     shingles have a Jaccard similarity of at least ratio are linked (root is then the least twin of the component). Texts without words and null texts have fingerprint 0 and are linked like any other. Null doc_ids
     count as larger than all others, so a component of nothing else has a null component_id. Other columns are ignored;

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.exact_dedup import DigestIndex, exact_dedup
 from loomgraph.llm.line_dedup import LINES, PARAGRAPHS, SENTENCES, dedup_units, digest, units
-from loomgraph.llm.simhash import components, fingerprint, links, near_duplicates, reach_of
+from loomgraph.llm.simhash import components, fingerprint, forest, forests, links, near_duplicates, reach_of, shingled
 
 
 @settings(max_examples=30, deadline=None)
@@ -104,6 +104,57 @@ def test_tree_finds_all_pairs(reach):
     assert roots(got.tolist()) == roots(np.argwhere((d <= reach) & (d >= 0)).tolist())
 
 
+def _components(n, edges):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 15), st.integers(0, 15), st.integers(0, 5)).filter(lambda e: e[0] != e[1]), max_size=80))
+def test_forest_spans_at_each_distance(edges):
+    hits = np.array(sorted(edges, key=lambda e: e[2]), np.int64).reshape(-1, 3)
+    got = hits[forest(hits)].tolist()
+    for d in range(6):
+        assert _components(16, [e[:2] for e in got if e[2] <= d]) == _components(16, [e[:2] for e in edges if e[2] <= d])
+    assert len(got) == 16 - len(set(_components(16, [e[:2] for e in edges])))
+    more = forests(hits, 3).tolist()
+    assert sorted(more[: len(got)]) == sorted(got) and all(more.count(e) <= edges.count(tuple(e)) for e in more)
+
+
+def test_checked_near_duplicates_link_by_exact_similarity(spark):
+    rng = np.random.default_rng(5)
+    texts = []
+    for k in range(30):
+        base = [f"t{k}w{i}" for i in range(300)]
+        texts.append(base)
+        for edits in (1, 3, 5, 12, 40):
+            other = list(base)
+            for at in rng.choice(300, edits, replace=False):
+                other[at] = f"e{rng.integers(1 << 40)}"
+            texts.append(other)
+    hub = [f"hub{i}" for i in range(300)]  # one text with many copies, each with a word of its own
+    texts += [hub] + [[*hub[:i], f"own{i}", *hub[i + 1 :]] for i in range(0, 300, 2)]
+    texts = [" ".join(t) for t in texts] + ["short text", "short text", "", " ", "same words " * 300, "same words " * 500]
+    sets = [set(shingled(t, 5).tolist()) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = _components(len(texts), near)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, 5, reach_of(0.8, 128), 128, 0.8).collect()}
+    assert all(want[i] == want[got[i]] for i in got)  # nothing is linked that isn't alike
+    assert got == dict(enumerate(want))
+
+
+def test_checked_near_duplicates_odd_rows(odd, none):
+    got = near_duplicates(odd, 5, reach_of(0.8, 128), 128, 0.8).collect()
+    by_id = {r["doc_id"]: r for r in got}
+    assert len(got) == odd.count() and by_id[10]["component_id"] == by_id[2]["component_id"] == 1
+    assert by_id[4]["component_id"] == by_id[6]["component_id"] == 3 and by_id[5]["component_id"] == 5
+    assert near_duplicates(none, 5, reach_of(0.8, 128), 128, 0.8).count() == 0
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(bytearray([i]), bytearray([i + 1])) for i in range(30)], "a binary, b binary")
     assert {bytes(r["root"]) for r in components(edges).collect()} == {b"\0"}
