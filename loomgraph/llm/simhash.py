@@ -18,8 +18,10 @@ from loomgraph.llm.exact_dedup import picked
 LEAF, BRUTE = 16_384, 256
 #: Fingerprints from which vantage points and radii of the upper tree are taken: they decide balance, never results.
 SAMPLE = 100_000
-#: Forests of a leaf's nearest pairs: where the texts of the nearest pair don't agree, the next nearest may.
-FORESTS = 3
+#: Forests of a leaf's nearest pairs, and rounds of them: they decide which pairs are checked first, never which remain.
+FORESTS, ROUNDS = 3, 2
+#: Pairs that are checked in a round after those, at least (or one for each text), and those that a leaf gives at most.
+CHECKS, GIVEN = 1 << 18, 1 << 20
 #: Shingles whose bits are counted at once, and fingerprints that ask at once.
 BLOCK, ASK = 1 << 15, 4096
 
@@ -161,10 +163,8 @@ def forest(hits: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(kept)) if kept else np.empty(0, np.int64)
 
 
-def links(fp: np.ndarray, points: np.ndarray, queries: np.ndarray, reach: int, seed: int = 11, nearest: bool = False) -> np.ndarray:
-    """Links (i, j) between rows of fp that join exactly what the pairs (query, point) within reach join.
-
-    If nearest, the links are such pairs themselves, those of some spanning forests of least distance.
+def within(fp: np.ndarray, points: np.ndarray, queries: np.ndarray, reach: int, seed: int = 11) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs (query, point) within reach, in blocks (asks, part, qi, pi, distance): asks[qi] ~ part[pi], qi rising.
 
     points and queries are positions in fp. If all points are queries too, each pair of points is looked at once. A vantage-point tree over the points, all queries descending at once: of a
     node, only the sides that a query's ball can reach are entered. Small or inseparable nodes are compared in blocks.
@@ -172,7 +172,7 @@ def links(fp: np.ndarray, points: np.ndarray, queries: np.ndarray, reach: int, s
     rng = np.random.default_rng(seed)
     twice = np.zeros(len(fp), bool)
     twice[points] = np.isin(points, queries).all()
-    stack, out = [(points, queries, 0)], [np.empty((0, 3 if nearest else 2), np.int64)]
+    stack = [(points, queries, 0)]
     while stack:
         p, q, failed = stack.pop()
         if not len(p) or not len(q):
@@ -195,20 +195,61 @@ def links(fp: np.ndarray, points: np.ndarray, queries: np.ndarray, reach: int, s
                 asks = first[k : k + ASK]
                 d = distance(fp[asks][:, None], fp[part][None])
                 qi, pi = np.nonzero(d <= reach)
-                own = asks[qi] != part[pi]
+                own = np.where(twice[asks[qi]], asks[qi] < part[pi], asks[qi] != part[pi])
                 if own.any():
                     qi, pi = qi[own], pi[own]
-                    out.append(forests(np.stack([asks[qi], part[pi], d[qi, pi]], 1), FORESTS) if nearest else _joined(asks, part, qi, pi))
-    return forests(np.concatenate(out), FORESTS)[:, :2] if nearest else np.concatenate(out)
+                    yield asks, part, qi, pi, d[qi, pi]
 
 
-def pairs(points: DataFrame, reach: int = 3, bits: int = 64, nearest: bool = False) -> DataFrame:
-    """Links (a, b), a <> b, between the fingerprints of points (fp, band): a graph with the components of all pairs
-    within reach whose bands are equal or next to each other (band null: any).
+def links(fp: np.ndarray, points: np.ndarray, queries: np.ndarray, reach: int, seed: int = 11) -> np.ndarray:
+    """Links (i, j) between rows of fp that join exactly what the pairs (query, point) within reach join."""
+    return np.concatenate([np.empty((0, 2), np.int64), *(_joined(asks, part, qi, pi) for asks, part, qi, pi, _ in within(fp, points, queries, reach, seed))])
+
+
+def apart(fp: np.ndarray, label: np.ndarray, points: np.ndarray, queries: np.ndarray, reach: int) -> Iterator[np.ndarray]:
+    """The hits (i, j, distance) of within() whose labels differ, block by block."""
+    for asks, part, qi, pi, d in within(fp, points, queries, reach):
+        i, j = asks[qi], part[pi]
+        on = label[i] != label[j]
+        if on.any():
+            yield np.stack([i[on], j[on], d[on]], 1).astype(np.int64)
+
+
+def nearest(blocks: Iterator[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of all hits, FORESTS forests of least distance; which of the n nodes have hits besides; and how many those are."""
+    held, size, rest, left = [np.empty((0, 3), np.int64)], 0, np.zeros(n, bool), 0
 
-    If nearest, the points have a twin too, which a and b hold, and each leaf gives pairs of its own within reach, those
-    of some spanning forests of least distance; twins of one fingerprint are linked to the least of them.
-    At most one link (if nearest, FORESTS) for each point and leaf that it touches, not one for each pair.
+    def settled() -> np.ndarray:
+        nonlocal left
+        every = np.concatenate(held)
+        taken = forests(every, FORESTS)
+        over = every[~np.isin(every[:, 0] * n + every[:, 1], taken[:, 0] * n + taken[:, 1])]
+        rest[over[:, :2].ravel()] = True
+        left += len(over)
+        return taken
+
+    for hits in blocks:
+        held.append(hits)
+        size += len(hits)
+        if size > GIVEN:
+            held = [settled()]
+            size = 0
+    return settled(), rest, left
+
+
+def slice_of(a: np.ndarray, b: np.ndarray, slices: int) -> np.ndarray:
+    """The slice, 0 to slices - 1, that a pair of twins falls into, whichever comes first."""
+    u, v = np.minimum(a, b).view(np.uint64), np.maximum(a, b).view(np.uint64)
+    h = (u * np.uint64(0x9E3779B97F4A7C15)) ^ (v * np.uint64(0xC2B2AE3D27D4EB4F))
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(32)) % np.uint64(slices)
+
+
+def routed(points: DataFrame, reach: int, bits: int, twins: bool = False) -> DataFrame:
+    """band, leaf, fp, asks (and twin): each point in the leaf that holds it, and as a query in those that it touches.
+
+    Each pair of points within reach whose bands are equal or next to each other (band null: any) meets in one leaf, or in
+    each of the parts that a leaf's queries are dealt to.
     """
     spark = points.sparkSession
     n, most = points.count(), points.groupBy("band").count().agg(F.max("count")).first()[0] or 1
@@ -231,25 +272,96 @@ def pairs(points: DataFrame, reach: int = 3, bits: int = 64, nearest: bool = Fal
                 of.append(at)
                 bands.append(band[at] + 1)
             asks = np.concatenate([np.full(len(k), i > 0) for i, k in enumerate(key)])
-            twins = [c.take(pa.array(np.concatenate(of))) for c in b.columns[2:]]
+            twin = [c.take(pa.array(np.concatenate(of))) for c in b.columns[2:]]
             bands = pa.array(np.concatenate(bands).astype(float), from_pandas=True).cast(pa.int32())
-            yield pa.RecordBatch.from_arrays([bands, pa.array(np.concatenate(key)), pa.array(name[np.concatenate(of)], pa.binary()), pa.array(asks), *twins], ["band", "leaf", "fp", "asks", *["twin"] * nearest])
+            yield pa.RecordBatch.from_arrays([bands, pa.array(np.concatenate(key)), pa.array(name[np.concatenate(of)], pa.binary()), pa.array(asks), *twin], ["band", "leaf", "fp", "asks", *["twin"] * twins])
+
+    return points.select("fp", F.col("band").cast("int").alias("band"), *["twin"] * twins).mapInArrow(route, "band int, leaf long, fp binary, asks boolean" + ", twin long" * twins)
+
+
+def pairs(points: DataFrame, reach: int = 3, bits: int = 64) -> DataFrame:
+    """Links (a, b), a <> b, between the fingerprints of points (fp, band): a graph with the components of all pairs
+    within reach whose bands are equal or next to each other (band null: any).
+
+    At most one link for each point and leaf that it touches, not one for each pair.
+    """
 
     def search(table: pa.Table) -> pa.Table:
         fp, at = np.unique(_array(table["fp"], bits), axis=0, return_inverse=True)
         asks = table["asks"].to_numpy()
-        if nearest:
-            twin = table["twin"].to_numpy()
-            found, least = links(fp, np.unique(at[~asks]), np.unique(at[asks]), reach, nearest=True), np.full(len(fp), np.iinfo(np.int64).max)
-            np.minimum.at(least, at, twin)
-            alike = np.unique(np.stack([twin, least[at]], 1)[twin != least[at]], axis=0)
-            return pa.table({"a": np.concatenate([least[found[:, 0]], alike[:, 0]]), "b": np.concatenate([least[found[:, 1]], alike[:, 1]])})
         found = np.unique(links(fp, np.unique(at[~asks]), np.unique(at[asks]), reach), axis=0)
         return pa.table({"a": _column(fp[found[:, 0]]), "b": _column(fp[found[:, 1]])})
 
-    kind = "long" if nearest else "binary"
-    routed = points.select("fp", F.col("band").cast("int").alias("band"), *["twin"] * nearest).mapInArrow(route, "band int, leaf long, fp binary, asks boolean" + ", twin long" * nearest)
-    return routed.groupBy("band", "leaf").applyInArrow(search, f"a {kind}, b {kind}")
+    return routed(points, reach, bits).groupBy("band", "leaf").applyInArrow(search, "a binary, b binary")
+
+
+def verified(points: DataFrame, docs: DataFrame, words: int, reach: int, bits: int, similarity: float, text_col: str = "text") -> DataFrame:
+    """(node, root): the components of all pairs of points (twin, fp, band) within reach whose texts have a similarity of at
+    least that; root is the least twin that can be reached.
+
+    Texts with one fingerprint are points of their own. First, ROUNDS times, each leaf gives forests of its nearest pairs
+    between different components to be checked. What pairs between components it has besides are then checked too, all of
+    them, in as many slices as it takes to give a round a bounded number: each pair is in one slice, and is left out only
+    if its ends are in one component by then. So the result is that of checking every pair.
+    """
+    leaves = cut(routed(points, reach, bits, twins=True))
+    roots, n = None, points.count()
+
+    def ends(table: pa.Table) -> tuple[np.ndarray, ...]:
+        twin, first, at = np.unique(table["twin"].to_numpy(), return_index=True, return_inverse=True)
+        asks = table["asks"].to_numpy()
+        return twin, _array(table["fp"].take(pa.array(first)), bits), table["label"].to_numpy()[first], np.unique(at[~asks]), np.unique(at[asks])
+
+    def forest_of(table: pa.Table) -> pa.Table:
+        twin, fp, label, own, asks = ends(table)
+        found, rest, left = nearest(apart(fp, label, own, asks, reach), len(twin))
+        more, many = twin[rest], int(rest.any())
+        return pa.table({
+            "band": pa.array(table["band"].to_pylist()[:1] * (len(found) + len(more) + many), pa.int32()), "leaf": pa.array(table["leaf"].to_pylist()[:1] * (len(found) + len(more) + many), pa.int64()),
+            "a": pa.array([*twin[found[:, 0]].tolist(), *more.tolist(), *[None] * many], pa.int64()), "b": pa.array([*twin[found[:, 1]].tolist(), *[None] * len(more), *[left] * many], pa.int64()),
+        })
+
+    def part_of(k: int, slices: int):
+        def search(table: pa.Table) -> pa.Table:
+            twin, fp, label, own, asks = ends(table)
+            found = [np.empty((0, 2), np.int64)]
+            for hits in apart(fp, label, own, asks, reach):
+                a, b = twin[hits[:, 0]], twin[hits[:, 1]]
+                on = slice_of(a, b, slices) == k
+                found.append(np.stack([a[on], b[on]], 1))
+            found = np.concatenate(found)
+            return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+        return search
+
+    def labelled() -> DataFrame:
+        if roots is None:
+            return leaves.withColumn("label", F.col("twin"))
+        return leaves.join(roots, F.col("twin") == F.col("node"), "left").withColumn("label", F.coalesce("root", "twin")).drop("node", "root")
+
+    def learn(edges: DataFrame) -> None:
+        nonlocal roots
+        new = cut(checked(edges, docs, words, similarity, text_col))
+        if roots is None:
+            roots = components(new)
+        elif not new.isEmpty():
+            roots = components(new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    left = largest = 0
+    for _ in range(ROUNDS):
+        given = cut(labelled().groupBy("band", "leaf").applyInArrow(forest_of, "band int, leaf long, a long, b long"))
+        learn(given.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b"))
+        left, largest = given.where("a IS NULL").agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.max("b"), F.lit(0))).first()
+        if not left:
+            return roots
+        more = given.where("a IS NOT NULL AND b IS NULL").select(F.col("band").alias("_band"), F.col("leaf").alias("_leaf"), F.col("a").alias("_twin"))
+        leaves = cut(leaves.join(more, (F.col("band") == F.col("_band")) & (F.col("leaf") == F.col("_leaf")) & (F.col("twin") == F.col("_twin")), "left_semi"))
+    slices = max(math.ceil(left / max(CHECKS, n)), math.ceil(largest / GIVEN))
+    for k in range(slices):
+        edges = cut(labelled().groupBy("band", "leaf").applyInArrow(part_of(k, slices), "a long, b long"))
+        if not edges.isEmpty():
+            learn(edges)
+    return roots
 
 
 def shingled(text: str | None, words: int) -> np.ndarray:
@@ -332,8 +444,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 3, bits: int =
 
     Fingerprints within `reach` bits are linked; component_id is the smallest doc_id that can be reached. By ratio (say
     0.8), only texts whose numbers of distinct shingles can stand in that ratio are compared: those in the same or the next band
-    of that width; of what is within reach, each leaf's nearest pairs are then held against the texts, and those whose
-    shingles have a Jaccard similarity of at least ratio are linked (root is then the least twin of the component). Texts without words and null texts have fingerprint 0 and are linked like any other. Null doc_ids
+    of that width; what is within reach is then held against the texts, every pair whose ends aren't linked already, and those
+    whose shingles have a Jaccard similarity of at least ratio are linked (root is then the least twin of the component). Texts without words and null texts have fingerprint 0 and are linked like any other. Null doc_ids
     count as larger than all others, so a component of nothing else has a null component_id. Other columns are ignored;
     rows alike are kept; an empty table gives an empty result. Equal fingerprints are one point, whatever their number.
     """
@@ -341,7 +453,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 3, bits: int =
     band = F.floor(F.log(F.greatest("shingles", F.lit(1))) / math.log(1 / ratio)).cast("int") if ratio else F.lit(None).cast("int")
     if ratio:
         points = cut(marked.groupBy("twin", "fp", band.alias("band")).agg(F.min("doc_id").alias("first")))
-        roots = components(checked(pairs(points, reach, bits, nearest=True), docs, words, ratio, text_col))
+        roots = verified(points, docs, words, reach, bits, ratio, text_col)
         homes = points.join(roots, F.col("twin") == F.col("node"), "left").select("twin", F.coalesce("root", "twin").alias("root"), "first")
         homes = homes.join(homes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("twin", "root", "component_id")
         return marked.join(homes, "twin").select("doc_id", "twin", "fp", "component_id", "root")

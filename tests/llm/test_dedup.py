@@ -147,6 +147,32 @@ def test_checked_near_duplicates_link_by_exact_similarity(spark):
     assert got == dict(enumerate(want))
 
 
+def test_no_pair_within_reach_is_left_unchecked(spark, monkeypatch):
+    """Templated documents, whose nearest neighbours are false pairs, and texts that share a fingerprint."""
+    from loomgraph.llm import simhash
+
+    template = [f"t{i}" for i in range(404)]
+    texts = []
+    for k in range(100):
+        own = [f"o{k}x{i}" for i in range(96)]
+        texts.append(template + own)
+        if k < 30:  # the planted pair: J about 0.82
+            texts.append(template[:-1] + [f"c{k}"] + own[:48] + [f"p{k}x{i}" for i in range(48)])
+    texts = [" ".join(t) for t in texts]
+    monkeypatch.setattr(simhash, "CHECKS", 500, raising=False)
+    monkeypatch.setattr(simhash, "GIVEN", 2000, raising=False)
+    sets = [set(shingled(t, 5).tolist()) for t in texts]
+    for one_fingerprint in (False, True):
+        if one_fingerprint:
+            monkeypatch.setattr(simhash, "fingerprint", lambda t, words=3, bits=64, *a: (np.zeros(bits // 64, np.uint64), len(shingled(t, words))))
+        fps = [simhash.fingerprint(t, 5, 128)[0] for t in texts]
+        near = [(i, j) for i in range(len(texts)) for j in range(i) if np.bitwise_count(fps[i] ^ fps[j]).sum() <= reach_of(0.8, 128) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        assert len(near) >= 20
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, 5, reach_of(0.8, 128), 128, 0.8).collect()}
+        assert got == dict(enumerate(_components(len(texts), near)))
+
+
 def test_checked_near_duplicates_odd_rows(odd, none):
     got = near_duplicates(odd, 5, reach_of(0.8, 128), 128, 0.8).collect()
     by_id = {r["doc_id"]: r for r in got}
