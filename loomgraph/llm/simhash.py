@@ -26,17 +26,20 @@ CHECKS, GIVEN = 1 << 18, 1 << 20
 BLOCK, ASK = 1 << 15, 4096
 
 
-def fingerprint(text: str | None, words: int = 3, bits: int = 64) -> tuple[np.ndarray, int]:
+def fingerprint(text: str | None, words: int = 3, bits: int = 64, distinct: bool = False) -> tuple[np.ndarray, int]:
     """bits / 64 words of 64 bits, and the number of distinct shingles. A bit is set if it is set in over half of the hashes.
 
     A shingle is `words` words in lower case (A-Z only) joined by spaces, or all words where there are fewer; repeats
-    count; no words and null give 0. The hash is XXH64 of its UTF-8 bytes, seed 42, then 43 and so on.
+    count, unless distinct; no words and null give 0. The hash is XXH64 of its UTF-8 bytes, seed 42, then 43 and so on.
     """
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return np.zeros(bits // 64, np.uint64), 0
     n, digest = max(1, len(w) - words + 1), xxhash.xxh64_intdigest
     shingles = [b" ".join(w)] if n == 1 else list(map(b" ".join, zip(*[w[i:] for i in range(words)], strict=False)))
+    different = dict.fromkeys(shingles)
+    if distinct:
+        shingles, n = list(different), len(different)
     out = []
     for seed in range(42, 42 + bits // 64):
         h = np.fromiter((digest(s, seed) for s in shingles), np.uint64, n)
@@ -44,7 +47,7 @@ def fingerprint(text: str | None, words: int = 3, bits: int = 64) -> tuple[np.nd
         for at in range(0, n, BLOCK):
             ones += np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         out.append(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
-    return np.array(out, np.uint64), len(set(shingles))
+    return np.array(out, np.uint64), len(different)
 
 
 def _array(column: pa.Array, bits: int) -> np.ndarray:
@@ -56,12 +59,12 @@ def _column(fp: np.ndarray) -> pa.Array:
     return pa.array([raw[i : i + step] for i in range(0, len(raw), step)], pa.binary())
 
 
-def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, twin (hash of the text), fp (binary, big-endian) and shingles (how many differ) for each row of docs."""
+def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
+    """doc_id, twin (hash of the text), fp (binary, big-endian; of distinct shingles if so told) and shingles (how many differ) for each row of docs."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [fingerprint(t.as_py(), words, bits) for t in b.column(2)]
+            made = [fingerprint(t.as_py(), words, bits, distinct) for t in b.column(2)]
             fp = np.array([f for f, _ in made], np.uint64).reshape(-1, bits // 64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _column(fp), pa.array([n for _, n in made], pa.int64())], ["doc_id", "twin", "fp", "shingles"])
 
@@ -443,13 +446,13 @@ def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 3, bits: int =
     """A row for each row of docs: doc_id, twin (hash of the text), fp (binary), component_id, root (binary, of the component).
 
     Fingerprints within `reach` bits are linked; component_id is the smallest doc_id that can be reached. By ratio (say
-    0.8), only texts whose numbers of distinct shingles can stand in that ratio are compared: those in the same or the next band
+    0.8), fingerprints are made of distinct shingles, as the similarity is, and only texts whose numbers of distinct shingles can stand in that ratio are compared: those in the same or the next band
     of that width; what is within reach is then held against the texts, every pair whose ends aren't linked already, and those
     whose shingles have a Jaccard similarity of at least ratio are linked (root is then the least twin of the component). Texts without words and null texts have fingerprint 0 and are linked like any other. Null doc_ids
     count as larger than all others, so a component of nothing else has a null component_id. Other columns are ignored;
     rows alike are kept; an empty table gives an empty result. Equal fingerprints are one point, whatever their number.
     """
-    marked = cut(fingerprints(docs, words, bits, id_col, text_col))
+    marked = cut(fingerprints(docs, words, bits, id_col, text_col, distinct=ratio is not None))
     band = F.floor(F.log(F.greatest("shingles", F.lit(1))) / math.log(1 / ratio)).cast("int") if ratio else F.lit(None).cast("int")
     if ratio:
         points = cut(marked.groupBy("twin", "fp", band.alias("band")).agg(F.min("doc_id").alias("first")))

@@ -173,6 +173,18 @@ def test_no_pair_within_reach_is_left_unchecked(spark, monkeypatch):
         assert got == dict(enumerate(_components(len(texts), near)))
 
 
+def test_repeats_do_not_move_candidates_apart(spark):
+    """A passage of 100 words that one copy has ten times and the other once: nearly the same distinct shingles."""
+    texts = []
+    for k in range(12):
+        passage = [f"p{k}x{i}" for i in range(100)]
+        rest = [f"r{k}x{i}" for i in range(500)]
+        texts += [" ".join(rest + passage), " ".join(rest + passage * 10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, 5, reach_of(0.8, 128), 128, 0.8).collect()}
+    assert got == {i: i - i % 2 for i in range(24)}
+
+
 def test_checked_near_duplicates_odd_rows(odd, none):
     got = near_duplicates(odd, 5, reach_of(0.8, 128), 128, 0.8).collect()
     by_id = {r["doc_id"]: r for r in got}
