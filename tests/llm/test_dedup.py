@@ -260,3 +260,42 @@ def test_units_against_brute_force(docs, texts):
             seen.add(d)
         want[i] = "".join(out)
     assert {r["doc_id"]: r["text"] for r in dedup_units(docs, SENTENCES).collect()} == want
+
+
+def test_repeated_lines_go_whatever_their_sentences(spark, tmp_path):
+    from loomgraph.llm.line_dedup import WITHIN
+    from loomgraph.llm.queries import op9_repeated_units
+
+    line, boiler, han = "ERWHED.!! EDHEEA!! ANTHEA?", "They said the anea. Eriner thanea.", "这是一个在两篇文章里重复的句子。"
+    rows = [(1, f"first\n{line}\n{boiler}\n{han}\nOk"), (2, f"second\n{line.lower()}\n{boiler}\nnew words here. {boiler}\nOk\n\nend"), (3, f"前言不同。{han}\nshort. {line}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op9_repeated_units(spark, str(tmp_path)).collect()}
+    assert got[1]["text"] == rows[0][1] and got[1]["n_removed"] == 0
+    assert got[2]["text"] == "second\nnew words here. They said the anea. Eriner thanea.\n\nend"  # sentences of four words stay within a line
+    assert got[3]["text"] == f"前言不同。short. {line}"
+    once = spark.createDataFrame([(1, "One line of five words or more. \r\nAnd another of as many words! \n")], "doc_id long, text string")
+    assert dedup_units(once, LINES, min_words=1, inner=WITHIN).first()["n_removed"] == 0
+    assert [s["first_id"] for s in got[2]["removed"]] == [1, 1, 1] and [s["first_id"] for s in got[3]["removed"]] == [1]
+
+
+def test_two_levels_against_brute_force(spark, docs, texts):
+    import re
+
+    from loomgraph.llm.line_dedup import WITHIN
+
+    seen, want = set(), {}
+    for i in sorted(texts):
+        out = []
+        for a, b in units(texts[i], re.compile(LINES)):
+            line = texts[i][a:b]
+            d = digest(line, 1)
+            whole = d is not None and d in seen
+            seen.add(d)
+            parts = [line[x:y] for x, y in units(line, re.compile(WITHIN))]
+            for part in [line] if len(parts) == 1 and not whole else [] if whole else parts:
+                e = digest(part, 5)
+                if len(parts) == 1 or e is None or e not in seen:
+                    out.append(part)
+                seen.add(e)
+        want[i] = "".join(out)
+    assert {r["doc_id"]: r["text"] for r in dedup_units(docs, LINES, min_words=1, inner=WITHIN).collect()} == want
