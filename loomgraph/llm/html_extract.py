@@ -19,8 +19,10 @@ BLOCK = set("address article aside blockquote body caption center dd details dia
 #: What an opening tag closes, up to the nearest of the elements behind it.
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr"), "th": ("td th", "tr"), "option": ("option", "select"), "body": ("head", "html")}
 CLOSES = {k: (set(a.split()), set(b.split())) for k, (a, b) in CLOSES.items()}
-#: Words of class, id and role that mark what is not the article.
+#: Words of class, id and role that mark what is not the article, as a whole name or its first word.
 MARKS = set("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing social related recommended recommendations comment comments reply replies respond disqus discussion footer masthead topbar toolbar skip search complementary contentinfo".split())
+#: Those of them that mark as whole names only: search-result is content.
+WHOLE = {"search"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*?)(?:>|\Z)|[^<]++|<", re.S)
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg")}
@@ -32,16 +34,21 @@ SUPPORT = 0.3
 
 
 class Node:
-    __slots__ = ("tag", "path", "hidden", "aside", "main", "link")
+    __slots__ = ("tag", "path", "hidden", "aside", "fenced", "main", "link")
 
     def __init__(self, tag: str, above: Node | None, attributes: str):
-        marks = [w for m in _MARK.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())] if attributes else []
+        names = [t for m in _MARK.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").lower().split()] if attributes else []
+        marks = [w for t in names for w in _WORD.findall(t)]
+        leading = {m[0] for t in names if (m := _WORD.match(t))} - WHOLE
         self.tag = tag
         self.path = f"{above.path}/{tag}{'.' + '.'.join(marks[:3]) if marks else ''}" if above else ""
         self.hidden = tag in HIDDEN or bool(above and above.hidden)
         self.main = bool(above and above.main) or tag in ("article", "main") or "main" in marks and "role" in attributes.lower()
-        off = tag in ASIDE or tag == "header" and not self.main or bool(tag not in ("html", "body", "article", "main") and MARKS.intersection(marks))
-        self.aside = off or bool(above and above.aside)
+        by_tag = tag in ASIDE or tag == "header" and not self.main
+        off = by_tag or bool(tag not in ("html", "body", "article", "main") and (MARKS.intersection(names) or MARKS.intersection(leading)))
+        self.fenced = by_tag or bool(above and above.fenced)
+        opens = tag in ("article", "main") and not (above and (above.main or above.fenced))  # a class around it doesn't hide it
+        self.aside = off or bool(above and above.aside and not opens)
         self.link = tag == "a" or bool(above and above.link)
 
 

@@ -211,3 +211,12 @@ def test_pages_odd_rows(spark):
     assert got[None]["text"] == "a\n\nb" and got[6]["n_chars"] == 20000 * 9 + 19999 * 2
     assert got[7]["text"] == "a < b & c A"
     assert extract(df.limit(0)).count() == 0
+
+
+def test_classes_of_wrappers_hide_no_article():
+    for name in ("layout has-sidebar", "no-sidebar", "with-ads", "post-comments-open", "search-result", "sidebar", "widget-area"):
+        assert blocks(parse(f'<body><div class="{name}"><article><p>Text</p></article></div>')[1], None) == "Text", name
+    for name in ("has-sidebar", "search-result"):
+        assert blocks(parse(f'<article><p>One</p><div class="{name}"><p>Two</p></div></article>')[1], None) == "One\n\nTwo", name
+    page = '<main><p>Text</p><div class="comments"><article><p>Reader</p></article></div><div class="cookie-notice">We</div></main><aside><article><p>Card</p></article></aside>'
+    assert blocks(parse(page)[1], None) == "Text"
