@@ -1,9 +1,17 @@
-"""Language-model scores by prediction by partial matching, and the word model they are compared with."""
+"""Language-model scores by prediction by partial matching, and the word model they are compared with.
+
+The trie of all training texts is never held in one place. Its contexts are dealt to parts by their last bytes, so a part has
+whole contexts, and all longer ones that end alike; contexts too frequent for a part are divided by one byte more. What stands
+above the contexts that are dealt, the head, is known to every part. Blocks of texts ask the parts for the grams they have,
+each gram once, and get its code length back.
+"""
 
 from __future__ import annotations
 
 import math
+import pickle
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,96 +22,153 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import cut
 
-#: Bytes of the longest context.
+#: Bytes of the longest context; chosen, like ESCAPE, by the code length of held-out texts.
 ORDER = 6
-#: A context and its next byte are nodes of the trie if they are at least this share of all bytes learned from: so there
-#: are at most 1 / SHARE nodes of an order, however large the corpus. What falls below counts for the escape.
-SHARE = 2.0**-22
 #: What a distinct child of a context weighs for its escape.
-ESCAPE = 0.5
-#: Bytes scored or counted at once.
-BLOCK = 1 << 21
-#: Bytes of the texts whose words are joined with the counts together.
-PACK = 8 << 20
+ESCAPE = 0.3
+#: Bytes of the texts of a block, and of the texts whose grams a part is planned for.
+BLOCK, PART = 6 << 20, 8 << 20
+#: Bytes of text from which it is told which contexts are too frequent for a part, and how often a context must be in them
+#: for that. They decide balance, never results.
+SAMPLE, SEEN = 8 << 20, 16
+#: A context is divided if it has more than this share of a part.
+SHARE = 1 / 8
 
 END = 10
+_FLAT = bytes(32 if i in b"\t\n\v\f\r " else i + 32 if 65 <= i <= 90 else i for i in range(256))
 
 
 def stream(text: str | None) -> bytes:
     """The bytes that are scored: the words in lower case (A-Z only), single spaces between them, and an end."""
-    return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()) + b"\n"
+    s = (text or "").encode("utf-8", "surrogatepass").translate(_FLAT)
+    while b"  " in s:
+        s = s.replace(b"  ", b" ")
+    return s.strip(b" ") + b"\n"
 
 
-def grams(streams: list[bytes], order: int) -> np.ndarray:
-    """For each byte, the `order` bytes before it and itself as one number; before a text stand ends."""
-    pad = bytes([END]) * order
-    data = np.frombuffer(pad.join([b"", *streams]), np.uint8)
-    out = np.zeros(len(data) - order if len(data) else 0, np.uint64)
-    for i in range(order + 1):
-        out = out << np.uint64(8) | data[i : i + len(out)].astype(np.uint64)
-    keep = np.ones(len(out), bool)
+def words_of(s: bytes) -> Counter:
+    """The words of a stream, counted; a long one in steps, so that few words are held at once."""
+    out: Counter = Counter()
+    at = 0
+    while at < len(s) - 1:
+        end = len(s) - 1
+        if end - at > BLOCK // 4:
+            end = s.find(b" ", at + BLOCK // 4, end)
+            end = len(s) - 1 if end < 0 else end
+        out.update(s[at:end].split(b" ") if at < end else ())
+        at = end + 1
+    return out
+
+
+def grams(pieces: list[bytes], contexts: list[bytes] | None = None, order: int = ORDER) -> np.ndarray:
+    """For each byte of the pieces, the `order` bytes before it and itself as one number; before a piece stands its context,
+    by default ends."""
+    contexts = contexts or [bytes([END]) * order] * len(pieces)
+    raw = b"".join(x for c, p in zip(contexts, pieces, strict=True) for x in (c, p)) + bytes(8)
+    starts = np.cumsum([0, *(len(p) + order for p in pieces[:-1])]) if pieces else np.empty(0, np.int64)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    windows = np.ndarray((len(raw) - 7,), ">u8", raw, 0, (1,))
+    out = np.empty(int(sizes.sum()), np.uint64)
     at = 0
-    for s in streams[:-1]:  # the pads between texts are context, never scored
-        at += len(s)
-        keep[at : at + order] = False
-        at += order
-    return out[keep]
+    for s, n in zip(starts.tolist(), sizes.tolist(), strict=True):
+        out[at : at + n] = windows[s : s + n]
+        at += n
+    out >>= np.uint64(8 * (7 - order))
+    return out
 
 
-def count_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n) over all texts (text): each task sorts blocks of grams and adds them up before they are dealt."""
+def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys among sorted ones, and how often each occurs."""
+    first = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(sorted_keys) else np.empty(0, np.int64)
+    return sorted_keys[first], np.diff(np.r_[first, len(sorted_keys)])
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            key, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order_ = np.argsort(key, kind="stable")
-            key, n = key[order_], n[order_]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            return key[first], np.add.reduceat(n, first)
+def _mask(n: int) -> np.uint64:
+    return np.uint64((1 << 8 * n) - 1)
 
-        for streams in _blocks((stream(t.as_py()) for b in batches for t in b.column(0)), len):
-            held.append(np.unique(grams(streams, order), return_counts=True))
-            if len(held) >= 8:
-                held = [merged()]
-                if len(held[0][0]) >= 1 << 22:
-                    yield _pairs(*held.pop())
-        if held:
-            yield _pairs(*merged())
 
-    return texts.select("text").mapInArrow(task, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(8)], np.uint64)
 
 
-def _pairs(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
 
 
-def _blocks(items: Iterator, size) -> Iterator[list]:
-    held, total = [], 0
-    for x in items:
-        held.append(x)
-        total += size(x)
-        if total >= BLOCK:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
+class Router:
+    """Which part a gram belongs to: that of the shortest ending of its context, two bytes at least, that isn't divided."""
+
+    def __init__(self, parts: int, order: int, divided: dict[int, np.ndarray]):
+        """divided: for each length from 2, the contexts that are divided, sorted."""
+        self.parts, self.order, self.least = parts, order, min(2, order)
+        self.divided = {k: divided.get(k, np.empty(0, np.uint64)) for k in range(2, order)}
+        for k in range(3, order):  # what ends in a whole context is whole
+            own = self.divided[k]
+            self.divided[k] = own[_find(self.divided[k - 1], own & _mask(k - 1))[1]]
+
+    def depth(self, keys: np.ndarray) -> np.ndarray:
+        """The length of the ending that decides each gram's part."""
+        out = np.full(len(keys), self.least, np.uint8)
+        on = np.arange(len(keys))
+        for k in range(2, self.order):
+            on = on[_find(self.divided[k], keys[on] >> np.uint64(8) & _mask(k))[1]]
+            out[on] = k + 1
+        return out
+
+    def part(self, keys: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        h = (keys >> np.uint64(8) & _MASKS[depth] | depth.astype(np.uint64) << np.uint64(56)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((h ^ h >> np.uint64(32)) % np.uint64(self.parts)).astype(np.int64)
+
+    def is_divided(self, length: int, contexts: np.ndarray) -> np.ndarray:
+        if length < self.least:
+            return np.ones(len(contexts), bool)
+        return _find(self.divided[length], contexts)[1] if length in self.divided else np.zeros(len(contexts), bool)
+
+    def nodes(self, keys: np.ndarray) -> np.ndarray:
+        """The nodes of the contexts that decide, as (length, context, byte) in one number, distinct and sorted."""
+        depth = self.depth(keys)
+        return np.unique(keys & _MASKS[depth + 1] | depth.astype(np.uint64) << np.uint64(56))
+
+    def head(self, nodes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each order below the longest, the nodes of the divided contexts and their counts, from all nodes()."""
+        length, key = nodes >> np.uint64(56), nodes & _mask(7)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        above = np.empty(0, np.uint64)
+        for k in range(self.order - 1, -1, -1):
+            children = np.concatenate([above, key[length == k + 1]])
+            out.append(runs(np.sort(children & _mask(k + 1))))
+            above = out[-1][0]
+        return out[::-1]
+
+    def levels(self, keys: np.ndarray, n: np.ndarray, head: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(gram, count) for each order from 0 as far as a part's grams (keys, sorted, and their counts) need them.
+
+        Beyond the longest order, a node's count is the number of its own longer nodes (update exclusion)."""
+        out, own = [(keys, n)], keys
+        for k in range(self.order - 1, -1, -1):
+            own, many = runs(np.sort(own & _mask(k + 1)))
+            whole = ~self.is_divided(k, own >> np.uint64(8))
+            own, many = own[whole], many[whole]
+            both, count = np.concatenate([own, head[k][0]]), np.concatenate([many, head[k][1]])
+            rising = np.argsort(both)
+            out.append((both[rising], count[rising]))
+        return out[::-1]
 
 
 class Trie:
     """A byte-context trie with what escapes and exclusions need, as sorted arrays: one for each order.
 
-    In a context c with children x counted n(x), T in all, the escape's weight is ESCAPE for each distinct child plus
-    what of the context's own count its pruned children had. After an escape to the next shorter context, the
-    children of c are excluded there: what remains is known for each c beforehand, because c's children are children
-    of every shorter context too. Below order 0, all bytes not excluded are alike.
+    In a context with d children counted t in all, the escape weighs ESCAPE * d. After an escape to the next shorter
+    context, the children of the longer one are excluded: what remains is known for each context beforehand, because its
+    children are children of every shorter context too. Below order 0, all bytes not excluded are alike.
     """
 
     def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
-        """counts: for each order from 0, (gram, n), sorted by gram."""
+        """counts: for each order from 0, (gram, count), sorted by gram."""
         self.order = len(counts) - 1
-        self.total = int(counts[0][1].sum()) if counts else 0
         self.gram, self.start, self.log_n = [], [], []
         self.context, self.escape, self.log_left, self.escape_on = [], [], [], []
         below = None
@@ -112,26 +177,21 @@ class Trie:
             first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(key) else np.empty(0, np.int64)
             names, t = context[first], np.add.reduceat(n, first).astype(float) if len(key) else np.empty(0)
             d = np.diff(np.r_[first, len(key)]).astype(float)
-            whole = t
             left = rest = np.zeros(len(names))
-            if order:
-                gram0, n0, names0, t0, d0, lost0 = below
-                at = np.searchsorted(gram0, names)  # a context is itself a gram of the order below
-                whole = n0[at].astype(float)
+            if order and len(names):
+                gram0, n0, names0, t0, d0 = below
                 parent = np.searchsorted(names0, names & _mask(order - 1))
-                shared = np.add.reduceat(n0[np.searchsorted(gram0, key & _mask(order))], first).astype(float) if len(key) else t
-                left, rest = t0[parent] - shared, ESCAPE * (d0[parent] - d) + lost0[parent]
-            lost = np.maximum(whole - t, 0)
-            weight = ESCAPE * d + lost
+                shared = np.add.reduceat(n0[np.searchsorted(gram0, key & _mask(order))], first).astype(float)
+                left, rest = t0[parent] - shared, ESCAPE * (d0[parent] - d)
             with np.errstate(divide="ignore", invalid="ignore"):
-                self.start.append(np.log10(n / np.repeat(t + weight, d.astype(int))).astype(np.float32))
-                self.escape.append(np.log10(weight / (t + weight)).astype(np.float32))
-                self.log_left.append(np.log10(left + rest).astype(np.float32))
-                self.escape_on.append(np.where(left > 0, np.log10(rest / (left + rest)), 0).astype(np.float32))
+                self.start.append(np.log10(n / np.repeat(t + ESCAPE * d, d.astype(int))))
+                self.escape.append(np.log10(ESCAPE * d / (t + ESCAPE * d)))
+                self.log_left.append(np.log10(left + rest))
+                self.escape_on.append(np.where(left > 0, np.log10(rest / (left + rest)), 0))
             self.gram.append(key)
-            self.log_n.append(np.log10(n).astype(np.float32))
+            self.log_n.append(np.log10(n))
             self.context.append(names)
-            below = key, n, names, t, d, lost
+            below = key, n, names, t, d
         self.floor = -math.log10(256 - (len(self.gram[0]) if counts else 0)) if not counts or len(self.gram[0]) < 256 else 0.0
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
@@ -157,120 +217,246 @@ class Trie:
         out[active] += self.floor
         return out
 
-    def scores(self, streams: list[bytes]) -> np.ndarray:
-        """log10 of the probability of each stream."""
-        g = grams(streams, max(0, self.order))
-        known, at = np.unique(g, return_inverse=True)
-        return np.add.reduceat(self.log10(known)[at], np.cumsum([0, *map(len, streams[:-1])]))
 
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
 
-def _mask(n: int) -> np.uint64:
-    return np.uint64((1 << 8 * n) - 1)
 
+def _whole(raw: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(raw[8:], int.from_bytes(raw[:8], "little"), asbytes=True) if raw[:8] != bytes(8) else b""
 
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
 
+def _planes(a: np.ndarray) -> bytes:
+    """Numbers with all their first bytes before all second ones and so on, compressed: planes of zeros take no room."""
+    return _squeezed(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
+
+
+def _from_planes(raw: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_whole(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+class _Block:
+    """Pieces of texts that ask the parts together. A text's first piece has its words."""
 
-def train(texts: DataFrame, order: int = ORDER, share: float = SHARE) -> Trie:
-    """The trie of all texts (text). The driver gets its nodes only, at most 1 / share of an order."""
-    longest = cut(count_grams(texts, order))
-    total = longest.agg(F.sum("n")).first()[0] or 0
-    least = max(1, math.ceil(total * share))
-    orders = F.array(*[F.struct(F.lit(k).alias("k"), F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")) for k in range(order + 1)])
-    nodes = longest.select(F.explode(orders).alias("x"), "n").groupBy("x.k", "x.gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
-    of, gram, n = (nodes[c].to_numpy() for c in ("k", "gram", "n"))
-    counts = []
-    for k in range(order + 1):
-        own = np.flatnonzero(of == k)
-        key = gram[own].view(np.uint64)
-        by_gram = np.argsort(key)
-        counts.append((key[by_gram], n[own][by_gram]))
-    return Trie(counts)
-
-
-def score(docs: DataFrame, training: Column, order: int = ORDER, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def __init__(self):
+        self.row, self.doc, self.training, self.piece, self.context, self.first = [], [], [], [], [], []
+        self.numbers: dict[bytes, int] = {}
+        self.word, self.times, self.ends, self.size = [], [], [0], 0
+
+    def add(self, row: int, doc: int | None, training: bool, piece: bytes, context: bytes, own: Counter | None) -> None:
+        for held, x in zip((self.row, self.doc, self.training, self.piece, self.context, self.first), (row, doc, training, piece, context, own is not None), strict=True):
+            held.append(x)
+        self.size += len(piece)
+        at = np.fromiter((self.numbers.setdefault(w, len(self.numbers)) for w in own or ()), np.int32, len(own or ()))
+        rising = np.argsort(at)
+        self.word.append(at[rising])
+        self.times.append(np.fromiter((own or {}).values(), np.int32, len(at))[rising])
+        self.ends.append(self.ends[-1] + len(at))
+
+    def packed(self) -> dict:
+        word, times = np.concatenate(self.word), np.concatenate(self.times)
+        learned = times * np.repeat(self.training, np.diff(self.ends))
+        return {
+            "row": self.row, "doc": self.doc, "training": self.training, "first": self.first, "sizes": [len(p) for p in self.piece],
+            "context": _squeezed(b"".join(self.context)), "stream": _squeezed(b"".join(self.piece)), "words": _squeezed(b"\n".join(self.numbers)),
+            "word": _planes(np.concatenate([np.diff(w, prepend=0) for w in self.word]).astype("<i4")), "times": _planes(times.astype("<i4")), "ends": _planes(np.array(self.ends, "<i8")),
+            "learned": _planes(np.bincount(word, learned, len(self.numbers)).astype("<i4")), "tokens": int(learned.sum()) + sum(a and b for a, b in zip(self.first, self.training, strict=True)),
+        }
+
+
+def _pieces(packed: dict, order: int) -> tuple[list[bytes], list[bytes]]:
+    stream_, context = _whole(packed["stream"]), _whole(packed["context"])
+    edges = np.cumsum([0, *packed["sizes"]]).tolist()
+    return [stream_[a:b] for a, b in zip(edges, edges[1:], strict=False)], [context[i * order : (i + 1) * order] for i in range(len(edges) - 1)]
+
+
+def _asked(packed: dict, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grams of a block, distinct and sorted; how often each is in texts to learn from; the latter's alone)."""
+    pieces, contexts = _pieces(packed, order)
+    by_use = []
+    for use in (True, False):
+        own = [i for i, t in enumerate(packed["training"]) if t is use]
+        g = grams([pieces[i] for i in own], [contexts[i] for i in own], order)
+        g.sort()
+        by_use.append(runs(g))
+    (learned, n), (rest, _) = by_use
+    keys = np.concatenate([learned, rest])
+    keys.sort()
+    keys = runs(keys)[0]
+    count = np.zeros(len(keys), "<u4")
+    count[np.searchsorted(keys, learned)] = n
+    return keys, count, learned
+
+
+def _dealt(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order by part, and (part, from, to) in it."""
+    small = part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part
+    by_part = np.argsort(small, kind="stable")
+    names, n = runs(part[by_part])
+    ends = np.cumsum(n)
+    return by_part, list(zip(names.tolist(), (ends - n).tolist(), ends.tolist(), strict=True))
+
+
+def _divided(texts: DataFrame, size: int, parts: int, order: int) -> dict[int, np.ndarray]:
+    """The contexts that are too frequent for a part, as told by a sample of texts."""
+    share = min(1.0, SAMPLE / max(1, size))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                s = stream(t.as_py())
+                for at in range(0, len(s), BLOCK):
+                    g = grams([s[at : at + BLOCK]], None, order) >> np.uint64(8)
+                    for k in range(2, order):
+                        own, n = runs(np.sort(g & _mask(k)))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(own.view(np.int64)), pa.array(n)], ["k", "context", "n"])
+
+    least = max(SEEN, size * share / max(1, parts) * SHARE)
+    # at most SAMPLE / SEEN contexts of a length, about
+    found = texts.sample(share, 3).select("text").mapInArrow(task, "k int, context long, n long").groupBy("k", "context").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    k, context = found["k"].to_numpy(), found["context"].to_numpy().view(np.uint64)
+    return {i: np.sort(context[k == i]) for i in range(2, order)}
+
+
+def score(docs: DataFrame, training: Column, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, bytes.
 
     training picks the rows to learn from. score is the trie's log10 probability of the text's words in lower case with
     single spaces and an end, whole; bytes is their number. base_score adds up log10((c + 0.5) / (N + 0.5 (V + 1))) over
     the words and the end; c: how often the training texts have it, N: their tokens, V: how many of them differ. n_known
     counts the tokens with c > 0. Null and empty texts have the end alone. Without training rows all bytes are alike and
-    no token is known. Rows alike are scored alike; other columns are ignored; an empty table gives an empty result.
+    no token is known. A text longer than a block is scored in pieces, each after the bytes before it, and summed. Rows
+    alike are scored alike; other columns are ignored; an empty table gives an empty result.
 
-    Words are joined with their counts once for each block of texts, not for each text.
+    Nothing is pruned: each gram of the training texts counts, and what is gathered grows with them. Written are the
+    blocks; grams, words and what comes back for them are dealt once each. The head that every task knows has at most 256
+    bytes for each of the divided contexts, which the bounded sample limits, and 2^24 nodes above those of two bytes.
     """
-    base = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("training"))
-    shared = docs.sparkSession.sparkContext.broadcast(train(base.where("training"), order, share))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((stream(t), i, on) for b in batches for t, i, on in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        held: list[tuple] = []
-        size = 0
-        for part in _blocks(rows, lambda r: len(r[0])):
-            values = shared.value.scores([r[0] for r in part])
-            held.extend((*r, v) for r, v in zip(part, values.tolist(), strict=True))
-            size += sum(len(r[0]) for r in part)
-            if size >= PACK:
-                yield _packed(held)
-                held, size = [], 0
-        if held:
-            yield _packed(held)
-
-    blocks = cut(base.mapInArrow(pack, "block string, docs array<long>, scores array<double>, bytes array<long>, ends array<long>, word binary, times binary, words array<binary>, learned array<long>, texts long"))
-    vocabulary = blocks.select("block", F.posexplode(F.arrays_zip("words", "learned")).alias("at", "x")).select("block", "at", F.col("x.words").alias("word"), F.col("x.learned").alias("n"))
-    counts = cut(vocabulary.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    texts = blocks.agg(F.coalesce(F.sum("texts"), F.lit(0))).first()[0]
-    n, v = n + texts, v + (texts > 0)
-    known = vocabulary.join(counts, "word").select(F.col("block").alias("of"), "at", "c")
-
-    def sums(block: pa.Table, known: pa.Table) -> pa.Table:
-        b = block.to_pylist()[0]
-        c = np.zeros(len(b["words"]) if b["words"] else 0)
-        c[known["at"].to_numpy()] = known["c"].to_numpy()
-        edges = np.r_[0, np.array(b["ends"], np.int64)]
-        times = _from_planes(b["times"])
-        run = np.r_[0, np.cumsum(_from_planes(b["word"]), dtype=np.int64)]
-        word = run[1:] - np.repeat(run[edges[:-1]], np.diff(edges))  # steps start anew with each text
-        share_ = math.log10(n + 0.5 * (v + 1))
-        parts = np.stack([times.astype(float), times * (c[word] > 0), times * (np.log10(c[word] + 0.5) - share_)])
-        many = len(edges) - 1
-        own = np.flatnonzero(np.diff(edges))  # texts without words add nothing
-        cumulated = np.zeros((3, many))
+    spark = docs.sparkSession
+    base = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(training, F.lit(False)).alias("training"), F.monotonically_increasing_id().alias("row"))
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, math.ceil(size / PART))
+    router = spark.sparkContext.broadcast(Router(parts, order, _divided(base, size, parts, order)))
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, nodes = _Block(), np.empty(0, np.uint64)
+
+        def done() -> pa.RecordBatch:
+            nonlocal block, nodes
+            packed, block = block.packed(), _Block()
+            nodes = np.union1d(nodes, router.value.nodes(_asked(packed, order)[2]))
+            return _rows([uuid.uuid4().hex], [pickle.dumps(packed)], [packed["tokens"]], [None])
+
+        for b in batches:
+            for text, doc, on, row in zip(b.column(0), *(c.to_pylist() for c in b.columns[1:]), strict=True):
+                s = stream(text.as_py())
+                own: Counter | None = words_of(s)
+                step = len(s) if len(s) <= BLOCK else BLOCK // 2
+                for at in range(0, len(s), step):
+                    block.add(row, doc, on, s[at : at + step], (bytes([END]) * order + s[max(0, at - order) : at])[max(0, at and min(at, order)) :], own)
+                    own = None
+                    if block.size >= BLOCK:
+                        yield done()
+        if block.row:
+            yield done()
+        yield _rows([None], [None], [None], [nodes.view(np.int64)])
+
+    def _rows(*columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.binary(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["block", "data", "tokens", "nodes"])
+
+    made = cut(base.mapInArrow(divide, "block string, data binary, tokens long, nodes array<long>"))
+    blocks = made.where("block IS NOT NULL").select("block", "data")
+    nodes = made.where("block IS NULL").select(F.explode("nodes").alias("node")).distinct().toArrow()["node"].to_numpy()
+    head = spark.sparkContext.broadcast(router.value.head(np.sort(nodes.view(np.uint64))))
+    n = made.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                packed = pickle.loads(data.as_py())
+                out: list[tuple] = []
+                keys, count, _ = _asked(packed, order)
+                by_part, spans = _dealt(router.value.part(keys, router.value.depth(keys)))
+                keys, count = keys[by_part], count[by_part]
+                out += [(p, name, _planes(keys[a:z].astype("<u8")), _planes(count[a:z])) for p, a, z in spans]
+                learned, (words, by_part, spans) = _from_planes(packed["learned"], "<i4"), _words(packed, parts)
+                out += [(-1 - p, name, _squeezed(b"\n".join([words[i] for i in by_part[a:z].tolist()])), _planes(learned[by_part[a:z]])) for p, a, z in spans]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "keys", "counts"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        part, names = table["part"][0].as_py(), table["block"].to_pylist()
+        if part < 0:
+            total: Counter = Counter()
+            for words, counts in zip(table["keys"], table["counts"], strict=True):
+                for w, c in zip(_whole(words.as_py()).split(b"\n"), _from_planes(counts.as_py(), "<i4").tolist(), strict=True):
+                    total[w] += c
+            given = [_planes(np.fromiter((total[w] for w in _whole(words.as_py()).split(b"\n")), "<i8")) for words in table["keys"]]
+            names, given = [*names, None], [*given, sum(c > 0 for c in total.values()).to_bytes(8, "little")]
+        else:
+            keys = [_from_planes(x.as_py(), "<u8") for x in table["keys"]]
+            counts = [_from_planes(x.as_py(), "<u4") for x in table["counts"]]
+            known, times = _summed(keys, counts)
+            on = times > 0
+            values = np.empty(len(known), "<f4")
+            trie = Trie(router.value.levels(known[on], times[on], head.value))
+            for at in range(0, len(known), 1 << 18):
+                values[at : at + (1 << 18)] = trie.log10(known[at : at + (1 << 18)])
+            given = [_planes(values[np.searchsorted(known, k)]) for k in keys]
+        return pa.table({"block": pa.array(names, pa.string()), "part": pa.array([part] * len(names), pa.int64()), "given": pa.array(given, pa.binary())})
+
+    def sums(key: tuple, block: pa.Table, given: pa.Table) -> pa.Table:
+        if key[0].as_py() is None:  # how many words differ, by part
+            v = sum(int.from_bytes(x.as_py(), "little") for x in given["given"])
+            return pa.table({"row": pa.array([None], pa.int64()), "doc_id": pa.array([None], pa.int64()), "n_tokens": [v], "n_known": [0], "base": [0.0], "score": [0.0], "bytes": [0]})
+        packed, reply = pickle.loads(block["data"][0].as_py()), dict(zip(given["part"].to_pylist(), given["given"], strict=True))
+        pieces, contexts = _pieces(packed, order)
+        encoded = pa.array(grams(pieces, contexts, order)).dictionary_encode()
+        found = encoded.dictionary.to_numpy()
+        keys = np.sort(found)
+        by_part, spans = _dealt(router.value.part(keys, router.value.depth(keys)))
+        values = np.empty(len(keys))
+        for p, a, z in spans:
+            values[by_part[a:z]] = _from_planes(reply[p].as_py(), "<f4")
+        each = values[np.searchsorted(keys, found)][encoded.indices.to_numpy()]
+        total = np.add.reduceat(each, np.cumsum([0, *packed["sizes"][:-1]]))
+
+        words, by_part, spans = _words(packed, parts)
+        c = np.zeros(len(words))
+        for p, a, z in spans:
+            c[by_part[a:z]] = _from_planes(reply[-1 - p].as_py(), "<i8")
+        ends, times = _from_planes(packed["ends"], "<i8"), _from_planes(packed["times"], "<i4").astype(float)
+        run = np.r_[0, np.cumsum(_from_planes(packed["word"], "<i4"), dtype=np.int64)]
+        word = run[1:] - np.repeat(run[ends[:-1]], np.diff(ends))  # steps start anew with each text
+        cumulated = np.zeros((3, len(ends) - 1))
+        own = np.flatnonzero(np.diff(ends))  # texts without words add nothing
         if len(own):
-            cumulated[:, own] = np.add.reduceat(parts, edges[:-1][own], axis=1)
-        return pa.table({"doc_id": pa.array(b["docs"], pa.int64()), "n_tokens": pa.array(cumulated[0].astype(np.int64) + 1), "n_known": pa.array(cumulated[1].astype(np.int64) + (texts > 0)), "train_tokens": pa.array(np.full(many, n, np.int64)), "base_score": pa.array(cumulated[2] + math.log10(texts + 0.5) - share_), "score": pa.array(b["scores"], pa.float64()), "bytes": pa.array(b["bytes"], pa.int64())})
-
-    return blocks.drop("learned", "texts").groupBy("block").cogroup(known.groupBy("of")).applyInArrow(sums, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, bytes long")
-
-
-def _planes(a: np.ndarray) -> bytes:
-    """Small numbers with their low bytes first, then the next ones: the upper ones are all zero and compress to nothing."""
-    return np.ascontiguousarray(a.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _from_planes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
-
-
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    """One row for a block of (stream, doc_id, training, score): its distinct words, and each text's words by number."""
-    numbers: dict[bytes, int] = {}
-    word, times, ends, learned = [], [], [0], []
-    for s, _, training, _ in rows:
-        own = Counter(s.split())
-        at = np.fromiter((numbers.setdefault(w, len(numbers)) for w in own), np.int32, len(own))
-        rising = np.argsort(at)
-        word.append(at[rising])
-        times.append(np.fromiter(own.values(), np.int32, len(own))[rising])
-        ends.append(ends[-1] + len(own))
-        learned.append(times[-1] * training)
-    all_words = np.concatenate(word)
-    n = np.bincount(all_words, np.concatenate(learned), len(numbers)).astype(np.int64)
-    kinds = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.float64()), *[pa.list_(pa.int64())] * 2, pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int64()]
-    values = [uuid.uuid4().hex, [r[1] for r in rows], [r[3] for r in rows], [len(r[0]) for r in rows], ends[1:], _planes(np.concatenate([np.diff(w, prepend=0) for w in word])), _planes(np.concatenate(times)), list(numbers), n.tolist(), sum(r[2] for r in rows)]
-    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(values, kinds, strict=True)], ["block", "docs", "scores", "bytes", "ends", "word", "times", "words", "learned", "texts"])
+            cumulated[:, own] = np.add.reduceat(np.stack([times, times * (c[word] > 0), times * np.log10(c[word] + 0.5)]), ends[:-1][own], axis=1)
+        first = np.array(packed["first"])
+        return pa.table({"row": pa.array(packed["row"], pa.int64()), "doc_id": pa.array(packed["doc"], pa.int64()), "n_tokens": pa.array(cumulated[0].astype(np.int64) + first), "n_known": pa.array(cumulated[1].astype(np.int64)), "base": pa.array(cumulated[2]), "score": pa.array(total), "bytes": pa.array(packed["sizes"], pa.int64())})
+
+    asked = blocks.mapInArrow(ask, "part long, block string, keys binary, counts binary")
+    given = asked.groupBy("part").applyInArrow(answer, "block string, part long, given binary")
+    schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, bytes long"
+    told = cut(blocks.groupBy("block").cogroup(given.groupBy("block")).applyInArrow(sums, schema))
+    texts = base.agg(F.count(F.when(F.col("training"), 1))).first()[0]
+    v = (told.where("row IS NULL").agg(F.sum("n_tokens")).first()[0] or 0) + (texts > 0)
+    whole = told.where("row IS NOT NULL").groupBy("row").agg(F.min("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score", "bytes")])
+    per_token = math.log10(n + 0.5 * (v + 1))
+    return whole.select("doc_id", "n_tokens", (F.col("n_known") + int(texts > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.lit(math.log10(texts + 0.5)) - F.col("n_tokens") * per_token).alias("base_score"), "score", "bytes")
+
+
+def _words(packed: dict, parts: int) -> tuple[list[bytes], np.ndarray, list[tuple[int, int, int]]]:
+    """The distinct words of a block, an order by part, and the parts' spans in it."""
+    words = _whole(packed["words"]).split(b"\n") if packed["words"][:8] != bytes(8) else []
+    return words, *_dealt(np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words)))
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of sorted lists, and the sums of their counts."""
+    known = np.concatenate(keys)
+    known.sort()
+    known = runs(known)[0]
+    total = np.zeros(len(known), np.int64)
+    for k, c in zip(keys, counts, strict=True):  # the keys of one list differ
+        total[np.searchsorted(known, k)] += c
+    return known, total

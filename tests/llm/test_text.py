@@ -8,11 +8,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ctph
+from loomgraph.llm import ctph, ppm
 from loomgraph.llm.ctph import edit_distance, edited, fingerprint, fingerprints_with_next, likeness
 from loomgraph.llm.html_extract import blocks, deduce, extract, parse
 from loomgraph.llm.language_id import identify
-from loomgraph.llm.ppm import Trie, _from_planes, _planes, grams, score, stream
+from loomgraph.llm.ppm import Router, Trie, _from_planes, _planes, grams, score, stream
 
 
 @settings(max_examples=150, deadline=None)
@@ -102,30 +102,29 @@ def test_language_odd_rows(odd, none):
     assert identify(none, F.lit(True)).count() == 0
 
 
+def _counts(texts, order):
+    """Counts of each order by their definition: below the longest, how many longer grams end alike."""
+    out = [Counter((bytes([10]) * order + t)[i : i + order + 1] for t in texts for i in range(len(t)))]
+    for _ in range(order):
+        out.append(Counter(g[1:] for g in out[-1]))
+    return out[::-1]
+
+
 def _trie(texts, order):
-    key, n = np.unique(np.concatenate([grams([t], order) for t in texts]), return_counts=True)
-    counts = []
-    for k in range(order + 1):
-        short, at = np.unique(key & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
-        counts.append((short, np.bincount(at, n).astype(np.int64)))
-    return Trie(counts)
+    of = lambda c: (np.array([int.from_bytes(g, "big") for g in sorted(c)], np.uint64), np.array([c[g] for g in sorted(c)]))
+    return Trie([of(c) for c in _counts(texts, order)])
 
 
-def _brute(texts, order, context, symbol):
-    """log10 of the probability by the definition: escapes weigh half the children, exclusion of all that longer contexts had."""
+def _brute(counts, order, context, symbol):
+    """log10 of the probability by the definition: escapes weigh ESCAPE for a child, exclusion of all that longer contexts had."""
     seen, p = set(), 1.0
     for k in range(order, -1, -1):
         c = context[len(context) - k :]
-        follow = Counter()
-        for t in texts:
-            padded = b"\n" * order + t
-            for i in range(order, len(padded)):
-                if padded[i - k : i] == c:
-                    follow[padded[i]] += 1
+        follow = {g[-1]: n for g, n in counts[k].items() if g[:-1] == c}
         if not follow:
             continue
         left = {s: n for s, n in follow.items() if s not in seen}
-        total, escape = sum(left.values()), 0.5 * len(left)
+        total, escape = sum(left.values()), ppm.ESCAPE * len(left)
         if symbol in left:
             return math.log10(p * left[symbol] / (total + escape))
         if left:
@@ -134,21 +133,62 @@ def _brute(texts, order, context, symbol):
     return math.log10(p / (256 - len(seen)))
 
 
+TEXTS = [stream(t) for t in ("the cat sat on the mat", "the dog", "a cat and a dog sat", "")]
+
+
 def test_trie_against_its_definition():
-    texts = [stream(t) for t in ("the cat sat on the mat", "the dog", "a cat and a dog sat", "")]
     for order in (0, 2, 3):
-        trie = _trie(texts, order)
+        trie, counts = _trie(TEXTS, order), _counts(TEXTS, order)
         for text in (b"the cat ran\n", b"zq the\n", b"\n"):
-            want = [_brute(texts, order, (b"\n" * order + text)[i : i + order], text[i]) for i in range(len(text))]
-            assert np.allclose(trie.log10(grams([text], order)), want, atol=1e-5)
-            assert math.isclose(trie.scores([text])[0], sum(want), abs_tol=1e-4)
+            want = [_brute(counts, order, (b"\n" * order + text)[i : i + order], text[i]) for i in range(len(text))]
+            assert np.allclose(trie.log10(grams([text], order=order)), want, atol=1e-9)
         context = np.uint64(int.from_bytes(b"the"[:order], "big") << 8)
-        assert math.isclose((10 ** trie.log10(context | np.arange(256, dtype=np.uint64))).sum(), 1, abs_tol=1e-4)
+        assert math.isclose((10 ** trie.log10(context | np.arange(256, dtype=np.uint64))).sum(), 1, abs_tol=1e-9)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("ab \u00e9", max_size=40), max_size=8), st.integers(0, 6), st.integers(1, 5), st.integers(1, 9))
+def test_parts_know_what_the_whole_trie_knows(texts, order, parts, least):
+    """Dealt to parts, with contexts seen `least` times divided, each gram gets the value that the whole trie gives."""
+    streams = [stream(t) for t in texts]
+    asked = np.unique(grams([*streams, b"abba baab\n"], order=order))
+    keys, n = ppm.runs(np.sort(grams(streams, order=order)))
+    every = keys >> np.uint64(8)
+    divided = {k: np.array([c for c, m in zip(*ppm.runs(np.sort(every & ppm._mask(k))), strict=True) if m >= least], np.uint64) for k in range(2, order)}
+    router = Router(parts, order, divided)
+    head = router.head(router.nodes(keys))
+    want = _trie(streams, order).log10(asked)
+    home, own = router.part(asked, router.depth(asked)), router.part(keys, router.depth(keys))
+    for p in range(parts):
+        trie = Trie(router.levels(keys[own == p], n[own == p], head))
+        assert np.allclose(trie.log10(asked[home == p]), want[home == p], atol=1e-12)
+
+
+def test_grams_of_pieces():
+    text = stream("one two three four five")
+    whole = grams([text])
+    assert (np.concatenate([grams([text[:9]]), grams([text[9:]], [text[3:9]])]) == whole).all() and len(whole) == len(text)
+    assert stream(" A\tb \x0b\x0cC\u00c9 \n") == "a b cÉ\n".encode() and stream(None) == b"\n"
+    assert ppm.words_of(b"a b a\n") == {b"a": 2, b"b": 1} and not ppm.words_of(b"\n")
 
 
 def test_planes():
     a = np.array([0, 1, -3, 70000, 5], np.int32)
-    assert (_from_planes(_planes(a)) == a).all() and len(_from_planes(_planes(a[:0]))) == 0
+    assert (_from_planes(_planes(a), "<i4") == a).all() and len(_from_planes(_planes(a[:0]), "<i4")) == 0
+
+
+def test_scores_over_blocks_and_parts(spark, monkeypatch):
+    """Small blocks, many parts and divided contexts: texts longer than a block are scored whole."""
+    for name, value in (("BLOCK", 300), ("PART", 200), ("SEEN", 3)):
+        monkeypatch.setattr(ppm, name, value)
+    rng = np.random.default_rng(5)
+    some = ["".join(chr(97 + c) for c in rng.integers(0, 5, rng.integers(1, 6))) for _ in range(60)]
+    texts = {i: " ".join(some[k] for k in rng.integers(0, 60, 4 + 40 * (i % 5))) for i in range(40)} | {40: "a" * 700, 41: None}
+    got = {r["doc_id"]: r for r in score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), F.col("doc_id") % 3 > 0).collect()}
+    trie = _trie([stream(t) for i, t in texts.items() if i % 3], 6)
+    for i, t in texts.items():
+        assert math.isclose(got[i]["score"], trie.log10(grams([stream(t)])).sum(), rel_tol=1e-5) and got[i]["bytes"] == len(stream(t))
+        assert got[i]["n_tokens"] == len((t or "").split()) + 1
 
 
 def test_scores_of_documents(docs, texts):
