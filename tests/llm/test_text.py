@@ -1,5 +1,6 @@
 import hashlib
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -8,9 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomgraph.llm import ctph, ppm
+from loomgraph.llm import ctph, html_extract, ppm
 from loomgraph.llm.ctph import edit_distance, edited, fingerprint, fingerprints_with_next, likeness
-from loomgraph.llm.html_extract import blocks, deduce, extract, parse
+from loomgraph.llm.html_extract import SUPPORT, blocks, extract, host, parse, read, template_of, tokens_of
 from loomgraph.llm.language_id import identify
 from loomgraph.llm.ppm import Router, Trie, _from_planes, _planes, grams, score, stream
 
@@ -223,22 +224,91 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{x:y}</style><scrip
 
 
 def test_article_of_one_page():
-    text = blocks(parse(PAGE % ("article", 1, "article"))[1], None)
+    text = blocks(parse(PAGE % ("article", 1, "article")), None)
     assert text == "Tom & Jerry 1\n\nFirst line\n\nSecond <b> part\n\nOne\n\nTwo"
 
 
-def test_article_without_its_element(spark):
-    """A host that has no article element: the template's deepest root with most of the free text."""
-    own = lambda i: (PAGE % ("div", i, "div")).replace("First", f"First {i}").replace("Second", f"Second {i}").replace("One", f"One {i}").replace("Two", f"Two {i}")
-    df = spark.createDataFrame([(i, f"http://h.example/{i}", own(i)) for i in range(6)], "page_id long, url string, html string")
-    got = {r["page_id"]: r["text"] for r in extract(df).collect()}
-    assert got == {i: f"Tom & Jerry {i}\n\nFirst {i} line\n\nSecond {i} <b> part\n\nOne {i}\n\nTwo {i}" for i in range(6)}
+def _pages(spark, pages):
+    return spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
 
 
-def test_template_classes(spark):
-    pages = [(i, "h", f"<html><body><div class='top'>Same</div><main><p>Own {i}</p></main></body></html>") for i in range(5)]
-    row = deduce(spark.createDataFrame(pages, "page long, host string, html string")).first()
-    assert row["fixed"] == ["/html/body/div.top"] and row["roots"] == []
+def test_article_without_its_element(spark):
+    """A host that has no article element: the template's deepest element with the bulk of the free text."""
+    story = lambda i: " ".join(f"word{i}x{k}" for k in range(60))
+    own = lambda i: (PAGE % ("div", i, "div")).replace("First", f"First {i} {story(i)}").replace("Second", f"Second {i}").replace("One", f"One {i}").replace("Two", f"Two {i}")
+    got = {r["page_id"]: r["text"] for r in extract(_pages(spark, [own(i) for i in range(6)])).collect()}
+    assert got == {i: f"Tom & Jerry {i}\n\nFirst {i} {story(i)} line\n\nSecond {i} <b> part\n\nOne {i}\n\nTwo {i}" for i in range(6)}
+
+
+def test_template_decides_where_tags_say_nothing(spark):
+    """Pages whose article, menu, footer and advert are plain divs with names that mean nothing: the slot comes from the
+    classes alone, and the texts are those of the pages as they were."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: r["text"] for r in extract(pages).collect()}
+    html = F.col("html")
+    for tag, name in (("article", "xa"), ("nav", "xb"), ("footer", "xc")):
+        html = F.replace(F.replace(html, F.lit(f"<{tag}>"), F.lit(f'<div class="{name}">')), F.lit(f"</{tag}>"), F.lit("</div>"))
+    blind = pages.withColumn("html", F.replace(html, F.lit('class="ad"'), F.lit('class="xd"')))
+    many = pages.withColumn("host", host(F.col("url"))).groupBy("host").count().where("count >= 5").select("host")
+    got = [(r["text"], r["html"], want[r["page_id"]]) for r in extract(blind).join(blind.withColumn("host", host(F.col("url"))).join(many, "host").select("page_id", "html"), "page_id").collect()]
+    assert len(got) > 100 and sum(t == w for t, _, w in got) > 0.97 * len(got)
+    assert sum(blocks(parse(h), None) == w for _, h, w in got) == 0
+
+
+def _tokens(pages):
+    made = {}
+    for k, page in enumerate(pages):
+        for i, (above, token, n, free, link, off) in tokens_of(page).items():
+            t = made.setdefault(i, {"id": i, "above": above, "token": token, "vector": [0] * len(pages), "each": 0, "free": 0, "link": 0, "off": False})
+            t["vector"][k] = n
+            t["each"], t["free"], t["link"], t["off"] = max(t["each"], n), t["free"] + free, t["link"] + link, t["off"] or off
+    return made
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<p>same</p>", "<p>%d</p>", "<div class='box'><b>b</b><i>%d</i></div>", "<ul><li>%d<li>x</ul>", "<h1>%d</h1>"]), max_size=6), min_size=4, max_size=7))
+def test_classes_against_brute_force(lists):
+    """Texts of the template: those whose occurrence vector at least three tokens share, as are all elements' around them."""
+    pages = ["<html><body><main>" + "".join(x % (100 * i + k) if "%" in x else x for k, x in enumerate(own)) + f"<p>{'word ' * 9}{i}</p></main></body></html>" for i, own in enumerate(lists)]
+    made, many = _tokens(pages), len(pages)
+    of = lambda t: tuple(t["vector"])
+    likely = {i: t for i, t in made.items() if sum(n > 0 for n in t["vector"]) >= SUPPORT * many}
+    sizes = Counter(of(t) for t in likely.values())
+
+    want = sorted(i for i, t in likely.items() if t["token"] is None and sizes[of(t)] >= 3 and sum(n > 0 for n in t["vector"]) >= 0.6 * many)
+    rows = [{**t, "pages": sum(n > 0 for n in t["vector"]), "a": hash(of(t)), "b": 0} for t in likely.values()]
+    got = template_of(rows, many)
+    assert got is None or got["texts"] == want
+
+
+def test_recurring_texts_go_and_rare_ones_stay(spark):
+    """In the article, a line of the site that every page has goes; one that a few stories have stays, as does the story of
+    pages that are copies of one another."""
+    story = lambda i: f"<h1>Title {i}</h1><p>" + " ".join(f"w{i}x{k}" for k in range(50)) + "</p>"
+    made = lambda inner: f"<html><body><div class='a'><a href='/'>Home</a></div><article>{inner}<p>Read our terms</p></article></body></html>"
+    pages = [made(story(i) + ("<p>Under a free license</p>" if i % 3 == 0 else "")) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in extract(_pages(spark, pages)).collect()}
+    assert all("terms" not in t and "Home" not in t and f"Title {i}" in t and ("license" in t) == (i % 3 == 0) for i, t in got.items())
+    copies = [made(story(0))] * 9 + [made(story(i)) for i in range(1, 4)]
+    got = {r["page_id"]: r["text"] for r in extract(_pages(spark, copies)).collect()}
+    assert all("w0x0" in got[i] for i in range(9)) and all(f"w{i}x0" in got[8 + i] for i in range(1, 4))
+
+
+def test_names_that_only_sound_like_furniture():
+    for name in ("social-history", "related-work", "notice-period", "search-result", "has-sidebar", "adverb"):
+        assert read(f'<article><p>One</p><div class="{name}"><p>Two</p></div></article>', None) == "One\n\nTwo", name
+    for name in ("comments", "cookie-notice", "share-buttons", "related-posts", "ad"):
+        assert read(f'<article><p>One</p><div class="{name}"><p>Two</p></div></article>', None) == "One", name
+    teaser = f"<body><p>{'story ' * 40}</p><article>Teaser</article></body>"
+    assert read(teaser, None).startswith("story") and read(teaser, None).endswith("Teaser")
+
+
+def test_deep_and_long_pages_take_time_by_length():
+    deep = "<div>" * 20_000 + "<p>deep" + "</div>" * 20_000 + "<p>end"
+    began = time.process_time()
+    assert read(deep, None) == "deep\n\nend"
+    assert len(tokens_of("<ul><li>" * 20_000)) == 40_000 and read("<p>word<b>" * 20_000, None).count("word") == 20_000
+    assert time.process_time() - began < 10
 
 
 def test_pages_odd_rows(spark):
@@ -255,8 +325,14 @@ def test_pages_odd_rows(spark):
 
 def test_classes_of_wrappers_hide_no_article():
     for name in ("layout has-sidebar", "no-sidebar", "with-ads", "post-comments-open", "search-result", "sidebar", "widget-area"):
-        assert blocks(parse(f'<body><div class="{name}"><article><p>Text</p></article></div>')[1], None) == "Text", name
-    for name in ("has-sidebar", "search-result"):
-        assert blocks(parse(f'<article><p>One</p><div class="{name}"><p>Two</p></div></article>')[1], None) == "One\n\nTwo", name
+        assert read(f'<body><div class="{name}"><article><p>Text</p></article></div>', None) == "Text", name
     page = '<main><p>Text</p><div class="comments"><article><p>Reader</p></article></div><div class="cookie-notice">We</div></main><aside><article><p>Card</p></article></aside>'
-    assert blocks(parse(page)[1], None) == "Text"
+    assert read(page, None) == "Text"
+
+
+def test_templates_beyond_what_is_sent(spark, monkeypatch):
+    """Joined by host and part instead of sent to all tasks, templates give the same texts."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = sorted(tuple(r) for r in extract(pages).collect())
+    monkeypatch.setattr(html_extract, "SENT", 0)
+    assert sorted(tuple(r) for r in extract(pages).collect()) == want
