@@ -11,9 +11,10 @@ from loomgraph.llm.common import cut, hash_bucket, n_words, running
 
 #: The golden ratio's fractional part in 32 bits: slot i lies at (i * GOLDEN mod 2^32) / 2^32.
 GOLDEN, PERIOD = 2654435769, 1 << 31
-#: The source with the least target gets about so many slots; a block has at least LEAST_BLOCK words, and there are at
-#: most MOST_SLOTS slots, however small a source is and however large the rest.
-SLOTS, LEAST_BLOCK, MOST_SLOTS = 1000, 16, 1 << 22
+#: Words of a block; a source's last one may be shorter.
+BLOCK = 1024
+#: Stretches that the cumulated weights are divided into to find the source of a point; slots that are ranked together.
+STRETCHES, TOGETHER = 4096, 1 << 16
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
@@ -33,39 +34,58 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFra
     return s.withColumn("target", F.least(F.col("limit").cast("double"), F.coalesce(level * F.col("weight"), F.col("limit").cast("double")))).select("source", "source_size", "weight", "rank", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: str = "") -> DataFrame:
+def schedule(goal: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(slot, rank, block, words): which block of which source each slot takes, for goal (rank, words), words > 0.
+
+    Each source has as many slots as its words need blocks. Slot i goes to the source whose span of the cumulated blocks
+    holds the golden-ratio point i, and a source's k-th slot takes its k-th block. The points come near those numbers, not
+    always to them: slots that a source has too many go, in order, to the blocks that lack one. Those are at most a few
+    for each source, which one task ranks; the slots themselves are never ranked in one task.
+    """
+    by_rank, ahead = Window.orderBy("rank"), Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    spans = cut(goal.select("rank", "words", F.ceil(F.col("words") / block).alias("blocks")).withColumn("since", F.coalesce(F.sum("blocks").over(ahead), F.lit(0))).withColumn("upto", F.sum("blocks").over(by_rank)))
+    slots = spans.agg(F.sum("blocks")).first()[0] or 0
+    stretch = max(1, math.ceil(slots / STRETCHES))
+    at = (F.pmod(F.col("id"), F.lit(PERIOD)) * F.lit(GOLDEN)).bitwiseAND(F.lit((1 << 32) - 1)) / F.lit(float(1 << 32)) * F.lit(float(slots))
+    points = goal.sparkSession.range(slots).select(F.col("id").alias("slot"), at.alias("at")).withColumn("stretch", F.floor(F.col("at") / stretch))
+    known = spans.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("since") / stretch), F.floor((F.col("upto") - 1) / stretch))))
+    held = points.join(known, "stretch").where("at >= since AND at < upto").select("slot", "rank", "words", "blocks", F.shiftright("slot", TOGETHER.bit_length() - 1).alias("bucket"))
+    ranked = cut(running(held, ["rank"], ["slot"], "bucket", F.lit(1), "block").select("slot", "rank", "words", "blocks", F.col("block").cast("long").alias("block")))
+    kept = ranked.where("block < blocks").select("slot", "rank", "block", "words")
+    free = ranked.where("block >= blocks").select("slot", F.row_number().over(Window.orderBy("slot")).alias("n"))
+    given = ranked.groupBy("rank").agg(F.count("*").alias("given"))
+    lacking = spans.join(given, "rank", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < blocks")
+    lacking = lacking.select("rank", "words", F.explode(F.sequence(F.col("given"), F.col("blocks") - 1)).alias("block")).withColumn("n", F.row_number().over(Window.orderBy("rank", "block")))
+    filled = lacking.join(free, "n").select("slot", "rank", "block", "words")
+    return kept.unionByName(filled).select("slot", "rank", "block", F.least(F.lit(block), F.col("words") - F.col("block") * block).alias("words"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: str = "", block: int = BLOCK) -> DataFrame:
     """A row for each row of docs: doc_id, source, size, source_size, target, taken, rank (of its source), tie (the MD5
     of its text).
 
     size counts the words (null text: 0). Sources in code point order, null last, take the weights in turn; a source
     gives at most `repeats` times its size. The words of a source, its documents in an order shuffled by a hash of
-    seed and doc_id, form a stream that repeats; it is cut into blocks of equal size. Slot i goes to the source whose
-    span of the cumulative targets holds the golden-ratio point i; a source's k-th slot takes its k-th block. taken
-    counts the words that the mix takes of a document, repeats included; at a stream's end a document may be taken in
+    seed and doc_id, form a stream that repeats; it is cut into blocks of equal size, the last one ending with the
+    target, rounded to a word. schedule() says which slot takes which block. taken counts the words that the mix takes of a
+    document, repeats included: over a source, its target to the word. At a stream's end a document may be taken in
     part, its first words. Documents without words are never taken. Null doc_ids share one place in the shuffle, which
-    their size and text's digest break. Other columns are ignored; an empty table gives an empty result.
+    their size and text's digest break; rows alike in all of them may change places. A very long text is one document
+    whose words lie in many blocks. Other columns are ignored; an empty table gives an empty result.
     """
     slim = cut(docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"), F.md5(F.coalesce("text", F.lit(""))).alias("tie")))
-    goal = cut(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats))
-    know = goal.agg(F.sum("source_size").alias("total"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least")).first()
-    total, block = know["total"] or 0, max(LEAST_BLOCK, int((know["least"] or 0) / SLOTS))
-    block = max(block, math.ceil(total / MOST_SLOTS))
-    slots = math.ceil(total / block)
-
-    along = Window.orderBy("rank")
-    spans = goal.select("rank", (F.sum("target").over(along) / F.sum("target").over(Window.partitionBy())).alias("to")).agg(F.sort_array(F.collect_list(F.struct("to", "rank"))).alias("spans"))
-    point = (F.pmod(F.col("id"), F.lit(PERIOD)) * F.lit(GOLDEN)).bitwiseAND(F.lit((1 << 32) - 1)) / F.lit(float(1 << 32))
-    held = docs.sparkSession.range(slots).select("id", point.alias("u"), spans.scalar().alias("spans")).withColumn("rank", F.coalesce(F.get(F.filter("spans", lambda x: x["to"] > F.col("u")), F.lit(0))["rank"], F.lit(1)))
-    # a row for each slot: at most MOST_SLOTS, whatever the input
-    turns = held.withColumn("block", F.row_number().over(Window.partitionBy("rank").orderBy("id")) - 1).select("rank", F.col("block").cast("long").alias("block"), "id")
+    goal = cut(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats).withColumn("words", F.floor(F.col("target") + 0.5)))
+    turns = schedule(goal.where("words > 0"), block).select("rank", "block", "slot")
 
     buckets = max(1, math.isqrt(slim.count()))
-    slim = slim.join(F.broadcast(goal.select(F.col("source").alias("_s"), "rank", "source_size", "target")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    placed = running(slim.withColumn("bucket", hash_bucket(F.col("key"), buckets)), ["rank"], ["key", "tie", "size"], "bucket", F.col("size"), "start")
-    epochs = placed.where("size > 0").withColumn("from", F.explode(F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda e: F.col("start") + e * F.col("source_size"))))
-    pieces = epochs.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("from") + F.col("size") - 1) / block)))).withColumn("words", F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("from", F.col("block") * block))
-    # a block may reach past a stream's last repeat; what is not there is not taken
+    named = slim.join(goal.select(F.col("source").alias("_s"), "rank", "source_size", "target", "words"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    placed = running(named.withColumn("bucket", hash_bucket(F.col("key"), buckets)), ["rank"], ["key", "tie", "size"], "bucket", F.col("size"), "start")
+    wanted = (F.col("size") > 0) & (F.col("start") < F.col("words"))
+    turn = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda e: F.col("start") + e * F.col("source_size"))
+    epochs = placed.where(wanted).withColumn("from", F.explode(turn)).withColumn("upto", F.least(F.col("from") + F.col("size"), F.col("words"))).where("from < upto")
+    pieces = epochs.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("upto") - 1) / block))))
+    pieces = pieces.withColumn("piece", F.least(F.col("upto"), (F.col("block") + 1) * block) - F.greatest(F.col("from"), F.col("block") * block))
     names = ["rank", "start", "doc_id", "source", "size", "source_size", "target", "tie"]
-    taken = pieces.join(turns, ["rank", "block"], "left").groupBy(*names).agg(F.sum(F.when(F.col("id").isNotNull(), F.col("words")).otherwise(0)).cast("long").alias("taken"))
-    none = placed.where("size = 0").select(*names, F.lit(0).cast("long").alias("taken"))
+    taken = pieces.join(turns, ["rank", "block"]).groupBy(*names).agg(F.sum("piece").cast("long").alias("taken"))
+    none = placed.where(~wanted).select(*names, F.lit(0).cast("long").alias("taken"))
     return taken.unionByName(none).select("doc_id", "source", "size", "source_size", "target", "taken", "rank", "tie")

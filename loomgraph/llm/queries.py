@@ -108,19 +108,12 @@ l AS (SELECT *, (total - coalesce(sum(lim) OVER (ORDER BY ratio, rank ROWS BETWE
              / sum(weight) OVER (ORDER BY ratio, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 level AS (SELECT level FROM l WHERE ratio >= level ORDER BY ratio, rank LIMIT 1),
 goal AS (SELECT source, rank, source_size, total, least(lim::DOUBLE, coalesce((SELECT level FROM level) * weight, lim)) AS target FROM l),
-size AS (SELECT greatest(16, floor(min(target) FILTER (target > 0) / 1000)::BIGINT, ceil(any_value(total) / 4194304)::BIGINT) AS block, any_value(total) AS total FROM goal),
-spans AS (SELECT rank, sum(target) OVER (ORDER BY rank) / sum(target) OVER () AS upto,
-                 coalesce(sum(target) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(target) OVER () AS since FROM goal),
-slots AS (SELECT i, (((i % 2147483648) * 2654435769) & 4294967295) / 4294967296.0::DOUBLE AS u
-          FROM (SELECT unnest(range(0, ceil(total / block)::BIGINT)) AS i FROM size)),
-given AS (SELECT rank, count(*) AS n FROM slots JOIN spans ON u >= since AND u < upto GROUP BY rank),
-placed AS (SELECT d.*, g.rank, g.source_size, g.target,
+placed AS (SELECT d.*, g.rank, g.source_size, g.target, floor(g.target + 0.5)::BIGINT AS words,
                   coalesce(sum(size) OVER (PARTITION BY g.rank ORDER BY key, tie, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
            FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,
-       sum(greatest(0, least(start + e * source_size + size, coalesce(n, 0) * (SELECT block FROM size)) - (start + e * source_size)))::BIGINT AS taken
-FROM placed LEFT JOIN given USING (rank), (SELECT unnest([0, 1, 2]) AS e)
-GROUP BY doc_id, size, source_size, target, start, key, tie
+       list_sum([greatest(0, least(start + e * source_size + size, words) - (start + e * source_size)) for e in [0, 1, 2]])::BIGINT AS taken
+FROM placed
 """,
     "op5_exact_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
