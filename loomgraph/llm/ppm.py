@@ -46,18 +46,13 @@ def stream(text: str | None) -> bytes:
     return s.strip(b" ") + b"\n"
 
 
-def words_of(s: bytes) -> Counter:
-    """The words of a stream, counted; a long one in steps, so that few words are held at once."""
-    out: Counter = Counter()
+def pieces_of(s: bytes, step: int) -> Iterator[tuple[int, bytes]]:
+    """(place, piece) of a stream: pieces of whole words, of about `step` bytes unless a word alone is longer."""
     at = 0
-    while at < len(s) - 1:
-        end = len(s) - 1
-        if end - at > BLOCK // 4:
-            end = s.find(b" ", at + BLOCK // 4, end)
-            end = len(s) - 1 if end < 0 else end
-        out.update(s[at:end].split(b" ") if at < end else ())
-        at = end + 1
-    return out
+    while at < len(s):
+        end = s.find(b" ", at + step) + 1 if len(s) - at > step else 0
+        yield at, s[at : end or len(s)]
+        at = end or len(s)
 
 
 def grams(pieces: list[bytes], contexts: list[bytes] | None = None, order: int = ORDER) -> np.ndarray:
@@ -236,32 +231,19 @@ def _from_planes(raw: bytes, kind: str) -> np.ndarray:
 
 
 class _Block:
-    """Pieces of texts that ask the parts together. A text's first piece has its words."""
+    """Pieces of texts that ask the parts together."""
 
     def __init__(self):
-        self.row, self.doc, self.training, self.piece, self.context, self.first = [], [], [], [], [], []
-        self.numbers: dict[bytes, int] = {}
-        self.word, self.times, self.ends, self.size = [], [], [0], 0
+        self.row, self.doc, self.training, self.piece, self.context, self.size = [], [], [], [], [], 0
 
-    def add(self, row: int, doc: int | None, training: bool, piece: bytes, context: bytes, own: Counter | None) -> None:
-        for held, x in zip((self.row, self.doc, self.training, self.piece, self.context, self.first), (row, doc, training, piece, context, own is not None), strict=True):
+    def add(self, row: int, doc: int | None, training: bool, piece: bytes, context: bytes) -> None:
+        for held, x in zip((self.row, self.doc, self.training, self.piece, self.context), (row, doc, training, piece, context), strict=True):
             held.append(x)
         self.size += len(piece)
-        at = np.fromiter((self.numbers.setdefault(w, len(self.numbers)) for w in own or ()), np.int32, len(own or ()))
-        rising = np.argsort(at)
-        self.word.append(at[rising])
-        self.times.append(np.fromiter((own or {}).values(), np.int32, len(at))[rising])
-        self.ends.append(self.ends[-1] + len(at))
 
     def packed(self) -> dict:
-        word, times = np.concatenate(self.word), np.concatenate(self.times)
-        learned = times * np.repeat(self.training, np.diff(self.ends))
-        return {
-            "row": self.row, "doc": self.doc, "training": self.training, "first": self.first, "sizes": [len(p) for p in self.piece],
-            "context": _squeezed(b"".join(self.context)), "stream": _squeezed(b"".join(self.piece)), "words": _squeezed(b"\n".join(self.numbers)),
-            "word": _planes(np.concatenate([np.diff(w, prepend=0) for w in self.word]).astype("<i4")), "times": _planes(times.astype("<i4")), "ends": _planes(np.array(self.ends, "<i8")),
-            "learned": _planes(np.bincount(word, learned, len(self.numbers)).astype("<i4")), "tokens": int(learned.sum()) + sum(a and b for a, b in zip(self.first, self.training, strict=True)),
-        }
+        tokens = sum(p.count(b" ", 0, -1) + (len(p) > 1) + p.endswith(b"\n") for p, t in zip(self.piece, self.training, strict=True) if t)
+        return {"row": self.row, "doc": self.doc, "training": self.training, "sizes": [len(p) for p in self.piece], "context": _squeezed(b"".join(self.context)), "stream": _squeezed(b"".join(self.piece)), "tokens": tokens}
 
 
 def _pieces(packed: dict, order: int) -> tuple[list[bytes], list[bytes]]:
@@ -270,15 +252,32 @@ def _pieces(packed: dict, order: int) -> tuple[list[bytes], list[bytes]]:
     return [stream_[a:b] for a, b in zip(edges, edges[1:], strict=False)], [context[i * order : (i + 1) * order] for i in range(len(edges) - 1)]
 
 
+def _slices(pieces: list[bytes], contexts: list[bytes], order: int) -> Iterator[np.ndarray]:
+    """The grams of pieces, some at a time: at most about twice BLOCK, also of a piece that is longer."""
+    held: list[tuple[bytes, bytes]] = []
+    size = 0
+    for p, c in zip(pieces, contexts, strict=True):
+        for at in range(0, len(p), BLOCK):
+            held.append((p[at : at + BLOCK], c if not at else p[at - order : at]))
+            size += len(held[-1][0])
+            if size >= BLOCK:
+                yield grams(*map(list, zip(*held, strict=True)), order)
+                held, size = [], 0
+    if held:
+        yield grams(*map(list, zip(*held, strict=True)), order)
+
+
 def _asked(packed: dict, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(grams of a block, distinct and sorted; how often each is in texts to learn from; the latter's alone)."""
     pieces, contexts = _pieces(packed, order)
     by_use = []
     for use in (True, False):
         own = [i for i, t in enumerate(packed["training"]) if t is use]
-        g = grams([pieces[i] for i in own], [contexts[i] for i in own], order)
-        g.sort()
-        by_use.append(runs(g))
+        found = []
+        for g in _slices([pieces[i] for i in own], [contexts[i] for i in own], order):
+            g.sort()
+            found.append(runs(g))
+        by_use.append(found[0] if len(found) == 1 else _summed([k for k, _ in found], [n for _, n in found]))
     (learned, n), (rest, _) = by_use
     keys = np.concatenate([learned, rest])
     keys.sort()
@@ -288,6 +287,24 @@ def _asked(packed: dict, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return keys, count, learned
 
 
+class _Words:
+    """The distinct words of a block's pieces; each piece's words by number; the parts that the words are dealt to."""
+
+    def __init__(self, pieces: list[bytes], parts: int):
+        numbers: dict[bytes, int] = {}
+        self.word, self.times = [], []
+        for p in pieces:
+            own = Counter(p.split())
+            self.word.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in own), np.int32, len(own)))
+            self.times.append(np.fromiter(own.values(), np.int32, len(own)))
+        self.ends = np.cumsum([0, *map(len, self.word)])
+        self.words, self.word, self.times = list(numbers), np.concatenate(self.word), np.concatenate(self.times)
+        self.order, self.spans = _dealt(np.fromiter((zlib.crc32(w) % parts for w in self.words), np.int64, len(self.words)))
+
+    def learned(self, training: list[bool]) -> np.ndarray:
+        return np.bincount(self.word, self.times * np.repeat(training, np.diff(self.ends)), len(self.words)).astype("<i4")
+
+
 def _dealt(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order by part, and (part, from, to) in it."""
     small = part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part
@@ -350,11 +367,8 @@ def score(docs: DataFrame, training: Column, order: int = ORDER, id_col: str = "
         for b in batches:
             for text, doc, on, row in zip(b.column(0), *(c.to_pylist() for c in b.columns[1:]), strict=True):
                 s = stream(text.as_py())
-                own: Counter | None = words_of(s)
-                step = len(s) if len(s) <= BLOCK else BLOCK // 2
-                for at in range(0, len(s), step):
-                    block.add(row, doc, on, s[at : at + step], (bytes([END]) * order + s[max(0, at - order) : at])[max(0, at and min(at, order)) :], own)
-                    own = None
+                for at, piece in pieces_of(s, BLOCK // 2):
+                    block.add(row, doc, on, piece, bytes([END]) * (order - min(at, order)) + s[at - min(at, order) : at])
                     if block.size >= BLOCK:
                         yield done()
         if block.row:
@@ -379,8 +393,9 @@ def score(docs: DataFrame, training: Column, order: int = ORDER, id_col: str = "
                 by_part, spans = _dealt(router.value.part(keys, router.value.depth(keys)))
                 keys, count = keys[by_part], count[by_part]
                 out += [(p, name, _planes(keys[a:z].astype("<u8")), _planes(count[a:z])) for p, a, z in spans]
-                learned, (words, by_part, spans) = _from_planes(packed["learned"], "<i4"), _words(packed, parts)
-                out += [(-1 - p, name, _squeezed(b"\n".join([words[i] for i in by_part[a:z].tolist()])), _planes(learned[by_part[a:z]])) for p, a, z in spans]
+                w = _Words(_pieces(packed, order)[0], parts)
+                learned = w.learned(packed["training"])
+                out += [(-1 - p, name, _squeezed(b"\n".join([w.words[i] for i in w.order[a:z].tolist()])), _planes(learned[w.order[a:z]])) for p, a, z in w.spans]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
@@ -410,29 +425,27 @@ def score(docs: DataFrame, training: Column, order: int = ORDER, id_col: str = "
             return pa.table({"row": pa.array([None], pa.int64()), "doc_id": pa.array([None], pa.int64()), "n_tokens": [v], "n_known": [0], "base": [0.0], "score": [0.0], "bytes": [0]})
         packed, reply = pickle.loads(block["data"][0].as_py()), dict(zip(given["part"].to_pylist(), given["given"], strict=True))
         pieces, contexts = _pieces(packed, order)
-        encoded = pa.array(grams(pieces, contexts, order)).dictionary_encode()
-        found = encoded.dictionary.to_numpy()
-        keys = np.sort(found)
+        encoded = [pa.array(g).dictionary_encode() for g in _slices(pieces, contexts, order)]
+        keys = np.concatenate([e.dictionary.to_numpy() for e in encoded])
+        keys.sort()
+        keys = runs(keys)[0]
         by_part, spans = _dealt(router.value.part(keys, router.value.depth(keys)))
-        values = np.empty(len(keys))
+        values = np.empty(len(keys), np.float32)
         for p, a, z in spans:
             values[by_part[a:z]] = _from_planes(reply[p].as_py(), "<f4")
-        each = values[np.searchsorted(keys, found)][encoded.indices.to_numpy()]
-        total = np.add.reduceat(each, np.cumsum([0, *packed["sizes"][:-1]]))
-
-        words, by_part, spans = _words(packed, parts)
-        c = np.zeros(len(words))
-        for p, a, z in spans:
-            c[by_part[a:z]] = _from_planes(reply[-1 - p].as_py(), "<i8")
-        ends, times = _from_planes(packed["ends"], "<i8"), _from_planes(packed["times"], "<i4").astype(float)
-        run = np.r_[0, np.cumsum(_from_planes(packed["word"], "<i4"), dtype=np.int64)]
-        word = run[1:] - np.repeat(run[ends[:-1]], np.diff(ends))  # steps start anew with each text
-        cumulated = np.zeros((3, len(ends) - 1))
-        own = np.flatnonzero(np.diff(ends))  # texts without words add nothing
+        each = np.concatenate([values[np.searchsorted(keys, e.dictionary.to_numpy())][e.indices.to_numpy()] for e in encoded])
+        total = np.add.reduceat(each, np.cumsum([0, *packed["sizes"][:-1]]), dtype=float)
+
+        w = _Words(pieces, parts)
+        c = np.zeros(len(w.words))
+        for p, a, z in w.spans:
+            c[w.order[a:z]] = _from_planes(reply[-1 - p].as_py(), "<i8")
+        cumulated = np.zeros((3, len(pieces)))
+        own = np.flatnonzero(np.diff(w.ends))  # texts without words add nothing
         if len(own):
-            cumulated[:, own] = np.add.reduceat(np.stack([times, times * (c[word] > 0), times * np.log10(c[word] + 0.5)]), ends[:-1][own], axis=1)
-        first = np.array(packed["first"])
-        return pa.table({"row": pa.array(packed["row"], pa.int64()), "doc_id": pa.array(packed["doc"], pa.int64()), "n_tokens": pa.array(cumulated[0].astype(np.int64) + first), "n_known": pa.array(cumulated[1].astype(np.int64)), "base": pa.array(cumulated[2]), "score": pa.array(total), "bytes": pa.array(packed["sizes"], pa.int64())})
+            cumulated[:, own] = np.add.reduceat(np.stack([w.times.astype(float), w.times * (c[w.word] > 0), w.times * np.log10(c[w.word] + 0.5)]), w.ends[:-1][own], axis=1)
+        ended = np.array([p.endswith(b"\n") for p in pieces])
+        return pa.table({"row": pa.array(packed["row"], pa.int64()), "doc_id": pa.array(packed["doc"], pa.int64()), "n_tokens": pa.array(cumulated[0].astype(np.int64) + ended), "n_known": pa.array(cumulated[1].astype(np.int64)), "base": pa.array(cumulated[2]), "score": pa.array(total), "bytes": pa.array(packed["sizes"], pa.int64())})
 
     asked = blocks.mapInArrow(ask, "part long, block string, keys binary, counts binary")
     given = asked.groupBy("part").applyInArrow(answer, "block string, part long, given binary")
@@ -445,15 +458,9 @@ def score(docs: DataFrame, training: Column, order: int = ORDER, id_col: str = "
     return whole.select("doc_id", "n_tokens", (F.col("n_known") + int(texts > 0)).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.lit(math.log10(texts + 0.5)) - F.col("n_tokens") * per_token).alias("base_score"), "score", "bytes")
 
 
-def _words(packed: dict, parts: int) -> tuple[list[bytes], np.ndarray, list[tuple[int, int, int]]]:
-    """The distinct words of a block, an order by part, and the parts' spans in it."""
-    words = _whole(packed["words"]).split(b"\n") if packed["words"][:8] != bytes(8) else []
-    return words, *_dealt(np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words)))
-
-
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys of sorted lists, and the sums of their counts."""
-    known = np.concatenate(keys)
+    known = np.concatenate([np.empty(0, np.uint64), *keys])
     known.sort()
     known = runs(known)[0]
     total = np.zeros(len(known), np.int64)

@@ -170,7 +170,8 @@ def test_grams_of_pieces():
     whole = grams([text])
     assert (np.concatenate([grams([text[:9]]), grams([text[9:]], [text[3:9]])]) == whole).all() and len(whole) == len(text)
     assert stream(" A\tb \x0b\x0cC\u00c9 \n") == "a b cÉ\n".encode() and stream(None) == b"\n"
-    assert ppm.words_of(b"a b a\n") == {b"a": 2, b"b": 1} and not ppm.words_of(b"\n")
+    some = list(ppm.pieces_of(b"ab cde f longerword g h\n", 3))
+    assert some == [(0, b"ab cde "), (7, b"f longerword "), (20, b"g h\n")] and list(ppm.pieces_of(b"\n", 3)) == [(0, b"\n")]
 
 
 def test_planes():
