@@ -1,4 +1,9 @@
-"""SimHash near-dedup: fingerprints, vantage-point trees for exact pairs within a Hamming radius, components."""
+"""SimHash near-dedup: fingerprints, vantage-point trees for exact pairs within a Hamming radius, components.
+
+Where texts are to have a given similarity of shingles, a radius that holds all such pairs is too wide for a tree to prune.
+Then points meet by their rarest shingles first: of two sets that are so alike, the first few in any one order of all
+shingles can't all differ. Points that share one of those are compared; a shingle that many share is divided by a tree.
+"""
 
 from __future__ import annotations
 
@@ -22,24 +27,29 @@ SAMPLE = 100_000
 FORESTS, ROUNDS = 3, 2
 #: Pairs that are checked in a round after those, at least (or one for each text), and those that a leaf gives at most.
 CHECKS, GIVEN = 1 << 18, 1 << 20
+#: Of so many slices of all pairs, one is counted to tell how many there are.
+THIN = 1024
 #: Shingles whose bits are counted at once, and fingerprints that ask at once.
 BLOCK, ASK = 1 << 15, 4096
+#: Points with one shingle up to which all their pairs are looked at, at most half of so many for a point; with more, they
+#: go to trees.
+SMALL = 32
+#: Bytes of text from which common shingles are told, and how often they must be there: they come last in the order of all
+#: shingles, which decides how many pairs meet, never which are found.
+COMMON_BYTES, COMMON = 8 << 20, 3
 
 
-def fingerprint(text: str | None, words: int = 3, bits: int = 64, distinct: bool = False) -> tuple[np.ndarray, int]:
-    """bits / 64 words of 64 bits, and the number of distinct shingles. A bit is set if it is set in over half of the hashes.
+def fingerprint(text: str | None, words: int = 3, bits: int = 64) -> np.ndarray:
+    """bits / 64 words of 64 bits. A bit is set if it is set in over half of the hashes.
 
     A shingle is `words` words in lower case (A-Z only) joined by spaces, or all words where there are fewer; repeats
-    count, unless distinct; no words and null give 0. The hash is XXH64 of its UTF-8 bytes, seed 42, then 43 and so on.
+    count; no words and null give 0. The hash is XXH64 of its UTF-8 bytes, seed 42, then 43 and so on.
     """
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return np.zeros(bits // 64, np.uint64), 0
+        return np.zeros(bits // 64, np.uint64)
     n, digest = max(1, len(w) - words + 1), xxhash.xxh64_intdigest
     shingles = [b" ".join(w)] if n == 1 else list(map(b" ".join, zip(*[w[i:] for i in range(words)], strict=False)))
-    different = dict.fromkeys(shingles)
-    if distinct:
-        shingles, n = list(different), len(different)
     out = []
     for seed in range(42, 42 + bits // 64):
         h = np.fromiter((digest(s, seed) for s in shingles), np.uint64, n)
@@ -47,7 +57,7 @@ def fingerprint(text: str | None, words: int = 3, bits: int = 64, distinct: bool
         for at in range(0, n, BLOCK):
             ones += np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         out.append(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
-    return np.array(out, np.uint64), len(different)
+    return np.array(out, np.uint64)
 
 
 def _array(column: pa.Array, bits: int) -> np.ndarray:
@@ -59,16 +69,15 @@ def _column(fp: np.ndarray) -> pa.Array:
     return pa.array([raw[i : i + step] for i in range(0, len(raw), step)], pa.binary())
 
 
-def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
-    """doc_id, twin (hash of the text), fp (binary, big-endian; of distinct shingles if so told) and shingles (how many differ) for each row of docs."""
+def fingerprints(docs: DataFrame, words: int = 3, bits: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, twin (hash of the text) and fp (binary, big-endian) for each row of docs."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [fingerprint(t.as_py(), words, bits, distinct) for t in b.column(2)]
-            fp = np.array([f for f, _ in made], np.uint64).reshape(-1, bits // 64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _column(fp), pa.array([n for _, n in made], pa.int64())], ["doc_id", "twin", "fp", "shingles"])
+            fp = np.array([fingerprint(t.as_py(), words, bits) for t in b.column(2)], np.uint64).reshape(-1, bits // 64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _column(fp)], ["doc_id", "twin", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("twin"), text_col).mapInArrow(task, "doc_id long, twin long, fp binary, shingles long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("twin"), text_col).mapInArrow(task, "doc_id long, twin long, fp binary")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -98,20 +107,23 @@ class Router:
             else:
                 nodes[2 * node] = nodes[2 * node + 1] = own
 
-    def home(self, a: np.ndarray) -> np.ndarray:
+    def home(self, a: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """The node, counted from 1 at the top, that a point lies in at its depth."""
         node = np.ones(len(a), np.int64)
-        for _ in range(self.depth):
-            node = 2 * node + (distance(a, self.vantage[node]) > self.radius[node])
-        return node - (1 << self.depth)
+        for level in range(self.depth):
+            on = np.flatnonzero(depth > level)
+            node[on] = 2 * node[on] + (distance(a[on], self.vantage[node[on]]) > self.radius[node[on]])
+        return node
 
-    def touched(self, a: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-        """(position in a, leaf) of all leaves that may hold a point within reach: the triangle bound."""
+    def touched(self, a: np.ndarray, reach: int, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in a, node) of all nodes at its depth that may hold a point within reach: the triangle bound."""
         at, node = np.arange(len(a)), np.ones(len(a), np.int64)
-        for _ in range(self.depth):
-            d = distance(a[at], self.vantage[node])
-            inner, outer = d - reach <= self.radius[node], d + reach > self.radius[node]
-            at, node = np.concatenate([at[inner], at[outer]]), np.concatenate([2 * node[inner], 2 * node[outer] + 1])
-        return at, node - (1 << self.depth)
+        for level in range(self.depth):
+            on = depth[at] > level
+            d = distance(a[at[on]], self.vantage[node[on]])
+            inner, outer = d - reach <= self.radius[node[on]], d + reach > self.radius[node[on]]
+            at, node = np.concatenate([at[~on], at[on][inner], at[on][outer]]), np.concatenate([node[~on], 2 * node[on][inner], 2 * node[on][outer] + 1])
+        return at, node
 
 
 def _joined(q: np.ndarray, p: np.ndarray, qi: np.ndarray, pi: np.ndarray) -> np.ndarray:
@@ -218,9 +230,11 @@ def apart(fp: np.ndarray, label: np.ndarray, points: np.ndarray, queries: np.nda
             yield np.stack([i[on], j[on], d[on]], 1).astype(np.int64)
 
 
-def nearest(blocks: Iterator[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Of all hits, FORESTS forests of least distance; which of the n nodes have hits besides; and how many those are."""
-    held, size, rest, left = [np.empty((0, 3), np.int64)], 0, np.zeros(n, bool), 0
+def nearest(blocks: Iterator[np.ndarray], twin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Of all hits between points (twin), FORESTS forests of least distance; which of the points have hits besides; those
+    of the latter, as twins, that fall into one of THIN slices; and how many they are."""
+    n = len(twin)
+    held, size, rest, left, thin = [np.empty((0, 3), np.int64)], 0, np.zeros(n, bool), 0, [np.empty((0, 2), np.int64)]
 
     def settled() -> np.ndarray:
         nonlocal left
@@ -228,6 +242,8 @@ def nearest(blocks: Iterator[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarra
         taken = forests(every, FORESTS)
         over = every[~np.isin(every[:, 0] * n + every[:, 1], taken[:, 0] * n + taken[:, 1])]
         rest[over[:, :2].ravel()] = True
+        ends = np.sort(twin[over[:, :2]], axis=1)
+        thin.append(ends[slice_of(ends[:, 0], ends[:, 1], THIN) == 0])
         left += len(over)
         return taken
 
@@ -237,7 +253,7 @@ def nearest(blocks: Iterator[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarra
         if size > GIVEN:
             held = [settled()]
             size = 0
-    return settled(), rest, left
+    return settled(), rest, np.concatenate(thin), left
 
 
 def slice_of(a: np.ndarray, b: np.ndarray, slices: int) -> np.ndarray:
@@ -248,43 +264,41 @@ def slice_of(a: np.ndarray, b: np.ndarray, slices: int) -> np.ndarray:
     return (h >> np.uint64(32)) % np.uint64(slices)
 
 
-def routed(points: DataFrame, reach: int, bits: int, twins: bool = False) -> DataFrame:
-    """band, leaf, fp, asks (and twin): each point in the leaf that holds it, and as a query in those that it touches.
+def routed(points: DataFrame, reach: int, bits: int, most: int) -> DataFrame:
+    """band, leaf, fp, asks (and twin, if there): each point (fp, band, depth) in the leaf that holds it, and as a query in
+    those that it touches. most: the largest depth; a band is divided into about 2^depth leaves.
 
-    Each pair of points within reach whose bands are equal or next to each other (band null: any) meets in one leaf, or in
-    each of the parts that a leaf's queries are dealt to.
+    Each pair of points of one band within reach meets in one leaf, or in each of the parts that a leaf's queries are
+    dealt to.
     """
-    spark = points.sparkSession
-    n, most = points.count(), points.groupBy("band").count().agg(F.max("count")).first()[0] or 1
-    sample = points.sample(min(1.0, SAMPLE / max(1, n)), 3).limit(2 * SAMPLE).toPandas()["fp"]
-    depth = max(0, math.ceil(math.log2(most / LEAF)))
-    router = spark.sparkContext.broadcast(Router(_array(pa.array(sample, pa.binary()), bits), depth))
-    parts = max(1, math.ceil((1.3 if reach * 8 <= bits else 2) ** depth / 32))  # the queries of a leaf, in so many parts
+    spark, twins = points.sparkSession, "twin" in points.columns
+    sample = points.select("fp").sample(min(1.0, SAMPLE / max(1, points.count())), 3).limit(2 * SAMPLE).toPandas()["fp"] if most else []
+    router = spark.sparkContext.broadcast(Router(_array(pa.array(sample, pa.binary()), bits), most))
+    parts = max(1, math.ceil((1.3 if reach * 8 <= bits else 2) ** most / 32))  # the queries of a leaf, in so many parts
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, name = _array(b.column(0), bits), np.asarray(b.column(0).to_numpy(zero_copy_only=False), object)
-            band = b.column(1).to_numpy(zero_copy_only=False)
-            home = router.value.home(fp)
-            at, leaf = router.value.touched(fp, reach)
+            fp, depth = _array(b.column(0), bits), b.column(2).to_numpy(zero_copy_only=False)
+            home = router.value.home(fp, depth)
+            at, leaf = router.value.touched(fp, reach, depth)
             on = leaf >= home[at]  # of two leaves of a band, the one with the lower number asks the other
-            key = [np.repeat(home * parts, parts) + np.tile(np.arange(parts), len(fp)), leaf[on] * parts + (fp[at[on], 0] % np.uint64(parts)).astype(np.int64)]
-            of, bands = [np.repeat(np.arange(len(fp)), parts), at[on]], [np.repeat(band, parts), band[at[on]]]
-            if not np.isnan(band.astype(float)).all():  # the next band's leaves are asked too, whatever their number
-                key.append(leaf * parts + (fp[at, 0] % np.uint64(parts)).astype(np.int64))
-                of.append(at)
-                bands.append(band[at] + 1)
-            asks = np.concatenate([np.full(len(k), i > 0) for i, k in enumerate(key)])
-            twin = [c.take(pa.array(np.concatenate(of))) for c in b.columns[2:]]
-            bands = pa.array(np.concatenate(bands).astype(float), from_pandas=True).cast(pa.int32())
-            yield pa.RecordBatch.from_arrays([bands, pa.array(np.concatenate(key)), pa.array(name[np.concatenate(of)], pa.binary()), pa.array(asks), *twin], ["band", "leaf", "fp", "asks", *["twin"] * twins])
+            own = np.where(depth > 0, parts, 1)  # a band of one leaf isn't divided further
+            first = np.repeat(np.arange(len(fp)), own)
+            turn = np.arange(len(first)) - np.repeat(np.cumsum(own) - own, own)
+            key = np.concatenate([home[first] * parts + turn, leaf[on] * parts + np.where(depth[at[on]] > 0, fp[at[on], 0] % np.uint64(parts), 0).astype(np.int64)])
+            of = pa.array(np.concatenate([first, at[on]]))
+            asks = pa.array(np.arange(len(key)) >= len(first))
+            yield pa.RecordBatch.from_arrays([b.column(1).take(of), pa.array(key), b.column(0).take(of), asks, *(c.take(of) for c in b.columns[3:])], ["band", "leaf", "fp", "asks", *["twin"] * twins])
+
+    return points.select("fp", F.col("band").cast("long").alias("band"), F.col("depth").cast("int").alias("depth"), *["twin"] * twins).mapInArrow(route, "band long, leaf long, fp binary, asks boolean" + ", twin long" * twins)
+
 
-    return points.select("fp", F.col("band").cast("int").alias("band"), *["twin"] * twins).mapInArrow(route, "band int, leaf long, fp binary, asks boolean" + ", twin long" * twins)
+def _depth(n: int) -> int:
+    return max(0, math.ceil(math.log2(max(1, n) / LEAF)))
 
 
 def pairs(points: DataFrame, reach: int = 3, bits: int = 64) -> DataFrame:
-    """Links (a, b), a <> b, between the fingerprints of points (fp, band): a graph with the components of all pairs
-    within reach whose bands are equal or next to each other (band null: any).
+    """Links (a, b), a <> b, between the fingerprints of points (fp): a graph with the components of all pairs within reach.
 
     At most one link for each point and leaf that it touches, not one for each pair.
     """
@@ -295,20 +309,78 @@ def pairs(points: DataFrame, reach: int = 3, bits: int = 64) -> DataFrame:
         found = np.unique(links(fp, np.unique(at[~asks]), np.unique(at[asks]), reach), axis=0)
         return pa.table({"a": _column(fp[found[:, 0]]), "b": _column(fp[found[:, 1]])})
 
-    return routed(points, reach, bits).groupBy("band", "leaf").applyInArrow(search, "a binary, b binary")
+    depth = _depth(points.count())
+    return routed(points.select("fp", F.lit(None).alias("band"), F.lit(depth).alias("depth")), reach, bits, depth).groupBy("leaf").applyInArrow(search, "a binary, b binary")
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """What meets in rows (shingle, twin): pairs (a, b) of those that share a shingle with up to SMALL, shingle null; and the
+    rows of the other shingles (shingle, a).
+
+    Rows are dealt and sorted by shingle and streamed: a task holds a batch and SMALL rows.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.int64), np.empty(0, np.int64))
+        large: int | None = None  # the shingle that the last rows had, if it is known to have too many
+
+        def found(s: np.ndarray, t: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, large
+            new = np.r_[True, (s[1:] != s[:-1]) | (t[1:] != t[:-1])] if len(s) else np.empty(0, bool)
+            s, t = s[new], t[new]
+            start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
+            n = np.diff(np.r_[start, len(s)])
+            many = (n > SMALL) | (s[start] == large if large is not None else False)
+            keep = len(s)
+            if not last and len(n):
+                large = int(s[-1]) if many[-1] else None
+                if large is None:
+                    keep, start, n, many = int(start[-1]), start[:-1], n[:-1], many[:-1]
+            held = s[keep:], t[keep:]
+            on = np.repeat(many, n)
+            shingle, a, b = [s[:keep][on]], [t[:keep][on]], [np.zeros(int(on.sum()), np.int64)]
+            for size in range(2, SMALL + 1):
+                first = start[(n == size) & ~many]
+                if len(first):
+                    i, j = np.triu_indices(size, 1)
+                    edges = np.unique(np.stack([t[first[:, None] + i].ravel(), t[first[:, None] + j].ravel()], 1), axis=0)
+                    a.append(edges[:, 0])
+                    b.append(edges[:, 1])
+            some = sum(map(len, a)) - len(shingle[0])
+            yield pa.RecordBatch.from_arrays([pa.array([*shingle[0].tolist(), *[None] * some], pa.int64()), pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["shingle", "a", "b"])
+
+        for batch in batches:
+            s, t = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield from found(np.concatenate([held[0], s]), np.concatenate([held[1], t]), False)
+        yield from found(*held, True)
+
+    return rows.select("shingle", "twin").repartition("shingle").sortWithinPartitions("shingle", "twin").mapInArrow(task, "shingle long, a long, b long")
+
+
+def apart_by(edges: DataFrame, points: DataFrame, reach: int, bits: int) -> DataFrame:
+    """(a, b, d) for those of the edges (a, b), twins of points (twin, fp), that are within reach: d bits apart."""
+    of = [points.select(F.col("twin").alias(x), F.col("fp").alias(f"fp_{x}")) for x in ("a", "b")]
+    joined = edges.join(of[0], "a").join(of[1], "b").select("a", "b", "fp_a", "fp_b")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = distance(_array(b.column(2), bits), _array(b.column(3), bits))
+            on = pa.array(d <= reach)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d.astype(np.int32))], ["a", "b", "d"]).filter(on)
+
+    return joined.mapInArrow(task, "a long, b long, d int")
 
 
-def verified(points: DataFrame, docs: DataFrame, words: int, reach: int, bits: int, similarity: float, text_col: str = "text") -> DataFrame:
-    """(node, root): the components of all pairs of points (twin, fp, band) within reach whose texts have a similarity of at
-    least that; root is the least twin that can be reached.
+def verified(candidates: DataFrame, leaves: DataFrame, docs: DataFrame, words: int, similarity: float, reach: int, bits: int, points: int, text_col: str = "text") -> DataFrame:
+    """(node, root): the components of all pairs of points, twins, whose texts have a similarity of at least that and that are
+    candidates (a, b, d) or within reach in a leaf (band, leaf, fp, asks, twin); root is the least twin that can be reached.
 
-    Texts with one fingerprint are points of their own. First, ROUNDS times, each leaf gives forests of its nearest pairs
-    between different components to be checked. What pairs between components it has besides are then checked too, all of
-    them, in as many slices as it takes to give a round a bounded number: each pair is in one slice, and is left out only
+    First, ROUNDS times, each point's nearest candidate and forests of each leaf's nearest pairs between different
+    components are checked. What pairs between components there are besides are then checked too, all of them; those of
+    leaves in as many slices as it takes to give a round a bounded number: each pair is in one slice, and is left out only
     if its ends are in one component by then. So the result is that of checking every pair.
     """
-    leaves = cut(routed(points, reach, bits, twins=True))
-    roots, n = None, points.count()
+    roots = None
 
     def ends(table: pa.Table) -> tuple[np.ndarray, ...]:
         twin, first, at = np.unique(table["twin"].to_numpy(), return_index=True, return_inverse=True)
@@ -316,19 +388,20 @@ def verified(points: DataFrame, docs: DataFrame, words: int, reach: int, bits: i
         return twin, _array(table["fp"].take(pa.array(first)), bits), table["label"].to_numpy()[first], np.unique(at[~asks]), np.unique(at[asks])
 
     def forest_of(table: pa.Table) -> pa.Table:
+        """Pairs to check; points with pairs besides (b null); some of those pairs (leaf null); how many they are (a null)."""
         twin, fp, label, own, asks = ends(table)
-        found, rest, left = nearest(apart(fp, label, own, asks, reach), len(twin))
+        found, rest, thin, left = nearest(apart(fp, label, own, asks, reach) if (label != label[0]).any() else iter(()), twin)
         more, many = twin[rest], int(rest.any())
-        return pa.table({
-            "band": pa.array(table["band"].to_pylist()[:1] * (len(found) + len(more) + many), pa.int32()), "leaf": pa.array(table["leaf"].to_pylist()[:1] * (len(found) + len(more) + many), pa.int64()),
-            "a": pa.array([*twin[found[:, 0]].tolist(), *more.tolist(), *[None] * many], pa.int64()), "b": pa.array([*twin[found[:, 1]].tolist(), *[None] * len(more), *[left] * many], pa.int64()),
-        })
+        n, key = len(found) + len(more) + many, [table[c].to_pylist()[:1] for c in ("band", "leaf")]
+        a = [*twin[found[:, 0]].tolist(), *more.tolist(), *[None] * many, *thin[:, 0].tolist()]
+        b = [*twin[found[:, 1]].tolist(), *[None] * len(more), *[left] * many, *thin[:, 1].tolist()]
+        return pa.table({"band": pa.array(key[0] * len(a), pa.int64()), "leaf": pa.array(key[1] * n + [None] * len(thin), pa.int64()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     def part_of(k: int, slices: int):
         def search(table: pa.Table) -> pa.Table:
             twin, fp, label, own, asks = ends(table)
             found = [np.empty((0, 2), np.int64)]
-            for hits in apart(fp, label, own, asks, reach):
+            for hits in apart(fp, label, own, asks, reach) if (label != label[0]).any() else ():
                 a, b = twin[hits[:, 0]], twin[hits[:, 1]]
                 on = slice_of(a, b, slices) == k
                 found.append(np.stack([a[on], b[on]], 1))
@@ -337,42 +410,128 @@ def verified(points: DataFrame, docs: DataFrame, words: int, reach: int, bits: i
 
         return search
 
-    def labelled() -> DataFrame:
+    def labelled(rows: DataFrame, name: str, label: str) -> DataFrame:
         if roots is None:
-            return leaves.withColumn("label", F.col("twin"))
-        return leaves.join(roots, F.col("twin") == F.col("node"), "left").withColumn("label", F.coalesce("root", "twin")).drop("node", "root")
+            return rows.withColumn(label, F.col(name))
+        return rows.join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col(name) == F.col("_node"), "left").withColumn(label, F.coalesce("_root", name)).drop("_node", "_root")
+
+    def open_pairs() -> DataFrame:
+        return labelled(labelled(candidates, "a", "_a"), "b", "_b").where("_a <> _b").select("a", "b", "d")
 
     def learn(edges: DataFrame) -> None:
         nonlocal roots
+        edges = cut(edges.distinct())
+        if edges.isEmpty():
+            return
         new = cut(checked(edges, docs, words, similarity, text_col))
         if roots is None:
             roots = components(new)
         elif not new.isEmpty():
             roots = components(new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
-    left = largest = 0
+    left = largest = several = 0
+    empty = leaves.isEmpty()
     for _ in range(ROUNDS):
-        given = cut(labelled().groupBy("band", "leaf").applyInArrow(forest_of, "band int, leaf long, a long, b long"))
-        learn(given.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b"))
+        each = open_pairs().select(F.explode(F.array(F.struct(F.col("a").alias("of"), "d", "a", "b"), F.struct(F.col("b").alias("of"), "d", "a", "b"))).alias("x"))
+        near = each.groupBy("x.of").agg(F.min(F.struct("x.d", "x.a", "x.b")).alias("x")).select("x.a", "x.b")
+        if empty:
+            learn(near)
+            continue
+        given = cut(labelled(leaves, "twin", "label").groupBy("band", "leaf").applyInArrow(forest_of, "band long, leaf long, a long, b long"))
+        learn(near.unionByName(given.where("leaf IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL").select("a", "b")))
         left, largest = given.where("a IS NULL").agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.max("b"), F.lit(0))).first()
-        if not left:
-            return roots
+        several = THIN * given.where("leaf IS NULL").select("a", "b").distinct().count()  # a pair may be in many leaves
         more = given.where("a IS NOT NULL AND b IS NULL").select(F.col("band").alias("_band"), F.col("leaf").alias("_leaf"), F.col("a").alias("_twin"))
-        leaves = cut(leaves.join(more, (F.col("band") == F.col("_band")) & (F.col("leaf") == F.col("_leaf")) & (F.col("twin") == F.col("_twin")), "left_semi"))
-    slices = max(math.ceil(left / max(CHECKS, n)), math.ceil(largest / GIVEN))
+        leaves = cut(leaves.join(more, F.col("band").eqNullSafe(F.col("_band")) & (F.col("leaf") == F.col("_leaf")) & (F.col("twin") == F.col("_twin")), "left_semi"))
+        empty = not left
+    learn(open_pairs().select("a", "b"))
+    slices = max(int(left > 0), math.ceil(min(left, several) / max(CHECKS, points)), math.ceil(largest / GIVEN))
     for k in range(slices):
-        edges = cut(labelled().groupBy("band", "leaf").applyInArrow(part_of(k, slices), "a long, b long"))
-        if not edges.isEmpty():
-            learn(edges)
-    return roots
+        learn(labelled(leaves, "twin", "label").groupBy("band", "leaf").applyInArrow(part_of(k, slices), "a long, b long"))
+    return roots if roots is not None else candidates.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+
+
+_FIRST, _NEXT = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
+
+
+def _scrambled(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
 def shingled(text: str | None, words: int) -> np.ndarray:
-    """The distinct shingles of a text, as sorted hashes; all its words where there are fewer."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    """The distinct shingles of a text, as sorted hashes of their words' hashes; all its words where there are fewer."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split() or [b""]
+    h = np.fromiter(map(xxhash.xxh64_intdigest, w), np.uint64, len(w))
     n = max(1, len(w) - words + 1)
-    parts = [b" ".join(w)] if n == 1 else map(b" ".join, zip(*[w[i:] for i in range(words)], strict=False))
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, n))
+    out = np.zeros(n, np.uint64)
+    for i in range(min(words, len(w))):
+        out = (out ^ out >> np.uint64(29)) * _FIRST + h[i : i + n]
+    return np.unique(_scrambled(out))
+
+
+def sketch(text: str | None, words: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint of the distinct shingles, those shingles)."""
+    shingles = shingled(text, words)
+    out = []
+    for lane in range(bits // 64):
+        h = _scrambled(shingles + np.uint64((lane + 1) * _NEXT & 0xFFFFFFFFFFFFFFFF))
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), BLOCK):
+            ones += np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
+    return np.array(out, np.uint64), shingles
+
+
+def rarest(shingles: np.ndarray, ratio: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """As many of the shingles, sorted, as of two sets that are alike by ratio one must be in both: the first ones in the
+    order of how often they are in the sample (common, sorted, and often; the others never) and then by number."""
+    n = len(shingles) - math.ceil(ratio * len(shingles) - 1e-9) + 1
+    if not len(common):
+        return shingles[:n]
+    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+    times = np.where(common[at] == shingles, often[at], 0)
+    return shingles[np.lexsort((shingles, times))[:n]]
+
+
+def common_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """(shingles in at least COMMON texts of a sample of about COMMON_BYTES, sorted; in how many; the sample's share)."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    share = min(1.0, COMMON_BYTES / max(1, size))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingled(t.as_py(), words).view(np.int64))], ["shingle"])
+
+    found = docs.sample(share, 3).select(text_col).mapInArrow(task, "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON).toArrow()
+    shingle, n = found["shingle"].to_numpy().view(np.uint64), found["count"].to_numpy()
+    rising = np.argsort(shingle)
+    return shingle[rising], n[rising], share
+
+
+def sketches(docs: DataFrame, words: int, bits: int, ratio: float, id_col: str, text_col: str) -> DataFrame:
+    """row, doc_id, twin, fp, rare (shingles to meet by), hot (those of them that more than LEAF texts have, by the sample)."""
+    common, often, share = common_shingles(docs, words, text_col)
+    known = docs.sparkSession.sparkContext.broadcast((common, often, common[often > LEAF * share]))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_, n, hot = known.value
+        for b in batches:
+            fps, kept = [], ([], [])
+            for t in b.column(3):
+                fp, shingles = sketch(t.as_py(), words, bits)
+                rare = rarest(shingles, ratio, all_, n)
+                on = np.isin(rare, hot)
+                fps.append(fp)
+                for held, some in zip(kept, (rare[~on], rare[on]), strict=True):
+                    held.append(some.view(np.int64))
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, k)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *k]))) for k in kept]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], _column(np.array(fps, np.uint64).reshape(-1, bits // 64)), *lists], ["row", "doc_id", "twin", "fp", "rare", "hot"])
+
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("twin"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(task, "row long, doc_id long, twin long, fp binary, rare array<long>, hot array<long>")
 
 
 #: Links of one text that are checked together.
@@ -436,33 +595,45 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def reach_of(similarity: float, bits: int) -> int:
-    """Bits by which texts of a Jaccard similarity differ: what is expected for two texts of one length, and two and a half
+    """Bits by which texts of a Jaccard similarity differ: what is expected for two texts of one length, and three and a half
     standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + 2.5 * math.sqrt(bits * p * (1 - p)))
+    return math.floor(bits * p + 3.5 * math.sqrt(bits * p * (1 - p)))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 3, bits: int = 64, ratio: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, twin (hash of the text), fp (binary), component_id, root (binary, of the component).
+    """A row for each row of docs: doc_id, twin (hash of the text), fp (binary), component_id, root (of the component).
 
     Fingerprints within `reach` bits are linked; component_id is the smallest doc_id that can be reached. By ratio (say
-    0.8), fingerprints are made of distinct shingles, as the similarity is, and only texts whose numbers of distinct shingles can stand in that ratio are compared: those in the same or the next band
-    of that width; what is within reach is then held against the texts, every pair whose ends aren't linked already, and those
-    whose shingles have a Jaccard similarity of at least ratio are linked (root is then the least twin of the component). Texts without words and null texts have fingerprint 0 and are linked like any other. Null doc_ids
-    count as larger than all others, so a component of nothing else has a null component_id. Other columns are ignored;
-    rows alike are kept; an empty table gives an empty result. Equal fingerprints are one point, whatever their number.
+    0.8), fingerprints are made of distinct shingles, as the similarity is; texts that share one of their rarest shingles,
+    as all that are so alike must, and lie within reach are held against each other, and those whose shingles have a
+    Jaccard similarity of at least ratio are linked (root is then the least twin of the component). Texts without words
+    and null texts have fingerprint 0 (by ratio: one and the same) and are linked like any other. Null doc_ids
+    count as larger than all others, so a component of nothing else has a null component_id. A very long text is one
+    point, read whole. Other columns are ignored; rows alike are kept; an empty table gives an empty result. Equal
+    fingerprints (by ratio: texts) are one point, whatever their number.
     """
-    marked = cut(fingerprints(docs, words, bits, id_col, text_col, distinct=ratio is not None))
-    band = F.floor(F.log(F.greatest("shingles", F.lit(1))) / math.log(1 / ratio)).cast("int") if ratio else F.lit(None).cast("int")
     if ratio:
-        points = cut(marked.groupBy("twin", "fp", band.alias("band")).agg(F.min("doc_id").alias("first")))
-        roots = verified(points, docs, words, reach, bits, ratio, text_col)
-        homes = points.join(roots, F.col("twin") == F.col("node"), "left").select("twin", F.coalesce("root", "twin").alias("root"), "first")
+        marked = cut(sketches(docs, words, bits, ratio, id_col, text_col))
+        firsts = marked.groupBy("twin").agg(F.min("row").alias("row"), F.min("doc_id").alias("first"))
+        points = cut(marked.join(firsts.select("row", "first"), "row").select("twin", "fp", "first", "rare", "hot"))
+        found = cut(met(points.select(F.explode("rare").alias("shingle"), "twin")))
+        candidates = cut(apart_by(found.where("shingle IS NULL").select("a", "b").distinct(), points, reach, bits))
+        large = found.where("shingle IS NOT NULL").select("shingle", F.col("a").alias("twin")).unionByName(points.select(F.explode("hot").alias("shingle"), "twin"))
+        sizes = cut(large.groupBy("shingle").agg(F.count("*").alias("n")))
+        most = _depth(sizes.agg(F.max("n")).first()[0] or 0)
+        depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF)).cast("int"))
+        dealt = large.join(sizes, "shingle").join(points.select("twin", "fp"), "twin").select(F.col("shingle").alias("band"), "twin", "fp", depth.alias("depth"))
+        leaves = cut(routed(cut(dealt), reach, bits, most))
+        n = points.count()
+        roots = verified(candidates, leaves, docs, words, ratio, reach, bits, n, text_col)
+        homes = points.select("twin", "first").join(roots, F.col("twin") == F.col("node"), "left").select("twin", F.coalesce("root", "twin").alias("root"), "first")
         homes = homes.join(homes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("twin", "root", "component_id")
-        return marked.join(homes, "twin").select("doc_id", "twin", "fp", "component_id", "root")
-    points = cut(marked.groupBy("fp", band.alias("band")).agg(F.min("doc_id").alias("first")))
+        return marked.select("doc_id", "twin", "fp").join(homes, "twin").select("doc_id", "twin", "fp", "component_id", "root")
+    marked = cut(fingerprints(docs, words, bits, id_col, text_col))
+    points = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(pairs(points, reach, bits))
-    named = points.groupBy("fp").agg(F.min("first").alias("first")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
+    named = points.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     homes = named.join(least, "root").select("fp", "component_id", "root")
     return marked.join(homes, "fp").select("doc_id", "twin", "fp", "component_id", "root")

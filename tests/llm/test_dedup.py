@@ -2,10 +2,11 @@ import hashlib
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from loomgraph.llm import simhash
 from loomgraph.llm.exact_dedup import DigestIndex, exact_dedup
 from loomgraph.llm.line_dedup import LINES, PARAGRAPHS, SENTENCES, dedup_units, digest, units
 from loomgraph.llm.simhash import components, fingerprint, forest, forests, links, near_duplicates, reach_of, shingled
@@ -65,7 +66,7 @@ def test_exact_dedup_against_brute_force(docs, texts):
 
 
 def _fp(text, words=3):
-    return int(fingerprint(text, words)[0][0])
+    return int(fingerprint(text, words)[0])
 
 
 def test_fingerprint_bits():
@@ -147,30 +148,51 @@ def test_checked_near_duplicates_link_by_exact_similarity(spark):
     assert got == dict(enumerate(want))
 
 
-def test_no_pair_within_reach_is_left_unchecked(spark, monkeypatch):
-    """Templated documents, whose nearest neighbours are false pairs, and texts that share a fingerprint."""
-    from loomgraph.llm import simhash
-
+@pytest.mark.parametrize("one_fingerprint, small, leaf", [(False, 32, 16384), (False, 4, 16384), (True, 4, 40)])
+def test_no_pair_within_reach_is_left_unchecked(spark, monkeypatch, one_fingerprint, small, leaf):
+    """Templated documents, whose nearest neighbours are false pairs, and texts that share a fingerprint; shingles that few
+    share, and ones that go to trees of one leaf or several."""
     template = [f"t{i}" for i in range(404)]
     texts = []
-    for k in range(100):
+    for k in range(50):
         own = [f"o{k}x{i}" for i in range(96)]
         texts.append(template + own)
-        if k < 30:  # the planted pair: J about 0.82
+        if k < 15:  # the planted pair: J about 0.82
             texts.append(template[:-1] + [f"c{k}"] + own[:48] + [f"p{k}x{i}" for i in range(48)])
     texts = [" ".join(t) for t in texts]
-    monkeypatch.setattr(simhash, "CHECKS", 500, raising=False)
-    monkeypatch.setattr(simhash, "GIVEN", 2000, raising=False)
+    for name, value in (("CHECKS", 2000), ("GIVEN", 4000), ("THIN", 8), ("SMALL", small), ("LEAF", leaf), ("COMMON", 1000 if small == 4 else 3)):
+        monkeypatch.setattr(simhash, name, value)
+    if one_fingerprint:
+        monkeypatch.setattr(simhash, "sketch", lambda t, words, bits: (np.zeros(bits // 64, np.uint64), shingled(t, words)))
     sets = [set(shingled(t, 5).tolist()) for t in texts]
-    for one_fingerprint in (False, True):
-        if one_fingerprint:
-            monkeypatch.setattr(simhash, "fingerprint", lambda t, words=3, bits=64, *a: (np.zeros(bits // 64, np.uint64), len(shingled(t, words))))
-        fps = [simhash.fingerprint(t, 5, 128)[0] for t in texts]
-        near = [(i, j) for i in range(len(texts)) for j in range(i) if np.bitwise_count(fps[i] ^ fps[j]).sum() <= reach_of(0.8, 128) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-        assert len(near) >= 20
-        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, 5, reach_of(0.8, 128), 128, 0.8).collect()}
-        assert got == dict(enumerate(_components(len(texts), near)))
+    fps = [simhash.sketch(t, 5, 128)[0] for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if np.bitwise_count(fps[i] ^ fps[j]).sum() <= reach_of(0.8, 128) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(near) >= 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, 5, reach_of(0.8, 128), 128, 0.8).collect()}
+    assert got == dict(enumerate(_components(len(texts), near)))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 60), max_size=6), st.lists(st.integers(0, 60), unique=True, max_size=20))
+def test_alike_sets_share_one_of_their_rarest(a, change, common):
+    b = a ^ change
+    known = np.array(sorted(common), np.uint64), np.array([3 + c % 4 for c in sorted(common)])
+    x, y = (set(simhash.rarest(np.array(sorted(s), np.uint64), 0.8, *known).tolist()) for s in (a, b or a))
+    if len(a & b) >= 0.8 * len(a | b):
+        assert x & y
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 50)), max_size=150))
+def test_what_meets_by_shingles(spark, rows):
+    by = {}
+    for s, t in rows:
+        by.setdefault(s, set()).add(t)
+    few = {s: t for s, t in by.items() if len(t) <= simhash.SMALL}
+    want = {(a, b) for t in few.values() for a in t for b in t if a < b}, {(s, a) for s, t in by.items() if s not in few for a in t}
+    got = simhash.met(spark.createDataFrame(rows, "shingle long, twin long")).collect()
+    assert ({(r["a"], r["b"]) for r in got if r["shingle"] is None}, {(r["shingle"], r["a"]) for r in got if r["shingle"] is not None}) == want
 
 
 def test_repeats_do_not_move_candidates_apart(spark):
@@ -222,7 +244,7 @@ def test_near_duplicates_against_brute_force(docs, texts):
     assert all(int.from_bytes(r["fp"], "big") == fp[i] for i, r in got.items())
 
 
-def test_bands_keep_pairs_of_similar_length(spark):
+def test_near_copies_of_similar_length(spark):
     text = " ".join(f"w{i}" for i in range(300))
     df = spark.createDataFrame([(1, text), (2, text + " and two more"), (3, " ".join(f"v{i}" for i in range(300)))], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(df, 5, reach_of(0.8, 128), 128, 0.8).collect()}
