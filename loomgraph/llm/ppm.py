@@ -28,6 +28,8 @@ ORDER = 6
 ESCAPE = 0.3
 #: Bytes of the texts of a block, and of the texts whose grams a part is planned for.
 BLOCK, PART = 6 << 20, 8 << 20
+#: Bytes of a block whose grams are held at once.
+SLICE = 2 << 20
 #: Bytes of text from which it is told which contexts are too frequent for a part, and how often a context must be in them
 #: for that. They decide balance, never results.
 SAMPLE, SEEN = 8 << 20, 16
@@ -253,14 +255,14 @@ def _pieces(packed: dict, order: int) -> tuple[list[bytes], list[bytes]]:
 
 
 def _slices(pieces: list[bytes], contexts: list[bytes], order: int) -> Iterator[np.ndarray]:
-    """The grams of pieces, some at a time: at most about twice BLOCK, also of a piece that is longer."""
+    """The grams of pieces, some at a time: at most about twice SLICE, also of a piece that is longer."""
     held: list[tuple[bytes, bytes]] = []
     size = 0
     for p, c in zip(pieces, contexts, strict=True):
-        for at in range(0, len(p), BLOCK):
-            held.append((p[at : at + BLOCK], c if not at else p[at - order : at]))
+        for at in range(0, len(p), SLICE):
+            held.append((p[at : at + SLICE], c if not at else p[at - order : at]))
             size += len(held[-1][0])
-            if size >= BLOCK:
+            if size >= SLICE:
                 yield grams(*map(list, zip(*held, strict=True)), order)
                 held, size = [], 0
     if held:
