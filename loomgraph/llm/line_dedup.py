@@ -29,23 +29,30 @@ def units(text: str, ends: re.Pattern) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
+def n_words(unit: str) -> int:
+    """The words of a unit, where two letters of a script without spaces count as a word too."""
+    n = len(unit.encode("utf-8", "surrogatepass").split())
+    return n if unit.isascii() or not n else max(n, len(_UNSPACED.findall(unit)) // 2)
+
+
 def digest(unit: str, min_words: int) -> bytes | None:
-    """128 bits of the words in lower case (A-Z only) joined by single spaces; None for fewer than min_words words, where
-    two letters of a script without spaces count as a word too."""
+    """128 bits of the words in lower case (A-Z only) joined by single spaces; None for fewer than min_words words."""
     w = unit.encode("utf-8", "surrogatepass").lower().split()
-    if len(w) < min_words and (not w or unit.isascii() or len(_UNSPACED.findall(unit)) < 2 * min_words):
+    if len(w) < min_words and (not w or unit.isascii() or n_words(unit) < min_words):
         return None
     return hashlib.md5(b" ".join(w)).digest()
 
 
-def dedup_units(docs: DataFrame, ends: str = LINES, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", inner: str | None = None, inner_words: int = 5) -> DataFrame:
+def dedup_units(docs: DataFrame, ends: str = LINES, min_words: int = 5, id_col: str = "doc_id", text_col: str = "text", inner: str | None = None, inner_words: int = 5, run_words: int = 0) -> DataFrame:
     """A row for each row of docs: doc_id, text, n_units, n_removed, removed (array of start, end, first_id).
 
     A text is divided into units, each with the separator behind it. Of all units of the table that are alike when
     normalised (A-Z in lower case, single spaces) the earliest stays, that of the smallest doc_id and then of the first
-    place in the text; the others are cut out. Units of fewer than min_words words always stay. If inner is given, the units that don't go as a
-    whole are divided by it, and of those parts and all units the earliest stays as well; parts of fewer than inner_words
-    words always stay; n_units then counts the parts. Spans are offsets into
+    place in the text; the others are cut out. Units of fewer than min_words words always stay. If inner is given, the
+    units that don't go as a whole are divided by it, and of those parts and all units the earliest stays as well; parts
+    of fewer than inner_words words always stay; n_units then counts the parts. With run_words, what repeats is cut out
+    only where units that repeat, one after the other, have so many words together: a passage goes, a phrase or a line that
+    many documents happen to have stays. Units that always stay don't end such a run. Spans are offsets into
     the original text in code points, ends exclusive; first_id is the document whose unit stays.
     A null text gives null, an empty one '', with no units. Null doc_ids come last; documents are told apart by doc_id
     and text, so rows alike in both share their fate and count as one. Other columns are ignored; an empty table gives an
@@ -97,21 +104,41 @@ def dedup_units(docs: DataFrame, ends: str = LINES, min_words: int = 5, id_col:
             for i, text, told in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 spans = list(divided(text or ""))
                 known = {x["digest"]: x for x in told or ()}
-                gone = []
-
-                def repeats(start: int, end: int, least: int) -> bool:
-                    x = known.get(digest(text[start:end], least))
+                gone: list[dict] = []
+                run: list[dict] = []
+                length = 0
+
+                def repeats(start: int, end: int, least: int) -> bool | None:
+                    """Whether a unit repeats an earlier one; None for one that always stays."""
+                    nonlocal length
+                    d = digest(text[start:end], least)
+                    if d is None:
+                        return None
+                    x = known.get(d)
                     if x and not x["own"]:
-                        gone.append({"start": start, "end": end, "first_id": x["first_id"]})
+                        run.append({"start": start, "end": end, "first_id": x["first_id"]})
+                        length += n_words(text[start:end])
                         return True
                     if x:
                         x["own"] = False  # the first one stays
                     return False
 
+                def ended() -> None:
+                    nonlocal length
+                    if length >= run_words:
+                        gone.extend(run)
+                    run.clear()
+                    length = 0
+
                 for start, end, parts in spans if known else ():
-                    if not repeats(start, end, min_words):
+                    told_ = repeats(start, end, min_words)
+                    if not told_ and parts:
                         for a, b in parts:
-                            repeats(a, b, inner_words)
+                            if repeats(a, b, inner_words) is False:
+                                ended()
+                    elif told_ is False:
+                        ended()
+                ended()
                 if gone:
                     edges = [0, *(e for g in gone for e in (g["start"], g["end"])), len(text)]
                     text = "".join(text[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))

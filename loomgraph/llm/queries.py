@@ -61,7 +61,7 @@ def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomgraph.llm.line_dedup import LINES, WITHIN, dedup_units
 
-    return dedup_units(_documents(spark, sf_dir), LINES, min_words=1, inner=WITHIN)
+    return dedup_units(_documents(spark, sf_dir), LINES, inner=WITHIN, run_words=25)
 
 
 def op7_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

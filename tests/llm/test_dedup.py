@@ -284,20 +284,53 @@ def test_units_against_brute_force(docs, texts):
     assert {r["doc_id"]: r["text"] for r in dedup_units(docs, SENTENCES).collect()} == want
 
 
-def test_repeated_lines_go_whatever_their_sentences(spark, tmp_path):
+def test_repeated_passages_go_and_common_lines_stay(spark, tmp_path):
     from loomgraph.llm.line_dedup import WITHIN
     from loomgraph.llm.queries import op9_repeated_units
 
-    line, boiler, han = "ERWHED.!! EDHEEA!! ANTHEA?", "They said the anea. Eriner thanea.", "这是一个在两篇文章里重复的句子。"
-    rows = [(1, f"first\n{line}\n{boiler}\n{han}\nOk"), (2, f"second\n{line.lower()}\n{boiler}\nnew words here. {boiler}\nOk\n\nend"), (3, f"前言不同。{han}\nshort. {line}")]
+    boiler, han = "They said the anea. Eriner thanea and all.", "".join(f"这是第{c}个在两篇文章里重复的句子。" for c in "一二三四五")
+    line = " ".join(f"w{i}" for i in range(30))
+    some = ["one two three four five six.", "Seven eight nine ten eleven twelve.", "Ok.", "A sentence of the passage has these words.", "And the last one has seven more."]
+    rows = [(1, f"first of all texts here\n{line}\n{boiler}\n{han}\n{' '.join(some)}"), (2, f"second of all the texts\n{line.upper()}\n{boiler}\nnew words are in here. {boiler}\nOk\n\nend"), (3, f"前言不同。{han}\nBefore it come some other words. {' '.join(some)} After it come some more words.")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in op9_repeated_units(spark, str(tmp_path)).collect()}
     assert got[1]["text"] == rows[0][1] and got[1]["n_removed"] == 0
-    assert got[2]["text"] == "second\nnew words here. They said the anea. Eriner thanea.\n\nend"  # sentences of four words stay within a line
-    assert got[3]["text"] == f"前言不同。short. {line}"
+    assert got[2]["text"] == f"second of all the texts\nnew words are in here. {boiler}\nOk\n\nend"  # the line and the one after it are a run
+    assert got[3]["text"] == "前言不同。Before it come some other words. Ok. After it come some more words."
+    assert {s["first_id"] for r in got.values() for s in r["removed"]} == {1}
     once = spark.createDataFrame([(1, "One line of five words or more. \r\nAnd another of as many words! \n")], "doc_id long, text string")
     assert dedup_units(once, LINES, min_words=1, inner=WITHIN).first()["n_removed"] == 0
-    assert [s["first_id"] for s in got[2]["removed"]] == [1, 1, 1] and [s["first_id"] for s in got[3]["removed"]] == [1]
+
+
+def test_runs_against_brute_force(spark, docs, texts):
+    import re
+
+    from loomgraph.llm.line_dedup import WITHIN, n_words
+
+    seen, want = set(), {}
+    for i in sorted(texts):
+        flags = []  # (start, end, True: repeats, False: doesn't, None: always stays)
+        for a, b in units(texts[i], re.compile(LINES)):
+            d = digest(texts[i][a:b], 5)
+            parts = list(units(texts[i][a:b], re.compile(WITHIN)))
+            if d in seen or len(parts) == 1:
+                flags.append((a, b, None if d is None else d in seen))
+                seen |= {d} - {None}
+                continue
+            seen |= {d} - {None}
+            for x, y in parts:
+                e = digest(texts[i][a + x : a + y], 5)
+                flags.append((a + x, a + y, None if e is None else e in seen))
+                seen |= {e} - {None}
+        gone, run = set(), []
+        for k, (a, b, again) in [*enumerate(flags), (-1, (0, 0, False))]:
+            if again:
+                run.append(k)
+            elif again is False:
+                gone |= set(run) if sum(n_words(texts[i][flags[r][0] : flags[r][1]]) for r in run) >= 25 else set()
+                run = []
+        want[i] = "".join(texts[i][a:b] for k, (a, b, _) in enumerate(flags) if k not in gone)
+    assert {r["doc_id"]: r["text"] for r in dedup_units(docs, LINES, inner=WITHIN, run_words=25).collect()} == want
 
 
 def test_two_levels_against_brute_force(spark, docs, texts):
