@@ -1,10 +1,15 @@
+import math
+from collections import Counter
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from loomgraph.llm.mixing import mix, schedule
-from loomgraph.llm.packing import pack, plan
+from loomgraph.llm import packing
+from loomgraph.llm.packing import best_fit as best_fit_lengths
+from loomgraph.llm.packing import cost_of, pack, plan, price
 from loomgraph.llm.sharding import best_fit, shard
 from loomgraph.llm.sharding import pack as pack_shards
 
@@ -77,11 +82,71 @@ def test_plan_places_each_piece_once(lengths):
         assert at <= 64
 
 
-def test_plan_is_best_fit():
-    # 40 opens a bin of 64, into which 24 fits exactly; 17 and 15 share one
-    runs = plan({40: 1, 24: 1, 17: 1, 15: 1}, (16, 32, 64), 1)
-    where = {r[0]: r[4] for r in runs}
-    assert where[40] == where[24] and where[17] == where[15] != where[40]
+def _contents(runs):
+    bins = {}
+    for length, _, n, each, first, _ in runs:
+        for r in range(n):
+            bins.setdefault(first + r // each, []).append(length)
+    return sorted(map(sorted, bins.values()))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=40), st.sampled_from([(64,), (16, 64), (8, 16, 32, 64)]))
+def test_ranges_of_bins_are_those_of_single_pieces(pieces, sizes):
+    """Best fit one piece after the other: into the tightest bin that takes it, else a new one of least cost per token."""
+    rest, bins, order = sum(pieces), [], sorted(pieces, reverse=True)
+    for k, p in enumerate(order):
+        fit = [(s - sum(own), i) for i, (s, own) in enumerate(bins) if s - sum(own) >= p]
+        if fit:
+            bins[min(fit)[1]][1].append(p)
+            continue
+        left = sum(1 for x in order[k:] if x == p) * p
+        rest = sum(x for x in order if x <= p)
+        size = min((s for s in sizes if s >= p), key=lambda s: (price(s, 2, 64) / min(s // p * p if rest - order.count(p) * p <= 0 else s, rest), -s))
+        bins += [(size, []) for _ in range(-(-(left // p) // (size // p)))]
+        bins[min((s - sum(own), i) for i, (s, own) in enumerate(bins) if s - sum(own) >= p)[1]][1].append(p)
+    runs, opened = best_fit_lengths(Counter(pieces), sizes, 2, 64)
+    assert _contents(runs) == sorted(sorted(own) for _, own in bins if own)
+    assert sum(many for _, _, many, _ in opened) == len(_contents(runs))
+
+
+def _least(pieces, sizes):
+    """The least cost of all ways to put pieces into bins."""
+    best = math.inf
+
+    def place(k, bins):
+        nonlocal best
+        if k == len(pieces):
+            best = min(best, sum(price(min(s for s in sizes if s >= b), 2, 64) for b in bins))
+            return
+        for i in range(len(bins)):
+            if bins[i] + pieces[k] <= sizes[-1]:
+                place(k + 1, [*bins[:i], bins[i] + pieces[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, pieces[k]])
+
+    place(0, [])
+    return best
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=6))
+def test_plan_against_all_ways_and_single_sizes(pieces):
+    sizes = (16, 32, 64)
+    cost = sum(price(min(s for s in sizes if s >= sum(b)), 2, 64) for b in _contents(plan(Counter(pieces), sizes, 2, 64)))
+    assert _least(pieces, sizes) - 1e-9 <= cost <= 1.25 * _least(pieces, sizes)
+    for s in sizes:
+        if s >= max(pieces):
+            alone = sum(price(min(t for t in sizes if t >= sum(b)), 2, 64) for b in _contents(best_fit_lengths(Counter(pieces), (s,), 2, 64)[0]))
+            assert cost <= alone + 1e-9
+
+
+def test_several_sizes_beat_one():
+    rng = np.random.default_rng(4)
+    lengths = Counter(np.minimum(8192, rng.lognormal(6.2, 1.1, 5000).astype(int) + 1).tolist())
+    costs = {s: cost_of(best_fit_lengths(lengths, s, 32, 8192)[1], packing.SIZES, 32, 8192) for s in [(8192,), packing.SIZES]}
+    bins = _contents(plan(lengths))
+    chosen = sum(price(min(s for s in packing.SIZES if s >= sum(b)), 32, 8192) for b in bins)
+    assert chosen <= 0.9 * costs[8192,] and len({min(s for s in packing.SIZES if s >= sum(b)) for b in bins}) > 2
 
 
 def test_packing_of_documents(docs, texts):
