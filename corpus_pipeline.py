@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut
+from loomgraph.llm.common import ascii_lower, cut
 from loomgraph.llm.exact_dedup import exact_dedup
 from loomgraph.llm.language_id import identify
 from loomgraph.llm.mixing import mix
@@ -26,47 +26,74 @@ def _alike(a: list, b: list):
     return on
 
 
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be none of the columns of docs."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents in which a language can be told: with letters, and not unlike all that has been learned."""
+    """Keeps the documents in which a language can be told: with letters, and not unlike all that has been learned.
+
+    Null, empty and letterless texts go; without any labelled text all documents do. Each row is told by its own text, so
+    ties and repeated rows share their fate, and very long texts are read whole. An empty table stays empty.
+    """
     told = identify(docs, F.lit(True), whole=True)
     return told.where("lang_pred <> 'und' AND cosine > 0").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z in lower case), the row with the smallest doc_id stays; of rows alike in both, one."""
-    from loomgraph.llm.common import ascii_lower
+    """Of equal texts (A-Z in lower case), the row with the smallest doc_id stays; of rows alike in both, one.
 
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    Null and empty texts are equal; null doc_ids come last. Texts are compared whole, however long. An empty table stays
+    empty.
+    """
+    id_, key, own = _free(docs, "id", "sha", "own")
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(key))
     sha = F.sha2(ascii_lower(F.coalesce("text", F.lit(""))).cast("binary"), 256)
-    found = docs.withColumn("_own", sha).join(kept, _alike([F.col("doc_id"), F.col("_own")], [F.col("_id"), F.col("_sha")]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    found = docs.withColumn(own, sha).join(kept, _alike([F.col("doc_id"), F.col(own)], [F.col(id_), F.col(key)]), "left_semi")
+    return found.dropDuplicates(["doc_id", own]).select(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id stays (null doc_ids last)."""
+    """Of each group of near copies, the document with the smallest doc_id stays (null doc_ids last).
+
+    Texts without words, null ones too, are one group. Of rows alike in doc_id and text, all stay if their text does: the
+    stage before leaves one. Texts are compared whole, however long. An empty table stays empty.
+    """
+    id_, key = _free(docs, "id", "key")
     told = near_duplicates(docs, WORDS, reach_of(SIMILARITY, BITS), BITS, SIMILARITY)
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("_id"), F.col("twin").alias("_twin"))
-    kept = told.groupBy("root").agg(F.min(order).alias("first")).select("first._id", "first._twin")
-    return docs.join(kept, _alike([F.col("doc_id"), F.xxhash64("text")], [F.col("_id"), F.col("_twin")]), "left_semi")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("twin"))
+    kept = told.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.id").alias(id_), F.col("first.twin").alias(key))
+    return docs.join(kept, _alike([F.col("doc_id"), F.xxhash64("text")], [F.col(id_), F.col(key)]), "left_semi")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: whole texts, and where it is taken in part, its first words.
 
-    n_chars is that of the text that goes on. Documents that the mix doesn't take, go.
+    n_chars is that of the text that goes on. Documents that the mix doesn't take, go, as do those without words, null and
+    empty texts among them. Rows alike in doc_id and text share what is taken of them. An empty table stays empty.
     """
-    taken = mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("taken").alias("_taken"), F.col("size").alias("_size"))
-    found = docs.join(taken, _alike([F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))], [F.col("_id"), F.col("_tie")]))
-    whole, part = F.floor(F.col("_taken") / F.col("_size")).cast("int"), F.pmod("_taken", "_size")
-    turns = F.explode(F.concat(F.array_repeat(F.lit(None).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>"))))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("_part").cast("int")), "")
-    text = F.when(F.col("_part").isNull(), F.col("text")).otherwise(first)
-    made = found.withColumn("_part", turns).withColumn("text", text).withColumn("n_chars", F.when(F.col("_part").isNull(), F.col("n_chars")).otherwise(F.length("text")))
+    id_, tie, took, size, part = _free(docs, "id", "tie", "took", "size", "part")
+    taken = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias(id_), F.col("tie").alias(tie)).agg(F.max("taken").alias(took), F.max("size").alias(size))
+    found = docs.join(taken, _alike([F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))], [F.col(id_), F.col(tie)]))
+    whole, rest = F.floor(F.col(took) / F.col(size)).cast("int"), F.pmod(took, size)
+    turns = F.explode(F.concat(F.array_repeat(F.lit(None).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>"))))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col(part).cast("int")), "")
+    text = F.when(F.col(part).isNull(), F.col("text")).otherwise(first)
+    made = found.withColumn(part, turns).withColumn("text", text)
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.when(F.col(part).isNull(), F.col("n_chars")).otherwise(F.length("text")))
     return made.select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
+    """Where each piece of each document goes, by pack(): null and empty texts are a token, very long ones are cut, rows alike
+    are packed one by one, an empty table gives an empty result."""
     return pack(docs)
 
 
