@@ -16,9 +16,12 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; only where that is unset, one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir; only where that is unset and all is one machine, as in
+    tests, one of our own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(path)
     return path

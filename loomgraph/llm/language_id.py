@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 DIMENSIONS, NGRAM, SEED = 512, 3, 20
 #: Code points handled at once, about; and the largest table of n-gram codes that is counted directly.
 BLOCK, DIRECT = 2_000_000, 1 << 22
+#: n-grams of a block up to which their vectors are kept; n-grams whose vectors are added up at once.
+FEW, STEP = 1 << 16, 1 << 13
 
 
 class Letters:
@@ -42,8 +44,8 @@ class Profiles:
     def __init__(self, dimensions: int = DIMENSIONS, n: int = NGRAM):
         self.letters, self.n = Letters(dimensions), n
 
-    def counted(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(vectors of the distinct n-grams, number of the n-gram at each place, text at each place, letters per text).
+    def counted(self, texts: list[str]) -> tuple[Grams, np.ndarray, np.ndarray, np.ndarray]:
+        """(the distinct n-grams, number of the n-gram at each place, text at each place, letters per text).
 
         Each run of what is no letter is one gap; a text begins and ends with one."""
         points = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -66,12 +68,31 @@ class Profiles:
             number = number[code]
         else:  # where m**n is beyond 63 bits, codes may coincide: n-grams then share a vector
             there, number = np.unique(code, return_inverse=True)
-        base = np.array([self.letters.vector(c) for c in known.tolist()], np.int8).reshape(m, -1)
-        vectors, rest = np.ones((len(there), base.shape[1]), np.int8), there
-        for shift in range(n):
-            rest, last = rest // m, rest % m
-            vectors *= np.roll(base, shift, 1)[last]
-        return vectors, number, text, found
+        return Grams(there, np.array([self.letters.vector(c) for c in known.tolist()], np.int8).reshape(m, -1), n), number, text, found
+
+
+class Grams:
+    """Distinct n-grams, as codes over the letters of base. Their vectors are kept only where there are few of them."""
+
+    def __init__(self, codes: np.ndarray, base: np.ndarray, n: int):
+        self.codes, self.base, self.n = codes, base, n
+        self.table = self._vectors(codes) if len(codes) <= FEW else None
+
+    def _vectors(self, rest: np.ndarray) -> np.ndarray:
+        out = np.ones((len(rest), self.base.shape[1]), np.int8)
+        for shift in range(self.n):
+            rest, last = rest // len(self.base), rest % len(self.base)
+            out *= np.roll(self.base, shift, 1)[last]
+        return out
+
+    def bundle(self, which: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The sums of the vectors of the n-grams numbered by which, each as often as counts (the last axis) says."""
+        out = np.zeros((*counts.shape[:-1], self.base.shape[1]))
+        for at in range(0, len(which), STEP):
+            some = which[at : at + STEP]
+            vectors = self.table[some] if self.table is not None else self._vectors(self.codes[some])
+            out += counts[..., at : at + STEP].astype(np.float32) @ vectors.astype(np.float32)
+        return out
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,11 +115,13 @@ def learn(labelled: DataFrame, dimensions: int = DIMENSIONS, n: int = NGRAM) ->
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles, sums = Profiles(dimensions, n), {}
         for rows in _blocks(batches):
-            vectors, number, text, _ = profiles.counted(rows.column(0).to_pylist())
+            found, number, text, _ = profiles.counted(rows.column(0).to_pylist())
             names, of = np.unique(rows.column(1).to_pylist(), return_inverse=True)
-            counts = np.bincount(of[text] * len(vectors) + number, minlength=len(names) * len(vectors)).reshape(len(names), -1)
-            for name, own in zip(names.tolist(), counts.astype(np.float64) @ vectors.astype(np.float64) if len(vectors) else np.zeros((len(names), dimensions)), strict=True):
-                sums[name] = sums.get(name, 0) + own
+            own = of[text]
+            by_name = np.argsort(own.astype(np.uint16) if len(names) < 1 << 16 else own, kind="stable")
+            for name, places in zip(names.tolist(), np.split(number[by_name], np.cumsum(np.bincount(own, minlength=len(names)))[:-1]), strict=True):
+                counts = np.bincount(places, minlength=len(found.codes))
+                sums[name] = sums.get(name, 0) + found.bundle(np.arange(len(counts)), counts)
         for name, own in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * dimensions), pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(own)], ["lang", "at", "v"])
 
@@ -125,14 +148,14 @@ def identify(docs: DataFrame, training: Column, dimensions: int = DIMENSIONS, n:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = Profiles(dimensions, n)
         for rows in _blocks(batches):
-            vectors, number, text, letters = profiles.counted(rows.column(0).to_pylist())
+            grams, number, text, letters = profiles.counted(rows.column(0).to_pylist())
             many = rows.num_rows
             edges = np.searchsorted(text, np.arange(many + 1))
             cosine, best = np.full(many, np.nan), np.zeros(many, np.int64)
             for i in np.flatnonzero(letters > 0).tolist() if names else ():
                 counts = np.bincount(number[edges[i] : edges[i + 1]])
                 there = np.flatnonzero(counts)
-                own = counts[there].astype(np.float32) @ vectors[there].astype(np.float32)
+                own = grams.bundle(there, counts[there])
                 if norm := float(np.sqrt(own @ own)):
                     near = prototypes @ own / norm
                     best[i] = near.argmax()

@@ -337,3 +337,26 @@ def test_templates_beyond_what_is_sent(spark, monkeypatch):
     want = sorted(tuple(r) for r in extract(pages).collect())
     monkeypatch.setattr(html_extract, "SENT", 0)
     assert sorted(tuple(r) for r in extract(pages).collect()) == want
+
+
+def test_profiles_in_steps(monkeypatch):
+    """The vectors of many n-grams, added up in steps without being kept, are those of the definition."""
+    from loomgraph.llm import language_id
+
+    rng = np.random.default_rng(2)
+    text = "".join(chr(0x4E00 + c) for c in rng.integers(0, 900, 3000)) + " ab, abc"
+    want = None
+    for few, step in ((1 << 16, 1 << 13), (10, 100)):
+        monkeypatch.setattr(language_id, "FEW", few)
+        monkeypatch.setattr(language_id, "STEP", step)
+        profiles = language_id.Profiles()
+        found, number, _, letters = profiles.counted([text])
+        counts = np.bincount(number)
+        got = found.bundle(np.arange(len(counts)), counts)
+        want = got if want is None else want
+        assert np.allclose(got, want) and letters[0] == 3005
+    chars, total = [0, *(ord(c) for c in text[:3000]), 0, 97, 98, 0, 97, 98, 99, 0], np.zeros(512)
+    for a, b, c in zip(chars, chars[1:], chars[2:], strict=False):
+        x, y, z = (profiles.letters.vector(k).astype(int) for k in (a, b, c))
+        total += z * np.roll(y, 1) * np.roll(x, 2)
+    assert np.allclose(want, total)
