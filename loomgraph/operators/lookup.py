@@ -20,7 +20,7 @@ def resolve(triples: DataFrame, wanted: DataFrame, vocabulary: X.Vocabulary) ->
     spaces = F.array(*[F.struct(F.lit(i + 2).alias("rank"), F.concat(F.lit(ns), F.col("term")).alias("iri")) for i, ns in enumerate(vocabulary.prefixes.values())]) if vocabulary.prefixes else F.array().cast("array<struct<rank:int,iri:string>>")
     prefixed = F.lit(None).cast("string")
     for prefix, ns in vocabulary.prefixes.items():
-        prefixed = F.when(F.col("term").startswith(prefix + ":"), F.concat(F.lit(ns), F.substring("term", len(prefix) + 2, 1 << 20))).otherwise(prefixed)
+        prefixed = F.when(F.col("term").startswith(prefix + ":"), F.concat(F.lit(ns), F.substr("term", F.lit(len(prefix) + 2)))).otherwise(prefixed)
     full = F.when(F.col("term").startswith("http") | F.col("term").startswith("urn:"), F.struct(F.lit(0).alias("rank"), F.col("term").alias("iri")))
     tried = F.concat(F.array(full, F.when(prefixed.isNotNull(), F.struct(F.lit(1).alias("rank"), prefixed.alias("iri")))), spaces)
     by_iri = t.select("term", F.explode(F.filter(tried, lambda x: x.isNotNull())).alias("x")).select("term", "x.rank", F.col("x.iri").alias("s")).join(subjects, "s", "left_semi")

@@ -35,7 +35,7 @@ def relation_documents(documents: DataFrame) -> DataFrame:
     """
     lines = documents.select("s", F.posexplode(F.split("text", "\n")).alias("line", "x"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("head"))
     subject = F.when(F.col("head").startswith("## "), F.regexp_extract("head", r"^## (.*) \(", 1)).otherwise(F.col("head"))
-    return lines.where("line > 0 AND (startswith(x, '- ') OR startswith(x, '정의: '))").select("s", "line", F.concat(subject, F.lit(" — "), F.when(F.col("x").startswith("- "), F.substring("x", 3, 1 << 20)).otherwise(F.col("x"))).alias("text"))
+    return lines.where("line > 0 AND (startswith(x, '- ') OR startswith(x, '정의: '))").select("s", "line", F.concat(subject, F.lit(" — "), F.when(F.col("x").startswith("- "), F.substr("x", F.lit(3))).otherwise(F.col("x"))).alias("text"))
 
 
 def chunks(documents: DataFrame, order: str, text: str = "text", size: int = 400, overlap: int = 80, buckets: int = 64) -> DataFrame:
@@ -128,7 +128,7 @@ def name_index(triples: DataFrame, vocabulary: X.Vocabulary) -> DataFrame:
 
 def with_aliases(names: DataFrame) -> DataFrame:
     inner = F.regexp_replace("name", r"\)+$", "")
-    both = F.when(F.contains("name", F.lit("(")) & F.col("name").endswith(")"), F.filter(F.array(F.trim(F.substring_index(inner, "(", 1)), F.trim(F.substring(inner, F.instr(inner, "(") + 1, 1 << 20))), lambda x: F.length(x) >= 2))
+    both = F.when(F.contains("name", F.lit("(")) & F.col("name").endswith(")"), F.filter(F.array(F.trim(F.substring_index(inner, "(", 1)), F.trim(F.substr(inner, F.instr(inner, "(") + 1))), lambda x: F.length(x) >= 2))
     return names.select(F.explode(F.concat(F.array("name"), F.coalesce(both, F.array().cast("array<string>")))).alias("name"), "node").distinct()
 
 

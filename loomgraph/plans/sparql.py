@@ -33,7 +33,7 @@ def _is_iri(k: Column) -> Column:
 
 def _text(k: Column) -> Column:
     """A term's own text: an IRI without brackets, a literal without its datatype and language."""
-    return F.when(_is_iri(k), F.substring(k, 2, 1 << 28).substr(F.lit(1), F.length(k) - 2)).when(k.startswith('"'), F.regexp_extract(k, r'(?s)^"(.*)"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?$', 1)).otherwise(k)
+    return F.when(_is_iri(k), k.substr(F.lit(2), F.length(k) - 2)).when(k.startswith('"'), F.regexp_extract(k, r'(?s)^"(.*)"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?$', 1)).otherwise(k)
 
 
 def _datatype(k: Column) -> Column:

@@ -106,9 +106,9 @@ def union_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ask(spark, sf_dir, "SELECT ?x ?band WHERE { { ?x p:balance ?b . FILTER(?b < 0 && CONTAINS(STR(?x), 'customer')) BIND('low' AS ?band) } UNION { ?x a cls:Supplier ; p:balance ?b . FILTER(?b > 9000) BIND('high' AS ?band) } }", "customer", "supplier", schema=False)
 
 
-@query("""SELECT 'data:customer_' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+@query("""SELECT 'data:customer_' || c_custkey AS c FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')""")
 def filter_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ask(spark, sf_dir, "SELECT ?c WHERE { ?c p:balance ?b . FILTER NOT EXISTS { ?o p:placedBy ?c } }", "customer", "orders", schema=False)
+    return _ask(spark, sf_dir, "SELECT ?c WHERE { ?c p:balance ?b . FILTER NOT EXISTS { ?o p:placedBy ?c ; p:status 'F' } }", "customer", "orders", schema=False)
 
 
 @query("""
@@ -604,17 +604,72 @@ def agg_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("kind", F.get("parts", F.lit(0)).alias("bank"), "answer", "text")
 
 
-@query(f"""WITH {_REC}, t AS (SELECT kind, name, r2, rank() OVER (PARTITION BY kind ORDER BY r2 DESC) AS n FROM p JOIN o USING (k) WHERE kind IN ('deposit', 'saving') AND term = '12' AND r2 <> 0) SELECT kind, min(name) AS answer FROM t WHERE n = 1 GROUP BY kind HAVING count(*) = 1""")
+@query(f"""WITH {_REC}, t AS (SELECT kind, name, rank() OVER (PARTITION BY kind ORDER BY CASE kind WHEN 'deposit' THEN r2 + k::DECIMAL(20,6) ELSE r2 END DESC) AS n FROM p JOIN o USING (k) WHERE kind IN ('deposit', 'saving') AND term = '12' AND r2 <> 0) SELECT kind, min(name) AS answer FROM t WHERE n = 1 GROUP BY kind HAVING count(*) = 1""")
 def superlative_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workload.aggregates(*_loaded(spark, sf_dir))["agg_superlative"].select("kind", "answer")
+    """Deposits, told apart by their codes, have a highest rate of their own; savings have ties and so no answer."""
+    p, o = _loaded(spark, sf_dir)
+    own = F.when(F.col("kind") == "deposit", F.regexp_extract("code", r"([0-9]+)$", 1).cast("decimal(20,6)")).otherwise(0)
+    return workload.aggregates(p, o.withColumn("intr_rate2", F.col("intr_rate2") + own))["agg_superlative"].select("kind", "answer")
 
 
-@query(f"""WITH {_REC} SELECT kind, bank, string_agg(name, ', ' ORDER BY name) AS answer FROM p WHERE kind IN ('deposit', 'saving') GROUP BY ALL HAVING count(*) BETWEEN 2 AND 5""")
+@query(f"""WITH {_REC} SELECT kind, bank || '-' || (k // 10) % 10 AS bank, string_agg(name, ', ' ORDER BY name) AS answer FROM p WHERE kind IN ('deposit', 'saving') GROUP BY ALL HAVING count(*) BETWEEN 2 AND 5""")
 def enumerate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = workload.aggregates(*_loaded(spark, sf_dir))["enumerate_products"]
+    """Branches of a bank with two to five products of a kind."""
+    p, o = _loaded(spark, sf_dir)
+    rows = workload.aggregates(p.withColumn("bank", F.concat("bank", F.lit("-"), F.substring("code", 8, 1))), o)["enumerate_products"]
     return rows.select("kind", F.get("parts", F.lit(0)).alias("bank"), "answer")
 
 
+def _by_key(rows: DataFrame, *more: Column) -> DataFrame:
+    key = F.from_json("ord", "array<string>")
+    return rows.select("kind", key[1].alias("bank"), key[2].alias("code"), *more, "answer")
+
+
+@query(f"""
+WITH {_REC}, f AS (SELECT p.*, o.*, row_number() OVER (PARTITION BY p.k ORDER BY (term = '12') DESC, r, r2, term) AS n FROM p JOIN o USING (k) WHERE kind = 'saving')
+SELECT kind, bank, code, term, format('{{:g}}', r2::DOUBLE) AS answer FROM f WHERE n = 1 AND r2 <> 0
+""")
+def max_rate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_key(workload.rates(_loaded(spark, sf_dir)[1])["max_rate_lookup"], F.get("parts", F.lit(1)).alias("term"))
+
+
+@query(f"""
+WITH {_REC}, a AS (SELECT *, p_size % 40 + 10 AS age FROM p WHERE k % 3 = 0)
+SELECT kind, bank, code, x.v::VARCHAR AS age, x.says AS answer FROM (SELECT *, unnest([{{'v': age + 3, 'says': 'YES'}}, {{'v': age - 3, 'says': 'NO'}}]) AS x FROM a) WHERE x.v > 0
+""")
+def age_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_key(workload.conditions(_loaded(spark, sf_dir)[0])["age_condition"], F.get("parts", F.lit(1)).alias("age"))
+
+
+@query(f"""WITH {_REC} SELECT DISTINCT kind, bank, code, CASE WHEN k % 10 < 8 THEN '단리' ELSE '복리' END AS answer FROM p JOIN o USING (k) WHERE kind IN ('deposit', 'saving')""")
+def interest_calc_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_key(workload.option_facts(_loaded(spark, sf_dir)[1])["interest_calc_type"])
+
+
+@query(f"""
+WITH {_REC}, t AS (SELECT kind, bank, code, bool_or(term IN ('6', '12')) AS fix, bool_or(term NOT IN ('6', '12')) AS free FROM p JOIN o USING (k) WHERE kind IN ('mortgage', 'rent') GROUP BY ALL)
+SELECT kind, bank, code, CASE WHEN fix THEN '고정금리' ELSE '변동금리' END AS type, 'YES' AS answer FROM t
+UNION ALL SELECT kind, bank, code, CASE WHEN fix THEN '변동금리' ELSE '고정금리' END, 'NO' FROM t WHERE NOT (fix AND free)
+""")
+def loan_rate_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_key(workload.option_facts(_loaded(spark, sf_dir)[1])["loan_rate_type"], F.get("parts", F.lit(1)).alias("type"))
+
+
+@query(f"""WITH {_REC} SELECT kind, bank, code, format('{{:g}}', r2::DOUBLE) AS answer FROM p JOIN o USING (k) WHERE kind = 'credit' AND term = '6' AND r2 <> 0""")
+def credit_avg_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_key(workload.option_facts(_loaded(spark, sf_dir)[1])["credit_avg_rate"])
+
+
+@query(f"""WITH {_REC} SELECT kind, bank, code, format('{{:,}}', p_size * 1000000) || '원' AS answer FROM p WHERE k % 7 = 0""")
+def max_limit_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_key(workload.conditions(_loaded(spark, sf_dir)[0])["max_limit_lookup"])
+
+
+@query(f"""WITH {_REC} SELECT kind, bank, code, CASE WHEN k % 7 <> 0 THEN '최고 한도' ELSE '우대금리 조건' END AS field, '공시에 해당 정보 없음' AS answer FROM p WHERE k % 7 <> 0 OR k % 4 <> 0""")
+def abstain_missing_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _by_key(workload.conditions(_loaded(spark, sf_dir)[0])["abstain_missing_field"], F.get("parts", F.lit(1)).alias("field"))
+
+
 @query("""SELECT p_partkey, CAST(round(CAST(10000000 AS DECIMAL(20,0)) * CAST(p_size AS DECIMAL(10,2)) / 7 * 3 / 100, 0) AS BIGINT) * 0 + CAST(round(100000 * CAST(p_size AS DECIMAL(12,2)) + 0, 0) AS BIGINT) AS interest, CAST(round(CAST(p_size AS DECIMAL(12,2)) * 100000 * 0.846, 0) AS BIGINT) AS after_tax FROM part""")
 def interest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ten = F.lit(10_000_000)
