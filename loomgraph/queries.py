@@ -392,11 +392,11 @@ def ontology_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def scenario_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of three scenarios on a question for each nation, whose evidence is its region."""
+    """Metrics of all nine scenarios on a question for each nation, whose evidence is its region."""
     triples = settled(star.graph(spark, sf_dir, "nation", "region"))
     n, r = star.table(spark, sf_dir, "nation"), star.table(spark, sf_dir, "region")
     asked = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("qid"), F.concat(F.lit("Where is "), "n_name", F.lit("?")).alias("question"), F.array("n_name", "r_name").alias("gold"))
-    return V.Scenarios(triples, VOC).evaluate(asked, ["S2", "S6", "S9"])
+    return V.Scenarios(triples, VOC).evaluate(asked)
 
 
 # -- contexts ----------------------------------------------------------------------------------------------------------
