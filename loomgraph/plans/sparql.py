@@ -42,7 +42,9 @@ def _datatype(k: Column) -> Column:
 
 
 def _number(k: Column) -> Column:
-    return F.when(_datatype(k).isin(*X.NUMERIC), _text(k).try_cast("decimal(38,10)"))
+    """The value of a numeric literal, told by what follows its text: no pattern is matched."""
+    end = F.substring_index(k, '"^^<', -1)
+    return F.when(end.isin(*[f"{dt}>" for dt in X.NUMERIC]), k.substr(F.lit(2), F.length(k) - F.length(end) - 5).try_cast("decimal(38,10)"))
 
 
 @dataclass
@@ -138,7 +140,12 @@ class Compiler:
         if kind == "inv":
             return self.pairs(path[1]).select(F.col("b").alias("a"), F.col("a").alias("b"))
         if kind == "seq":
-            return self.pairs(path[1]).select("a", F.col("b").alias("m")).join(self.pairs(path[2]).select(F.col("a").alias("m"), "b"), "m").select("a", "b")
+            first, then = path[1], path[2]
+            if then[0] in ("star", "opt"):  # what the first part reaches reaches itself: no other term needs to
+                left = self.pairs(first)
+                on = self.beyond(then).where("a <> b").select(F.col("a").alias("m"), F.col("b").alias("c"))
+                return left.unionByName(left.join(on, F.col("b") == F.col("m")).select("a", F.col("c").alias("b")))
+            return self.pairs(first).select("a", F.col("b").alias("m")).join(self.pairs(then).select(F.col("a").alias("m"), "b"), "m").select("a", "b")
         if kind == "alt":
             return self.pairs(path[1]).unionByName(self.pairs(path[2]))
         if kind == "not":
@@ -146,16 +153,19 @@ class Compiler:
             every = self.triple(("var", "a"), ("var", "p"), ("var", "b")).df
             out = every.where(~F.col("p").isin([f"<{i}>" for i in ahead])).select("a", "b") if ahead or not back else every.select("a", "b").limit(0)
             return out.unionByName(every.where(~F.col("p").isin([f"<{i}>" for i in back])).select(F.col("b").alias("a"), F.col("a").alias("b"))) if back else out
-        step = self.pairs(path[1])
+        if kind == "plus":
+            return self.beyond(path)
         own = self.triple(("var", "a"), ("var", "p"), ("var", "b")).df.select(F.explode(F.array("a", "b")).alias("a")).distinct().select("a", F.col("a").alias("b"))
-        if kind == "opt":
-            return step.unionByName(own).distinct()
-        reached = closure(step, "a", "b", reflexive=False).select(F.col("desc").alias("a"), F.col("anc").alias("b"))
-        return reached if kind == "plus" else reached.unionByName(own).distinct()
+        return self.beyond(path).unionByName(own).distinct()
+
+    def beyond(self, path: tuple) -> DataFrame:
+        """(a, b) for what a path of any length (or of one step, if optional) reaches by one step or more."""
+        step = self.pairs(path[1])
+        return step.distinct() if path[0] == "opt" else closure(step, "a", "b", reflexive=False).select(F.col("desc").alias("a"), F.col("anc").alias("b"))
 
     def along(self, s: tuple, path: tuple, o: tuple) -> Solutions:
-        df = self.pairs(path)
         zero = path[0] in ("star", "opt")
+        df = self.beyond(path) if zero and "var" != s[0] or zero and "var" != o[0] else self.pairs(path)
         for end in (s, o):  # a constant reaches itself, even if no triple has it
             if zero and end[0] != "var":
                 df = df.unionByName(self.spark.range(1).select(F.lit(_constant(end)).alias("a"), F.lit(_constant(end)).alias("b"))).distinct()
