@@ -138,7 +138,8 @@ def identify(docs: DataFrame, training: Column, dimensions: int = DIMENSIONS, n:
     training picks the rows to learn from, those with a text and a language. A text's vector is the sum of its n-grams'
     vectors, over the whole text; the language whose prototype has the largest cosine with it is predicted (of equal
     ones, the first by name). score is (1 + cosine) / 2. A null text and one without letters give 'und', score 0 and a
-    null cosine, as does every text if there is nothing to learn from. Other columns are ignored.
+    null cosine, as does every text if there is nothing to learn from. Very long texts are read whole, with memory by their
+    length; rows alike are told alike, and all are kept. Other columns are ignored; an empty table gives an empty result.
     """
     base = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).cast("long").alias("doc_id"), training.alias("training"), *[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] * whole)
     learned = learn(base.where("training AND text IS NOT NULL AND lang IS NOT NULL"), dimensions, n)

@@ -74,7 +74,9 @@ def shard(docs: DataFrame, shards: int = 24) -> DataFrame:
     text equals an empty one. Shards have nearly equal bytes unless a group alone is larger than an equal share: it then
     has a shard to itself. Within a shard, slots number the rows from 0 in an order shuffled by doc_id.
     The driver packs size classes, not groups: sizes that differ sum up to the input at most, so there are at most
-    sqrt(2 * bytes) of them. An empty table gives an empty result; other columns are ignored.
+    sqrt(2 * bytes) of them. Groups of equal bytes are told apart by their text's digest. Rows alike have
+    slots of their own, as do rows without a doc_id, in either order; a very long text is a row like any other, by its bytes.
+    An empty table gives an empty result; other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))
     slim = cut(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("digest"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("key")))
