@@ -534,38 +534,64 @@ def sketches(docs: DataFrame, words: int, bits: int, ratio: float, id_col: str,
     return slim.mapInArrow(task, "row long, doc_id long, twin long, fp binary, rare array<long>, hot array<long>")
 
 
-#: Links of one text that are checked together.
-TOGETHER = 32
+#: Links of one text that are checked together; bytes of a shingle's hash that are dealt for that.
+TOGETHER, SHORT = 32, 6
+
+
+def _short(shingles: np.ndarray) -> bytes:
+    """The upper bytes of sorted shingles, which sort alike."""
+    return shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SHORT].tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // SHORT, 8), np.uint8)
+    out[:, 8 - SHORT :] = np.frombuffer(raw, np.uint8).reshape(-1, SHORT)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many numbers two sorted lists of different numbers share."""
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
 
 
 def checked(edges: DataFrame, docs: DataFrame, words: int, similarity: float, text_col: str = "text") -> DataFrame:
-    """The edges (a, b), hashes of texts, whose texts have a Jaccard similarity of shingles of at least that, exactly.
+    """The edges (a, b), hashes of texts, whose texts have a Jaccard similarity of shingles of at least that, each shingle
+    told by 48 bits of its hash.
 
-    Of an edge, the end with more edges is the head; a head's edges are dealt in parts of about TOGETHER, each with a copy
-    of the head's text in front. A task holds the shingles of two texts at a time.
+    Each text's shingles are made once. Of an edge, the end with more edges is the head; a head's edges are dealt in parts
+    of about TOGETHER, each with a copy of the head's shingles in front. A task holds the shingles of two texts at a time.
     """
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     degree = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count())
     named = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
-    texts = cut(picked(named, degree.select(F.col("node").alias("digest"))).groupBy("digest").agg(F.min("text").alias("text")).join(degree, F.col("digest") == F.col("node"), "left_semi"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for digest, text in zip(b.column(0), b.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([digest.as_py()], pa.int64()), pa.array([_short(shingled(text.as_py(), words))], pa.binary())], ["digest", "set"])
+
+    once = picked(named, degree.select(F.col("node").alias("digest"))).groupBy("digest").agg(F.min("text").alias("text")).join(degree, F.col("digest") == F.col("node"), "left_semi")
+    texts = cut(once.mapInArrow(sets, "digest long, set binary"))
     of = [degree.select(F.col("node").alias(x), F.col("count").alias(f"n_{x}")) for x in ("a", "b")]
     known = edges.join(of[0], "a").join(of[1], "b")
     first = F.col("n_a") >= F.col("n_b")
     led = known.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("head"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"), F.ceil(F.greatest("n_a", "n_b") / TOGETHER).alias("parts"))
     led = cut(led.select("head", F.pmod(F.xxhash64("other"), F.col("parts")).alias("part"), "other"))
-    others = led.join(texts, F.col("other") == F.col("digest")).select("head", "part", "other", "text")
-    heads = led.select("head", "part").distinct().join(texts, F.col("head") == F.col("digest")).select("head", "part", F.lit(None).cast("long").alias("other"), "text")
+    others = led.join(texts, F.col("other") == F.col("digest")).select("head", "part", "other", "set")
+    heads = led.select("head", "part").distinct().join(texts, F.col("head") == F.col("digest")).select("head", "part", F.lit(None).cast("long").alias("other"), "set")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.empty(0, np.uint64)
         for b in batches:
             kept = []
-            for head, other, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                s = shingled(text.as_py(), words)
+            for head, other, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                s = _long(raw.as_py())
                 if other is None:
                     own = s
                     continue
-                both = len(np.intersect1d(own, s, assume_unique=True))
+                both = _shared(own, s)
                 if both >= similarity * (len(own) + len(s) - both):
                     kept.append((head, other))
             a = np.array(kept, np.int64).reshape(-1, 2)
