@@ -1,8 +1,11 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from loomgraph.llm.queries import QUERIES
 
 
 def test_stages(spark, odd):
+    odd = odd.withColumns({c: F.lit(i) for i, c in enumerate(("_id", "id", "_sha", "own", "tie", "_took", "Part", "twin"))})
     docs = odd
     kept = []
     for name, stage in P.STAGES:
@@ -15,6 +18,11 @@ def test_stages(spark, odd):
     assert first == {1, 2, 5, 7, None, 10}
 
 
+def test_stages_of_no_documents(spark, none):
+    for _, stage in P.STAGES:
+        assert stage(spark, none, "").count() == 0
+
+
 def test_near_copies_go_and_clean_documents_stay(spark):
     words = [[f"w{k}x{i}" for i in range(400)] for k in range(4)]
     near = list(words[0])
