@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgraph.llm.vector_sql import TOP_PRODUCTS, clusters
+
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -83,6 +85,20 @@ def op10_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from loomgraph.llm.topk import top_products
+
+    return top_products(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.centroids import cluster_vectors
+
+    return cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_piecewise_fingerprints": op1_piecewise_fingerprints,
     "op2_mix_sources": op2_mix_sources,
@@ -94,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ppm_scores": op7_ppm_scores,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_article_text": op10_article_text,
+    "op12_top_products": op12_top_products,
+    "op13_centroids": op13_centroids,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -121,4 +139,6 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
        doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
 FROM d
 """,
+    "op12_top_products": TOP_PRODUCTS,
+    "op13_centroids": clusters(),
 }
