@@ -39,6 +39,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_files(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df, cut, and the names of the files that it lies in."""
+    made = cut(df)
+    return made, sorted(made.inputFiles())
+
+
 @atexit.register
 def _clear() -> None:
     for spark, path in _written:

@@ -85,6 +85,12 @@ def op10_article_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomgraph.llm.alignment import align
+
+    return align(_documents(spark, sf_dir))
+
+
 def op12_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -110,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ppm_scores": op7_ppm_scores,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op10_article_text": op10_article_text,
+    "op11_token_alignment": op11_token_alignment,
     "op12_top_products": op12_top_products,
     "op13_centroids": op13_centroids,
 }
