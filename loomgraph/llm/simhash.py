@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import cut
@@ -357,30 +357,35 @@ def met(rows: DataFrame) -> DataFrame:
     return rows.select("shingle", "twin").repartition("shingle").sortWithinPartitions("shingle", "twin").mapInArrow(task, "shingle long, a long, b long")
 
 
-def apart_by(edges: DataFrame, points: DataFrame, reach: int, bits: int) -> DataFrame:
-    """(a, b, d) for those of the edges (a, b), twins of points (twin, fp), that are within reach: d bits apart."""
+def alike_in_size(edges: DataFrame, points: DataFrame, ratio: float) -> DataFrame:
+    """Those of the edges (a, b), twins of points (twin, size), whose sets of shingles are near enough in size to be so alike."""
+    of = [points.select(F.col("twin").alias(x), F.col("size").alias(f"size_{x}")) for x in ("a", "b")]
+    return edges.join(of[0], "a").join(of[1], "b").where(F.least("size_a", "size_b") >= F.lit(ratio) * F.greatest("size_a", "size_b") - 1e-9).drop("size_a", "size_b")
+
+
+def apart_by(edges: DataFrame, points: DataFrame, bits: int) -> DataFrame:
+    """(a, b, d) of the edges (a, b), twins of points (twin, fp): d bits apart."""
     of = [points.select(F.col("twin").alias(x), F.col("fp").alias(f"fp_{x}")) for x in ("a", "b")]
     joined = edges.join(of[0], "a").join(of[1], "b").select("a", "b", "fp_a", "fp_b")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             d = distance(_array(b.column(2), bits), _array(b.column(3), bits))
-            on = pa.array(d <= reach)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d.astype(np.int32))], ["a", "b", "d"]).filter(on)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d.astype(np.int32))], ["a", "b", "d"])
 
     return joined.mapInArrow(task, "a long, b long, d int")
 
 
-def verified(candidates: DataFrame, leaves: DataFrame, docs: DataFrame, words: int, similarity: float, reach: int, bits: int, points: int, text_col: str = "text") -> DataFrame:
+def verified(candidates: DataFrame, leaves: DataFrame, docs: DataFrame, words: int, similarity: float, reach: int, bits: int, points: DataFrame, twin: Column, text_col: str = "text") -> DataFrame:
     """(node, root): the components of all pairs of points, twins, whose texts have a similarity of at least that and that are
-    candidates (a, b, d) or within reach in a leaf (band, leaf, fp, asks, twin); root is the least twin that can be reached.
+    candidates (a, b, d bits apart) or within reach in a leaf (band, leaf, fp, asks, twin); root is the least twin that can be reached.
 
     First, ROUNDS times, each point's nearest candidate and forests of each leaf's nearest pairs between different
     components are checked. What pairs between components there are besides are then checked too, all of them; those of
     leaves in as many slices as it takes to give a round a bounded number: each pair is in one slice, and is left out only
     if its ends are in one component by then. So the result is that of checking every pair.
     """
-    roots = None
+    roots, n = None, points.count()
 
     def ends(table: pa.Table) -> tuple[np.ndarray, ...]:
         twin, first, at = np.unique(table["twin"].to_numpy(), return_index=True, return_inverse=True)
@@ -420,10 +425,10 @@ def verified(candidates: DataFrame, leaves: DataFrame, docs: DataFrame, words: i
 
     def learn(edges: DataFrame) -> None:
         nonlocal roots
-        edges = cut(edges.distinct())
+        edges = cut(alike_in_size(edges.distinct(), points, similarity))
         if edges.isEmpty():
             return
-        new = cut(checked(edges, docs, words, similarity, text_col))
+        new = cut(checked(edges, docs, words, similarity, twin, text_col))
         if roots is None:
             roots = components(new)
         elif not new.isEmpty():
@@ -445,7 +450,7 @@ def verified(candidates: DataFrame, leaves: DataFrame, docs: DataFrame, words: i
         leaves = cut(leaves.join(more, F.col("band").eqNullSafe(F.col("_band")) & (F.col("leaf") == F.col("_leaf")) & (F.col("twin") == F.col("_twin")), "left_semi"))
         empty = not left
     learn(open_pairs().select("a", "b"))
-    slices = max(int(left > 0), math.ceil(min(left, several) / max(CHECKS, points)), math.ceil(largest / GIVEN))
+    slices = max(int(left > 0), math.ceil(min(left, several) / max(CHECKS, n)), math.ceil(largest / GIVEN))
     for k in range(slices):
         learn(labelled(leaves, "twin", "label").groupBy("band", "leaf").applyInArrow(part_of(k, slices), "a long, b long"))
     return roots if roots is not None else candidates.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
@@ -511,27 +516,28 @@ def common_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndar
     return shingle[rising], n[rising], share
 
 
-def sketches(docs: DataFrame, words: int, bits: int, ratio: float, id_col: str, text_col: str) -> DataFrame:
-    """row, doc_id, twin, fp, rare (shingles to meet by), hot (those of them that more than LEAF texts have, by the sample)."""
+def sketches(docs: DataFrame, words: int, bits: int, ratio: float, twin: Column, id_col: str, text_col: str) -> DataFrame:
+    """row, doc_id, twin, fp, size (distinct shingles), rare (shingles to meet by), hot (those of them that more than LEAF texts have, by the sample)."""
     common, often, share = common_shingles(docs, words, text_col)
     known = docs.sparkSession.sparkContext.broadcast((common, often, common[often > LEAF * share]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_, n, hot = known.value
         for b in batches:
-            fps, kept = [], ([], [])
+            fps, sizes, kept = [], [], ([], [])
             for t in b.column(3):
                 fp, shingles = sketch(t.as_py(), words, bits)
+                sizes.append(len(shingles))
                 rare = rarest(shingles, ratio, all_, n)
                 on = np.isin(rare, hot)
                 fps.append(fp)
                 for held, some in zip(kept, (rare[~on], rare[on]), strict=True):
                     held.append(some.view(np.int64))
             lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, k)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *k]))) for k in kept]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], _column(np.array(fps, np.uint64).reshape(-1, bits // 64)), *lists], ["row", "doc_id", "twin", "fp", "rare", "hot"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], _column(np.array(fps, np.uint64).reshape(-1, bits // 64)), pa.array(sizes, pa.int64()), *lists], ["row", "doc_id", "twin", "fp", "size", "rare", "hot"])
 
-    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("twin"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(task, "row long, doc_id long, twin long, fp binary, rare array<long>, hot array<long>")
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), twin.alias("twin"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(task, "row long, doc_id long, twin long, fp binary, size long, rare array<long>, hot array<long>")
 
 
 #: Links of one text that are checked together; bytes of a shingle's hash that are dealt for that.
@@ -556,8 +562,8 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def checked(edges: DataFrame, docs: DataFrame, words: int, similarity: float, text_col: str = "text") -> DataFrame:
-    """The edges (a, b), hashes of texts, whose texts have a Jaccard similarity of shingles of at least that, each shingle
+def checked(edges: DataFrame, docs: DataFrame, words: int, similarity: float, twin: Column, text_col: str = "text") -> DataFrame:
+    """The edges (a, b), twins of docs, whose texts have a Jaccard similarity of shingles of at least that, each shingle
     told by 48 bits of its hash.
 
     Each text's shingles are made once. Of an edge, the end with more edges is the head; a head's edges are dealt in parts
@@ -565,7 +571,7 @@ def checked(edges: DataFrame, docs: DataFrame, words: int, similarity: float, te
     """
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     degree = cut(edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count())
-    named = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
+    named = docs.select(F.col(text_col).alias("text"), twin.alias("digest"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -620,39 +626,67 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
+#: The chance that two texts as alike as asked for differ in more bits than reach_of() tells.
+MISSED = 1e-6
+
+
 def reach_of(similarity: float, bits: int) -> int:
-    """Bits by which texts of a Jaccard similarity differ: what is expected for two texts of one length, and three and a half
-    standard deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + 3.5 * math.sqrt(bits * p * (1 - p)))
+    """Bits by which texts of a Jaccard similarity differ, but for the chance MISSED: each bit does with the probability that
+    two texts of one length give, or two of as few shingles as can have one of five of their own."""
+    p = max(math.acos(2 * similarity / (1 + similarity)) / math.pi, 3 / 16 if similarity <= 0.8 else 0.0)
+    beyond = 1.0
+    for reach in range(bits + 1):
+        beyond -= math.comb(bits, reach) * p**reach * (1 - p) ** (bits - reach)
+        if beyond < MISSED:
+            return reach
+    return bits
+
+
+#: Texts that share their hash with another text up to which they are told apart by a list in the plan.
+COLLIDING = 10_000
+
+
+def twins(docs: DataFrame, text_col: str = "text") -> Column:
+    """A number for each distinct text of docs: a hash, another one for those texts that share theirs with a different text.
+
+    Texts are told apart by their SHA-256. There are about three such texts among 10^10.
+    """
+    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
+    hashed = docs.select(sha.alias("sha")).withColumn("twin", F.xxhash64("sha"))
+    known = hashed.groupBy("twin").agg(F.min("sha").alias("first"), F.max("sha").alias("last")).where("first <> last").drop("last")
+    other = [r["sha"] for r in hashed.join(known, "twin").where("sha <> first").select("sha").distinct().limit(COLLIDING + 1).collect()] if not known.isEmpty() else []
+    if len(other) > COLLIDING:
+        raise ValueError("too many texts share their hash with another text")
+    return F.when(sha.isin(other), F.xxhash64(sha, F.lit("again"))).otherwise(F.xxhash64(sha)) if other else F.xxhash64(sha)
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 3, bits: int = 64, ratio: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: doc_id, twin (hash of the text), fp (binary), component_id, root (of the component).
+def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 3, bits: int = 64, ratio: float | None = None, id_col: str = "doc_id", text_col: str = "text", twin: Column | None = None) -> DataFrame:
+    """A row for each row of docs: doc_id, twin (of the text: see twins(), which gives it by ratio if it isn't given), fp (binary), component_id, root (of the component).
 
     Fingerprints within `reach` bits are linked; component_id is the smallest doc_id that can be reached. By ratio (say
     0.8), fingerprints are made of distinct shingles, as the similarity is; texts that share one of their rarest shingles,
-    as all that are so alike must, and lie within reach are held against each other, and those whose shingles have a
-    Jaccard similarity of at least ratio are linked (root is then the least twin of the component). Texts without words
+    as all that are so alike must, and are near enough in size are held against each other, and those whose shingles have
+    a Jaccard similarity of at least ratio are linked (root is then the least twin of the component). Those that share only
+    such rare shingles as more than SMALL texts have are held against each other if they lie within reach in trees. Texts without words
     and null texts have fingerprint 0 (by ratio: one and the same) and are linked like any other. Null doc_ids
     count as larger than all others, so a component of nothing else has a null component_id. A very long text is one
     point, read whole. Other columns are ignored; rows alike are kept; an empty table gives an empty result. Equal
     fingerprints (by ratio: texts) are one point, whatever their number.
     """
     if ratio:
-        marked = cut(sketches(docs, words, bits, ratio, id_col, text_col))
+        twin = twins(docs, text_col) if twin is None else twin
+        marked = cut(sketches(docs, words, bits, ratio, twin, id_col, text_col))
         firsts = marked.groupBy("twin").agg(F.min("row").alias("row"), F.min("doc_id").alias("first"))
-        points = cut(marked.join(firsts.select("row", "first"), "row").select("twin", "fp", "first", "rare", "hot"))
+        points = cut(marked.join(firsts.select("row", "first"), "row").select("twin", "fp", "size", "first", "rare", "hot"))
         found = cut(met(points.select(F.explode("rare").alias("shingle"), "twin")))
-        candidates = cut(apart_by(found.where("shingle IS NULL").select("a", "b").distinct(), points, reach, bits))
+        candidates = cut(apart_by(alike_in_size(found.where("shingle IS NULL").select("a", "b").distinct(), points, ratio), points, bits))
         large = found.where("shingle IS NOT NULL").select("shingle", F.col("a").alias("twin")).unionByName(points.select(F.explode("hot").alias("shingle"), "twin"))
         sizes = cut(large.groupBy("shingle").agg(F.count("*").alias("n")))
         most = _depth(sizes.agg(F.max("n")).first()[0] or 0)
         depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF)).cast("int"))
         dealt = large.join(sizes, "shingle").join(points.select("twin", "fp"), "twin").select(F.col("shingle").alias("band"), "twin", "fp", depth.alias("depth"))
         leaves = cut(routed(cut(dealt), reach, bits, most))
-        n = points.count()
-        roots = verified(candidates, leaves, docs, words, ratio, reach, bits, n, text_col)
+        roots = verified(candidates, leaves, docs, words, ratio, reach, bits, points, twin, text_col)
         homes = points.select("twin", "first").join(roots, F.col("twin") == F.col("node"), "left").select("twin", F.coalesce("root", "twin").alias("root"), "first")
         homes = homes.join(homes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("twin", "root", "component_id")
         return marked.select("doc_id", "twin", "fp").join(homes, "twin").select("doc_id", "twin", "fp", "component_id", "root")

@@ -165,14 +165,40 @@ def test_no_pair_within_reach_is_left_unchecked(spark, monkeypatch, one_fingerpr
     if one_fingerprint:
         monkeypatch.setattr(simhash, "sketch", lambda t, words, bits: (np.zeros(bits // 64, np.uint64), shingled(t, words)))
     sets = [set(shingled(t, 5).tolist()) for t in texts]
-    fps = [simhash.sketch(t, 5, 128)[0] for t in texts]
-    near = [(i, j) for i in range(len(texts)) for j in range(i) if np.bitwise_count(fps[i] ^ fps[j]).sum() <= reach_of(0.8, 128) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert len(near) >= 10
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, 5, reach_of(0.8, 128), 128, 0.8).collect()}
     assert got == dict(enumerate(_components(len(texts), near)))
 
 
+def test_short_texts_lose_no_link(spark):
+    """Pairs of 4 to 28 shingles that are as alike as they must be, or just not, most of them far apart in bits."""
+    texts, near = [], []
+    for k in range(1500):
+        n = (4, 5, 8, 12, 20, 28)[k % 6]
+        words = [f"w{k}x{i}" for i in range(n + 5)]
+        change = max(1, (n + 5) // 9)  # 1 of 5, 5 shingles of 25, and so on
+        texts += [" ".join(words[:-1]), " ".join(words if k % 12 < 9 else words[change:])]
+    sets = [set(shingled(t, 5).tolist()) for t in texts]
+    near = [(i, i + 1) for i in range(0, len(texts), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    fps = [simhash.sketch(t, 5, 128)[0] for t in texts]
+    assert len(near) > 500 and sum(np.bitwise_count(fps[i] ^ fps[j]).sum() > 33 for i, j in near) >= 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, 5, reach_of(0.8, 128), 128, 0.8).collect()}
+    assert got == dict(enumerate(_components(len(texts), near)))
+
+
+def test_texts_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    plain = simhash.F.xxhash64
+    monkeypatch.setattr(simhash.F, "xxhash64", lambda *c: plain(*c) if len(c) > 1 else plain(*c) % 4)
+    docs = spark.createDataFrame([(i, f"text {i // 2}") for i in range(40)] + [(50, None), (51, "")], "doc_id long, text string")
+    got = {}
+    for r in docs.withColumn("twin", simhash.twins(docs)).collect():
+        got.setdefault(r["twin"], set()).add(r["text"] or "")
+    assert sorted(map(sorted, got.values())) == sorted([""] if i < 0 else [f"text {i}"] for i in range(-1, 20))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 60), max_size=6), st.lists(st.integers(0, 60), unique=True, max_size=20))
 def test_alike_sets_share_one_of_their_rarest(a, change, common):

@@ -37,4 +37,4 @@ def test_near_copies_go_and_clean_documents_stay(spark):
 def test_run_and_registration(spark):
     packed = P.run(spark, "/root/testdata/sf0.001").toPandas()
     assert len(packed) and (packed["bin_offset"] + packed["length"] <= packed["bin_size"]).all()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
