@@ -13,7 +13,7 @@ from loomgraph.llm.exact_dedup import exact_dedup
 from loomgraph.llm.language_id import identify
 from loomgraph.llm.mixing import mix
 from loomgraph.llm.packing import pack
-from loomgraph.llm.simhash import near_duplicates, reach_of
+from loomgraph.llm.simhash import near_duplicates, reach_of, twins
 
 #: Near copies: texts whose shingles of five words have a similarity of 0.8 or more, told from fingerprints of 128 bits.
 WORDS, SIMILARITY, BITS = 5, 0.8, 128
@@ -66,10 +66,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stage before leaves one. Texts are compared whole, however long. An empty table stays empty.
     """
     id_, key = _free(docs, "id", "key")
-    told = near_duplicates(docs, WORDS, reach_of(SIMILARITY, BITS), BITS, SIMILARITY)
+    twin = twins(docs)
+    told = near_duplicates(docs, WORDS, reach_of(SIMILARITY, BITS), BITS, SIMILARITY, twin=twin)
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("twin"))
     kept = told.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.id").alias(id_), F.col("first.twin").alias(key))
-    return docs.join(kept, _alike([F.col("doc_id"), F.xxhash64("text")], [F.col(id_), F.col(key)]), "left_semi")
+    return docs.join(kept, _alike([F.col("doc_id"), twin], [F.col(id_), F.col(key)]), "left_semi")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
