@@ -45,12 +45,25 @@ def cut_files(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return made, sorted(made.inputFiles())
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def gone(*tables: DataFrame) -> None:
+    """Deletes the folders of tables that cut() wrote: nothing that is still to be computed may need them."""
+    for table in tables:
+        folders = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in table.inputFiles()}
+        for spark, path in [x for x in _written if x[1].rsplit("/", 1)[-1] in folders]:
+            _delete(spark, path)
+            _written.remove((spark, path))
+
+
 @atexit.register
 def _clear() -> None:
     for spark, path in _written:
         try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
         except Exception:  # the session may have ended before us
             return
 

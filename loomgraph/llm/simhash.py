@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import cut
+from loomgraph.llm.common import cut, gone
 from loomgraph.llm.exact_dedup import picked
 
 #: Fingerprints that one leaf of the upper tree is planned for, and the largest set that is compared all with all.
@@ -363,29 +363,17 @@ def alike_in_size(edges: DataFrame, points: DataFrame, ratio: float) -> DataFram
     return edges.join(of[0], "a").join(of[1], "b").where(F.least("size_a", "size_b") >= F.lit(ratio) * F.greatest("size_a", "size_b") - 1e-9).drop("size_a", "size_b")
 
 
-def apart_by(edges: DataFrame, points: DataFrame, bits: int) -> DataFrame:
-    """(a, b, d) of the edges (a, b), twins of points (twin, fp): d bits apart."""
-    of = [points.select(F.col("twin").alias(x), F.col("fp").alias(f"fp_{x}")) for x in ("a", "b")]
-    joined = edges.join(of[0], "a").join(of[1], "b").select("a", "b", "fp_a", "fp_b")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            d = distance(_array(b.column(2), bits), _array(b.column(3), bits))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d.astype(np.int32))], ["a", "b", "d"])
-
-    return joined.mapInArrow(task, "a long, b long, d int")
-
-
 def verified(candidates: DataFrame, leaves: DataFrame, docs: DataFrame, words: int, similarity: float, reach: int, bits: int, points: DataFrame, twin: Column, text_col: str = "text") -> DataFrame:
     """(node, root): the components of all pairs of points, twins, whose texts have a similarity of at least that and that are
-    candidates (a, b, d bits apart) or within reach in a leaf (band, leaf, fp, asks, twin); root is the least twin that can be reached.
+    candidates (a, b) or within reach in a leaf (band, leaf, fp, asks, twin); root is the least twin that can be reached.
 
-    First, ROUNDS times, each point's nearest candidate and forests of each leaf's nearest pairs between different
-    components are checked. What pairs between components there are besides are then checked too, all of them; those of
-    leaves in as many slices as it takes to give a round a bounded number: each pair is in one slice, and is left out only
-    if its ends are in one component by then. So the result is that of checking every pair.
+    All candidates are checked at once. Of leaves, forests of the nearest pairs between different components are checked
+    first, ROUNDS times; what pairs between components there are besides are then checked too, all of them, in as many
+    slices as it takes to give a round a bounded number: each pair is in one slice, and is left out only if its ends are
+    in one component by then. So the result is that of checking every pair.
     """
     roots, n = None, points.count()
+    none = candidates.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
 
     def ends(table: pa.Table) -> tuple[np.ndarray, ...]:
         twin, first, at = np.unique(table["twin"].to_numpy(), return_index=True, return_inverse=True)
@@ -420,40 +408,35 @@ def verified(candidates: DataFrame, leaves: DataFrame, docs: DataFrame, words: i
             return rows.withColumn(label, F.col(name))
         return rows.join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col(name) == F.col("_node"), "left").withColumn(label, F.coalesce("_root", name)).drop("_node", "_root")
 
-    def open_pairs() -> DataFrame:
-        return labelled(labelled(candidates, "a", "_a"), "b", "_b").where("_a <> _b").select("a", "b", "d")
-
     def learn(edges: DataFrame) -> None:
         nonlocal roots
-        edges = cut(alike_in_size(edges.distinct(), points, similarity))
-        if edges.isEmpty():
+        new = checked(alike_in_size(edges.distinct(), points, similarity), docs, words, similarity, twin, text_col)
+        if new.isEmpty():
             return
-        new = cut(checked(edges, docs, words, similarity, twin, text_col))
-        if roots is None:
-            roots = components(new)
-        elif not new.isEmpty():
-            roots = components(new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        known = new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        before, roots = roots, components(known)
+        gone(new, *[] if before is None else [before])
 
     left = largest = several = 0
-    empty = leaves.isEmpty()
-    for _ in range(ROUNDS):
-        each = open_pairs().select(F.explode(F.array(F.struct(F.col("a").alias("of"), "d", "a", "b"), F.struct(F.col("b").alias("of"), "d", "a", "b"))).alias("x"))
-        near = each.groupBy("x.of").agg(F.min(F.struct("x.d", "x.a", "x.b")).alias("x")).select("x.a", "x.b")
-        if empty:
-            learn(near)
-            continue
+    if leaves.isEmpty():
+        learn(candidates)
+        return roots if roots is not None else none
+    for k in range(ROUNDS):
         given = cut(labelled(leaves, "twin", "label").groupBy("band", "leaf").applyInArrow(forest_of, "band long, leaf long, a long, b long"))
-        learn(near.unionByName(given.where("leaf IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL").select("a", "b")))
+        nearest_pairs = given.where("leaf IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL").select("a", "b")
+        learn(nearest_pairs if k else nearest_pairs.unionByName(candidates))
         left, largest = given.where("a IS NULL").agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.max("b"), F.lit(0))).first()
         several = THIN * given.where("leaf IS NULL").select("a", "b").distinct().count()  # a pair may be in many leaves
         more = given.where("a IS NOT NULL AND b IS NULL").select(F.col("band").alias("_band"), F.col("leaf").alias("_leaf"), F.col("a").alias("_twin"))
-        leaves = cut(leaves.join(more, F.col("band").eqNullSafe(F.col("_band")) & (F.col("leaf") == F.col("_leaf")) & (F.col("twin") == F.col("_twin")), "left_semi"))
-        empty = not left
-    learn(open_pairs().select("a", "b"))
+        rest = cut(leaves.join(more, F.col("band").eqNullSafe(F.col("_band")) & (F.col("leaf") == F.col("_leaf")) & (F.col("twin") == F.col("_twin")), "left_semi"))
+        gone(given, leaves)
+        leaves = rest
+        if not left:
+            break
     slices = max(int(left > 0), math.ceil(min(left, several) / max(CHECKS, n)), math.ceil(largest / GIVEN))
     for k in range(slices):
         learn(labelled(leaves, "twin", "label").groupBy("band", "leaf").applyInArrow(part_of(k, slices), "a long, b long"))
-    return roots if roots is not None else candidates.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    return roots if roots is not None else none
 
 
 _FIRST, _NEXT = np.uint64(0x9E3779B97F4A7C15), 0xD6E8FEB86659FD93
@@ -604,7 +587,9 @@ def checked(edges: DataFrame, docs: DataFrame, words: int, similarity: float, tw
             yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["a", "b"])
 
     rows = others.unionByName(heads).repartition("head", "part").sortWithinPartitions("head", "part", F.col("other").asc_nulls_first())
-    return rows.mapInArrow(task, "a long, b long")
+    out = cut(rows.mapInArrow(task, "a long, b long"))
+    gone(edges, degree, texts, led)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -621,8 +606,10 @@ def components(edges: DataFrame) -> DataFrame:
         own = roots.select(F.col("node").alias("next"), F.col("root").alias("above"))
         new = cut(step.join(own, "next").select("node", F.least("next", "above").alias("root"), (F.least("next", "above") < F.col("root")).alias("moved")))
         settled = new.where("moved").isEmpty()
+        gone(roots)
         roots = new.select("node", "root")
         if settled:
+            gone(both)
             return roots
 
 
@@ -679,13 +666,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 3, bits: int =
         firsts = marked.groupBy("twin").agg(F.min("row").alias("row"), F.min("doc_id").alias("first"))
         points = cut(marked.join(firsts.select("row", "first"), "row").select("twin", "fp", "size", "first", "rare", "hot"))
         found = cut(met(points.select(F.explode("rare").alias("shingle"), "twin")))
-        candidates = cut(apart_by(alike_in_size(found.where("shingle IS NULL").select("a", "b").distinct(), points, ratio), points, bits))
+        candidates = cut(alike_in_size(found.where("shingle IS NULL").select("a", "b").distinct(), points, ratio))
         large = found.where("shingle IS NOT NULL").select("shingle", F.col("a").alias("twin")).unionByName(points.select(F.explode("hot").alias("shingle"), "twin"))
         sizes = cut(large.groupBy("shingle").agg(F.count("*").alias("n")))
         most = _depth(sizes.agg(F.max("n")).first()[0] or 0)
         depth = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / LEAF)).cast("int"))
         dealt = large.join(sizes, "shingle").join(points.select("twin", "fp"), "twin").select(F.col("shingle").alias("band"), "twin", "fp", depth.alias("depth"))
-        leaves = cut(routed(cut(dealt), reach, bits, most))
+        dealt = cut(dealt)
+        leaves = cut(routed(dealt, reach, bits, most))
+        gone(found, sizes, dealt)
         roots = verified(candidates, leaves, docs, words, ratio, reach, bits, points, twin, text_col)
         homes = points.select("twin", "first").join(roots, F.col("twin") == F.col("node"), "left").select("twin", F.coalesce("root", "twin").alias("root"), "first")
         homes = homes.join(homes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("twin", "root", "component_id")
