@@ -74,6 +74,36 @@ def closure(edges: DataFrame, a: str = "sub", b: str = "sup", max_depth: int | N
     return found.where("desc <> anc").unionByName(own.select(F.col("n").alias("desc"), F.col("n").alias("anc"), F.lit(0).alias("depth")))
 
 
+#: Steps that are followed one by one from what was found last, before steps are doubled.
+LEVELS = 6
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(seed, node), distinct: what each seed (first column) leads to along the edges from a to b, in one step or more.
+
+    Only what seeds lead to is followed. Past LEVELS steps each round doubles the length of the steps that it takes (pairs
+    of nodes exactly so many steps apart, as many as edges in a tree), so a chain of 1,000 ends after 10 more rounds; a
+    cycle ends when a round finds nothing new. Rounds are written to the shared folder.
+    """
+    e = settled(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).distinct())
+    start = seeds.select(F.col(seeds.columns[0]).alias("seed")).distinct()
+    along = lambda step, jump: step.join(jump, F.col("node") == F.col("x")).select("seed", F.col("y").alias("node")).distinct()
+    found = step = settled(along(start.withColumn("node", F.col("seed")), e))
+    for _ in range(LEVELS):
+        step = settled(along(step, e).join(found, ["seed", "node"], "left_anti"))
+        if step.isEmpty():
+            return found
+        found = found.unionByName(step)
+    # step: what was first found LEVELS + 1 steps away; jump: how far the next round goes.
+    beyond, jump = step, e
+    while True:
+        more = settled(along(beyond, jump).join(beyond, ["seed", "node"], "left_anti"))
+        if more.isEmpty():
+            return found.unionByName(beyond).distinct()
+        beyond = beyond.unionByName(more)
+        jump = settled(jump.join(jump.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y")).distinct())
+
+
 def typed_or_declared(triples: DataFrame) -> DataFrame:
     """(s): IRIs that something says the type of."""
     return triples.where((F.col("p") == X.TYPE) & (F.col("s_kind") == "iri")).select("s").distinct()

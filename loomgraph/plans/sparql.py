@@ -6,13 +6,15 @@ or ^^<datatype>; null is unbound. Joins compare those strings, so a literal's da
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import terms as X
-from loomgraph.operators.views import closure
+from loomgraph.operators.views import closure, reachable
+from loomgraph.plans.solutions import Solutions, joined, kept, other
+from loomgraph.plans.solutions import column as _c
 from loomgraph.plans.sparql_parser import Parser, Query, SparqlError
 
 
@@ -47,21 +49,6 @@ def _number(k: Column) -> Column:
     return F.when(end.isin(*[f"{dt}>" for dt in X.NUMERIC]), k.substr(F.lit(2), F.length(k) - F.length(end) - 5).try_cast("decimal(38,10)"))
 
 
-@dataclass
-class Solutions:
-    df: DataFrame
-    bound: set[str]
-    maybe: set[str]
-
-    @property
-    def names(self) -> set[str]:
-        return self.bound | self.maybe
-
-
-def _c(name: str) -> Column:
-    return F.col(f"`{name}`")
-
-
 class Value:
     """An expression's value: its term as a string, or what it is made of."""
 
@@ -99,18 +86,20 @@ class Value:
 
 
 class Compiler:
-    def __init__(self, triples: DataFrame, prefixes: dict[str, str] | None = None, counts: dict[str, int] | None = None):
-        """counts: triples by predicate, where they are known; patterns are then joined from the fewest on."""
+    def __init__(self, triples: DataFrame, prefixes: dict[str, str] | None = None, counts: dict[str, int] | None = None, by_predicate: Callable[[str], DataFrame] | None = None):
+        """counts: triples by predicate, where they are known; patterns are then joined from the fewest on. by_predicate:
+        gives the triples of one predicate, where that takes less than to look for them among all."""
         self.prefixes = {**(prefixes or {}), **X.STANDARD}
         self.counts = counts or {}
         self.spark: SparkSession = triples.sparkSession
-        self.triples = triples
+        self.triples, self.by_predicate = triples, by_predicate
+        self.flags = 0
 
     # patterns
-    def triple(self, s: tuple, p: tuple, o: tuple) -> Solutions:
+    def triple(self, s: tuple, p: tuple, o: tuple, known: Solutions | None = None) -> Solutions:
         if p[0] not in ("iri", "var"):
-            return self.along(s, p, o)
-        df = self.triples
+            return self.along(s, p, o, known)
+        df = self.by_predicate(p[1]) if self.by_predicate and p[0] == "iri" else self.triples
         if s[0] == "iri":
             df = df.where(F.col("s") == s[1])
         if p[0] == "iri":
@@ -163,48 +152,71 @@ class Compiler:
         step = self.pairs(path[1])
         return step.distinct() if path[0] == "opt" else closure(step, "a", "b", reflexive=False).select(F.col("desc").alias("a"), F.col("anc").alias("b"))
 
-    def along(self, s: tuple, path: tuple, o: tuple) -> Solutions:
-        zero = path[0] in ("star", "opt")
-        df = self.beyond(path) if zero and "var" != s[0] or zero and "var" != o[0] else self.pairs(path)
-        for end in (s, o):  # a constant reaches itself, even if no triple has it
-            if zero and end[0] != "var":
-                df = df.unionByName(self.spark.range(1).select(F.lit(_constant(end)).alias("a"), F.lit(_constant(end)).alias("b"))).distinct()
+    def led(self, path: tuple, seeds: DataFrame | str, ahead: bool) -> DataFrame:
+        """(a, b) term pairs that a path links and that begin (or end, if not ahead) at a seed (t), or at that constant: nothing
+        is followed that no seed leads to. A seed reaches itself by no step, even if no triple has it."""
+        kind = path[0]
+        as_rows = self.spark.range(1).select(F.lit(seeds).alias("t")) if isinstance(seeds, str) else seeds
+        near, far = ("a", "b") if ahead else ("b", "a")
+        if kind == "inv":
+            return self.led(path[1], seeds, not ahead).select(F.col("b").alias("a"), F.col("a").alias("b"))
+        if kind == "alt":
+            return self.led(path[1], seeds, ahead).unionByName(self.led(path[2], seeds, ahead))
+        if kind == "seq":
+            first, then = (path[1], path[2]) if ahead else (path[2], path[1])
+            one = self.led(first, seeds, ahead).select(F.col(near).alias("seed"), F.col(far).alias("m"))
+            two = self.led(then, one.select(F.col("m").alias("t")).distinct(), ahead).select(F.col(near).alias("m"), F.col(far).alias("end"))
+            return one.join(two, "m").select(F.col("seed").alias(near), F.col("end").alias(far))
+        if kind in ("star", "plus"):
+            out = reachable(self.pairs(path[1]), as_rows, near, far)
+            out = out.select(F.col("seed").alias(near), F.col("node").alias(far))
+        elif kind == "opt":
+            out = self.led(path[1], seeds, ahead).distinct()
+        elif isinstance(seeds, str):
+            return self.pairs(path).where(F.col(near) == seeds)
+        else:
+            return self.pairs(path).join(seeds.select(F.col("t").alias(near)).distinct(), near, "left_semi").select("a", "b")
+        if kind == "plus":
+            return out
+        return out.unionByName(as_rows.select(F.col("t").alias("a"), F.col("t").alias("b"))).distinct()
+
+    @staticmethod
+    def endless(path: tuple) -> bool:
+        return isinstance(path, tuple) and (path[0] in ("star", "plus", "opt") or path[0] in ("inv", "seq", "alt") and any(map(Compiler.endless, path[1:])))
+
+    def along(self, s: tuple, path: tuple, o: tuple, known: Solutions | None = None) -> Solutions:
+        """known: solutions that the path's will be joined with; a path of any length starts from what they bind."""
+        seeds, ahead = None, True
+        for at, end in ((True, s), (False, o)):
+            if seeds is None and end[0] != "var":
+                seeds, ahead = _constant(end), at
+        if seeds is None and known is not None and self.endless(path):
+            for at, end in ((True, s), (False, o)):
+                if seeds is None and end[1] in known.bound:
+                    seeds, ahead = known.df.select(_c(end[1]).alias("t")).distinct(), at
+        df = self.pairs(path) if seeds is None else self.led(path, seeds, ahead)
         if s[0] != "var":
             df = df.where(F.col("a") == _constant(s))
         if o[0] != "var":
             df = df.where(F.col("b") == _constant(o))
         return self.named(df, [(t, F.col(c)) for t, c in ((s, "a"), (o, "b")) if t[0] == "var"])
 
-    def bgp(self, triples: list) -> Solutions:
-        rest = sorted(triples, key=lambda t: (-(t[0][0] != "var") - (t[2][0] != "var"), self.counts.get(t[1][1] if t[1][0] == "iri" else "", 1 << 60)))
-        out = self.triple(*rest.pop(0))
+    def bgp(self, triples: list, known: Solutions | None = None) -> Solutions:
+        open_path = lambda t: self.endless(t[1]) and t[0][0] == "var" == t[2][0]
+        rest = sorted(triples, key=lambda t: (open_path(t), -(t[0][0] != "var") - (t[2][0] != "var"), self.counts.get(t[1][1] if t[1][0] == "iri" else "", 1 << 60)))
+        out = self.triple(*rest.pop(0), known=known)
         while rest:  # next to what is there already, so that no product arises where there need be none
             nxt = next((t for t in rest if {x[1] for x in t if x[0] == "var"} & out.names), rest[0])
             rest.remove(nxt)
-            out = self.join(out, self.triple(*nxt))
+            out = joined(out, self.triple(*nxt, known=out))
         return out
 
-    def join(self, a: Solutions, b: Solutions, how: str = "inner", on: Column | None = None) -> Solutions:
-        shared = sorted(a.names & b.names)
-        right = b.df.select(*[_c(n).alias(f"r {n}") for n in sorted(b.names)]) if b.names else b.df.select(F.lit(1).alias("r _"))
-        condition = F.lit(True)
-        for n in shared:
-            same = _c(n) == _c(f"r {n}")
-            if n in a.maybe or n in b.maybe:
-                same = same | _c(n).isNull() | _c(f"r {n}").isNull()
-            condition = condition & same
-        if on is not None:
-            condition = condition & on
-        df = a.df.join(right, condition, how) if shared or on is not None else a.df.crossJoin(right) if how == "inner" else a.df.join(right, F.lit(True), how)
-        names = sorted(a.names | b.names)
-        df = df.select(*[(F.coalesce(_c(n), _c(f"r {n}")) if n in shared and n in a.maybe else _c(n) if n in a.names else _c(f"r {n}")).alias(n) for n in names] or [F.lit(1).alias("_")])
-        bound = a.bound | b.bound if how == "inner" else a.bound
-        return Solutions(df, bound, (a.names | b.names) - bound)
-
-    def group(self, parts: list) -> Solutions:
-        out = Solutions(self.spark.range(1).select(F.lit(1).alias("_")), set(), set())
+    def group(self, parts: list, seed: Solutions | None = None) -> Solutions:
+        """seed: bindings of variables from outside, for parts that name them without binding them."""
+        out = seed or Solutions(self.spark.range(1).select(F.lit(1).alias("_")), set(), set())
+        within = lambda p: seed if seed is not None and named_in(p) & seed.names else None
         filters = []
-        for part in parts:
+        for i, part in enumerate(parts):
             kind = part[0]
             if kind == "filter":
                 filters.append(part[1])
@@ -214,22 +226,24 @@ class Compiler:
                 right = self.group([p for p in inner if p[0] != "filter"])
                 on = None
                 if own:  # such a filter sees both sides
-                    scope = Solutions(out.df, out.bound | right.bound, out.maybe | right.maybe)
-                    mapping = {n: _c(n) if n in out.names else _c(f"r {n}") for n in scope.names}
+                    mapping = {n: _c(n) if n in out.names else other(n) for n in out.names | right.names}
                     on = F.lit(True)
                     for e in own:
                         on = on & F.coalesce(self.value(e, mapping).boolean, F.lit(False))
-                out = self.join(out, right, "left", on)
+                out = joined(out, right, "left", on)
             elif kind == "minus":
-                right = self.pattern(part[1])
-                if out.names & right.names:
-                    out = self.without(out, right, minus=True)
+                out = kept(out, self.pattern(part[1]), "left_anti", minus=True)
             elif kind == "bind":
-                v = self.value(part[1], {n: _c(n) for n in out.names})
-                out = Solutions(out.df.withColumn(part[2], v.key), out.bound, out.maybe | {part[2]})
+                out, e = self.marked(out, part[1])
+                v = self.value(e, {n: _c(n) for n in out.names})
+                where = out.bound if self.total(e, out.bound) else out.maybe
+                out = Solutions(out.df.withColumn(part[2], v.key), out.bound, out.maybe)
+                (out.bound if where is out.bound else out.maybe).add(part[2])
+            elif kind == "bgp" and out.names:
+                out = joined(out, self.bgp(part[1], out))
             else:
-                right = self.pattern(part)
-                out = right if not out.names and out.df.columns == ["_"] and parts.index(part) == 0 else self.join(out, right)
+                right = self.pattern(part, within(part))
+                out = right if seed is None and not out.names and out.df.columns == ["_"] and i == 0 else joined(out, right)
         for e in filters:
             out = self.filtered(out, e)
         return out
@@ -240,36 +254,117 @@ class Compiler:
         if e[0] == "not" and e[1][0] == "exists":
             e = ("exists", e[1][1], not e[1][2])
         if e[0] == "exists":
-            right = self.pattern(e[1])
-            if e[2]:
-                return self.without(out, right, minus=False)
-            return self.without(out, right, minus=False, how="left_semi")
+            return self.existing(out, e[1], "left_anti" if e[2] else "left_semi")
+        out, e = self.marked(out, e)
         return Solutions(out.df.where(self.value(e, {n: _c(n) for n in out.names}).boolean), out.bound, out.maybe)
 
-    def without(self, a: Solutions, b: Solutions, minus: bool, how: str = "left_anti") -> Solutions:
-        shared = sorted(a.names & b.names)
-        right = b.df.select(*[_c(n).alias(f"r {n}") for n in shared] or [F.lit(1).alias("r _")])
-        condition, common = F.lit(True), F.lit(False)
-        for n in shared:
-            same = _c(n) == _c(f"r {n}")
-            if n in a.maybe or n in b.maybe:
-                common = common | same
-                same = same | _c(n).isNull() | _c(f"r {n}").isNull()
-            else:
-                common = F.lit(True)
-            condition = condition & same
-        if minus:  # solutions with nothing in common take nothing away
-            condition = condition & F.coalesce(common, F.lit(False))
-        return Solutions(a.df.join(right, condition, how), a.bound, a.maybe)
-
-    def pattern(self, p: tuple) -> Solutions:
+    def existing(self, out: Solutions, p: tuple, how: str) -> Solutions:
+        """Solutions for which the pattern p has a match (left_semi) or none (left_anti).
+
+        Variables of out that p names in a filter but doesn't bind are free in p. A filter at the top of p that has some is a
+        further condition of the join; if it compares one of them with what p binds, one extreme of that a group tells.
+        Where p names them deeper inside, it is matched once for each of their distinct bindings.
+        """
+        parts = p[1] if p[0] == "group" else [p]
+        inner = self.group([x for x in parts if x[0] != "filter"])
+        filters = [c for x in parts if x[0] == "filter" for c in conjuncts(x[1])]
+        free = (named_in(p) & out.names) - inner.names
+        outer = [c for c in filters if named_in(c) & free]
+        deep = free & set().union(*[named_in(x) for x in parts if x[0] != "filter"], *[named_in(c) for c in outer if has_exists(c)])
+        if deep:
+            named = named_in(p) & out.names
+            seed = Solutions(out.df.select(*[_c(n) for n in sorted(named)]).distinct(), named & out.bound, named & out.maybe)
+            return kept(out, self.group(parts, seed), how, exact=frozenset(free & out.maybe))
+        for c in filters:
+            if c not in outer:
+                inner = self.filtered(inner, c)
+        on = None
+        if len(outer) == 1 and (extreme := self.extreme(outer[0], out, inner)):
+            inner, on = extreme
+        else:
+            scope = {n: other(n) for n in inner.names} | {n: _c(n) for n in out.names}
+            for c in outer:
+                told = F.coalesce(self.value(c, scope).boolean, F.lit(False))
+                on = told if on is None else on & told
+        return kept(out, inner, how, on=on)
+
+    def extreme(self, e: tuple, out: Solutions, inner: Solutions) -> tuple[Solutions, Column] | None:
+        """For an inequality between what is outside and what is inside: inner with a row for each binding of what it shares
+        with out, and the condition on its least or greatest value; None if e is something else."""
+        if e[0] not in ("<", "<=", ">", ">="):
+            return None
+        shared = sorted(out.names & inner.names)
+        sides = [named_in(x) for x in e[1:3]]
+        turned = sides[0] <= inner.names - out.names and sides[1] <= out.names
+        if not turned and not (sides[1] <= inner.names - out.names and sides[0] <= out.names) or not all(sides) or set(shared) - (out.bound & inner.bound):
+            return None
+        mine, theirs = (e[2], e[1]) if turned else (e[1], e[2])
+        op = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}[e[0]] if turned else e[0]
+        v = self.value(theirs, {n: _c(n) for n in inner.names})
+        best = F.max if op in ("<", "<=") else F.min
+        plain = ~_is_iri(v.key) & v.number.isNull()
+        made = [best(v.number).alias(" n"), best(F.when(plain, v.text)).alias(" t")]  # no variable has such a name
+        df = inner.df.groupBy(*[_c(n) for n in shared]).agg(*made) if shared else inner.df.agg(*made)
+        x = self.value(mine, {n: _c(n) for n in out.names})
+        apply = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}[op]
+        told = F.coalesce(apply(x.number, other(" n")), F.lit(False)) | F.coalesce(~_is_iri(x.key) & x.number.isNull() & apply(x.text, other(" t")), F.lit(False))
+        return Solutions(df, set(shared), {" n", " t"}), told
+
+    def marked(self, out: Solutions, e) -> tuple[Solutions, tuple]:
+        """out with a column for each EXISTS inside the expression e, and e with those columns in their place.
+
+        The distinct bindings that the pattern can depend on are told apart by whether they have a match, and joined back.
+        """
+        if isinstance(e, list):
+            made = []
+            for x in e:
+                out, x = self.marked(out, x)
+                made.append(x)
+            return out, made
+        if not isinstance(e, tuple):
+            return out, e
+        if e[:1] != ("exists",):
+            made = []
+            for x in e:
+                out, x = self.marked(out, x)
+                made.append(x)
+            return out, tuple(made)
+        name, self.flags = f"_exists{self.flags}", self.flags + 1
+        keys = sorted(named_in(e[1]) & out.names)
+        if not keys:
+            there = self.pattern(e[1]).df.limit(1).agg((F.count("*") > 0).alias(name))
+            return Solutions(out.df.crossJoin(there), out.bound, out.maybe), ("flag", name, e[2])
+        alone = Solutions(out.df.select(*[_c(n) for n in keys]).distinct(), out.bound & set(keys), out.maybe & set(keys))
+        hits = self.existing(alone, e[1], "left_semi").df.select(*[_c(n).alias(f"r {n}") for n in keys], F.lit(True).alias("_hit"))
+        on = F.lit(True)
+        for n in keys:
+            on = on & _c(n).eqNullSafe(other(n))
+        df = out.df.join(hits, on, "left").withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_hit", *[f"r {n}" for n in keys])
+        return Solutions(df, out.bound, out.maybe), ("flag", name, e[2])
+
+    def total(self, e: tuple, bound: set[str], grouped: bool = False) -> bool:
+        """Whether an expression has a value in every solution that binds those variables."""
+        kind = e[0]
+        if kind == "var":
+            return e[1] in bound
+        if kind in ("iri", "lit", "flag"):
+            return True
+        if kind == "agg":
+            return e[1] in ("COUNT", "SUM", "AVG", "GROUP_CONCAT") or grouped and e[3] is not None and self.total(e[3], bound)
+        if kind != "call":
+            return False
+        if e[1] == "COALESCE":
+            return any(self.total(x, bound) for x in e[2])
+        return e[1] == "BOUND" or e[1] in ("STR", "LCASE", "UCASE", "CONCAT") and all(self.total(x, bound) for x in e[2])
+
+    def pattern(self, p: tuple, seed: Solutions | None = None) -> Solutions:
         kind = p[0]
         if kind == "group":
-            return self.group(p[1])
+            return self.group(p[1], seed)
         if kind == "bgp":
             return self.bgp(p[1])
         if kind == "union":
-            sides = [self.pattern(x) for x in p[1]]
+            sides = [self.pattern(x, seed) for x in p[1]]
             df = sides[0].df
             for s in sides[1:]:
                 df = df.unionByName(s.df, allowMissingColumns=True)
@@ -282,8 +377,7 @@ class Compiler:
             maybe = {n for i, n in enumerate(p[1]) if any(r[i] is None for r in rows)}
             return Solutions(df, set(p[1]) - maybe, maybe)
         if kind == "select":
-            df = self.select(p[1])
-            return Solutions(df, set(), set(df.columns))
+            return self.selected(p[1])
         raise SparqlError(f"{kind} is not supported here")
 
     # expressions
@@ -316,8 +410,10 @@ class Compiler:
             return Value(number=made)
         if kind == "call":
             return self.call(e[1], e[2], scope)
+        if kind == "flag":
+            return Value(boolean=~_c(e[1]) if e[2] else _c(e[1]))
         if kind == "exists":
-            raise SparqlError("EXISTS is supported as a filter of its own, alone or in a conjunction")
+            raise SparqlError("EXISTS is not supported in the filter of an OPTIONAL, in HAVING or within an aggregate")
         raise SparqlError(f"{kind} is not supported in an expression")
 
     @staticmethod
@@ -422,7 +518,7 @@ class Compiler:
         texts = F.sort_array(F.collect_set(v.text) if distinct else F.collect_list(v.text))
         return Value(text=F.array_join(texts, sep)).key
 
-    def select(self, q: Query) -> DataFrame:
+    def selected(self, q: Query) -> Solutions:
         body = self.pattern(q.where)
         scope = {n: _c(n) for n in body.names}
         df, keys = body.df, []
@@ -456,11 +552,19 @@ class Compiler:
             for e in having:
                 df = df.where(self.value(e, scope).boolean)
         else:
-            items = q.items
-        for n, e in items:
+            items = []
+            for n, e in q.items:
+                if e is not None:
+                    body, e = self.marked(body, e)
+                items.append((n, e))
+            df = body.df
+        always = {k for k in keys if k in body.bound} if grouped else set(body.bound)
+        for (n, e), (_, plain) in zip(items, q.items, strict=True):
             if e is not None:
                 df = df.withColumn(n, self.value(e, scope).key)
                 scope[n] = _c(n)
+                if self.total(plain if grouped and plain[0] == "agg" else e, body.bound if grouped and plain[0] == "agg" else always, bool(q.group)):
+                    always = always | {n}
         names = [n for n, _ in items] or sorted(n for n in scope if not n.startswith("_"))
         for n in names:
             if n not in df.columns:
@@ -481,18 +585,37 @@ class Compiler:
             df = df.offset(q.offset)
         if q.limit is not None:
             df = df.limit(q.limit)
-        return df.select(*[_c(n) for n in names])
+        return Solutions(df.select(*[_c(n) for n in names]), always & set(names), set(names) - always)
+
+
+def named_in(x) -> set[str]:
+    """Variables that a pattern or an expression names; of a subselect, what it returns."""
+    if isinstance(x, Query):
+        return {n for n, _ in x.items}
+    if isinstance(x, tuple) and len(x) == 2 and x[0] == "var":
+        return {x[1]}
+    if isinstance(x, tuple) and x[:1] in (("bind",), ("values",)):
+        return named_in(x[1]) | {x[2]} if x[0] == "bind" else set(x[1])
+    return set().union(*map(named_in, x)) if isinstance(x, (tuple, list)) else set()
+
+
+def conjuncts(e: tuple) -> list[tuple]:
+    return [*conjuncts(e[1]), *conjuncts(e[2])] if e[0] == "and" else [e]
+
+
+def has_exists(e) -> bool:
+    return isinstance(e, (tuple, list)) and (e[:1] == ("exists",) or any(map(has_exists, e)))
 
 
-def run(triples: DataFrame, text: str, prefixes: dict[str, str] | None = None, limit: int | None = None, counts: dict[str, int] | None = None, terms: bool = False) -> DataFrame:
+def run(triples: DataFrame, text: str, prefixes: dict[str, str] | None = None, limit: int | None = None, counts: dict[str, int] | None = None, terms: bool = False, by_predicate: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """A SELECT's solutions, one string column for each variable: a literal's text, an IRI's qualified name, null where it is
     unbound; with terms, whole terms. An ASK has one row (ask boolean). limit goes into the plan."""
     query = Parser(text, prefixes).parse()
-    compiler = Compiler(triples, prefixes, counts)
+    compiler = Compiler(triples, prefixes, counts, by_predicate)
     if query.form == "ASK":
         body = compiler.pattern(query.where).df.limit(1)
         return body.agg((F.count("*") > 0).alias("ask"))
-    df = compiler.select(query)
+    df = compiler.selected(query).df
     if limit is not None:
         df = df.limit(limit)
     if terms:

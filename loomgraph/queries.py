@@ -35,8 +35,8 @@ def query(sql: str | None = None):
 
 
 def _ask(spark: SparkSession, sf_dir: str, text: str, *kinds: str, schema: bool = True) -> DataFrame:
-    triples = star.graph(spark, sf_dir, *kinds) if schema else star.entity_triples(spark, sf_dir, *kinds)
-    return sparql.run(triples, text, VOC.prefixes)
+    made = star.graph if schema else star.entity_triples
+    return sparql.run(made(spark, sf_dir, *kinds), text, VOC.prefixes, by_predicate=lambda p: made(spark, sf_dir, *kinds, only=p))
 
 
 # -- graph patterns ----------------------------------------------------------------------------------------------------
@@ -118,6 +118,74 @@ def exists_minus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ask(spark, sf_dir, 'SELECT ?c WHERE { ?c p:balance ?b . FILTER EXISTS { ?o p:placedBy ?c ; p:status "F" } MINUS { ?x p:placedBy ?c ; p:status "O" } }', "customer", "orders", schema=False)
 
 
+@query("""
+SELECT 'data:part_' || p_partkey AS s, CAST(CAST(p_retailprice AS DECIMAL(18,2)) AS VARCHAR) AS price FROM part
+QUALIFY CAST(p_retailprice AS DECIMAL(18,2)) = max(CAST(p_retailprice AS DECIMAL(18,2))) OVER (PARTITION BY p_type, p_brand)
+""")
+def correlated_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dearest of each class: an inequality between what is outside and what is inside."""
+    text = "SELECT ?s ?price WHERE { ?s a ?t ; p:price ?price . FILTER NOT EXISTS { ?o a ?t ; p:price ?y FILTER(?y > ?price) } }"
+    return _ask(spark, sf_dir, text, "part", schema=False)
+
+
+@query("""
+SELECT 'data:customer_' || c_custkey AS c FROM customer WHERE EXISTS (
+  SELECT 1 FROM orders o JOIN customer d ON d.c_custkey = o.o_custkey WHERE o_custkey = customer.c_custkey AND 'F' <> o_orderstatus AND CAST(customer.c_acctbal AS DECIMAL(18,2)) > length(o_orderstatus))
+""")
+def correlated_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "SELECT ?c WHERE { ?c p:balance ?b . FILTER EXISTS { ?o p:placedBy ?c ; p:status ?s FILTER(?s != 'F') FILTER(?b > STRLEN(?s)) } }"
+    return _ask(spark, sf_dir, text, "customer", "orders", schema=False)
+
+
+@query("""
+SELECT 'data:customer_' || c_custkey AS c, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') THEN 'yes' ELSE 'no' END AS closed
+FROM customer WHERE c_acctbal < 0 OR NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')
+""")
+def exists_in_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EXISTS within an alternative and within a value."""
+    text = """SELECT ?c ?closed WHERE { ?c p:balance ?b . FILTER(?b < 0 || NOT EXISTS { ?o p:placedBy ?c ; p:status 'P' })
+              BIND(IF(EXISTS { ?q p:placedBy ?c ; p:status 'F' }, 'yes', 'no') AS ?closed) }"""
+    return _ask(spark, sf_dir, text, "customer", "orders", schema=False)
+
+
+@query("""
+SELECT 'data:region_' || r_regionkey AS r FROM region WHERE NOT EXISTS (SELECT 1 FROM nation WHERE n_regionkey = r_regionkey AND NOT EXISTS (
+  SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND CAST(c_acctbal AS DECIMAL(18,2)) > 9700))
+""")
+def nested_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions in all of whose nations some customer is rich."""
+    text = "SELECT ?r WHERE { ?r a cls:Region . FILTER NOT EXISTS { ?n p:partOf ?r FILTER NOT EXISTS { ?c p:locatedIn ?n ; p:balance ?b FILTER(?b > 9700) } } }"
+    return _ask(spark, sf_dir, text, "customer", "nation", "region", schema=False)
+
+
+@query("""
+SELECT 'data:customer_' || c_custkey AS c, CAST(count(*) AS VARCHAR) AS n, CAST(CAST(any_value(c_acctbal) AS DECIMAL(18,2)) AS VARCHAR) AS balance FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey
+""")
+def subselect_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "SELECT ?c ?n ?balance WHERE { ?c p:balance ?balance . { SELECT ?c (COUNT(?o) AS ?n) WHERE { ?o p:placedBy ?c } GROUP BY ?c } }"
+    return _ask(spark, sf_dir, text, "customer", "orders", schema=False)
+
+
+@query("""
+SELECT 'data:customer_' || c_custkey AS c, 'data:nation_' || n_nationkey AS n, 'data:region_' || n_regionkey AS r
+FROM customer JOIN nation ON CAST(c_acctbal AS DECIMAL(18,2)) <= 0 OR n_nationkey = c_nationkey
+""")
+def join_after_optional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern on a variable that an OPTIONAL may have left unbound: it is then compatible with every term."""
+    text = "SELECT ?c ?n ?r WHERE { ?c p:balance ?b . OPTIONAL { ?c p:locatedIn ?n FILTER(?b > 0) } ?n p:partOf ?r }"
+    return _ask(spark, sf_dir, text, "customer", "nation", schema=False)
+
+
+@query("""
+SELECT 'data:part_' || p_partkey AS s, 'cls:' || up AS up FROM part, LATERAL (SELECT unnest(['Product', 'Thing', regexp_replace(p_type, '[^0-9A-Za-z]+', '_', 'g')]) AS up)
+WHERE CAST(p_retailprice AS DECIMAL(18,2)) < 920
+""")
+def ancestors_of_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A path of any length that starts from what other patterns bind."""
+    text = "SELECT ?s ?up WHERE { { SELECT ?s ?t WHERE { ?s p:price ?x ; a ?t FILTER(?x < 920) } } ?t rdfs:subClassOf+ ?up }"
+    return _ask(spark, sf_dir, text, "part")
+
+
 @query("""
 SELECT r_name AS region, CAST(count(*) AS VARCHAR) AS n, string_agg(n_name, '|' ORDER BY n_name) AS names FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name
 """)

@@ -24,9 +24,9 @@ def slugged(c: str):
     return F.regexp_replace(F.col(c), "[^0-9A-Za-z]+", "_")
 
 
-def schema_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def schema_triples(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
     """Thing > Product > type > type and brand, Thing > Party > Customer > segment, Party > Supplier; properties with their
-    domains and ranges."""
+    domains and ranges. only: of one predicate, and no table is read for what can't have it."""
     part, customer = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
     fixed = [("Thing", None), ("Product", "Thing"), ("Party", "Thing"), ("Customer", "Party"), ("Supplier", "Party"), ("Nation", "Thing"), ("Region", "Thing"), ("Order", "Thing"), ("Offer", "Thing")]
     rows = []
@@ -42,21 +42,21 @@ def schema_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.append((P + name, "iri", X.DOMAIN, CLS + domain, "iri", None, None))
         if rng:
             rows.append((P + name, "iri", X.RANGE, CLS + rng, "iri", None, None))
-    top = spark.createDataFrame(rows, X.TRIPLES)
+    top = spark.createDataFrame([r for r in rows if only in (None, r[2])], X.TRIPLES)
     types = part.select("p_type").distinct()
     t = F.concat(F.lit(CLS), slugged("p_type"))
-    by_type = X.as_triples(types, X.triple(t, X.TYPE, F.lit(X.CLASS), kind="iri"), X.triple(t, X.SUBCLASS, F.lit(CLS + "Product"), kind="iri"), X.triple(t, X.LABEL, F.col("p_type"), lang="en"))
+    by_type = X.as_triples(types, X.triple(t, X.TYPE, F.lit(X.CLASS), kind="iri"), X.triple(t, X.SUBCLASS, F.lit(CLS + "Product"), kind="iri"), X.triple(t, X.LABEL, F.col("p_type"), lang="en"), only=only)
     brands = part.select("p_type", "p_brand").distinct()
     b = F.concat(F.lit(CLS), slugged("p_type"), F.lit("__"), slugged("p_brand"))
-    by_brand = X.as_triples(brands, X.triple(b, X.TYPE, F.lit(X.CLASS), kind="iri"), X.triple(b, X.SUBCLASS, t, kind="iri"))
+    by_brand = X.as_triples(brands, X.triple(b, X.TYPE, F.lit(X.CLASS), kind="iri"), X.triple(b, X.SUBCLASS, t, kind="iri"), only=only)
     segments = customer.select("c_mktsegment").distinct()
     s = F.concat(F.lit(CLS), slugged("c_mktsegment"))
-    by_segment = X.as_triples(segments, X.triple(s, X.TYPE, F.lit(X.CLASS), kind="iri"), X.triple(s, X.SUBCLASS, F.lit(CLS + "Customer"), kind="iri"), X.triple(s, X.LABEL, F.col("c_mktsegment"), lang="en"))
+    by_segment = X.as_triples(segments, X.triple(s, X.TYPE, F.lit(X.CLASS), kind="iri"), X.triple(s, X.SUBCLASS, F.lit(CLS + "Customer"), kind="iri"), X.triple(s, X.LABEL, F.col("c_mktsegment"), lang="en"), only=only)
     return top.unionByName(by_type).unionByName(by_brand).unionByName(by_segment)
 
 
-def entity_triples(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
-    """Instances of the wanted kinds: part, customer, supplier, nation, region, orders, offer."""
+def entity_triples(spark: SparkSession, sf_dir: str, *kinds: str, only: str | None = None) -> DataFrame:
+    """Instances of the wanted kinds: part, customer, supplier, nation, region, orders, offer. only: as in schema_triples()."""
     dec, out = X.XSD + "decimal", None
     money = lambda c: F.col(c).cast("decimal(18,2)")
     type_of = lambda s, cls: X.triple(s, X.TYPE, cls if not isinstance(cls, str) else F.lit(CLS + cls), kind="iri")
@@ -64,29 +64,29 @@ def entity_triples(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
     def made(kind: str) -> DataFrame:
         if kind == "part":
             s = _iri("part", "p_partkey")
-            return X.as_triples(table(spark, sf_dir, "part"), type_of(s, F.concat(F.lit(CLS), slugged("p_type"), F.lit("__"), slugged("p_brand"))), X.triple(s, P + "hasName", F.col("p_name")), X.triple(s, P + "size", F.col("p_size"), dt=X.XSD + "integer"), X.triple(s, P + "price", money("p_retailprice"), dt=dec))
+            return X.as_triples(table(spark, sf_dir, "part"), type_of(s, F.concat(F.lit(CLS), slugged("p_type"), F.lit("__"), slugged("p_brand"))), X.triple(s, P + "hasName", F.col("p_name")), X.triple(s, P + "size", F.col("p_size"), dt=X.XSD + "integer"), X.triple(s, P + "price", money("p_retailprice"), dt=dec), only=only)
         if kind == "customer":
             s = _iri("customer", "c_custkey")
-            return X.as_triples(table(spark, sf_dir, "customer"), type_of(s, F.concat(F.lit(CLS), slugged("c_mktsegment"))), X.triple(s, P + "hasName", F.col("c_name")), X.triple(s, P + "balance", money("c_acctbal"), dt=dec), X.triple(s, P + "locatedIn", _iri("nation", "c_nationkey"), kind="iri"))
+            return X.as_triples(table(spark, sf_dir, "customer"), type_of(s, F.concat(F.lit(CLS), slugged("c_mktsegment"))), X.triple(s, P + "hasName", F.col("c_name")), X.triple(s, P + "balance", money("c_acctbal"), dt=dec), X.triple(s, P + "locatedIn", _iri("nation", "c_nationkey"), kind="iri"), only=only)
         if kind == "supplier":
             s = _iri("supplier", "s_suppkey")
-            return X.as_triples(table(spark, sf_dir, "supplier"), type_of(s, "Supplier"), X.triple(s, P + "hasName", F.col("s_name")), X.triple(s, P + "balance", money("s_acctbal"), dt=dec), X.triple(s, P + "locatedIn", _iri("nation", "s_nationkey"), kind="iri"))
+            return X.as_triples(table(spark, sf_dir, "supplier"), type_of(s, "Supplier"), X.triple(s, P + "hasName", F.col("s_name")), X.triple(s, P + "balance", money("s_acctbal"), dt=dec), X.triple(s, P + "locatedIn", _iri("nation", "s_nationkey"), kind="iri"), only=only)
         if kind == "nation":
             s = _iri("nation", "n_nationkey")
-            return X.as_triples(table(spark, sf_dir, "nation"), type_of(s, "Nation"), X.triple(s, X.LABEL, F.col("n_name"), lang="en"), X.triple(s, P + "partOf", _iri("region", "n_regionkey"), kind="iri"))
+            return X.as_triples(table(spark, sf_dir, "nation"), type_of(s, "Nation"), X.triple(s, X.LABEL, F.col("n_name"), lang="en"), X.triple(s, P + "partOf", _iri("region", "n_regionkey"), kind="iri"), only=only)
         if kind == "region":
             s = _iri("region", "r_regionkey")
-            return X.as_triples(table(spark, sf_dir, "region"), type_of(s, "Region"), X.triple(s, X.LABEL, F.col("r_name"), lang="en"))
+            return X.as_triples(table(spark, sf_dir, "region"), type_of(s, "Region"), X.triple(s, X.LABEL, F.col("r_name"), lang="en"), only=only)
         if kind == "orders":
             s = _iri("order", "o_orderkey")
-            return X.as_triples(table(spark, sf_dir, "orders"), type_of(s, "Order"), X.triple(s, P + "placedBy", _iri("customer", "o_custkey"), kind="iri"), X.triple(s, P + "status", F.col("o_orderstatus")))
+            return X.as_triples(table(spark, sf_dir, "orders"), type_of(s, "Order"), X.triple(s, P + "placedBy", _iri("customer", "o_custkey"), kind="iri"), X.triple(s, P + "status", F.col("o_orderstatus")), only=only)
         s = F.concat(F.lit(f"{DATA}offer_"), F.concat_ws("_", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]))  # order and line alone are not unique
-        return X.as_triples(table(spark, sf_dir, "lineitem"), type_of(s, "Offer"), X.triple(s, P + "ofPart", _iri("part", "l_partkey"), kind="iri"), X.triple(s, P + "bySupplier", _iri("supplier", "l_suppkey"), kind="iri"), X.triple(s, P + "rate", F.col("l_discount").cast("decimal(10,2)"), dt=dec))
+        return X.as_triples(table(spark, sf_dir, "lineitem"), type_of(s, "Offer"), X.triple(s, P + "ofPart", _iri("part", "l_partkey"), kind="iri"), X.triple(s, P + "bySupplier", _iri("supplier", "l_suppkey"), kind="iri"), X.triple(s, P + "rate", F.col("l_discount").cast("decimal(10,2)"), dt=dec), only=only)
 
     for kind in kinds:
         out = made(kind) if out is None else out.unionByName(made(kind))
     return out
 
 
-def graph(spark: SparkSession, sf_dir: str, *kinds: str) -> DataFrame:
-    return schema_triples(spark, sf_dir).unionByName(entity_triples(spark, sf_dir, *kinds))
+def graph(spark: SparkSession, sf_dir: str, *kinds: str, only: str | None = None) -> DataFrame:
+    return schema_triples(spark, sf_dir, only).unionByName(entity_triples(spark, sf_dir, *kinds, only=only))
