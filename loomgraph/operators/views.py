@@ -90,10 +90,12 @@ def reachable(edges: DataFrame, seeds: DataFrame, a: str = "a", b: str = "b") ->
     along = lambda step, jump: step.join(jump, F.col("node") == F.col("x")).select("seed", F.col("y").alias("node")).distinct()
     found = step = settled(along(start.withColumn("node", F.col("seed")), e))
     for _ in range(LEVELS):
-        step = settled(along(step, e).join(found, ["seed", "node"], "left_anti"))
         if step.isEmpty():
             return found
+        step = settled(along(step, e).join(found, ["seed", "node"], "left_anti"))
         found = found.unionByName(step)
+    if step.isEmpty():
+        return found
     # step: what was first found LEVELS + 1 steps away; jump: how far the next round goes.
     beyond, jump = step, e
     while True:

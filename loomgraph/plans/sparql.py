@@ -86,24 +86,23 @@ class Value:
 
 
 class Compiler:
-    def __init__(self, triples: DataFrame, prefixes: dict[str, str] | None = None, counts: dict[str, int] | None = None, by_predicate: Callable[[str], DataFrame] | None = None):
-        """counts: triples by predicate, where they are known; patterns are then joined from the fewest on. by_predicate:
-        gives the triples of one predicate, where that takes less than to look for them among all."""
+    def __init__(self, triples: DataFrame | Callable[[str | None], DataFrame], prefixes: dict[str, str] | None = None, counts: dict[str, int] | None = None):
+        """triples: a table, or what gives the triples of one predicate (all of them for None), where that takes less than to
+        look for them in a table. counts: triples by predicate, where they are known; patterns are then joined from the
+        fewest on."""
         self.prefixes = {**(prefixes or {}), **X.STANDARD}
         self.counts = counts or {}
-        self.spark: SparkSession = triples.sparkSession
-        self.triples, self.by_predicate = triples, by_predicate
+        self.of = triples if not isinstance(triples, DataFrame) else lambda p: triples if p is None else triples.where(F.col("p") == p)
+        self.spark: SparkSession = triples.sparkSession if isinstance(triples, DataFrame) else SparkSession.active()
         self.flags = 0
 
     # patterns
     def triple(self, s: tuple, p: tuple, o: tuple, known: Solutions | None = None) -> Solutions:
         if p[0] not in ("iri", "var"):
             return self.along(s, p, o, known)
-        df = self.by_predicate(p[1]) if self.by_predicate and p[0] == "iri" else self.triples
+        df = self.of(p[1] if p[0] == "iri" else None)
         if s[0] == "iri":
             df = df.where(F.col("s") == s[1])
-        if p[0] == "iri":
-            df = df.where(F.col("p") == p[1])
         if o[0] == "iri":
             df = df.where((F.col("o") == o[1]) & (F.col("o_kind") == "iri"))
         elif o[0] == "lit":
@@ -165,7 +164,8 @@ class Compiler:
         if kind == "seq":
             first, then = (path[1], path[2]) if ahead else (path[2], path[1])
             one = self.led(first, seeds, ahead).select(F.col(near).alias("seed"), F.col(far).alias("m"))
-            two = self.led(then, one.select(F.col("m").alias("t")).distinct(), ahead).select(F.col(near).alias("m"), F.col(far).alias("end"))
+            two = self.led(then, one.select(F.col("m").alias("t")).distinct(), ahead) if self.endless(then) else self.pairs(then)
+            two = two.select(F.col(near).alias("m"), F.col(far).alias("end"))
             return one.join(two, "m").select(F.col("seed").alias(near), F.col("end").alias(far))
         if kind in ("star", "plus"):
             out = reachable(self.pairs(path[1]), as_rows, near, far)
@@ -607,11 +607,11 @@ def has_exists(e) -> bool:
     return isinstance(e, (tuple, list)) and (e[:1] == ("exists",) or any(map(has_exists, e)))
 
 
-def run(triples: DataFrame, text: str, prefixes: dict[str, str] | None = None, limit: int | None = None, counts: dict[str, int] | None = None, terms: bool = False, by_predicate: Callable[[str], DataFrame] | None = None) -> DataFrame:
+def run(triples: DataFrame | Callable[[str | None], DataFrame], text: str, prefixes: dict[str, str] | None = None, limit: int | None = None, counts: dict[str, int] | None = None, terms: bool = False) -> DataFrame:
     """A SELECT's solutions, one string column for each variable: a literal's text, an IRI's qualified name, null where it is
     unbound; with terms, whole terms. An ASK has one row (ask boolean). limit goes into the plan."""
     query = Parser(text, prefixes).parse()
-    compiler = Compiler(triples, prefixes, counts, by_predicate)
+    compiler = Compiler(triples, prefixes, counts)
     if query.form == "ASK":
         body = compiler.pattern(query.where).df.limit(1)
         return body.agg((F.count("*") > 0).alias("ask"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,8 @@ def query(sql: str | None = None):
 
 def _ask(spark: SparkSession, sf_dir: str, text: str, *kinds: str, schema: bool = True) -> DataFrame:
     made = star.graph if schema else star.entity_triples
-    return sparql.run(made(spark, sf_dir, *kinds), text, VOC.prefixes, by_predicate=lambda p: made(spark, sf_dir, *kinds, only=p))
+    of = lru_cache(None)(lambda p: made(spark, sf_dir, *kinds, only=p))
+    return sparql.run(of, text, VOC.prefixes)
 
 
 # -- graph patterns ----------------------------------------------------------------------------------------------------

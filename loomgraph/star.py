@@ -27,7 +27,6 @@ def slugged(c: str):
 def schema_triples(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
     """Thing > Product > type > type and brand, Thing > Party > Customer > segment, Party > Supplier; properties with their
     domains and ranges. only: of one predicate, and no table is read for what can't have it."""
-    part, customer = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
     fixed = [("Thing", None), ("Product", "Thing"), ("Party", "Thing"), ("Customer", "Party"), ("Supplier", "Party"), ("Nation", "Thing"), ("Region", "Thing"), ("Order", "Thing"), ("Offer", "Thing")]
     rows = []
     for name, above in fixed:
@@ -42,7 +41,13 @@ def schema_triples(spark: SparkSession, sf_dir: str, only: str | None = None) ->
         rows.append((P + name, "iri", X.DOMAIN, CLS + domain, "iri", None, None))
         if rng:
             rows.append((P + name, "iri", X.RANGE, CLS + rng, "iri", None, None))
-    top = spark.createDataFrame([r for r in rows if only in (None, r[2])], X.TRIPLES)
+    rows = [r for r in rows if only in (None, r[2])]
+    quoted = lambda v: "CAST(NULL AS STRING)" if v is None else f"'{v}'"
+    listed = ", ".join(f"({', '.join(map(quoted, r))})" for r in rows)
+    parts = [spark.sql(f"SELECT * FROM VALUES {listed} AS t({', '.join(f.name for f in X.TRIPLES)})")] if rows else []
+    if only not in (None, X.TYPE, X.SUBCLASS, X.LABEL):
+        return united(spark, parts)
+    part, customer = table(spark, sf_dir, "part"), table(spark, sf_dir, "customer")
     types = part.select("p_type").distinct()
     t = F.concat(F.lit(CLS), slugged("p_type"))
     by_type = X.as_triples(types, X.triple(t, X.TYPE, F.lit(X.CLASS), kind="iri"), X.triple(t, X.SUBCLASS, F.lit(CLS + "Product"), kind="iri"), X.triple(t, X.LABEL, F.col("p_type"), lang="en"), only=only)
@@ -52,16 +57,24 @@ def schema_triples(spark: SparkSession, sf_dir: str, only: str | None = None) ->
     segments = customer.select("c_mktsegment").distinct()
     s = F.concat(F.lit(CLS), slugged("c_mktsegment"))
     by_segment = X.as_triples(segments, X.triple(s, X.TYPE, F.lit(X.CLASS), kind="iri"), X.triple(s, X.SUBCLASS, F.lit(CLS + "Customer"), kind="iri"), X.triple(s, X.LABEL, F.col("c_mktsegment"), lang="en"), only=only)
-    return top.unionByName(by_type).unionByName(by_brand).unionByName(by_segment)
+    return united(spark, [*parts, by_type, by_brand, by_segment])
+
+
+def united(spark: SparkSession, parts: list[DataFrame | None]) -> DataFrame:
+    """All that there is of the parts."""
+    out = None
+    for p in parts:
+        out = p if out is None else out if p is None else out.unionByName(p)
+    return out if out is not None else spark.range(0).select(*[F.lit("").alias(f.name) for f in X.TRIPLES])
 
 
 def entity_triples(spark: SparkSession, sf_dir: str, *kinds: str, only: str | None = None) -> DataFrame:
     """Instances of the wanted kinds: part, customer, supplier, nation, region, orders, offer. only: as in schema_triples()."""
-    dec, out = X.XSD + "decimal", None
+    dec = X.XSD + "decimal"
     money = lambda c: F.col(c).cast("decimal(18,2)")
     type_of = lambda s, cls: X.triple(s, X.TYPE, cls if not isinstance(cls, str) else F.lit(CLS + cls), kind="iri")
 
-    def made(kind: str) -> DataFrame:
+    def made(kind: str) -> DataFrame | None:
         if kind == "part":
             s = _iri("part", "p_partkey")
             return X.as_triples(table(spark, sf_dir, "part"), type_of(s, F.concat(F.lit(CLS), slugged("p_type"), F.lit("__"), slugged("p_brand"))), X.triple(s, P + "hasName", F.col("p_name")), X.triple(s, P + "size", F.col("p_size"), dt=X.XSD + "integer"), X.triple(s, P + "price", money("p_retailprice"), dt=dec), only=only)
@@ -83,9 +96,7 @@ def entity_triples(spark: SparkSession, sf_dir: str, *kinds: str, only: str | No
         s = F.concat(F.lit(f"{DATA}offer_"), F.concat_ws("_", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]))  # order and line alone are not unique
         return X.as_triples(table(spark, sf_dir, "lineitem"), type_of(s, "Offer"), X.triple(s, P + "ofPart", _iri("part", "l_partkey"), kind="iri"), X.triple(s, P + "bySupplier", _iri("supplier", "l_suppkey"), kind="iri"), X.triple(s, P + "rate", F.col("l_discount").cast("decimal(10,2)"), dt=dec), only=only)
 
-    for kind in kinds:
-        out = made(kind) if out is None else out.unionByName(made(kind))
-    return out
+    return united(spark, [made(kind) for kind in kinds])
 
 
 def graph(spark: SparkSession, sf_dir: str, *kinds: str, only: str | None = None) -> DataFrame:

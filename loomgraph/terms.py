@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import NamedTuple
 
@@ -38,28 +39,29 @@ class Vocabulary:
 
 
 class Made(NamedTuple):
-    """A triple that a row makes; p is null if the row decides on the predicate."""
+    """A triple that a row makes: its predicate, null if the row decides on that, and a struct with the fields of TRIPLES."""
 
     p: str | None
-    column: Column
+    column: Callable[[], Column]
 
 
 def triple(s: Column, p: str | Column, o: Column, dt: str | None = None, lang: str | None = None, kind: str | None = None) -> Made:
-    """A struct with the fields of TRIPLES."""
-    kind = kind or "literal"
-    column = F.struct(s.alias("s"), F.lit("iri").alias("s_kind"), (F.lit(p) if isinstance(p, str) else p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("o_kind"), F.lit(dt).cast("string").alias("o_dt"), F.lit(lang).cast("string").alias("o_lang"))
+    def column() -> Column:
+        terms = [s.alias("s"), F.lit("iri").alias("s_kind"), (F.lit(p) if isinstance(p, str) else p).alias("p"), o.cast("string").alias("o"), F.lit(kind or "literal").alias("o_kind")]
+        return F.struct(*terms, F.lit(dt).cast("string").alias("o_dt"), F.lit(lang).cast("string").alias("o_lang"))
+
     return Made(p if isinstance(p, str) else None, column)
 
 
-def as_triples(df: DataFrame, *made: Made, only: str | None = None) -> DataFrame:
+def as_triples(df: DataFrame, *made: Made, only: str | None = None) -> DataFrame | None:
     """The triples that `made` gives for each row of df; those without an object or with an empty one are left out.
 
-    only: a predicate; what can't have it is not made, and df is not read if nothing can.
+    only: a predicate; what can't have it is not made, and if nothing can, there is no table.
     """
-    wanted = [m for m in made if only is None or m.p in (None, only)]
+    wanted = [m.column() for m in made if only is None or m.p in (None, only)]
     if not wanted:
-        return df.sparkSession.createDataFrame([], TRIPLES)
-    rows = df.select(F.explode(F.array(*[m.column for m in wanted])).alias("t")) if len(wanted) > 1 else df.select(wanted[0].column.alias("t"))
+        return None
+    rows = df.select(F.explode(F.array(*wanted)).alias("t")) if len(wanted) > 1 else df.select(wanted[0].alias("t"))
     rows = rows.select("t.*").where("s IS NOT NULL AND o IS NOT NULL AND o <> ''")
     return rows if only is None else rows.where(F.col("p") == only)
 
