@@ -357,10 +357,30 @@ def met(rows: DataFrame) -> DataFrame:
     return rows.select("shingle", "twin").repartition("shingle").sortWithinPartitions("shingle", "twin").mapInArrow(task, "shingle long, a long, b long")
 
 
-def alike_in_size(edges: DataFrame, points: DataFrame, ratio: float) -> DataFrame:
-    """Those of the edges (a, b), twins of points (twin, size), whose sets of shingles are near enough in size to be so alike."""
-    of = [points.select(F.col("twin").alias(x), F.col("size").alias(f"size_{x}")) for x in ("a", "b")]
-    return edges.join(of[0], "a").join(of[1], "b").where(F.least("size_a", "size_b") >= F.lit(ratio) * F.greatest("size_a", "size_b") - 1e-9).drop("size_a", "size_b")
+#: Bins of a text's histogram of shingles; a count of FULL stands for that many or more.
+BINS, FULL = 256, 255
+
+
+def histogram(shingles: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((shingles >> np.uint64(8) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), FULL).astype(np.uint8).tobytes()
+
+
+def may_be_alike(edges: DataFrame, points: DataFrame, ratio: float) -> DataFrame:
+    """Those of the edges (a, b), twins of points (twin, size, bins), whose sets of shingles can be so alike by their sizes and
+    histograms: they share at most the lesser count of each bin. None that is so alike is lost."""
+    of = [points.select(F.col("twin").alias(x), F.col("size").alias(f"size_{x}"), F.col("bins").alias(f"bins_{x}")) for x in ("a", "b")]
+    near = F.least("size_a", "size_b") >= F.lit(ratio) * F.greatest("size_a", "size_b") - 1e-9
+    joined = edges.select("a", "b").join(of[0], "a").join(of[1], "b").where(near).select("a", "b", (F.col("size_a") + F.col("size_b")).alias("n"), "bins_a", "bins_b")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (3, 4))
+            lesser = np.minimum(a, b)
+            enough = lesser.sum(1, dtype=np.int64) >= ratio / (1 + ratio) * batch.column(2).to_numpy() - 1e-9
+            on = pa.array(enough | (lesser == FULL).any(1))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(on)
+
+    return joined.mapInArrow(task, "a long, b long")
 
 
 def verified(candidates: DataFrame, leaves: DataFrame, docs: DataFrame, words: int, similarity: float, reach: int, bits: int, points: DataFrame, twin: Column, text_col: str = "text") -> DataFrame:
@@ -410,7 +430,7 @@ def verified(candidates: DataFrame, leaves: DataFrame, docs: DataFrame, words: i
 
     def learn(edges: DataFrame) -> None:
         nonlocal roots
-        new = checked(alike_in_size(edges.distinct(), points, similarity), docs, words, similarity, twin, text_col)
+        new = checked(may_be_alike(edges.distinct(), points, similarity), docs, words, similarity, twin, text_col)
         if new.isEmpty():
             return
         known = new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -500,27 +520,28 @@ def common_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndar
 
 
 def sketches(docs: DataFrame, words: int, bits: int, ratio: float, twin: Column, id_col: str, text_col: str) -> DataFrame:
-    """row, doc_id, twin, fp, size (distinct shingles), rare (shingles to meet by), hot (those of them that more than LEAF texts have, by the sample)."""
+    """row, doc_id, twin, fp, size (distinct shingles), bins (their histogram), rare (shingles to meet by), hot (those of them that more than LEAF texts have, by the sample)."""
     common, often, share = common_shingles(docs, words, text_col)
     known = docs.sparkSession.sparkContext.broadcast((common, often, common[often > LEAF * share]))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_, n, hot = known.value
         for b in batches:
-            fps, sizes, kept = [], [], ([], [])
+            fps, sizes, bins, kept = [], [], [], ([], [])
             for t in b.column(3):
                 fp, shingles = sketch(t.as_py(), words, bits)
                 sizes.append(len(shingles))
+                bins.append(histogram(shingles))
                 rare = rarest(shingles, ratio, all_, n)
                 on = np.isin(rare, hot)
                 fps.append(fp)
                 for held, some in zip(kept, (rare[~on], rare[on]), strict=True):
                     held.append(some.view(np.int64))
             lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, k)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *k]))) for k in kept]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], _column(np.array(fps, np.uint64).reshape(-1, bits // 64)), pa.array(sizes, pa.int64()), *lists], ["row", "doc_id", "twin", "fp", "size", "rare", "hot"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], _column(np.array(fps, np.uint64).reshape(-1, bits // 64)), pa.array(sizes, pa.int64()), pa.array(bins, pa.binary()), *lists], ["row", "doc_id", "twin", "fp", "size", "bins", "rare", "hot"])
 
     slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), twin.alias("twin"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(task, "row long, doc_id long, twin long, fp binary, size long, rare array<long>, hot array<long>")
+    return slim.mapInArrow(task, "row long, doc_id long, twin long, fp binary, size long, bins binary, rare array<long>, hot array<long>")
 
 
 #: Links of one text that are checked together; bytes of a shingle's hash that are dealt for that.
@@ -652,7 +673,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 3, bits: int =
 
     Fingerprints within `reach` bits are linked; component_id is the smallest doc_id that can be reached. By ratio (say
     0.8), fingerprints are made of distinct shingles, as the similarity is; texts that share one of their rarest shingles,
-    as all that are so alike must, and are near enough in size are held against each other, and those whose shingles have
+    as all that are so alike must, and can be so alike by their sizes and histograms, are held against each other, and those whose shingles have
     a Jaccard similarity of at least ratio are linked (root is then the least twin of the component). Those that share only
     such rare shingles as more than SMALL texts have are held against each other if they lie within reach in trees. Texts without words
     and null texts have fingerprint 0 (by ratio: one and the same) and are linked like any other. Null doc_ids
@@ -664,9 +685,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 3, bits: int =
         twin = twins(docs, text_col) if twin is None else twin
         marked = cut(sketches(docs, words, bits, ratio, twin, id_col, text_col))
         firsts = marked.groupBy("twin").agg(F.min("row").alias("row"), F.min("doc_id").alias("first"))
-        points = cut(marked.join(firsts.select("row", "first"), "row").select("twin", "fp", "size", "first", "rare", "hot"))
+        points = cut(marked.join(firsts.select("row", "first"), "row").select("twin", "fp", "size", "bins", "first", "rare", "hot"))
         found = cut(met(points.select(F.explode("rare").alias("shingle"), "twin")))
-        candidates = cut(alike_in_size(found.where("shingle IS NULL").select("a", "b").distinct(), points, ratio))
+        candidates = found.where("shingle IS NULL").select("a", "b")
         large = found.where("shingle IS NOT NULL").select("shingle", F.col("a").alias("twin")).unionByName(points.select(F.explode("hot").alias("shingle"), "twin"))
         sizes = cut(large.groupBy("shingle").agg(F.count("*").alias("n")))
         most = _depth(sizes.agg(F.max("n")).first()[0] or 0)
@@ -674,7 +695,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, reach: int = 3, bits: int =
         dealt = large.join(sizes, "shingle").join(points.select("twin", "fp"), "twin").select(F.col("shingle").alias("band"), "twin", "fp", depth.alias("depth"))
         dealt = cut(dealt)
         leaves = cut(routed(dealt, reach, bits, most))
-        gone(found, sizes, dealt)
+        gone(sizes, dealt)
         roots = verified(candidates, leaves, docs, words, ratio, reach, bits, points, twin, text_col)
         homes = points.select("twin", "first").join(roots, F.col("twin") == F.col("node"), "left").select("twin", F.coalesce("root", "twin").alias("root"), "first")
         homes = homes.join(homes.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("twin", "root", "component_id")

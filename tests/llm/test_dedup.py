@@ -172,6 +172,16 @@ def test_no_pair_within_reach_is_left_unchecked(spark, monkeypatch, one_fingerpr
     assert got == dict(enumerate(_components(len(texts), near)))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 3000), st.integers(0, 400), st.integers(0, 400), st.integers(0, 100))
+def test_histograms_bound_what_is_shared(both, a, b, seed):
+    rng = np.random.default_rng(seed)
+    h = rng.integers(0, 1 << 62, both + a + b, dtype=np.uint64) & np.uint64((1 << 62) - 1 - (0xF000 if seed % 2 else 0))
+    x, y = (np.frombuffer(simhash.histogram(np.concatenate([h[:both], own])), np.uint8).astype(int) for own in (h[both : both + a], h[both + a :]))
+    lesser = np.minimum(x, y)
+    assert lesser.sum() >= both or (lesser == simhash.FULL).any()
+
+
 def test_short_texts_lose_no_link(spark):
     """Pairs of 4 to 28 shingles that are as alike as they must be, or just not, most of them far apart in bits."""
     texts, near = [], []
