@@ -51,13 +51,26 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(both).alias("x"), "ord", "src", "type", "dst").select("x.node", "x.other", "ord", "src", "type", "dst")
 
 
+def heads(near: DataFrame, cap: int, order: str = "ord") -> DataFrame:
+    """(node, other, ord): each node's first 2 x cap different neighbours by (order, other).
+
+    A walk of at most cap nodes takes at most cap new ones from a node and passes over at most cap that it has, so it
+    never needs more. The limit is applied before rows are dealt by node, so a hub's neighbours never meet in one task.
+    """
+    once = near.groupBy("node", "other").agg(F.min(order).alias("ord"))
+    return once.withColumn("_place", F.row_number().over(Window.partitionBy("node").orderBy("ord", "other"))).where(F.col("_place") <= 2 * cap).drop("_place")
+
+
 def expand(near: DataFrame, seeds: DataFrame, depth: int, cap: int, order: str = "ord") -> DataFrame:
     """(qid, seed, seed_rank, node, rank): what each seed of each question reaches, in the order of a breadth-first walk.
 
     near: (node, other, ord); seeds: (qid, seed, seed_rank). A level's nodes come in the order of the node they are reached
     from, then of ord; each seed has `cap` nodes at most, itself included (rank 0), and `depth` levels. All seeds of
-    all questions take a level together, and each has its own budget, so a seed next to a hub starves no other.
+    all questions take a level together, and each has its own budget, so a seed next to a hub starves no other. Of a hub's
+    neighbours only those are followed that a seed could keep, see heads().
     """
+    near = settled(heads(near, cap, order))
+    order = "ord"
     walk = settled(seeds.select("qid", "seed", "seed_rank", F.col("seed").alias("node"), F.lit(0).alias("rank"), F.lit(0).alias("level")))
     key = ["qid", "seed", "seed_rank"]
     for level in range(1, depth + 1):

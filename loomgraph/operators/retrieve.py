@@ -11,6 +11,7 @@ from loomgraph import terms as X
 from loomgraph.operators import context as C
 from loomgraph.operators import graph as G
 from loomgraph.operators import text as R
+from loomgraph.operators.prefix import ordinals
 from loomgraph.operators.lookup import inherited_properties
 from loomgraph.operators.views import definitions, kinds, labels, objects, subclass_edges
 from loomgraph.plans.materialize import settled
@@ -157,14 +158,14 @@ class Scenarios:
         """(doc, key, text) of S1 to S4; doc is the document's place."""
         if name not in self._made:
             entities = R.entity_documents(self.triples, self.vocabulary)
-            placed = entities.select(F.row_number().over(Window.orderBy("s")).cast("long").alias("doc"), "s", "key", "text") if name in ("S1", "S2", "S4") else None
+            placed = ordinals(entities.select("s", "key", "text"), ["s"], "doc") if name in ("S1", "S2", "S4") else None
             if name == "S1":
                 out = R.chunks(placed, "doc").select(F.col("chunk").cast("long").alias("doc"), F.lit(None).cast("string").alias("key"), "text")
             elif name == "S2":
                 out = placed.select("doc", "key", "text")
             else:
                 facts = R.relation_documents(entities)
-                facts = facts.select(F.row_number().over(Window.orderBy("s", "line")).cast("long").alias("doc"), F.lit(None).cast("string").alias("key"), "text")
+                facts = ordinals(facts.select("s", "line", "text"), ["s", "line"], "doc").select("doc", F.lit(None).cast("string").alias("key"), "text")
                 out = facts if name == "S3" else placed.select("doc", "key", "text").unionByName(facts.withColumn("doc", F.col("doc") + placed.count()))
             self._made[name] = settled(out)
         return self._made[name]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph import terms as X
 from loomgraph.operators.views import definitions, labels
+from loomgraph.operators.prefix import prefix_sums
 from loomgraph.plans.materialize import settled
 
 
@@ -38,27 +39,19 @@ def relation_documents(documents: DataFrame) -> DataFrame:
     return lines.where("line > 0 AND (startswith(x, '- ') OR startswith(x, '정의: '))").select("s", "line", F.concat(subject, F.lit(" — "), F.when(F.col("x").startswith("- "), F.substr("x", F.lit(3))).otherwise(F.col("x"))).alias("text"))
 
 
-def chunks(documents: DataFrame, order: str, text: str = "text", size: int = 400, overlap: int = 80, buckets: int = 64) -> DataFrame:
+def chunks(documents: DataFrame, order: str, text: str = "text", size: int = 400, overlap: int = 80) -> DataFrame:
     """(chunk, text): windows of `size` characters, each `size - overlap` after the last, over all texts joined by blank
     lines in the order of a number column.
 
-    The joined text is never built: a document's offset is a running sum, it gives its part to each window that it
-    touches, and a window puts its parts together. Offsets are summed in two steps, over ranges of the order column and
-    within them, so no task sees all documents.
+    The joined text is never built: a document's offset is a sum over those before it, it gives its part to each window
+    that it touches, and a window puts its parts together.
     """
     step = size - overlap
     d = documents.select(F.col(order).cast("long").alias("i"), (F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    ends = d.agg(F.min("i"), F.max("i")).first()
-    if ends[0] is None:
+    high = d.agg(F.max("i")).first()[0]
+    if high is None:
         return d.select(F.lit(0).cast("long").alias("chunk"), F.col("t").alias("text")).limit(0)
-    low, high = ends
-    width = max(1, (high - low) // buckets + 1)
-    d = d.withColumn("r", F.floor((F.col("i") - low) / width)).withColumn("n", F.length("t").cast("long") + 2)
-    before = Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each range, whatever the input
-    starts = d.groupBy("r").agg(F.sum("n").alias("n")).select("r", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("r").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    placed = d.join(F.broadcast(starts), "r").withColumn("at", F.col("base") + F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    placed = prefix_sums(d, ["i"], F.length("t") + 2, "at")
     body = placed.select("at", F.when(F.col("i") == high, F.col("t")).otherwise(F.concat("t", F.lit("\n\n"))).alias("t"))
     last = F.col("at") + F.length("t") - 1
     first_chunk = F.greatest(F.lit(0), F.ceil((F.col("at") - (size - 1)) / step))

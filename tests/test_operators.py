@@ -12,6 +12,7 @@ from loomgraph.operators import context as C
 from loomgraph.operators import rules, workload
 from loomgraph.operators import graph as G
 from loomgraph.operators import text as R
+from loomgraph.operators.prefix import ordinals, prefix_sums
 from loomgraph.sources import records
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -99,3 +100,47 @@ def test_the_rest_stands_without_the_corpus_operators(tmp_path):
     code = "import re, __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert 'class_instances' in q and set(o) <= set(q); assert not any(re.match(r'op\\d', n) or n == 'pipeline' for n in q)"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def _walk(near, seed, depth, cap):
+    """A breadth-first walk of one seed, by the definition: level by level, neighbours in order."""
+    walk, front = [seed], [seed]
+    for _ in range(depth):
+        found = []
+        for n in front:
+            for _, other in sorted(near.get(n, ())):
+                if other not in walk and other not in found:
+                    found.append(other)
+        front = found[: cap - len(walk)]
+        walk += front
+    return walk
+
+
+def test_walks_past_hubs_follow_what_a_seed_can_keep(spark):
+    hub = [("hub", f"n{i:05d}", i) for i in range(5000)] + [(f"n{i:05d}", "hub", 7) for i in range(5000)]
+    more = [(f"n{i:05d}", f"m{i % 40:02d}", i) for i in range(0, 5000, 3)] + [("hub", "n00003", 9000)]
+    edges = spark.createDataFrame(hub + more, "node string, other string, ord int")
+    assert G.heads(edges, 6).groupBy("node").count().agg(F.max("count")).first()[0] == 12
+    near = {}
+    for a, b, o in hub + more:
+        near.setdefault(a, set()).add((o, b))
+    seeds = [(1, "hub", 1), (1, "n00009", 2), (2, "n04999", 1), (2, "m01", 2)]
+    got = G.expand(edges, spark.createDataFrame(seeds, "qid int, seed string, seed_rank int"), 3, 6)
+    by_seed = {}
+    for r in got.collect():
+        by_seed.setdefault((r["qid"], r["seed"]), []).append((r["rank"], r["node"]))
+    assert {k: [n for _, n in sorted(v)] for k, v in by_seed.items()} == {(q, s): _walk(near, s, 3, 6) for q, s, _ in seeds}
+
+
+def test_prefix_sums_over_ranges(spark):
+    rows = [(i * 7919 % 1000, f"x{i % 7}", None if i % 11 == 0 else i % 5) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, s string, n int").repartition(5)
+    want, total = {}, 0
+    for k, _, n in sorted(rows):
+        want[k] = total
+        total += n or 0
+    assert {r["k"]: r["before"] for r in prefix_sums(df, ["k"], F.col("n"), "before").collect()} == want
+    assert [r["k"] for r in ordinals(df, ["k"], "place").orderBy("place").collect()] == list(range(1000))
+    places = ordinals(df, ["s"], "place").orderBy("place").collect()
+    assert [r["place"] for r in places] == list(range(1, 1001)) and [r["s"] for r in places] == sorted(s for _, s, _ in rows)
+    assert ordinals(df.where("false"), ["s"], "place").count() == 0
