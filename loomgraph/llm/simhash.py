@@ -365,9 +365,16 @@ def histogram(shingles: np.ndarray) -> bytes:
     return np.minimum(np.bincount((shingles >> np.uint64(8) & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), FULL).astype(np.uint8).tobytes()
 
 
+def enough(a: np.ndarray, b: np.ndarray, both: np.ndarray, ratio: float) -> np.ndarray:
+    """Whether sets with these histograms and sizes, added up, can be alike by ratio: they share at most the lesser count of
+    each bin."""
+    lesser = np.minimum(a, b)
+    return (lesser.sum(1, dtype=np.int64) >= ratio / (1 + ratio) * both - 1e-9) | (lesser == FULL).any(1)
+
+
 def may_be_alike(edges: DataFrame, points: DataFrame, ratio: float) -> DataFrame:
     """Those of the edges (a, b), twins of points (twin, size, bins), whose sets of shingles can be so alike by their sizes and
-    histograms: they share at most the lesser count of each bin. None that is so alike is lost."""
+    histograms. None that is so alike is lost."""
     of = [points.select(F.col("twin").alias(x), F.col("size").alias(f"size_{x}"), F.col("bins").alias(f"bins_{x}")) for x in ("a", "b")]
     near = F.least("size_a", "size_b") >= F.lit(ratio) * F.greatest("size_a", "size_b") - 1e-9
     joined = edges.select("a", "b").join(of[0], "a").join(of[1], "b").where(near).select("a", "b", (F.col("size_a") + F.col("size_b")).alias("n"), "bins_a", "bins_b")
@@ -375,9 +382,7 @@ def may_be_alike(edges: DataFrame, points: DataFrame, ratio: float) -> DataFrame
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (3, 4))
-            lesser = np.minimum(a, b)
-            enough = lesser.sum(1, dtype=np.int64) >= ratio / (1 + ratio) * batch.column(2).to_numpy() - 1e-9
-            on = pa.array(enough | (lesser == FULL).any(1))
+            on = pa.array(enough(a, b, batch.column(2).to_numpy(), ratio))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(on)
 
     return joined.mapInArrow(task, "a long, b long")
@@ -395,15 +400,31 @@ def verified(candidates: DataFrame, leaves: DataFrame, docs: DataFrame, words: i
     roots, n = None, points.count()
     none = candidates.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
 
-    def ends(table: pa.Table) -> tuple[np.ndarray, ...]:
+    def ends(table: pa.Table) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+        """The twins of a leaf, and block by block the pairs of them that are within reach, in different components and not
+        told apart by their histograms."""
         twin, first, at = np.unique(table["twin"].to_numpy(), return_index=True, return_inverse=True)
-        asks = table["asks"].to_numpy()
-        return twin, _array(table["fp"].take(pa.array(first)), bits), table["label"].to_numpy()[first], np.unique(at[~asks]), np.unique(at[asks])
+        asks, label = table["asks"].to_numpy(), table["label"].to_numpy()[first]
+        kept = table.select(["fp", "size", "bins"]).take(pa.array(first))
+        size, bins = kept["size"].to_numpy(), np.frombuffer(b"".join(kept["bins"].to_pylist()), np.uint8).reshape(-1, BINS)
+
+        def hits() -> Iterator[np.ndarray]:
+            if (label == label[0]).all():
+                return
+            for found in apart(_array(kept["fp"], bits), label, np.unique(at[~asks]), np.unique(at[asks]), reach):
+                for i in range(0, len(found), BLOCK):
+                    part = found[i : i + BLOCK]
+                    a, b = part[:, 0], part[:, 1]
+                    on = enough(bins[a], bins[b], size[a] + size[b], similarity)
+                    if on.any():
+                        yield part[on]
+
+        return twin, hits()
 
     def forest_of(table: pa.Table) -> pa.Table:
         """Pairs to check; points with pairs besides (b null); some of those pairs (leaf null); how many they are (a null)."""
-        twin, fp, label, own, asks = ends(table)
-        found, rest, thin, left = nearest(apart(fp, label, own, asks, reach) if (label != label[0]).any() else iter(()), twin)
+        twin, hits = ends(table)
+        found, rest, thin, left = nearest(hits, twin)
         more, many = twin[rest], int(rest.any())
         n, key = len(found) + len(more) + many, [table[c].to_pylist()[:1] for c in ("band", "leaf")]
         a = [*twin[found[:, 0]].tolist(), *more.tolist(), *[None] * many, *thin[:, 0].tolist()]
@@ -412,10 +433,10 @@ def verified(candidates: DataFrame, leaves: DataFrame, docs: DataFrame, words: i
 
     def part_of(k: int, slices: int):
         def search(table: pa.Table) -> pa.Table:
-            twin, fp, label, own, asks = ends(table)
+            twin, hits = ends(table)
             found = [np.empty((0, 2), np.int64)]
-            for hits in apart(fp, label, own, asks, reach) if (label != label[0]).any() else ():
-                a, b = twin[hits[:, 0]], twin[hits[:, 1]]
+            for some in hits:
+                a, b = twin[some[:, 0]], twin[some[:, 1]]
                 on = slice_of(a, b, slices) == k
                 found.append(np.stack([a[on], b[on]], 1))
             found = np.concatenate(found)
@@ -428,13 +449,16 @@ def verified(candidates: DataFrame, leaves: DataFrame, docs: DataFrame, words: i
             return rows.withColumn(label, F.col(name))
         return rows.join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col(name) == F.col("_node"), "left").withColumn(label, F.coalesce("_root", name)).drop("_node", "_root")
 
+    def known(leaves: DataFrame) -> DataFrame:
+        return labelled(leaves, "twin", "label").join(points.select("twin", "size", "bins"), "twin")
+
     def learn(edges: DataFrame) -> None:
         nonlocal roots
         new = checked(may_be_alike(edges.distinct(), points, similarity), docs, words, similarity, twin, text_col)
         if new.isEmpty():
             return
-        known = new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        before, roots = roots, components(known)
+        linked = new if roots is None else new.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        before, roots = roots, components(linked)
         gone(new, *[] if before is None else [before])
 
     left = largest = several = 0
@@ -442,7 +466,7 @@ def verified(candidates: DataFrame, leaves: DataFrame, docs: DataFrame, words: i
         learn(candidates)
         return roots if roots is not None else none
     for k in range(ROUNDS):
-        given = cut(labelled(leaves, "twin", "label").groupBy("band", "leaf").applyInArrow(forest_of, "band long, leaf long, a long, b long"))
+        given = cut(known(leaves).groupBy("band", "leaf").applyInArrow(forest_of, "band long, leaf long, a long, b long"))
         nearest_pairs = given.where("leaf IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL").select("a", "b")
         learn(nearest_pairs if k else nearest_pairs.unionByName(candidates))
         left, largest = given.where("a IS NULL").agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.max("b"), F.lit(0))).first()
@@ -455,7 +479,7 @@ def verified(candidates: DataFrame, leaves: DataFrame, docs: DataFrame, words: i
             break
     slices = max(int(left > 0), math.ceil(min(left, several) / max(CHECKS, n)), math.ceil(largest / GIVEN))
     for k in range(slices):
-        learn(labelled(leaves, "twin", "label").groupBy("band", "leaf").applyInArrow(part_of(k, slices), "a long, b long"))
+        learn(known(leaves).groupBy("band", "leaf").applyInArrow(part_of(k, slices), "a long, b long"))
     return roots if roots is not None else none
 
 
