@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph import terms as X
+from loomgraph.operators.prefix import ordinals, prefix_sums
+from loomgraph.operators.runs import longest_run
 from loomgraph.operators.views import definitions, labels
-from loomgraph.operators.prefix import prefix_sums
 from loomgraph.plans.materialize import settled
 
 
@@ -79,32 +80,71 @@ def term_frequencies(docs: DataFrame, key: str, text: str = "text", sizes: tuple
     return docs.select(key, F.explode(ngrams(F.col(text), sizes)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
 
 
+#: Documents in a block of an index, blocks that one salt of a gram holds, and heaviest grams by which documents are ordered.
+BLOCK, SALTED, TOPS = 64, 1024, 8
+
+
 class TfIdf:
-    """An index: postings (doc, gram, w), norms (doc, norm) and the idf of each gram. Weight: tf (ln(N / (1 + df)) + 1)."""
+    """An index of documents in blocks: postings (doc, block, gram, w, norm) and, for each block and gram, the greatest share
+    of a document's norm that it has there. Weight: tf (ln(N / (1 + df)) + 1), which is above zero for every gram.
+
+    Blocks are ranges of the documents in the order of their heaviest grams, so that a block's bounds are near its documents'
+    weights. A gram that most documents have is split over its blocks, and over salts where it is held against questions.
+    """
 
     def __init__(self, docs: DataFrame, key: str, text: str = "text", sizes: tuple[int, ...] = (2, 3)):
         self.sizes = sizes
         tf = settled(term_frequencies(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "doc", "text", sizes))
         self.n = docs.count()
         df = tf.groupBy("gram").agg(F.count("*").alias("df"))
-        self.idf = settled(df.select("gram", (F.log(F.lit(float(max(1, self.n))) / (F.col("df") + 1)) + 1).alias("idf")))
-        self.postings = settled(tf.join(self.idf, "gram").select("doc", "gram", (F.col("tf") * F.col("idf")).alias("w")))
-        self.norms = self.postings.groupBy("doc").agg(norm("w").alias("norm"))
+        idf = (F.log(F.lit(float(max(1, self.n))) / (F.col("df") + 1)) + 1).alias("idf")
+        self.idf = settled(df.select("gram", idf, (F.floor(F.col("df") / (BLOCK * SALTED)) + 1).cast("int").alias("salts")))
+        weighted = tf.join(self.idf, "gram").select("doc", "gram", "salts", (F.col("tf") * F.col("idf")).alias("w"))
+        heaviest = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("w", "gram")), False), 1, TOPS), lambda x: x["gram"])
+        placed = ordinals(weighted.groupBy("doc").agg(norm("w").alias("norm"), heaviest.alias("tops")), ["tops", "doc"], "place")
+        blocks = placed.select("doc", "norm", F.floor((F.col("place") - 1) / BLOCK).alias("block"))
+        self.postings = settled(weighted.join(blocks, "doc").select("doc", "block", "gram", "salts", "w", "norm"))
+        self.bounds = self.postings.groupBy("block", "gram", "salts").agg(F.max(F.col("w") / F.col("norm")).alias("high"))
 
     def top(self, questions: DataFrame, key: str, text: str = "text", k: int = 5, decimals: int | None = None) -> DataFrame:
         """(key, doc, score, rank) of the k best documents of each question with a positive score; ties by doc.
 
-        All questions are scored in one join on grams; a question's norm counts grams that no document has.
+        A question's norm counts grams that no document has. Each question is first scored against the block that can
+        reach most; its k-th best score there is a floor, and of the other blocks only those whose bounds reach it are
+        scored. The rows are those of scoring every document.
         """
+        best = self._ranked(self.scored(questions, key, text, k, decimals), k)
+        return best.select(F.col("q").alias(key), "doc", "score", "rank")
+
+    def scored(self, questions: DataFrame, key: str, text: str = "text", k: int = 5, decimals: int | None = None) -> DataFrame:
+        """(q, doc, score): every pair that top() has to look at."""
         unseen = F.log(F.lit(float(max(1, self.n)))) + 1
         q = term_frequencies(questions.select(F.col(key).alias("q"), F.col(text).alias("text")), "q", "text", self.sizes)
-        weights = settled(q.join(self.idf, "gram", "left").select("q", "gram", (F.col("tf") * F.coalesce("idf", unseen)).alias("qw")))
+        weight = F.col("tf") * F.coalesce("idf", unseen)
+        weights = settled(q.join(self.idf, "gram", "left").select("q", "gram", "salts", weight.alias("qw")))
         q_norm = weights.groupBy("q").agg(norm("qw").alias("q_norm"))
-        dots = weights.join(self.postings, "gram").groupBy("q", "doc").agg(F.sum(F.col("qw") * F.col("w")).alias("dot")).where("dot > 0")
-        score = F.col("dot") / (F.col("q_norm") * F.col("norm"))
-        scored = dots.join(q_norm, "q").join(self.norms, "doc").withColumn("score", score if decimals is None else F.round(score, decimals))
-        best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc"))).where(F.col("rank") <= k)
-        return best.select(F.col("q").alias(key), "doc", "score", "rank")
+        asked = weights.where("salts IS NOT NULL").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        dealt = self.bounds.withColumn("salt", F.pmod("block", "salts").cast("int")).drop("salts")
+        met = asked.join(dealt, ["gram", "salt"]).groupBy("q", "block").agg(F.sum(F.col("qw") * F.col("high")).alias("reach"))
+        reach = settled(met.join(q_norm, "q").select("q", "block", "q_norm", (F.col("reach") / F.col("q_norm")).alias("reach")))
+
+        def of(cells: DataFrame) -> DataFrame:
+            pairs = cells.select("q", "block", "q_norm").join(weights.select("q", "gram", "qw"), "q").join(self.postings, ["block", "gram"])
+            dots = pairs.groupBy("q", "doc", "q_norm", "norm").agg(F.sum(F.col("qw") * F.col("w")).alias("dot")).where("dot > 0")
+            score = F.col("dot") / (F.col("q_norm") * F.col("norm"))
+            return dots.select("q", "doc", (score if decimals is None else F.round(score, decimals)).alias("score"))
+
+        most = reach.groupBy("q").agg(F.max(F.struct("reach", "block"))["block"].alias("most"))
+        near = reach.join(most, "q")
+        first = settled(of(near.where("block = most")))
+        floor = self._ranked(first, k).where(F.col("rank") == k).select("q", F.col("score").alias("floor"))
+        slack = 1e-9 if decimals is None else 10.0**-decimals
+        rest = near.where("block <> most").join(floor, "q", "left").where(F.col("floor").isNull() | (F.col("reach") + slack >= F.col("floor")))
+        return first.unionByName(of(rest))
+
+    def _ranked(self, scored: DataFrame, k: int) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc"))
+        return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def norm(w: str) -> Column:
@@ -125,15 +165,19 @@ def with_aliases(names: DataFrame) -> DataFrame:
     return names.select(F.explode(F.concat(F.array("name"), F.coalesce(both, F.array().cast("array<string>")))).alias("name"), "node").distinct()
 
 
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest run of characters that a and b share: the longest part of a that b contains."""
-    n = F.length(a)
+#: Characters in a row that a longer name shares with a question, names above which a gram is common, and names to a salt.
+RUN, COMMON, DEALT = 4, 256, 4096
+
 
-    def longest_at(i: Column) -> Column:
-        # grows while the next longer part is still contained
-        return F.aggregate(F.sequence(F.lit(1), n - i), F.lit(0), lambda best, k: F.when((best == k - 1) & F.contains(b, F.substring(a, i + 1, k)), k).otherwise(best))
+def _stretch(flags: str) -> Column:
+    """Characters in the longest stretch of grams marked 1, in a text of 0 and 1; none: 0."""
+    most = F.array_max(F.transform(F.split(flags, "0"), F.length))
+    return F.when(most > 0, most + RUN - 1).otherwise(0)
 
-    return F.when((n == 0) | (F.length(b) == 0), 0).otherwise(F.array_max(F.transform(F.sequence(F.lit(0), n - 1), longest_at)))
+
+def _placed_grams(texts: DataFrame, key: str) -> DataFrame:
+    """(key, at, g): the grams of RUN characters at every place of the texts in that column."""
+    return texts.select(key, F.posexplode(ngrams(F.col(key), (RUN,))).alias("at", "g"))
 
 
 def match(names: DataFrame, questions: DataFrame, limit: int = 8, shortest: int = 1) -> DataFrame:
@@ -141,18 +185,49 @@ def match(names: DataFrame, questions: DataFrame, limit: int = 8, shortest: int
 
     names: (name, node); questions: (qid, question). Case doesn't count. A name of under four characters matches if
     the question contains it (score 1); a longer one if they share four characters in a row, its score being the
-    longest shared run over its length. A node has its best name; order: score, length of the run, node. Pairs come from
-    an equi-join on grams (whole short names, four characters of long ones), never from all pairs.
+    longest shared run over its length. A node has its best name; order: score, length of the run, node.
+
+    Pairs come from equi-joins on grams (whole short names, four characters of long ones), never from all pairs. Those that
+    share a gram of few names are scored first, and a question's limit-th best score is then a floor. A run shared by the
+    rest lies within a stretch of common grams in the name and one in the question; pairs whose shorter stretch
+    can't reach the floor are left out in the join, where common grams are dealt to salts. No row is lost by that.
     """
     n = names.select(F.lower("name").alias("n"), "node").where(F.length("n") >= shortest).distinct()
     q = questions.select("qid", F.lower("question").alias("q"))
-    grams = lambda c, k: F.array_distinct(ngrams(c, (k,)))
-    by_size = [q.select("qid", F.explode(grams(F.col("q"), k)).alias("g")) for k in (1, 2, 3, 4)]
-    asked = by_size[0]
-    for x in by_size[1:]:
-        asked = asked.unionByName(x)
-    offered = n.select("n", "node", F.explode(F.when(F.length("n") < 4, F.array("n")).otherwise(grams(F.col("n"), 4))).alias("g"))
-    pairs = offered.join(asked, "g").select("qid", "n", "node").distinct().join(q, "qid")
-    scored = pairs.withColumn("lcs", F.when(F.length("n") < 4, F.length("n")).otherwise(lcs(F.col("n"), F.col("q")))).withColumn("score", F.when(F.length("n") < 4, 1.0).otherwise(F.col("lcs") / F.length("n")))
+    few = n.where(F.length("n") < RUN)
+    parts = q.select("qid", F.explode(F.array_distinct(ngrams(F.col("q"), tuple(range(1, RUN))))).alias("n"))
+    contained = parts.join(few, "n").select("qid", "node", F.lit(1.0).alias("score"), F.length("n").alias("lcs"))
+
+    texts = n.where(F.length("n") >= RUN).select("n").distinct()
+    offered, asked = _placed_grams(texts, "n"), _placed_grams(q.select("q").distinct(), "q")
+    known = settled(offered.select("n", "g").distinct().groupBy("g").agg(F.count("*").alias("df")))
+    is_common = F.when(F.col("df") > COMMON, "1").otherwise("0")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", is_common.alias("f")))), lambda x: x["f"]), "")
+
+    def posted(grams: DataFrame, key: str) -> DataFrame:
+        flat = grams.join(known, "g", "left")
+        return settled(flat.groupBy(key).agg(joined.alias("flags"), F.collect_set(F.when(F.col("df").isNotNull(), F.struct("g", "df"))).alias("grams")).withColumn("stretch", _stretch("flags")))
+
+    by_name, by_question = posted(offered, "n"), posted(asked, "q")
+    take = lambda d, key, test: d.select(key, "stretch", F.explode("grams").alias("x")).select(key, "stretch", "x.g", "x.df").where(test)
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        run = longest_run(F.col("n"), F.col("q"))
+        told = pairs.select("n", "q").distinct().withColumn("lcs", run).withColumn("score", F.col("lcs") / F.length("n"))
+        return told.join(q, "q").join(n, "n").select("qid", "node", "score", "lcs")
+
+    rare = F.col("df") <= COMMON
+    first = settled(compared(take(by_name, "n", rare).select("n", "g").join(take(by_question, "q", rare).select("q", "g"), "g")).unionByName(contained))
+    floor = _best_nodes(first, limit).where(F.col("rank") == limit).select("qid", F.col("score").alias("floor"))
+    floors = q.join(floor, "qid", "left").groupBy("q").agg(F.min(F.coalesce("floor", F.lit(0.0))).alias("floor"))
+    salts = (F.floor(F.col("df") / DEALT) + 1).cast("int")
+    left = take(by_name, "n", ~rare).withColumn("salt", F.pmod(F.xxhash64("n"), salts).cast("int")).select("n", "g", "salt", F.col("stretch").alias("n_stretch"))
+    right = take(by_question, "q", ~rare).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("q", "g", "salt", F.col("stretch").alias("q_stretch")).join(floors, "q")
+    reach = F.least("n_stretch", "q_stretch") + 1e-6 >= F.col("floor") * F.length("n")
+    return _best_nodes(first.unionByName(compared(left.join(right, ["g", "salt"]).where(reach))), limit)
+
+
+def _best_nodes(scored: DataFrame, limit: int) -> DataFrame:
     best = scored.groupBy("qid", "node").agg(F.max(F.struct("score", "lcs")).alias("b")).select("qid", "node", "b.score", "b.lcs")
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("lcs"), "node"))).where(F.col("rank") <= limit)
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("lcs"), "node"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= limit)
