@@ -19,29 +19,122 @@ TAX = "0.154"
 RATE_TYPES = ["고정금리", "변동금리"]
 #: Wordings: {0}, {1} ... are the parts of a row. Others can be given to word().
 WORDINGS: dict[str, list[str]] = {
-    "base_rate_lookup": ["{0}의 12개월 기본금리는 몇 %인가?"],
-    "max_rate_lookup": ["{0}의 {1}개월 최고 우대금리는 몇 %인가?"],
-    "rate_threshold": ["{0}의 {1}개월 최고 우대금리는 {2}% 이상인가?"],
-    "join_way": ["{0}에 {1}(으)로 가입할 수 있는가?"],
-    "age_condition": ["만 {1}세는 {0}의 나이 요건을 충족하는가?"],
-    "max_limit_lookup": ["{0}의 최고 한도는 얼마인가?"],
-    "interest_calc_type": ["{0}의 이자 계산 방식은 무엇인가?"],
-    "loan_min_rate": ["{0}의 {1} {2} 최저금리는 몇 %인가?"],
-    "loan_rate_type": ["{0}에 {1} 방식이 있는가?"],
-    "credit_avg_rate": ["{0}의 평균 대출금리는 몇 %인가?"],
-    "abstain_missing_field": ["{0}의 {1}은(는) 무엇인가?"],
-    "compare_two_products": ["{0}의 '{1}'와(과) '{2}' 중 12개월 최고 우대금리가 높은 것은?"],
-    "agg_count": ["{0}의 {1} 상품은 몇 개인가?"],
-    "agg_superlative": ["12개월 최고 우대금리가 가장 높은 {0} 상품은?"],
-    "enumerate_products": ["{0}의 {1} 상품을 모두 쓰면?"],
-    "calc_interest": ["{0}에 {1}원을 12개월 맡기면 세전 이자는 얼마인가?"],
-    "calc_interest_after_tax": ["{0}에 {1}원을 12개월 맡기면 세금 15.4%를 뺀 이자는 얼마인가?"],
-    "calc_interest_diff": ["{0}와(과) {1}에 10,000,000원씩 12개월 맡기면 세전 이자의 차이는 얼마인가?"],
-    "joint_condition": ["만 {1}세가 {2}(으)로 {0}에 가입할 때 나이와 경로 요건을 모두 충족하는가?"],
-    "article_locate": ["「{0}」에서 '{1}'을(를) 정한 조문은 몇 조인가?"],
-    "definition_term": ["「{0}」 {1}에서 “{2}”(이)라고 정의되는 용어는?"],
-    "law_meta": ["「{0}」의 {1}은(는)?"],
-    "penalty_amount": ["「{0}」 {1}의 {2} 상한은?"],
+    "base_rate_lookup": [
+        "{0}의 12개월 기본금리는 몇 %인가?",
+        "12개월 만기일 때 {0}의 기본금리(%)를 답하시오.",
+        "{0}, 1년을 맡기면 기본금리는 연 몇 %인가?",
+    ],
+    "max_rate_lookup": [
+        "{0}의 {1}개월 최고 우대금리는 몇 %인가?",
+        "{1}개월 만기 {0}의 우대금리는 최고 몇 %까지인가?",
+        "우대 조건을 다 채우면 {0}의 {1}개월 금리는 몇 %가 되는가?",
+    ],
+    "rate_threshold": [
+        "{0}의 {1}개월 최고 우대금리는 {2}% 이상인가?",
+        "{1}개월 만기 {0}의 우대금리가 최고 {2}%에 이르는가?",
+        "{0}을(를) {1}개월 유지하고 우대를 모두 받으면 {2}% 이상을 받는가?",
+    ],
+    "join_way": [
+        "{0}에 {1}(으)로 가입할 수 있는가?",
+        "{1}(으)로 {0} 가입이 되는가?",
+        "{0}의 가입 경로에 {1}이(가) 들어 있는가?",
+    ],
+    "age_condition": [
+        "만 {1}세는 {0}의 나이 요건을 충족하는가?",
+        "{0}의 나이 조건에 만 {1}세가 맞는가?",
+        "만 {1}세인 사람은 나이로 보아 {0}에 가입할 수 있는가?",
+    ],
+    "max_limit_lookup": [
+        "{0}의 최고 한도는 얼마인가?",
+        "{0}에는 최고 얼마까지 넣을 수 있는가?",
+        "{0}의 가입 금액 한도를 답하시오.",
+    ],
+    "interest_calc_type": [
+        "{0}의 이자 계산 방식은 무엇인가?",
+        "{0}의 이자는 단리와 복리 중 어느 쪽인가?",
+        "{0}의 이자를 어떤 방식으로 계산하는가?",
+    ],
+    "loan_min_rate": [
+        "{0}의 {1} {2} 최저금리는 몇 %인가?",
+        "{1} {2} 조건에서 {0}의 금리는 최저 몇 %인가?",
+        "{0}, {1} {2}일 때 가장 낮은 금리(%)는?",
+    ],
+    "loan_rate_type": [
+        "{0}에 {1} 방식이 있는가?",
+        "{1} 방식으로 {0}을(를) 쓸 수 있는가?",
+        "{0}의 금리 방식 가운데 {1}이(가) 있는가?",
+    ],
+    "credit_avg_rate": [
+        "{0}의 평균 대출금리는 몇 %인가?",
+        "{0}의 대출금리 평균(%)을 답하시오.",
+        "{0}을(를) 쓰는 사람의 금리는 평균 몇 %인가?",
+    ],
+    "abstain_missing_field": [
+        "{0}의 {1}은(는) 무엇인가?",
+        "공시된 {0}의 {1}을(를) 답하시오.",
+        "{0}에 대해 {1}이(가) 어떻게 공시되어 있는가?",
+    ],
+    "compare_two_products": [
+        "{0}의 '{1}'와(과) '{2}' 중 12개월 최고 우대금리가 높은 것은?",
+        "{0}의 두 상품 '{1}', '{2}' 중 12개월 우대금리가 최고로 더 높은 쪽은?",
+        "12개월 최고 우대금리로 견주면 {0}의 '{1}', '{2}' 중 어느 것이 앞서는가?",
+    ],
+    "agg_count": [
+        "{0}의 {1} 상품은 몇 개인가?",
+        "{0}이(가) 공시한 {1} 상품의 수는?",
+        "{1} 상품 가운데 {0}의 것은 모두 몇 개인가?",
+    ],
+    "agg_superlative": [
+        "12개월 최고 우대금리가 가장 높은 {0} 상품은?",
+        "{0} 상품 가운데 12개월 우대금리가 최고인 것은 무엇인가?",
+        "12개월 우대금리로 보아 으뜸인 {0} 상품의 이름은?",
+    ],
+    "enumerate_products": [
+        "{0}의 {1} 상품을 모두 쓰면?",
+        "{0}이(가) 공시한 {1} 상품의 이름을 빠짐없이 쓰시오.",
+        "{1} 상품 중 {0}의 것을 하나도 빼지 말고 나열하면?",
+    ],
+    "calc_interest": [
+        "{0}에 {1}원을 12개월 맡기면 세전 이자는 얼마인가?",
+        "12개월 동안 {0}에 {1}원을 넣어 두면 세금을 떼기 전 이자는 몇 원인가?",
+        "{1}원을 {0}에 1년 예치할 때 기본금리로 받는 세전 이자를 구하시오.",
+    ],
+    "calc_interest_after_tax": [
+        "{0}에 {1}원을 12개월 맡기면 세금 15.4%를 뺀 이자는 얼마인가?",
+        "12개월 동안 {0}에 {1}원을 넣어 두면 15.4% 과세 후 이자는 몇 원인가?",
+        "{1}원을 {0}에 1년 예치할 때 세율 15.4%를 적용한 세후 이자를 구하시오.",
+    ],
+    "calc_interest_diff": [
+        "{0}와(과) {1}에 10,000,000원씩 12개월 맡기면 세전 이자의 차이는 얼마인가?",
+        "10,000,000원을 12개월 맡길 때 {0}와(과) {1}의 세전 이자는 몇 원 차이가 나는가?",
+        "{0}, {1}에 각각 10,000,000원을 1년 예치하면 세전 이자가 얼마나 다른가?",
+    ],
+    "joint_condition": [
+        "만 {1}세가 {2}(으)로 {0}에 가입할 때 나이와 경로 요건을 모두 충족하는가?",
+        "{2}(으)로 신청하는 만 {1}세는 나이와 경로 모두 {0}의 요건에 맞는가?",
+        "{0}: 만 {1}세, 경로 {2}. 두 요건을 다 채우는가?",
+    ],
+    "article_locate": [
+        "「{0}」에서 '{1}'을(를) 정한 조문은 몇 조인가?",
+        "'{1}'은(는) 「{0}」의 몇 조에 있는가?",
+        "「{0}」에서 제목이 '{1}'인 조문의 번호는?",
+    ],
+    "definition_term": [
+        "「{0}」 {1}에서 “{2}”(이)라고 정의되는 용어는?",
+        "「{0}」 {1}이(가) “{2}”(으)로 뜻을 정한 말은 무엇인가?",
+        "“{2}” — 「{0}」 {1}에서 이 뜻으로 쓰는 용어는?",
+    ],
+    "law_meta": [
+        "「{0}」의 {1}은(는)?",
+        "「{0}」의 {1}을(를) 답하시오.",
+        "「{0}」 기본정보에서 {1}은(는) 무엇인가?",
+    ],
+    "penalty_amount": [
+        "「{0}」 {1}의 {2} 상한은?",
+        "「{0}」 {1}이(가) 정한 {2}은(는) 최고 얼마인가?",
+        "{2}의 상한을 「{0}」 {1}에 따라 답하시오.",
+    ],
+    "temporal_validity": ["{0}"],
 }
 
 

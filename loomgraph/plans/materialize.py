@@ -11,10 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and written as Parquet to the folder of spark.checkpoint.dir, which all executors share (our own
-    where it is unset): its size is then known to the planner, and an executor lost later costs a read."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which all executors share (our own where it is unset); it is
+    deleted at the end."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
@@ -22,9 +21,16 @@ def settled(df: DataFrame) -> DataFrame:
         folder = tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and written as Parquet to the shared folder: its size is then known to the planner, and an executor
+    lost later costs a read."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @atexit.register

@@ -12,13 +12,13 @@ from loomgraph import star
 from loomgraph import terms as X
 from loomgraph.functions import text as T
 from loomgraph.operators import context as C
-from loomgraph.operators import etl, lookup, quality, rules, views, workload
+from loomgraph.operators import etl, imports, lookup, quality, reports, rules, views, workload
 from loomgraph.operators import graph as G
 from loomgraph.operators import retrieve as V
 from loomgraph.operators import text as R
 from loomgraph.plans import sparql
-from loomgraph.plans.materialize import settled
-from loomgraph.sources import records, turtle
+from loomgraph.plans.materialize import scratch, settled
+from loomgraph.sources import ntriples, records, turtle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -860,3 +860,83 @@ def question_set_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = star.table(spark, sf_dir, "supplier")
     q = s.select(F.col("s_suppkey").alias("id"), F.lit("x").alias("category"), F.lit("boolean").alias("answer_type"), F.when(F.col("s_suppkey") % 2 == 0, "YES").otherwise("NO").alias("answer"), F.lit("same").alias("question"))
     return quality.question_set(q, q.count(), 1)
+
+
+@query("""SELECT r_name AS law, '제목 ' || n_name AS title, '제' || n_nationkey || '조' AS answer FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 > 1""")
+def article_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = workload.regulations(_laws(spark, sf_dir))["article_locate"]
+    return rows.select(F.get("parts", F.lit(0)).alias("law"), F.get("parts", F.lit(1)).alias("title"), "answer")
+
+
+@query("""SELECT r_name AS law, what, v AS answer FROM region, (VALUES ('시행일자', '2024-01-02'), ('소관부처', '금융위원회')) AS t(what, v)""")
+def law_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = workload.regulations(_laws(spark, sf_dir))["law_meta"]
+    return rows.select(F.get("parts", F.lit(0)).alias("law"), F.get("parts", F.lit(1)).alias("what"), "answer")
+
+
+def _asked(p: DataFrame) -> DataFrame:
+    """A question made elsewhere for each product."""
+    k = F.col("pos")
+    own = F.concat(F.lit("x:"), F.col("kor_co_nm"), F.lit(":"), F.col("fin_prdt_cd"))
+    other = F.element_at(F.array(F.lit("x:law:a:1"), F.lit("amend:a:b:c"), F.lit("x:가저축은행:c:1"), own, F.lit("x:없는은행:c:1")), k % 11 + 1)
+    doc = F.when(k % 11 < 5, other).otherwise(F.concat(own, F.lit(":202601")))
+    return p.select(
+        k.cast("string").alias("qid"), F.lit("Q1").alias("group"), F.when(k % 2 == 0, "이 상품은 상속되는가?").otherwise("상속 가능한가?").alias("question"),
+        F.array(doc).alias("doc_ids"), F.when(k % 5 == 0, "ABSTAIN").otherwise("YES").alias("gold_verdict"), F.when(k % 3 == 0, "'급여 이체' 와 '제한없음'").otherwise("'서민전용'").alias("gold_basis"),
+    )
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS k, p_brand || '은행' AS bank, 'C' || lpad(p_partkey::VARCHAR, 8, '0') AS code, p_name || ' ' || p_partkey AS name, p_partkey % 5 = 0 AS abstains FROM part WHERE p_partkey % 11 >= 3),
+q AS (SELECT *, CASE WHEN k % 3 = 0 THEN ['급여 이체', '제한없음'] ELSE ['서민전용'] END AS said, ['급여 이체', '제한없음', '서민전용', ''][k % 4 + 1] AS there FROM p),
+d AS (SELECT *, list_filter(said, lambda x: x = there) AS decisive FROM q),
+r AS (SELECT *, CASE WHEN k % 11 = 3 THEN 'doc_id' WHEN k % 11 = 4 THEN 'no_product' WHEN abstains AND k % 10 = 0 THEN 'not_absent' WHEN NOT abstains AND len(decisive) = 0 THEN 'no_evidence' END AS reason FROM d)
+SELECT k::VARCHAR AS id, reason,
+CASE reason WHEN 'doc_id' THEN 'x:' || bank || ':' || code WHEN 'no_product' THEN '없는은행|c' WHEN 'not_absent' THEN '상속' WHEN 'no_evidence' THEN array_to_string(said, '|') END AS detail,
+CASE WHEN reason IS NULL THEN CASE WHEN k % 2 = 0 THEN bank || ' \'\'' || name || '\'\'은 상속되는가?' ELSE bank || ' \'\'' || name || '\'\' 상품에 대해: 상속 가능한가?' END END AS question,
+CASE WHEN reason IS NULL THEN CASE WHEN abstains THEN '' ELSE array_to_string([name] || decisive, '|') END END AS gold
+FROM r
+""".replace("\\'", "'"))
+def carried_over_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which questions hold for what is disclosed, and why others don't."""
+    p = _records(spark, sf_dir)[0].withColumn("etc_note", F.when(F.col("pos") % 10 == 0, "상속 시 해지"))
+    made = imports.carried_over(imports.about_banks(_asked(p)), p)
+    return made.select("id", "reason", F.array_join("detail", "|").alias("detail"), "question", F.array_join("gold", "|").alias("gold"))
+
+
+@query("""
+SELECT ['공통', '외환', '예금', '퇴직연금', '공통'][o_orderkey % 5 + 1] AS kind, ['은행법 개정', '외국환거래법', '예금자보호와 은행', '퇴직연금 규정', '그 밖'][o_orderkey % 5 + 1] || ' ' || o_orderkey AS question,
+CASE WHEN o_orderkey % 2 = 0 THEN 'YES' ELSE 'NO' END AS answer, 'amend:' || o_orderkey AS locator, 200 AS chars FROM orders WHERE o_orderstatus = 'F'
+""")
+def temporal_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    subject = F.element_at(F.array(*map(F.lit, ("은행법 개정", "외국환거래법", "예금자보호와 은행", "퇴직연금 규정", "그 밖"))), (k % 5 + 1).cast("int"))
+    asked = star.table(spark, sf_dir, "orders").select(
+        k.cast("string").alias("qid"), F.when(F.col("o_orderstatus") == "F", "Q2_시간").otherwise("Q1").alias("group"), F.concat(subject, F.lit(" "), k.cast("string")).alias("question"),
+        F.array(F.concat(F.lit("amend:"), k.cast("string"))).alias("doc_ids"), F.when(k % 2 == 0, "YES").otherwise("NO").alias("gold_verdict"), F.repeat(F.lit("근거"), F.lit(150)).alias("gold_basis"),
+    )
+    return workload.word(imports.temporal_validity(asked)).select("kind", "question", "answer", "locator", F.length("text").alias("chars"))
+
+
+@query("""
+SELECT CAST(row_number() OVER (ORDER BY hits / total, l_orderkey) AS INTEGER) AS place, l_orderkey, hits, total FROM (SELECT l_orderkey, count(*) FILTER (l_returnflag = 'R') AS hits, count(*) AS total FROM lineitem GROUP BY ALL) QUALIFY place <= 10
+""")
+def worst_ten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten orders with the least share of lines sent back: a report of ten rows."""
+    lines = star.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("hits"), F.count("*").alias("total"))
+    return reports.worst(lines, "hits", "total", "l_orderkey").select("place", "l_orderkey", "hits", "total")
+
+
+@query("""SELECT o_custkey, string_agg('o_orderkey: ' || o_orderkey || ' | o_orderstatus: ' || o_orderstatus, chr(10) ORDER BY o_orderkey) AS text FROM orders GROUP BY o_custkey""")
+def rendered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.render_rows(star.table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_orderkey", "o_orderstatus")
+
+
+@query("""
+SELECT 'data:customer_' || c_custkey AS s, c_name AS o FROM customer UNION ALL SELECT 'data:supplier_' || s_suppkey, s_name FROM supplier
+""")
+def ntriples_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples through the sink and back, those of one predicate."""
+    path = scratch(spark)
+    turtle.write_ntriples(star.entity_triples(spark, sf_dir, "customer", "supplier"), path)
+    return ntriples.read_ntriples(spark, path, predicates=[P + "hasName"]).select(X.qname(F.col("s"), VOC.known()).alias("s"), "o")

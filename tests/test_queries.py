@@ -9,7 +9,7 @@ from loomgraph.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 #: One or two of each group; the driver compares all of them.
-CHOSEN = ["bgp_chain", "optional_group", "class_closure", "exists_minus", "correlated_not_exists", "correlated_exists", "exists_in_or", "nested_not_exists", "subselect_join", "join_after_optional", "ancestors_of_bindings", "class_instances", "distinct_pairs", "resolve_terms", "label_of", "missing_labels", "chunk_corpus", "document_frequency", "lcs_match", "assemble_budget", "retrieval_metrics", "rules_verdict", "rate_threshold", "compare_adjacent", "interest_difference", "quota_fill", "penalty_amounts"]
+CHOSEN = ["bgp_chain", "optional_group", "class_closure", "exists_minus", "correlated_not_exists", "correlated_exists", "exists_in_or", "nested_not_exists", "subselect_join", "join_after_optional", "ancestors_of_bindings", "class_instances", "distinct_pairs", "resolve_terms", "label_of", "missing_labels", "chunk_corpus", "document_frequency", "lcs_match", "assemble_budget", "retrieval_metrics", "rules_verdict", "rate_threshold", "compare_adjacent", "interest_difference", "quota_fill", "penalty_amounts", "carried_over_questions", "temporal_validity", "ntriples_round_trip"]
 
 
 @pytest.fixture(scope="module")
