@@ -61,13 +61,14 @@ def schedule(goal: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3, seed: str = "", block: int = BLOCK) -> DataFrame:
-    """A row for each row of docs: doc_id, source, size, source_size, target, taken, rank (of its source), tie (the MD5
-    of its text).
+    """A row for each row of docs: doc_id, source, size, source_size, target, taken, slot, slots, rank (of its source),
+    tie (the MD5 of its text), turns.
 
     size counts the words (null text: 0). Sources in code point order, null last, take the weights in turn; a source
     gives at most `repeats` times its size. The words of a source, its documents in an order shuffled by a hash of
     seed and doc_id, form a stream that repeats; it is cut into blocks of equal size, the last one ending with the
-    target, rounded to a word. schedule() says which slot takes which block. taken counts the words that the mix takes of a
+    target, rounded to a word. schedule() says which of the `slots` takes which block. slot is the one that takes a document's
+    first block (null: not taken), and turns has that for each repeat. taken counts the words that the mix takes of a
     document, repeats included: over a source, its target to the word. At a stream's end a document may be taken in
     part, its first words. Documents without words are never taken. Null doc_ids share one place in the shuffle, which
     their size and text's digest break; rows alike in all of them may change places. A very long text is one document
@@ -75,17 +76,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3,
     """
     slim = cut(docs.select(F.col("doc_id"), F.col("source"), n_words(F.col("text")).alias("size"), F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key"), F.md5(F.coalesce("text", F.lit(""))).alias("tie")))
     goal = cut(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats).withColumn("words", F.floor(F.col("target") + 0.5)))
-    turns = schedule(goal.where("words > 0"), block).select("rank", "block", "slot")
+    turns = cut(schedule(goal.where("words > 0"), block).select("rank", "block", "slot"))
+    slots = F.lit(turns.count()).cast("long").alias("slots")
 
     buckets = max(1, math.isqrt(slim.count()))
     named = slim.join(goal.select(F.col("source").alias("_s"), "rank", "source_size", "target", "words"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     placed = running(named.withColumn("bucket", hash_bucket(F.col("key"), buckets)), ["rank"], ["key", "tie", "size"], "bucket", F.col("size"), "start")
     wanted = (F.col("size") > 0) & (F.col("start") < F.col("words"))
     turn = F.transform(F.sequence(F.lit(0), F.lit(repeats - 1)), lambda e: F.col("start") + e * F.col("source_size"))
-    epochs = placed.where(wanted).withColumn("from", F.explode(turn)).withColumn("upto", F.least(F.col("from") + F.col("size"), F.col("words"))).where("from < upto")
+    epochs = placed.where(wanted).select("*", F.posexplode(turn).alias("epoch", "from")).withColumn("upto", F.least(F.col("from") + F.col("size"), F.col("words"))).where("from < upto")
     pieces = epochs.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("upto") - 1) / block))))
     pieces = pieces.withColumn("piece", F.least(F.col("upto"), (F.col("block") + 1) * block) - F.greatest(F.col("from"), F.col("block") * block))
     names = ["rank", "start", "doc_id", "source", "size", "source_size", "target", "tie"]
-    taken = pieces.join(turns, ["rank", "block"]).groupBy(*names).agg(F.sum("piece").cast("long").alias("taken"))
-    none = placed.where(~wanted).select(*names, F.lit(0).cast("long").alias("taken"))
-    return taken.unionByName(none).select("doc_id", "source", "size", "source_size", "target", "taken", "rank", "tie")
+    began = [F.min(F.when(F.col("epoch") == e, F.struct("block", "slot")))["slot"] for e in range(repeats)]
+    taken = pieces.join(turns, ["rank", "block"]).groupBy(*names).agg(F.sum("piece").cast("long").alias("taken"), F.array_compact(F.array(*began)).alias("turns"))
+    none = placed.where(~wanted).select(*names, F.lit(0).cast("long").alias("taken"), F.array().cast("array<long>").alias("turns"))
+    first = F.get("turns", F.lit(0)).alias("slot")
+    return taken.unionByName(none).select("doc_id", "source", "size", "source_size", "target", "taken", first, slots, "rank", "tie", "turns")

@@ -35,9 +35,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
     from loomgraph.llm.mixing import mix
 
-    return mix(_documents(spark, sf_dir)).drop("rank", "source", "tie")
+    mixed = mix(_documents(spark, sf_dir)).drop("rank", "source", "tie", "turns")
+    return mixed.withColumn("slot", F.coalesce("slot", F.lit(-1)).cast("long"))  # -1: not taken
 
 
 def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,10 +138,21 @@ level AS (SELECT level FROM l WHERE ratio >= level ORDER BY ratio, rank LIMIT 1)
 goal AS (SELECT source, rank, source_size, total, least(lim::DOUBLE, coalesce((SELECT level FROM level) * weight, lim)) AS target FROM l),
 placed AS (SELECT d.*, g.rank, g.source_size, g.target, floor(g.target + 0.5)::BIGINT AS words,
                   coalesce(sum(size) OVER (PARTITION BY g.rank ORDER BY key, tie, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-           FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       list_sum([greatest(0, least(start + e * source_size + size, words) - (start + e * source_size)) for e in [0, 1, 2]])::BIGINT AS taken
-FROM placed
+           FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source),
+sp AS (SELECT rank, blocks, sum(blocks) OVER (ORDER BY rank)::BIGINT - blocks AS since, sum(blocks) OVER (ORDER BY rank)::BIGINT AS upto
+       FROM (SELECT rank, (floor(target + 0.5)::BIGINT + 1023) // 1024 AS blocks FROM goal WHERE floor(target + 0.5) > 0)),
+tot AS (SELECT coalesce(sum(blocks), 0)::BIGINT AS slots FROM sp),
+pt AS (SELECT slot, (((slot % 2147483648) * 2654435769) & 4294967295)::DOUBLE / 4294967296::DOUBLE * slots::DOUBLE AS point
+       FROM (SELECT slots, unnest(range(slots)) AS slot FROM tot)),
+held AS (SELECT slot, rank, blocks, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS block FROM pt JOIN sp ON point >= since AND point < upto),
+free AS (SELECT slot, row_number() OVER (ORDER BY slot) AS n FROM held WHERE block >= blocks),
+lacking AS (SELECT rank, block, row_number() OVER (ORDER BY rank, block) AS n
+            FROM (SELECT sp.rank, unnest(range(coalesce(given, 0), blocks)) AS block
+                  FROM sp LEFT JOIN (SELECT rank, count(*) AS given FROM held GROUP BY rank) g ON g.rank = sp.rank)),
+turns AS (SELECT rank, block, slot FROM held WHERE block < blocks UNION ALL SELECT rank, block, slot FROM lacking JOIN free USING (n)),
+took AS (SELECT *, list_sum([greatest(0, least(start + e * source_size + size, words) - (start + e * source_size)) for e in [0, 1, 2]])::BIGINT AS taken FROM placed)
+SELECT doc_id, size, source_size, target, taken, coalesce(slot, -1)::BIGINT AS slot, (SELECT slots FROM tot) AS slots
+FROM took LEFT JOIN turns ON took.taken > 0 AND turns.rank = took.rank AND turns.block = took.start // 1024
 """,
     "op5_exact_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)

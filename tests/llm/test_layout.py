@@ -188,6 +188,17 @@ def test_slots_of_sources(spark, words, block):
         assert ((got["rank"] == r).cumsum() - share * np.arange(1, len(got) + 1)).abs().max() < 8
 
 
+def test_slots_reach_the_documents(spark, docs):
+    """Each taken document has the slot of its first block, and the words of any first slots are near the targets."""
+    got = mix(docs).toPandas()
+    taken = got[got["taken"] > 0]
+    slots = int(got["slots"].iloc[0])
+    assert got["slots"].nunique() == 1 and taken["slot"].between(0, slots - 1).all() and got[got["taken"] == 0]["slot"].isna().all()
+    assert [t[0] for t in taken["turns"]] == taken["slot"].tolist() and (taken["turns"].map(len) == -(-taken["taken"] // taken["size"])).all()
+    blocks = {s: -(-int(g["target"].iloc[0] + 0.5) // 1024) for s, g in got.groupby("source", dropna=False) if g["target"].iloc[0] >= 0.5}
+    assert slots == sum(blocks.values())
+
+
 def test_mix_takes_small_sources_to_the_word(spark):
     rows = [(i, "w " * 500, f"big{i % 2}") for i in range(200)] + [(900, "five words are all here", "tiny"), (901, "one", "zero"), (902, None, "zzz")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -219,4 +230,6 @@ def test_targets_reshare_what_a_limit_cuts(spark, weights):
 def test_mix_odd_rows(odd, none):
     got = mix(odd).toPandas()
     assert len(got) == odd.count() and (got["taken"] <= 3 * got["size"]).all() and (got[got["size"] == 0]["taken"] == 0).all()
+    long = got[got["doc_id"] == 5].iloc[0]
+    assert long["size"] == 80_000 and (got["source_size"] >= got["size"]).all() and len(set(got["slots"])) == 1
     assert mix(none).count() == 0

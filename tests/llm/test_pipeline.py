@@ -1,3 +1,4 @@
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
@@ -23,6 +24,37 @@ def test_stages_of_no_documents(spark, none):
         assert stage(spark, none, "").count() == 0
 
 
+def test_mixed_documents_come_in_the_order_of_their_slots(spark, tmp_path):
+    """Files in the order of their names, and their rows in turn, have each source's share all along, whole texts first."""
+    from loomgraph.llm.mixing import mix
+
+    rows = [(i, " ".join(f"d{i}w{k}" for k in range(200 + i % 700)), "en", "abc"[i % 7 % 3], 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken = {r["doc_id"]: r for r in mix(docs).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        P.mixed(spark, docs, "").write.parquet(str(tmp_path / "made"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "made").glob("part-*.parquet"))
+    seen: dict[int, int] = {}
+    got = []
+    for file in files:
+        for r in pq.read_table(file).to_pylist():
+            k = seen[r["doc_id"]] = seen.get(r["doc_id"], -1) + 1
+            got.append((taken[r["doc_id"]]["turns"][k], r["source"], len(r["text"].split())))
+    assert len(files) > 1 and [g[0] for g in got] == sorted(g[0] for g in got)
+    assert seen == {i: len(r["turns"]) - 1 for i, r in taken.items() if r["taken"]}
+    total = sum(g[2] for g in got)
+    assert total == sum(r["taken"] for r in taken.values())
+    for source in "abc":
+        share = sum(g[2] for g in got if g[1] == source) / total
+        run = part = 0
+        for _, s, n in got:
+            run, part = run + n, part + n * (s == source)
+            assert abs(part - share * run) < 8 * 1024
+
+
 def test_near_copies_go_and_clean_documents_stay(spark):
     words = [[f"w{k}x{i}" for i in range(400)] for k in range(4)]
     near = list(words[0])
