@@ -74,22 +74,27 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: whole texts, and where it is taken in part, its first words.
+    """Each document as often as the mix takes it, in the order of the mix's slots: whole texts, and where it is taken in
+    part, its first words.
 
-    n_chars is that of the text that goes on. Documents that the mix doesn't take, go, as do those without words, null and
-    empty texts among them. Rows alike in doc_id and text share what is taken of them. An empty table stays empty.
+    A copy stands at the slot that takes its first block, so files read in the order of their names, and their rows in
+    turn, have every source's share all along. n_chars is that of the text that goes on. Documents that the mix doesn't
+    take, go, as do those without words, null and empty texts among them. Rows alike in doc_id and text share what is
+    taken of them. An empty table stays empty.
     """
-    id_, tie, took, size, part = _free(docs, "id", "tie", "took", "size", "part")
-    taken = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias(id_), F.col("tie").alias(tie)).agg(F.max("taken").alias(took), F.max("size").alias(size))
+    id_, tie, best, turn, part = _free(docs, "id", "tie", "best", "turn", "part")
+    taken = mix(docs).where("taken > 0").groupBy(F.col("doc_id").alias(id_), F.col("tie").alias(tie)).agg(F.max(F.struct("taken", "size", "turns")).alias(best))
     found = docs.join(taken, _alike([F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))], [F.col(id_), F.col(tie)]))
-    whole, rest = F.floor(F.col(took) / F.col(size)).cast("int"), F.pmod(took, size)
-    turns = F.explode(F.concat(F.array_repeat(F.lit(None).cast("long"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>"))))
+    took, size = F.col(best)["taken"], F.col(best)["size"]
+    copies = F.transform(F.col(best)["turns"], lambda slot, e: F.struct(slot.alias("slot"), F.when((e + 1) * size > took, took - e * size).alias("part")))
+    made = found.withColumn(turn, F.explode(copies)).withColumn(part, F.col(turn)["part"])
     first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col(part).cast("int")), "")
     text = F.when(F.col(part).isNull(), F.col("text")).otherwise(first)
-    made = found.withColumn(part, turns).withColumn("text", text)
+    made = made.withColumn("text", text)
     if "n_chars" in docs.columns:
         made = made.withColumn("n_chars", F.when(F.col(part).isNull(), F.col("n_chars")).otherwise(F.length("text")))
-    return made.select(*docs.columns)
+    place = [F.col(turn)["slot"], F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))]
+    return made.repartitionByRange(*place).sortWithinPartitions(*place).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
