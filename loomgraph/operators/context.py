@@ -24,6 +24,17 @@ def assemble(units: DataFrame, budget: int | None = None, key: str = "qid", sepa
     return placed.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), separator).alias("context"))
 
 
+def _whole(units: DataFrame, key: str, budgets: tuple[int, ...], separator: str = "\n\n") -> DataFrame:
+    """(key, c_inf, upto_<budget>...): the context without a budget, and how many of its characters assemble() gives within
+    each: a context within a budget is the beginning of the one without."""
+    by_rank = Window.partitionBy(key).orderBy("rank")
+    used = F.sum(F.length("text") + F.lit(len(separator))).over(by_rank.rowsBetween(Window.unboundedPreceding, 0)) - len(separator)
+    placed = units.select(key, "text", F.row_number().over(by_rank).alias("n"), used.alias("used"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), separator)
+    upto = [F.coalesce(F.max(F.when(F.col("used") <= b, F.col("used"))), F.lit(b)).alias(f"upto_{b}") for b in budgets]
+    return placed.groupBy(key).agg(text.alias("c_inf"), *upto)
+
+
 def priority(text: Column) -> Column:
     """Facts of entities first, then uses of properties, then class trees."""
     return F.when(text.startswith("[개념]"), 2).when(text.startswith("[속성]"), 1).otherwise(0)
@@ -53,15 +64,13 @@ def retrieval_metrics(units: DataFrame, gold: DataFrame, key: str = "qid", budge
     ranks = seen.groupBy(key).agg(F.max("at").alias("complete"), F.count("*").alias("found"))
     first = numbered.where("r = 1").select(key, F.col("text").alias("first"))
     out = g.join(first, key, "left").join(ranks, key, "left")
-    whole = assemble(units, None, key).withColumnRenamed("context", "c_inf")
-    out = out.join(whole, key, "left")
-    for b in budgets:
-        out = out.join(assemble(units, b, key).withColumnRenamed("context", f"c_{b}"), key, "left")
+    out = out.join(_whole(units, key, budgets), key, "left")
     n = F.size("gold")
-    recall = lambda c: F.round(F.size(F.filter("gold", lambda p: F.contains(F.coalesce(F.col(c), F.lit("")), p))) / F.greatest(n, F.lit(1)), 12)
+    seen_in = lambda c: F.round(F.size(F.filter("gold", lambda p: F.contains(F.coalesce(c, F.lit("")), p))) / F.greatest(n, F.lit(1)), 12)
+    within = lambda b: F.substr("c_inf", F.lit(1), F.col(f"upto_{b}").cast("int"))
     hit = F.when(F.col("first").isNotNull() & F.forall("gold", lambda p: F.contains("first", p)), 1.0).otherwise(0.0)
     complete = F.when(n == 0, F.when(F.col("first").isNotNull(), 1)).when(F.col("found") == n, F.col("complete"))
-    return out.select(key, hit.alias("hit1"), F.coalesce(1 / complete, F.lit(0.0)).alias("mrr"), F.coalesce(F.length("c_inf"), F.lit(0)).alias("chars"), *[recall(f"c_{b}").alias(f"recall_{b}") for b in budgets], recall("c_inf").alias("recall_inf"))
+    return out.select(key, hit.alias("hit1"), F.coalesce(1 / complete, F.lit(0.0)).alias("mrr"), F.coalesce(F.length("c_inf"), F.lit(0)).alias("chars"), *[seen_in(within(b)).alias(f"recall_{b}") for b in budgets], seen_in(F.col("c_inf")).alias("recall_inf"))
 
 
 def macro(metrics: DataFrame, *by: str) -> DataFrame:

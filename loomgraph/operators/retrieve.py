@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
+from threading import Lock
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,45 +143,57 @@ class Scenarios:
     the last two with their units engineered. Each takes (qid, question) and gives (qid, rank, text).
     """
 
+    TOGETHER = 5
+    ENGINEERED = {"S8": "S6", "S9": "S7"}
     DEPTHS = {"S1": 20, "S2": 20, "S3": 40, "S4": 30, "S5": 3}
 
     def __init__(self, triples: DataFrame, vocabulary: X.Vocabulary):
         self.triples, self.vocabulary = triples, vocabulary
-        self._made: dict[str, object] = {}
+        self._made: dict[object, Future] = {}
+        self._lock = Lock()
         self.by_name: dict[str, Callable[[DataFrame], DataFrame]] = {
             **{s: (lambda q, s=s: self.search(q, s, self.DEPTHS[s])) for s in ("S1", "S2", "S3", "S4")},
             "S5": self.hybrid,
             "S6": lambda q: graph_units(*self.graph(), graph_seeds(self.graph()[0], q)),
             "S7": lambda q: ontology_units(triples, vocabulary, q),
-            "S8": lambda q: C.engineered(self.by_name["S6"](q)),
-            "S9": lambda q: C.engineered(self.by_name["S7"](q)),
+            **{s: (lambda q, of=of: C.engineered(self.by_name[of](q))) for s, of in self.ENGINEERED.items()},
         }
 
+    def _once(self, key: object, make: Callable[[], object]) -> object:
+        """What make() gives, made by the first thread that asks for that key; others wait for it."""
+        with self._lock:
+            own = key not in self._made
+            known = self._made.setdefault(key, Future())
+        if own:
+            try:
+                known.set_result(make())
+            except BaseException as e:
+                known.set_exception(e)
+        return known.result()
+
     def corpus(self, name: str) -> DataFrame:
         """(doc, key, text) of S1 to S4; doc is the document's place."""
-        if name not in self._made:
-            entities = R.entity_documents(self.triples, self.vocabulary)
-            placed = ordinals(entities.select("s", "key", "text"), ["s"], "doc") if name in ("S1", "S2", "S4") else None
-            if name == "S1":
-                out = R.chunks(placed, "doc").select(F.col("chunk").cast("long").alias("doc"), F.lit(None).cast("string").alias("key"), "text")
-            elif name == "S2":
-                out = placed.select("doc", "key", "text")
-            else:
-                facts = R.relation_documents(entities)
-                facts = ordinals(facts.select("s", "line", "text"), ["s", "line"], "doc").select("doc", F.lit(None).cast("string").alias("key"), "text")
-                out = facts if name == "S3" else placed.select("doc", "key", "text").unionByName(facts.withColumn("doc", F.col("doc") + placed.count()))
-            self._made[name] = settled(out)
-        return self._made[name]
+        return self._once((name, "corpus"), lambda: self._corpus(name))
+
+    def _corpus(self, name: str) -> DataFrame:
+        no_key = F.lit(None).cast("string").alias("key")
+        entities = self._once("entities", lambda: settled(R.entity_documents(self.triples, self.vocabulary)))
+        placed = lambda: self._once("placed", lambda: ordinals(entities.select("s", "key", "text"), ["s"], "doc"))
+        facts = lambda: self._once("facts", lambda: ordinals(R.relation_documents(entities).select("s", "line", "text"), ["s", "line"], "doc"))
+        if name == "S1":
+            return settled(R.chunks(placed(), "doc").select(F.col("chunk").cast("long").alias("doc"), no_key, "text"))
+        if name == "S2":
+            return settled(placed().select("doc", "key", "text"))
+        if name == "S3":
+            return settled(facts().select("doc", no_key, "text"))
+        first = self.corpus("S2")
+        return first.unionByName(self.corpus("S3").withColumn("doc", F.col("doc") + first.count()))
 
     def graph(self) -> tuple[DataFrame, DataFrame]:
-        if "graph" not in self._made:
-            self._made["graph"] = tuple(settled(x) for x in G.property_graph(self.triples, self.vocabulary))
-        return self._made["graph"]
+        return self._once("graph", lambda: tuple(settled(x) for x in G.property_graph(self.triples, self.vocabulary)))
 
     def index(self, name: str) -> R.TfIdf:
-        if (name, "index") not in self._made:
-            self._made[name, "index"] = R.TfIdf(self.corpus(name), "doc")
-        return self._made[name, "index"]
+        return self._once((name, "index"), lambda: R.TfIdf(self.corpus(name), "doc"))
 
     def search(self, questions: DataFrame, name: str, k: int) -> DataFrame:
         best = self.index(name).top(questions.select("qid", "question"), "qid", "question", k)
@@ -190,12 +205,26 @@ class Scenarios:
         return graph_units(*self.graph(), seeds)
 
     def evaluate(self, questions: DataFrame, names: list[str] | None = None) -> DataFrame:
-        """Mean metrics of each scenario over questions (qid, question, gold)."""
-        out = None
-        for name in names or list(self.by_name):
-            row = C.macro(C.retrieval_metrics(settled(self.by_name[name](questions)), questions)).withColumn("scenario", F.lit(name))
+        """Mean metrics of each scenario over questions (qid, question, gold).
+
+        Scenarios are made and written side by side, by TOGETHER threads that hand in their jobs; S8 and S9 take the units
+        of S6 and S7. All units then go through one grouping by scenario and question.
+        """
+        names, out, run = names or list(self.by_name), None, object()
+
+        def units(name: str) -> DataFrame:
+            of = self.ENGINEERED.get(name)
+            return self._once((run, name), lambda: settled(C.engineered(units(of)) if of else self.by_name[name](questions)))
+
+        with ThreadPoolExecutor(self.TOGETHER) as pool:
+            made = list(pool.map(inheritable_thread_target(self.triples.sparkSession)(units), names))
+        key = F.struct("scenario", "qid").alias("key")
+        for name, rows in zip(names, made, strict=True):
+            row = rows.withColumn("scenario", F.lit(name))
             out = row if out is None else out.unionByName(row)
-        return out
+        asked = questions.select(F.explode(F.array(*map(F.lit, names))).alias("scenario"), "qid", "gold").select(key, "gold")
+        metrics = C.retrieval_metrics(out.select(key, "rank", "text"), asked, "key")
+        return C.macro(metrics.select("key.scenario", "key.qid", *[c for c in metrics.columns if c != "key"]), "scenario")
 
 
 def report(metrics: DataFrame, title: str = "Scenarios") -> str:

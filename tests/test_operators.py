@@ -144,3 +144,15 @@ def test_prefix_sums_over_ranges(spark):
     places = ordinals(df, ["s"], "place").orderBy("place").collect()
     assert [r["place"] for r in places] == list(range(1, 1001)) and [r["s"] for r in places] == sorted(s for _, s, _ in rows)
     assert ordinals(df.where("false"), ["s"], "place").count() == 0
+
+
+def test_metrics_of_budgets_are_those_of_assembled_contexts(spark):
+    rows = [(q, r, f"u{q}x{r} " + "y" * (3 * ((q * 7 + r * 5) % 9))) for q in range(6) for r in range(1, 7)] + [(9, 1, "z" * 50), (9, 2, "u9x2"), (8, 1, None), (8, 2, "u8x2")]
+    units = spark.createDataFrame(rows, "qid long, rank int, text string")
+    gold = spark.createDataFrame([(q, [f"u{q}x{r}" for r in (1, 2, 4, 6)]) for q in (*range(6), 7, 8, 9)], "qid long, gold array<string>")
+    budgets = (5, 20, 44, 70)
+    got = {r["qid"]: r for r in C.retrieval_metrics(units, gold, budgets=budgets).collect()}
+    for b in budgets:
+        contexts = {r["qid"]: r["context"] for r in C.assemble(units, b).collect()}
+        for r in gold.collect():
+            assert got[r["qid"]][f"recall_{b}"] == sum(p in contexts.get(r["qid"], "") for p in r["gold"]) / 4
