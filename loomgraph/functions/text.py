@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 PARTICLES = {"object": ("을", "를", "을(를)"), "subject": ("이", "가", "이(가)"), "topic": ("은", "는", "은(는)"), "with": ("과", "와", "과(와)")}
 #: Number words of Korean amounts.
 UNITS = {"": 1, "만": 10**4, "십만": 10**5, "백만": 10**6, "천만": 10**7, "억": 10**8}
+#: How a least age (%s: its digits), a least amount and its unit, and a quoted name are written.
+AGE = r"만\s?(\d{%s})세\s?이상"
+AMOUNT = r"(?:최소\s?가입\s?금액|최저)[^\d]{0,8}([\d,]+)\s?(만|십만|백만|천만|억)?\s?원\s?이상"
+QUOTED = "'([^']+)'"
+#: References by qualified name and lines of references, which a compact unit doesn't have.
+REFERENCE, REFERENCES = r"(?<=\S)\s?\((?:[a-z]+:)[^\s()]+\)", r"(?m)^- \(역참조\).*$"
 
 
 def squeezed(x: Column) -> Column:
@@ -66,22 +72,21 @@ def listed(x: Column, universe: list[str] | None = None) -> Column:
 
 def least_age(x: Column, digits: str = "1,3") -> Column:
     """N of 'at least N years old'; null if the text doesn't say so."""
-    return F.nullif(F.regexp_extract(x, rf"만\s?(\d{{{digits}}})세\s?이상", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(x, AGE % digits, 1), F.lit("")).cast("int")
 
 
 def least_amount(x: Column) -> Column:
     """The least amount to be paid in, in won; null if the text doesn't say so."""
-    pattern = r"(?:최소\s?가입\s?금액|최저)[^\d]{0,8}([\d,]+)\s?(만|십만|백만|천만|억)?\s?원\s?이상"
-    number = F.nullif(F.regexp_replace(F.regexp_extract(x, pattern, 1), ",", ""), F.lit(""))
+    number = F.nullif(F.regexp_replace(F.regexp_extract(x, AMOUNT, 1), ",", ""), F.lit(""))
     factor = F.lit(1)
     for word, value in UNITS.items():
-        factor = F.when(F.regexp_extract(x, pattern, 2) == word, F.lit(value)).otherwise(factor)
+        factor = F.when(F.regexp_extract(x, AMOUNT, 2) == word, F.lit(value)).otherwise(factor)
     return number.cast("long") * factor
 
 
 def quoted(x: Column) -> Column:
     """All spans between single quotes."""
-    return F.regexp_extract_all(x, F.lit("'([^']+)'"), F.lit(1))
+    return F.regexp_extract_all(x, F.lit(QUOTED), F.lit(1))
 
 
 def thousands(x: Column) -> Column:
@@ -92,8 +97,8 @@ def thousands(x: Column) -> Column:
 def compact(unit: Column, preview: int = 160) -> Column:
     """A unit without references by qualified name, without lines of references to it, with long lines of a property's
     uses cut to a preview, and with single spaces and line breaks."""
-    x = F.regexp_replace(unit, r"(?<=\S)\s?\((?:[a-z]+:)[^\s()]+\)", "")
-    x = F.regexp_replace(x, r"(?m)^- \(역참조\).*$", "")
+    x = F.regexp_replace(unit, REFERENCE, "")
+    x = F.regexp_replace(x, REFERENCES, "")
     long_line = F.transform(F.split(x, "\n"), lambda l: F.when(l.startswith("- ") & (F.length(l) > preview), F.concat(F.substring(l, 1, preview), F.lit("…"))).otherwise(l))
     x = F.when(x.startswith("[속성]"), F.array_join(long_line, "\n")).otherwise(x)
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"[ \t]+", " "), r"\n{2,}", "\n"), r"(?U)^\s+|\s+$", "")

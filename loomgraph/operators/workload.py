@@ -17,6 +17,9 @@ from loomgraph.sources.records import display_names
 
 TAX = "0.154"
 RATE_TYPES = ["고정금리", "변동금리"]
+#: How statutes write a term of prison, a fine and its kind, and a definition.
+PRISON, FINE = r"(\d+)년 이하의 징역", r"(\d+(?:억|천만|백만)?원) 이하의 (벌금|과태료)"
+DEFINED = r'"([^"]{2,25})"(?:이?란|이라 함은)\s*([^\n]{15,180}?)(?:를|을) 말한다'
 #: Wordings: {0}, {1} ... are the parts of a row. Others can be given to word().
 WORDINGS: dict[str, list[str]] = {
     "base_rate_lookup": [
@@ -300,12 +303,11 @@ def calculations(options: DataFrame) -> dict[str, DataFrame]:
 
 def penalties(text: Column) -> Column:
     """struct(years, fine, fine_kind): the longest prison term, the largest fine as written, and what the first is called."""
-    years = F.array_max(F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)년 이하의 징역"), F.lit(1)), lambda x: x.try_cast("int")))
-    pattern = r"(\d+(?:억|천만|백만)?원) 이하의 (벌금|과태료)"
-    fines = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    years = F.array_max(F.transform(F.regexp_extract_all(text, F.lit(PRISON), F.lit(1)), lambda x: x.try_cast("int")))
+    fines = F.regexp_extract_all(text, F.lit(FINE), F.lit(1))
     won = lambda a: F.regexp_extract(a, r"^(\d+)", 1).try_cast("long") * F.when(F.contains(a, F.lit("억")), 10**8).when(F.contains(a, F.lit("천만")), 10**7).when(F.contains(a, F.lit("백만")), 10**6).otherwise(1)
     largest = F.aggregate(fines, F.lit(None).cast("string"), lambda best, a: F.when(best.isNull() | (won(a) > won(best)), a).otherwise(best))
-    return F.struct(years.alias("years"), largest.alias("fine"), F.nullif(F.regexp_extract(text, pattern, 2), F.lit("")).alias("fine_kind"))
+    return F.struct(years.alias("years"), largest.alias("fine"), F.nullif(F.regexp_extract(text, FINE, 2), F.lit("")).alias("fine_kind"))
 
 
 def regulations(laws: DataFrame, quotas: dict[str, int] | None = None, quota: int = 10, terms: int = 12) -> dict[str, DataFrame]:
@@ -317,8 +319,7 @@ def regulations(laws: DataFrame, quotas: dict[str, int] | None = None, quota: in
         limit = F.when(F.col("name") == law, n).otherwise(limit)
     same = F.count("*").over(Window.partitionBy("slug", "title"))
     titled = a.where("length(title) >= 3").withColumn("n", same).where("n = 1").withColumn("k", F.row_number().over(Window.partitionBy("slug").orderBy("title"))).where(F.col("k") <= limit)
-    pattern = r'"([^"]{2,25})"(?:이?란|이라 함은)\s*([^\n]{15,180}?)(?:를|을) 말한다'
-    found = a.where(F.contains("title", F.lit("정의"))).select("*", F.posexplode(F.arrays_zip(F.regexp_extract_all("body", F.lit(pattern), F.lit(1)).alias("term"), F.regexp_extract_all("body", F.lit(pattern), F.lit(2)).alias("said"))).alias("at", "d")).withColumns({"term": F.col("d")["term"], "said": squeezed(F.col("d")["said"])})
+    found = a.where(F.contains("title", F.lit("정의"))).select("*", F.posexplode(F.arrays_zip(F.regexp_extract_all("body", F.lit(DEFINED), F.lit(1)).alias("term"), F.regexp_extract_all("body", F.lit(DEFINED), F.lit(2)).alias("said"))).alias("at", "d")).withColumns({"term": F.col("d")["term"], "said": squeezed(F.col("d")["said"])})
     level = F.length(F.regexp_replace("said", r"[^(]", "")) == F.length(F.regexp_replace("said", r"[^)]", ""))
     clear = found.where((F.length("said") >= 25) & ~F.contains("said", F.lit("다음 각")) & level & ~F.contains(F.concat("name", "label", "said"), F.col("term")))
     defined = clear.withColumn("k", F.row_number().over(Window.partitionBy("slug").orderBy("pos", "at"))).where(F.col("k") <= terms)
