@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from loomgraph import terms as X
 from loomgraph.functions.text import iso_date, slug
+from loomgraph.plans.materialize import settled
+from loomgraph.plans.spread import spread
 from loomgraph.sources.records import display_names
 
 #: Classes by kind of disclosure, the overdraft class, and what codes of exclusion mean.
 CLASSES = {"deposit": "TimeDepositProduct", "saving": "InstallmentSavingsProduct", "mortgage": "MortgageLoanProduct", "rent": "JeonseLoanProduct", "credit": "CreditLoanProduct"}
 OVERDRAFT = "OverdraftProduct"
 JOIN_DENY = {"1": "제한없음", "2": "서민전용", "3": "일부제한"}
+#: Triples that a product (with its bank's) and an option make at most.
+OF_PRODUCT, OF_OPTION = 15, 8
 
 
 def _plain(s: Column, p: str, o: Column) -> Column:
@@ -24,12 +28,15 @@ def disclosures_to_triples(products: DataFrame, options: DataFrame, spaces: dict
 
     Banks and products are named after their codes, so products that share a code are one node; the first record of a
     bank names it. An option's IRI ends with its place in its file; options without a product are left out. Of credit
-    options, only rows of lending rates are described, but all are linked.
+    options, only rows of lending rates are described, but all are linked. Records are written once and dealt to so many
+    tasks that the triples that one makes, and those that one tells apart, don't grow in number with the records.
     """
+    products, options = settled(products), settled(options)
+    of_all, of_each = OF_PRODUCT * products.count(), OF_OPTION * options.count()
     m, d, pr, pa = spaces["market"], spaces["data"], spaces["products"], spaces["parties"]
     bank = F.concat(F.lit(f"{d}bank_"), slug(F.col("fin_co_no")))
     product = F.concat(F.lit(f"{d}prdt_"), slug(F.col("fin_co_no")), F.lit("_"), slug(F.col("fin_prdt_cd")))
-    p = display_names(products).withColumns({"bank": bank, "product": product})
+    p = spread(display_names(products).withColumns({"bank": bank, "product": product}), of_all, "product", "pos")
     cls = F.when((F.col("kind") == "credit") & (F.col("crdt_prdt_type") == "2"), pr + OVERDRAFT)
     for kind, name in CLASSES.items():
         cls = cls.when(F.col("kind") == kind, pr + name)
@@ -51,8 +58,10 @@ def disclosures_to_triples(products: DataFrame, options: DataFrame, spaces: dict
     b = F.col("bank")
     of_banks = X.as_triples(banks, X.triple(b, X.TYPE, F.lit(pa + "Bank"), kind="iri"), _plain(b, pa + "hasName", F.col("kor_co_nm")), _plain(b, m + "finCompanyNo", F.col("fin_co_no")))
 
-    known = p.select("kind", "fin_co_no", "fin_prdt_cd", "product").distinct()
-    o = options.join(known, ["kind", "fin_co_no", "fin_prdt_cd"]).withColumn("option", F.concat("product", F.lit("_opt"), F.col("pos").cast("string")))
+    record = ["kind", "fin_co_no", "fin_prdt_cd"]
+    known = spread(p.select(*record, "product"), of_all, *record).distinct()
+    o = spread(options, of_each, *record).join(known, record).withColumn("option", F.concat("product", F.lit("_opt"), F.col("pos").cast("string")))
+    o = spread(o, of_each, "option")
     links = X.as_triples(o, X.triple(s, m + "hasRateOption", F.col("option"), kind="iri"))
     x = F.col("option")
     rate = lambda name, c: X.triple(x, m + name, F.regexp_replace(F.col(c).cast("string"), r"(\.\d*?[1-9])0+$|\.0+$", "$1"), dt=X.XSD + "decimal")
@@ -62,7 +71,7 @@ def disclosures_to_triples(products: DataFrame, options: DataFrame, spaces: dict
     out = of_products
     for more in (of_banks, links, saves, lends, credits):
         out = out.unionByName(more)
-    return X.distinct_triples(out)
+    return X.distinct_triples(out, of_all + of_each)
 
 
 def statutes_to_triples(laws: DataFrame, spaces: dict[str, str]) -> DataFrame:

@@ -18,6 +18,7 @@ from loomgraph.operators import retrieve as V
 from loomgraph.operators import text as R
 from loomgraph.plans import sparql
 from loomgraph.plans.materialize import scratch, settled
+from loomgraph.plans.spread import spread
 from loomgraph.sources import ntriples, records, turtle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -611,9 +612,10 @@ def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.lit("202601").alias("dcls_month"), F.when(k % 2 == 0, F.lit("스마트폰, 영업점")).alias("join_way"), F.when(k % 3 == 0, F.concat(F.lit("만 "), (F.col("p_size") % 40 + 10).cast("string"), F.lit("세 이상"))).alias("join_member"), F.when(k % 4 == 0, F.lit("급여 이체")).alias("spcl_cnd"), (k % 4).cast("string").alias("join_deny"), F.lit(None).cast("string").alias("etc_note"), F.when(k % 7 == 0, (F.col("p_size") * 1000000).cast("string")).alias("max_limit"), F.lit(None).cast("string").alias("loan_lmt"), F.when(k % 5 == 4, F.when(k % 2 == 0, F.lit("2")).otherwise("1")).alias("crdt_prdt_type"), F.when(k % 5 == 4, F.when(k % 2 == 0, F.lit("마이너스한도대출")).otherwise("일반신용대출")).alias("crdt_prdt_type_nm"),
     )
     term = F.element_at(F.array(*map(F.lit, ("6", "12", "24", "36"))), F.col("l_linenumber") % 4 + 1)
-    o = star.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("pk"), term.alias("save_trm")).agg(F.min(F.col("l_tax").cast("decimal(20,6)") * 100).cast("decimal(20,6)").alias("intr_rate"), (F.max(F.col("l_tax") + F.col("l_discount") / 100).cast("decimal(20,6)") * 100).cast("decimal(20,6)").alias("intr_rate2"))
+    offers = star.table(spark, sf_dir, "lineitem")
+    o = offers.groupBy(F.col("l_partkey").alias("pk"), term.alias("save_trm")).agg(F.min(F.col("l_tax").cast("decimal(20,6)") * 100).cast("decimal(20,6)").alias("intr_rate"), (F.max(F.col("l_tax") + F.col("l_discount") / 100).cast("decimal(20,6)") * 100).cast("decimal(20,6)").alias("intr_rate2"))
     kind = F.element_at(F.array(*map(F.lit, records.KINDS)), (F.col("pk") % 5 + 1).cast("int"))
-    o = o.join(star.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"), F.regexp_replace("p_brand", "Brand#", "00").alias("fin_co_no")), "pk")
+    o = spread(o, offers.count(), "pk").join(star.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pk"), F.regexp_replace("p_brand", "Brand#", "00").alias("fin_co_no")), "pk")
     none = F.lit(None).cast("string")
     o = o.select(kind.alias("kind"), (F.col("pk") * 4 + F.array_position(F.array(*map(F.lit, ("6", "12", "24", "36"))), F.col("save_trm"))).cast("int").alias("pos"), "fin_co_no", F.concat(F.lit("C"), F.lpad(F.col("pk").cast("string"), 8, "0")).alias("fin_prdt_cd"), "save_trm", "intr_rate", "intr_rate2", F.when(F.col("pk") % 10 < 8, F.lit("단리")).otherwise("복리").alias("intr_rate_type_nm"), none.alias("rsrv_type_nm"), F.when(F.col("pk") % 5 == 2, F.lit("아파트")).alias("mrtg_type_nm"), F.when(F.col("save_trm").isin("6", "12"), F.lit("고정금리")).otherwise("변동금리").alias("lend_rate_type_nm"), none.alias("rpay_type_nm"), F.col("intr_rate").alias("lend_rate_min"), F.col("intr_rate2").alias("lend_rate_max"), F.col("intr_rate").alias("lend_rate_avg"), F.when(kind == "credit", F.when(F.col("save_trm") == "6", F.lit("A")).otherwise("B")).alias("crdt_lend_rate_type"), F.when(kind == "credit", F.col("intr_rate2")).alias("crdt_grad_avg"))
     return p, o

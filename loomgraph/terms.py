@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.plans.spread import spread
+
 #: One row for each triple. Subjects and objects of kind bnode are `file#number`.
 TRIPLES = T.StructType(
     [T.StructField("s", T.StringType(), False), T.StructField("s_kind", T.StringType()), T.StructField("p", T.StringType(), False), T.StructField("o", T.StringType(), False)]
@@ -66,9 +68,12 @@ def as_triples(df: DataFrame, *made: Made, only: str | None = None) -> DataFrame
     return rows if only is None else rows.where(F.col("p") == only)
 
 
-def distinct_triples(df: DataFrame) -> DataFrame:
-    """A graph is a set: equal terms in all three places count once; a literal's datatype and language are part of it."""
-    return df.dropDuplicates([f.name for f in TRIPLES])
+def distinct_triples(df: DataFrame, rows: int = 0) -> DataFrame:
+    """A graph is a set: equal terms in all three places count once; a literal's datatype and language are part of it.
+
+    rows: how many df has at most, where that is known; a task then holds its share, however many there are.
+    """
+    return spread(df, rows, "s", "p", "o").dropDuplicates([f.name for f in TRIPLES])
 
 
 def qname(iri: Column, prefixes: dict[str, str]) -> Column:
