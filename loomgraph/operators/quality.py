@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loomgraph import terms as X
 from loomgraph.operators.views import closure, objects, subclass_edges, typed_or_declared
+from loomgraph.plans.materialize import settled
+from loomgraph.plans.spread import spread
 
 
 def undefined_references(triples: DataFrame, base: str) -> DataFrame:
@@ -42,18 +44,25 @@ def violations(triples: DataFrame, rules: DataFrame) -> DataFrame:
 
     A class target takes the subclasses' instances too, and so does a class constraint. Constraints: min_count, datatype
     (a plain literal is a string), min_length, min_inclusive, max_inclusive (what is no number breaks both), class.
-    All rules are checked in one pass: rules are joined with targets, targets with values.
+    All rules are checked in one pass: rules are joined with targets, targets with values. Focus nodes carry a rule's number,
+    not the rule, and are dealt to as many tasks as the triples ask for.
     """
-    r = F.broadcast(rules)  # the shapes of a schema, which are written by hand
-    below = closure(subclass_edges(triples), nodes=objects(triples, X.TYPE).select("o").distinct())
+    triples = settled(triples)
+    rows = triples.count()
+    numbered = settled(rules.distinct().withColumn("rule", F.monotonically_increasing_id()))
+    r = F.broadcast(numbered)  # the shapes of a schema, which are written by hand
+    named = numbered.select(F.explode(F.array(F.when(F.col("target") == "class", F.col("target_iri")), "cls")).alias("anc")).distinct()
+    below = closure(subclass_edges(triples), nodes=objects(triples, X.TYPE).select("o").distinct()).join(F.broadcast(named), "anc", "left_semi")
     types = objects(triples, X.TYPE).where("o_kind = 'iri'").select("s", "o")
-    full = types.join(below.select(F.col("desc").alias("o"), F.col("anc").alias("cls")), "o").select("s", "cls").distinct()
-    by_class = full.withColumnRenamed("cls", "of").join(r.where("target = 'class'"), F.col("of") == F.col("target_iri")).drop("of")
-    by_use = triples.select("s", "p").distinct().join(r.where("target = 'subjects_of'"), F.col("p") == F.col("target_iri")).drop("p")
-    focus = by_class.unionByName(by_use).withColumnRenamed("s", "focus").distinct()
-    values = triples.select(F.col("s").alias("focus"), F.col("p").alias("path"), "o", "o_kind", "o_dt", "o_lang")
-    pairs = focus.join(values, ["focus", "path"], "left")
-    few = pairs.groupBy(*focus.columns).agg(F.count("o").alias("n")).where("n < min_count").select("focus", "shape", "path", F.lit("min_count").alias("constraint"), F.col("n").cast("string").alias("value"), "message")
+    full = types.join(F.broadcast(below.select(F.col("desc").alias("o"), F.col("anc").alias("cls"))), "o").select("s", "cls")  # classes of the schema
+    by_class = full.withColumnRenamed("cls", "of").join(r.where("target = 'class'"), F.col("of") == F.col("target_iri")).select("s", "rule", "path")
+    by_use = triples.select("s", "p").join(r.where("target = 'subjects_of'"), F.col("p") == F.col("target_iri")).select("s", "rule", "path")
+    focus = spread(by_class.unionByName(by_use).withColumnRenamed("s", "focus"), rows, "focus", "path").distinct()
+    values = triples.select(F.col("s").alias("focus"), F.col("p").alias("path"), "o", "o_kind", "o_dt", "o_lang").join(F.broadcast(numbered.select("path").distinct()), "path", "left_semi")
+    pairs = focus.join(spread(values, rows, "focus", "path"), ["focus", "path"], "left")
+    rule = r.drop("path")
+    few = pairs.groupBy("focus", "path", "rule").agg(F.count("o").alias("n")).join(rule, "rule").where("n < min_count").select("focus", "shape", "path", F.lit("min_count").alias("constraint"), F.col("n").cast("string").alias("value"), "message")
+    pairs = pairs.where("o IS NOT NULL").join(rule, "rule")
     number = F.when(F.col("o_kind") == "literal", F.col("o").try_cast("decimal(38,10)"))
     dt = F.when(F.col("o_kind") != "literal", "").when(F.col("o_lang").isNotNull(), X.RDF + "langString").otherwise(F.coalesce("o_dt", F.lit(X.XSD + "string")))
     breaks = {
@@ -63,8 +72,9 @@ def violations(triples: DataFrame, rules: DataFrame) -> DataFrame:
         "max_inclusive": F.col("max_inclusive").isNotNull() & F.coalesce(number > F.col("max_inclusive"), F.lit(True)),
     }
     found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in breaks.items()]), lambda x: x.isNotNull())
-    bad = pairs.where("o IS NOT NULL").withColumn("constraint", F.explode(found)).select("focus", "shape", "path", "constraint", F.col("o").alias("value"), "message")
-    wrong = pairs.where("o IS NOT NULL AND cls IS NOT NULL").join(full.select(F.col("s").alias("o"), "cls"), ["o", "cls"], "left_anti").select("focus", "shape", "path", F.lit("class").alias("constraint"), F.col("o").alias("value"), "message")
+    bad = pairs.withColumn("constraint", F.explode(found)).select("focus", "shape", "path", "constraint", F.col("o").alias("value"), "message")
+    of_class = full.join(F.broadcast(numbered.select("cls").distinct()), "cls", "left_semi").select(F.col("s").alias("o"), "cls")
+    wrong = pairs.where("cls IS NOT NULL").select("focus", "shape", "path", "o", "cls", "message").join(of_class, ["o", "cls"], "left_anti").select("focus", "shape", "path", F.lit("class").alias("constraint"), F.col("o").alias("value"), "message")
     return few.unionByName(bad).unionByName(wrong)
 
 

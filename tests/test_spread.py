@@ -1,8 +1,11 @@
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomgraph import queries
-from loomgraph.operators import etl
+from loomgraph import terms as X
+from loomgraph.operators import etl, quality
 from loomgraph.plans import spread as S
 
 SF = "/root/testdata/sf0.001"
@@ -24,3 +27,13 @@ def test_triples_of_disclosures_are_told_apart_in_tasks_of_so_many_rows(spark, f
     triples = etl.disclosures_to_triples(*records, spaces)
     assert triples.count() == triples.distinct().count() > 5000
     assert fullest(triples) < 1000
+
+
+def test_shapes_are_checked_in_tasks_of_so_many_rows(spark, few):
+    n = 1000
+    triples = spark.range(n).select(F.explode(F.array(*[F.struct(F.concat(F.lit("x"), F.col("id").cast("string")).alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(k).alias("o_kind"), F.lit(d).alias("o_dt"), F.lit(None).cast("string").alias("o_lang")) for p, o, k, d in ((X.TYPE, F.lit("C"), "iri", None), ("v", F.col("id").cast("string"), "literal", X.XSD + "integer"))])).alias("t")).select("t.*", F.lit("iri").alias("s_kind"))
+    kind = "shape string, target string, target_iri string, path string, min_count int, datatype string, min_length int, min_inclusive decimal(38,10), max_inclusive decimal(38,10), cls string, message string"
+    rules = [("a", "class", "C", "v", 1, None, None, None, 500, None, "v"), ("a", "class", "C", "v", 1, None, None, None, 500, None, "v"), ("b", "subjects_of", "v", "w", 1, None, None, None, None, None, "w")]
+    found = quality.violations(triples, spark.createDataFrame([(*r[:8], Decimal(r[8]) if r[8] else None, *r[9:]) for r in rules], kind))
+    assert {tuple(r) for r in found.groupBy("constraint").count().collect()} == {("max_inclusive", n - 501), ("min_count", n)}
+    assert fullest(found) < 600
