@@ -16,6 +16,7 @@ from loomgraph.operators.views import closure, reachable
 from loomgraph.plans.solutions import Solutions, joined, kept, other
 from loomgraph.plans.solutions import column as _c
 from loomgraph.plans.sparql_parser import Parser, Query, SparqlError
+from loomgraph.plans.spread import spread
 
 
 def _key(kind: Column, o: Column, dt: Column, lang: Column) -> Column:
@@ -86,10 +87,12 @@ class Value:
 
 
 class Compiler:
-    def __init__(self, triples: DataFrame | Callable[[str | None], DataFrame], prefixes: dict[str, str] | None = None, counts: dict[str, int] | None = None):
+    def __init__(self, triples: DataFrame | Callable[[str | None], DataFrame], prefixes: dict[str, str] | None = None, counts: dict[str, int] | None = None, most: int = 0):
         """triples: a table, or what gives the triples of one predicate (all of them for None), where that takes less than to
         look for them in a table. counts: triples by predicate, where they are known; patterns are then joined from the
-        fewest on."""
+        fewest on. most: how many of a predicate there are at most, where that isn't counted; patterns of one subject are then
+        dealt by it to so many tasks."""
+        self.most = most
         self.prefixes = {**(prefixes or {}), **X.STANDARD}
         self.counts = counts or {}
         self.of = triples if not isinstance(triples, DataFrame) else lambda p: triples if p is None else triples.where(F.col("p") == p)
@@ -204,7 +207,11 @@ class Compiler:
     def bgp(self, triples: list, known: Solutions | None = None) -> Solutions:
         open_path = lambda t: self.endless(t[1]) and t[0][0] == "var" == t[2][0]
         rest = sorted(triples, key=lambda t: (open_path(t), -(t[0][0] != "var") - (t[2][0] != "var"), self.counts.get(t[1][1] if t[1][0] == "iri" else "", 1 << 60)))
-        out = self.triple(*rest.pop(0), known=known)
+        first = rest.pop(0)
+        out = self.triple(*first, known=known)
+        alike = [t[1][1] for t in (first, *rest) if t[0] == first[0] and t[1][0] == "iri"]
+        if first[0][0] == "var" and len(alike) > 1:  # joined on their subject: it stays where it is dealt to
+            out = Solutions(spread(out.df, max(self.counts.get(p, self.most) for p in alike), _c(first[0][1])), out.bound, out.maybe)
         while rest:  # next to what is there already, so that no product arises where there need be none
             nxt = next((t for t in rest if {x[1] for x in t if x[0] == "var"} & out.names), rest[0])
             rest.remove(nxt)
@@ -607,11 +614,11 @@ def has_exists(e) -> bool:
     return isinstance(e, (tuple, list)) and (e[:1] == ("exists",) or any(map(has_exists, e)))
 
 
-def run(triples: DataFrame | Callable[[str | None], DataFrame], text: str, prefixes: dict[str, str] | None = None, limit: int | None = None, counts: dict[str, int] | None = None, terms: bool = False) -> DataFrame:
+def run(triples: DataFrame | Callable[[str | None], DataFrame], text: str, prefixes: dict[str, str] | None = None, limit: int | None = None, counts: dict[str, int] | None = None, terms: bool = False, most: int = 0) -> DataFrame:
     """A SELECT's solutions, one string column for each variable: a literal's text, an IRI's qualified name, null where it is
-    unbound; with terms, whole terms. An ASK has one row (ask boolean). limit goes into the plan."""
+    unbound; with terms, whole terms. An ASK has one row (ask boolean). limit goes into the plan. counts, most: as in Compiler."""
     query = Parser(text, prefixes).parse()
-    compiler = Compiler(triples, prefixes, counts)
+    compiler = Compiler(triples, prefixes, counts, most)
     if query.form == "ASK":
         body = compiler.pattern(query.where).df.limit(1)
         return body.agg((F.count("*") > 0).alias("ask"))

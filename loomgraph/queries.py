@@ -39,7 +39,8 @@ def query(sql: str | None = None):
 def _ask(spark: SparkSession, sf_dir: str, text: str, *kinds: str, schema: bool = True) -> DataFrame:
     made = star.graph if schema else star.entity_triples
     of = lru_cache(None)(lambda p: made(spark, sf_dir, *kinds, only=p))
-    return sparql.run(of, text, VOC.prefixes)
+    most = sum(star.table(spark, sf_dir, "lineitem" if k == "offer" else k).count() for k in kinds)
+    return sparql.run(of, text, VOC.prefixes, most=most)
 
 
 # -- graph patterns ----------------------------------------------------------------------------------------------------

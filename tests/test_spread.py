@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from loomgraph import queries
 from loomgraph import terms as X
 from loomgraph.operators import etl, quality
+from loomgraph.plans import sparql
 from loomgraph.plans import spread as S
 
 SF = "/root/testdata/sf0.001"
@@ -37,3 +38,13 @@ def test_shapes_are_checked_in_tasks_of_so_many_rows(spark, few):
     found = quality.violations(triples, spark.createDataFrame([(*r[:8], Decimal(r[8]) if r[8] else None, *r[9:]) for r in rules], kind))
     assert {tuple(r) for r in found.groupBy("constraint").count().collect()} == {("max_inclusive", n - 501), ("min_count", n)}
     assert fullest(found) < 600
+
+
+def test_patterns_of_one_subject_are_joined_in_tasks_of_so_many_rows(spark, few):
+    triples = spark.range(1000).select(F.concat(F.lit("x"), F.col("id").cast("string")).alias("s"), F.lit("iri").alias("s_kind"), F.explode(F.array(F.lit("p:a"), F.lit("p:b"))).alias("p"), F.col("id").cast("string").alias("o"), F.lit("literal").alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = sparql.run(triples, "SELECT ?s ?a ?b WHERE { ?s <p:a> ?a ; <p:b> ?b }", most=1000)
+        assert found.count() == 1000 and fullest(found) < 400
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
