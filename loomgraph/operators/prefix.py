@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.plans.materialize import settled
+from loomgraph.plans.spread import ranged
 
 #: Bits of monotonically_increasing_id() that number the rows of a partition.
 WITHIN = 33
@@ -27,6 +28,15 @@ def prefix_sums(df: DataFrame, order: list[str], amount: Column, out: str) -> Da
     return summed.join(starts, "_range").withColumn(out, F.col("_base") + F.col("_own")).select(*df.columns, out)
 
 
-def ordinals(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """df with out: each row's place in the order of those columns, from 1 on."""
-    return prefix_sums(df, order, F.lit(1), out).withColumn(out, F.col(out) + 1)
+def ordinals(df: DataFrame, order: list[str], out: str, rows: int = 0) -> DataFrame:
+    """df with out: each row's place in the order of those columns, from 1 on.
+
+    A row's place within its range is its number there, so no range is sorted again. rows: how many there are, where that is
+    known; a range then holds its share.
+    """
+    placed = settled(ranged(df, rows, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_range", F.shiftright("_at", WITHIN))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    own = F.col("_at").bitwiseAND(F.lit((1 << WITHIN) - 1)) + 1
+    return placed.join(F.broadcast(starts), "_range").withColumn(out, F.col("_base") + own).select(*df.columns, out)

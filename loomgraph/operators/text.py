@@ -10,6 +10,7 @@ from loomgraph.operators.prefix import ordinals, prefix_sums
 from loomgraph.operators.runs import longest_run
 from loomgraph.operators.views import definitions, labels
 from loomgraph.plans.materialize import settled
+from loomgraph.plans.spread import shares, spread
 
 
 def entity_documents(triples: DataFrame, vocabulary: X.Vocabulary) -> DataFrame:
@@ -75,13 +76,17 @@ def ngrams(text: Column, sizes: tuple[int, ...] = (2, 3)) -> Column:
     return F.when(F.length(text) > 0, out).otherwise(F.array().cast("array<string>"))
 
 
-def term_frequencies(docs: DataFrame, key: str, text: str = "text", sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
-    """(key, gram, tf)."""
-    return docs.select(key, F.explode(ngrams(F.col(text), sizes)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
+def term_frequencies(docs: DataFrame, key: str, text: str = "text", sizes: tuple[int, ...] = (2, 3), rows: int = 0) -> DataFrame:
+    """(key, gram, tf). rows: how many grams there are at most, where that is known; texts are then dealt by their keys, and a
+    task counts those of its share of the texts."""
+    return spread(docs, rows, key).select(key, F.explode(ngrams(F.col(text), sizes)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
 
 
-#: Documents in a block of an index, blocks that one salt of a gram holds, and heaviest grams by which documents are ordered.
-BLOCK, SALTED, TOPS = 64, 1024, 8
+#: Documents in a block of an index, heaviest grams by which documents are ordered, and questions that are held together
+#: against a block.
+BLOCK, TOPS, SALTED = 64, 8, 1024
+#: Distinct grams up to which each task gets them all: some tens of MB.
+GRAMS = 1 << 20
 
 
 class TfIdf:
@@ -89,22 +94,24 @@ class TfIdf:
     of a document's norm that it has there. Weight: tf (ln(N / (1 + df)) + 1), which is above zero for every gram.
 
     Blocks are ranges of the documents in the order of their heaviest grams, so that a block's bounds are near its documents'
-    weights. A gram that most documents have is split over its blocks, and over salts where it is held against questions.
+    weights. What is joined and summed for a block lies in one task, with some other blocks and for some of the questions:
+    a gram that most documents have is split over its blocks, and no task's sums grow with the documents or the questions.
     """
 
     def __init__(self, docs: DataFrame, key: str, text: str = "text", sizes: tuple[int, ...] = (2, 3)):
         self.sizes = sizes
-        tf = settled(term_frequencies(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "doc", "text", sizes))
-        self.n = docs.count()
+        self.n, self.grams = docs.agg(F.count("*"), F.coalesce(F.sum(F.length(text)), F.lit(0)) * len(sizes)).first()
+        tf = settled(term_frequencies(docs.select(F.col(key).alias("doc"), F.col(text).alias("text")), "doc", "text", sizes, self.grams))
         df = tf.groupBy("gram").agg(F.count("*").alias("df"))
         idf = (F.log(F.lit(float(max(1, self.n))) / (F.col("df") + 1)) + 1).alias("idf")
-        self.idf = settled(df.select("gram", idf, (F.floor(F.col("df") / (BLOCK * SALTED)) + 1).cast("int").alias("salts")))
-        weighted = tf.join(self.idf, "gram").select("doc", "gram", "salts", (F.col("tf") * F.col("idf")).alias("w"))
+        self.idf = settled(df.select("gram", idf))
+        known = F.broadcast(self.idf) if self.idf.count() <= GRAMS else self.idf
+        weighted = spread(tf.join(known, "gram").select("doc", "gram", (F.col("tf") * F.col("idf")).alias("w")), self.grams, "doc")
         heaviest = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("w", "gram")), False), 1, TOPS), lambda x: x["gram"])
-        placed = ordinals(weighted.groupBy("doc").agg(norm("w").alias("norm"), heaviest.alias("tops")), ["tops", "doc"], "place")
+        placed = ordinals(weighted.groupBy("doc").agg(norm("w").alias("norm"), heaviest.alias("tops")), ["tops", "doc"], "place", self.n)
         blocks = placed.select("doc", "norm", F.floor((F.col("place") - 1) / BLOCK).alias("block"))
-        self.postings = settled(weighted.join(blocks, "doc").select("doc", "block", "gram", "salts", "w", "norm"))
-        self.bounds = self.postings.groupBy("block", "gram", "salts").agg(F.max(F.col("w") / F.col("norm")).alias("high"))
+        self.postings = settled(spread(weighted.join(blocks, "doc").select("doc", "block", "gram", "w", "norm"), self.grams, "block"))
+        self.bounds = spread(self.postings, self.grams, "block").groupBy("block", "gram").agg(F.max(F.col("w") / F.col("norm")).alias("high"))
 
     def top(self, questions: DataFrame, key: str, text: str = "text", k: int = 5, decimals: int | None = None) -> DataFrame:
         """(key, doc, score, rank) of the k best documents of each question with a positive score; ties by doc.
@@ -121,16 +128,31 @@ class TfIdf:
         unseen = F.log(F.lit(float(max(1, self.n)))) + 1
         q = term_frequencies(questions.select(F.col(key).alias("q"), F.col(text).alias("text")), "q", "text", self.sizes)
         weight = F.col("tf") * F.coalesce("idf", unseen)
-        weights = settled(q.join(self.idf, "gram", "left").select("q", "gram", "salts", weight.alias("qw")))
+        weights = settled(q.join(self.idf, "gram", "left").select("q", "gram", F.col("idf").isNotNull().alias("known"), weight.alias("qw")))
         q_norm = weights.groupBy("q").agg(norm("qw").alias("q_norm"))
-        asked = weights.where("salts IS NOT NULL").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-        dealt = self.bounds.withColumn("salt", F.pmod("block", "salts").cast("int")).drop("salts")
-        met = asked.join(dealt, ["gram", "salt"]).groupBy("q", "block").agg(F.sum(F.col("qw") * F.col("high")).alias("reach"))
-        reach = settled(met.join(q_norm, "q").select("q", "block", "q_norm", (F.col("reach") / F.col("q_norm")).alias("reach")))
-
-        def of(cells: DataFrame) -> DataFrame:
-            pairs = cells.select("q", "block", "q_norm").join(weights.select("q", "gram", "qw"), "q").join(self.postings, ["block", "gram"])
-            dots = pairs.groupBy("q", "doc", "q_norm", "norm").agg(F.sum(F.col("qw") * F.col("w")).alias("dot")).where("dot > 0")
+        known = settled(weights.where("known").join(q_norm, "q").select("q", "gram", "qw", "q_norm"))
+        n_asked = known.select("q").distinct().count()
+        # What is dealt by cells or blocks is joined by them and the gram without being dealt again.
+        known.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", False)
+        # A cell of some blocks and some questions is summed in one task: the questions' grams go to each group of blocks.
+        blocks = -(-self.n // BLOCK)
+        parts = max(1, -(-n_asked // SALTED))
+        groups = 4 * shares(blocks * min(n_asked, SALTED))  # some to a task, so that tasks are alike
+        part = F.pmod(F.xxhash64("q"), F.lit(parts)).alias("part")
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+        cells = blocks * n_asked
+        asked = spread(known.select("*", part).withColumn("group", every(groups)), cells, "group", "part")
+        bounds = spread(self.bounds.withColumn("group", F.pmod("block", F.lit(groups))).withColumn("part", every(parts)), cells, "group", "part")
+        met = asked.join(bounds, ["group", "part", "gram"]).groupBy("q", "q_norm", "block", "group", "part").agg(F.sum(F.col("qw") * F.col("high")).alias("reach"))
+        reach = settled(met.select("q", "block", "part", "q_norm", (F.col("reach") / F.col("q_norm")).alias("reach")))
+        postings = self.postings.withColumn("part", every(parts))
+
+        def of(wanted: DataFrame) -> DataFrame:
+            wanted = settled(wanted.select("q", "block", "part", "q_norm"))
+            most_rows = max(wanted.count() * BLOCK, self.grams * parts)  # pairs to sum, or postings to sort
+            pairs = spread(wanted, most_rows, "block", "part").join(known.select("q", "gram", "qw"), "q")
+            pairs = pairs.join(spread(postings, most_rows, "block", "part"), ["block", "part", "gram"])
+            dots = pairs.groupBy("q", "doc", "q_norm", "norm", "block", "part").agg(F.sum(F.col("qw") * F.col("w")).alias("dot")).where("dot > 0")
             score = F.col("dot") / (F.col("q_norm") * F.col("norm"))
             return dots.select("q", "doc", (score if decimals is None else F.round(score, decimals)).alias("score"))
 

@@ -8,9 +8,13 @@ from pyspark.sql import Column, DataFrame
 TASK_ROWS = 1 << 18
 
 
+def shares(rows: int) -> int:
+    return max(1, -(-rows // TASK_ROWS))
+
+
 def tasks(df: DataFrame, rows: int) -> int:
     """Tasks for so many rows, never fewer than Spark would take."""
-    return max(-(-rows // TASK_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return max(shares(rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def spread(df: DataFrame, rows: int, *keys: str | Column) -> DataFrame:
@@ -21,3 +25,8 @@ def spread(df: DataFrame, rows: int, *keys: str | Column) -> DataFrame:
     more, then need no other shuffle.
     """
     return df if rows <= TASK_ROWS else df.repartition(tasks(df, rows), *keys)
+
+
+def ranged(df: DataFrame, rows: int, *order: str) -> DataFrame:
+    """df dealt to ranges of the order, as many as spread() would make."""
+    return df.repartitionByRange(*order) if rows <= TASK_ROWS else df.repartitionByRange(tasks(df, rows), *order)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from loomgraph import queries
 from loomgraph import terms as X
 from loomgraph.operators import etl, quality
+from loomgraph.operators import text as R
 from loomgraph.plans import sparql
 from loomgraph.plans import spread as S
 
@@ -30,6 +31,18 @@ def test_triples_of_disclosures_are_told_apart_in_tasks_of_so_many_rows(spark, f
     assert fullest(triples) < 1000
 
 
+def test_an_index_sums_in_tasks_of_so_many_rows(spark, few, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 8)
+    docs = spark.createDataFrame([(i, f"red widget {i} {i * 7 % 100}") for i in range(400)], "doc int, text string")
+    asked = spark.createDataFrame([(i, f"widget {i}") for i in range(10)], "item int, text string")
+    index = R.TfIdf(docs, "doc")
+    assert fullest(index.bounds) < 1000 < index.bounds.count()
+    assert fullest(R.term_frequencies(docs, "doc", rows=index.grams)) < 3000
+    found = index.top(asked, "item", k=1)
+    assert {r["item"]: r["rank"] for r in found.collect()} == dict.fromkeys(range(10), 1)
+    assert fullest(index.scored(asked, "item", k=1)) < 1000
+
+
 def test_shapes_are_checked_in_tasks_of_so_many_rows(spark, few):
     n = 1000
     triples = spark.range(n).select(F.explode(F.array(*[F.struct(F.concat(F.lit("x"), F.col("id").cast("string")).alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(k).alias("o_kind"), F.lit(d).alias("o_dt"), F.lit(None).cast("string").alias("o_lang")) for p, o, k, d in ((X.TYPE, F.lit("C"), "iri", None), ("v", F.col("id").cast("string"), "literal", X.XSD + "integer"))])).alias("t")).select("t.*", F.lit("iri").alias("s_kind"))
